@@ -6,6 +6,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from riskloom.functions.regex import SPACE, SPACE_SET
 
@@ -18,7 +19,7 @@ _NFKC_STABLE = r"\x00-\x7F¡«»¿À-ÖØ-öø-ÿ€–—‘’“”"
 _NEEDS_NFKC = f"[^{_NFKC_STABLE}]"
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _nfkc(texts: pa.Array) -> pa.Array:
     return pc.utf8_normalize(texts, form="NFKC")
 
