@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+_SQL: dict[str, str] = {}
 EXPRESSIONS: dict[str, str] = {}
 
 
@@ -55,7 +55,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         assert name not in QUERIES, name
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_expressions(sql)
+            _SQL[name] = sql
         return fn
 
     return register
@@ -74,3 +74,8 @@ def literal(value: object) -> str:
 def values(rows: list[tuple], columns: str) -> str:
     body = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
     return f"SELECT * FROM (VALUES {body}) AS v({columns})"
+
+
+def oracles() -> dict[str, str]:
+    """The SQL twins with the expressions they use written out."""
+    return {name: with_expressions(sql) for name, sql in _SQL.items()}

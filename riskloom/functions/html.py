@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from riskloom.functions.expr import let
 from riskloom.functions.regex import extract, extract_all, java, matches
 from riskloom.functions.text import clean, collapse_spaces
 
@@ -32,15 +33,19 @@ def tags(html: Column, name: str) -> Column:
     return extract_all(html, rf"<{name}\b[^>]*>", 0)
 
 
-def _attr_pattern(name: str) -> str:
-    return rf"\b{name}\s*=\s*(\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-
-
 def attr(tag: Column, name: str) -> Column:
-    """Attribute value, ``''`` when present and empty, null when absent."""
-    p = _attr_pattern(name)
-    value = F.concat(extract(tag, p, 2), extract(tag, p, 3), extract(tag, p, 4))
-    return F.when(matches(tag, p), value)
+    """Attribute value, ``''`` when present and empty, null when absent.
+
+    One regex per attribute: the raw value with its quotes, which are then taken off.
+    """
+    raw = extract(tag, rf"\b{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
+    return let(
+        raw,
+        lambda r: F.when(
+            r != "",
+            F.when(F.left(r, F.lit(1)).isin('"', "'"), F.substr(r, F.lit(2), F.length(r) - 2)).otherwise(r),
+        ),
+    )
 
 
 def strip_comments(html: Column) -> Column:

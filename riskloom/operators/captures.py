@@ -360,7 +360,7 @@ def table_probes(responses: DataFrame) -> DataFrame:
         responses.filter(F.col("role") == "table")
         .withColumn(
             "outcome",
-            F.when(status == 0, "error")
+            F.when((status == 0) | ((status == 200) & F.try_parse_json(body).isNull()), "error")
             .when(status == 200, "exposed")
             .when(status == 404, "absent")
             .otherwise("protected"),

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import html as H
+from riskloom.functions.expr import let, record
 from riskloom.functions.regex import extract, extract_all, matches
 from riskloom.functions.text import js_trim
-from riskloom.functions.urls import absolutize, host_of, normalize_page_url
+from riskloom.functions.urls import absolutize_in, base_parts, host_of, page_url_in
 from riskloom.rules import web as rules
 
 # ---- fixed values -------------------------------------------------------------------------
@@ -72,18 +73,24 @@ def platform_domain(host: Column) -> Column:
     return out
 
 
-def _same_host(urls: Column, host: Column) -> Column:
-    return F.array_distinct(F.filter(urls, lambda u: u.isNotNull() & (host_of(u) == host)))
+def _own_parts(base: Column) -> Column:
+    return record(base=base_parts(base), host=host_of(base))
 
 
 def internal_links(html: Column, base: Column) -> Column:
     """Distinct same-host pages in document order, the page itself left out."""
-    own = normalize_page_url(base, base)
-    found = F.transform(
-        extract_all(html, ANCHOR_HREF, 1), lambda ref: normalize_page_url(ref, base)
-    )
-    links = _same_host(found, host_of(base))
-    return F.filter(links, lambda u: own.isNull() | (u != own))
+
+    def collect(own: Column) -> Column:
+        found = F.transform(
+            extract_all(html, ANCHOR_HREF, 1), lambda ref: page_url_in(ref, own["base"])
+        )
+        urls = F.transform(
+            F.filter(found, lambda p: p.isNotNull() & (p["host"] == own["host"])), lambda p: p["url"]
+        )
+        self_url = F.coalesce(page_url_in(base, own["base"])["url"], F.lit(""))
+        return F.array_except(urls, F.array(self_url))
+
+    return let(_own_parts(base), collect)
 
 
 def decode_xml(text: Column) -> Column:
@@ -94,11 +101,28 @@ def decode_xml(text: Column) -> Column:
 
 
 def sitemap_urls(xml: Column, host: Column) -> Column:
-    base = F.concat(F.lit("https://"), host, F.lit("/"))
-    found = F.transform(
-        extract_all(xml, SITEMAP_LOC, 1), lambda loc: normalize_page_url(decode_xml(loc), base)
-    )
-    return _same_host(found, host)
+    def collect(base: Column) -> Column:
+        found = F.transform(
+            extract_all(xml, SITEMAP_LOC, 1), lambda loc: page_url_in(decode_xml(loc), base)
+        )
+        same = F.filter(found, lambda p: p.isNotNull() & (p["host"] == base["host"]))
+        return F.array_distinct(F.transform(same, lambda p: p["url"]))
+
+    return let(base_parts(F.concat(F.lit("https://"), host, F.lit("/"))), collect)
+
+
+def _resolved(refs: Column, base: Column, same_host: bool) -> Column:
+    """Absolute URLs of the references, each once, in order."""
+
+    def collect(own: Column) -> Column:
+        urls = F.filter(
+            F.transform(refs, lambda r: absolutize_in(r, own["base"])), lambda u: u.isNotNull()
+        )
+        if same_host:
+            urls = F.filter(urls, lambda u: host_of(u) == own["host"])
+        return F.array_distinct(urls)
+
+    return let(_own_parts(base), collect)
 
 
 def page_assets(html: Column, base: Column) -> Column:
@@ -113,7 +137,7 @@ def page_assets(html: Column, base: Column) -> Column:
         extract_all(html, IMG_SRC, 1),
         F.filter(hrefs, lambda h: h != ""),
     )
-    return _same_host(F.transform(refs, lambda r: absolutize(r, base)), host_of(base))
+    return _resolved(refs, base, same_host=True)
 
 
 def favicon_href(html: Column) -> Column:
@@ -133,15 +157,13 @@ def favicon_href(html: Column) -> Column:
 def script_urls(html: Column, base: Column) -> Column:
     """Every script a page refers to, same host or not."""
     refs = F.concat(*[extract_all(html, p, 1) for p in SCRIPT_REFS])
-    urls = F.transform(refs, lambda r: absolutize(r, base))
-    return F.array_distinct(F.filter(urls, lambda u: u.isNotNull()))
+    return _resolved(refs, base, same_host=False)
 
 
 def bundle_chunks(js: Column, base: Column) -> Column:
-    urls = F.transform(
-        extract_all(js, CHUNK_REF, 1, ignore_case=False), lambda r: absolutize(r, base)
-    )
-    return F.array_distinct(F.filter(urls, lambda u: u.isNotNull() & u.endswith(".js")))
+    """One more level of scripts named in a bundle, where secrets often sit in a lazy chunk."""
+    refs = extract_all(js, CHUNK_REF, 1, ignore_case=False)
+    return F.filter(_resolved(refs, base, same_host=False), lambda u: u.endswith(".js"))
 
 
 def fingerprint_columns() -> dict[str, Column]:
