@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions.expr import record
 from riskloom.functions.regex import extract, extract_all, java, matches
 from riskloom.functions.text import (
     collapse_paragraphs,
@@ -61,29 +62,39 @@ def turn_tags(text: Column, tag: str) -> Column:
     )
 
 
-def orphan_close(text: Column) -> Column:
-    """The first closing turn tag with no open one before it, or null.
+def orphan_closes(text: Column, tag: str) -> Column:
+    """Closing tags with no open one before them: ``array<struct<pos,tag_text>>``.
 
     Walking the tags in order: closes so far >= opens so far at a closing tag makes it an orphan.
+    Row-local, so the same expression serves batch and stream.
     """
-    per_tag = []
-    for tag in rules.TURN_TAGS:
-        start = F.struct(
-            F.lit(0).alias("opens"), F.lit(0).alias("closes"), F.lit(None).cast("string").alias("hit")
-        )
-        walked = F.aggregate(
-            turn_tags(text, tag),
-            start,
-            lambda s, t: F.struct(
-                (s["opens"] + F.when(t["is_close"], 0).otherwise(1)).alias("opens"),
-                (s["closes"] + F.when(t["is_close"], 1).otherwise(0)).alias("closes"),
-                F.coalesce(
-                    s["hit"], F.when(t["is_close"] & (s["closes"] >= s["opens"]), t["tag_text"])
-                ).alias("hit"),
-            ),
-        )
-        per_tag.append(F.when(matches(text, f"</{tag}"), walked["hit"]))
-    return F.coalesce(*per_tag)
+    none = F.array().cast("array<struct<pos:int,tag_text:string>>")
+    start = record(opens=F.lit(0), closes=F.lit(0), hits=none)
+    numbered = F.transform(
+        turn_tags(text, tag),
+        lambda t, i: record(pos=i, tag_text=t["tag_text"], is_close=t["is_close"]),
+    )
+    walked = F.aggregate(
+        numbered,
+        start,
+        lambda s, t: record(
+            opens=s["opens"] + F.when(t["is_close"], 0).otherwise(1),
+            closes=s["closes"] + F.when(t["is_close"], 1).otherwise(0),
+            hits=F.when(
+                t["is_close"] & (s["closes"] >= s["opens"]),
+                F.concat(s["hits"], F.array(record(pos=t["pos"], tag_text=t["tag_text"]))),
+            ).otherwise(s["hits"]),
+        ),
+        lambda s: s["hits"],
+    )
+    return F.when(matches(text, f"</{tag}"), walked).otherwise(none)
+
+
+def orphan_close(text: Column) -> Column:
+    """The first orphan of the first turn tag that has one, or null."""
+    return F.coalesce(
+        *[F.get(orphan_closes(text, tag), F.lit(0))["tag_text"] for tag in rules.TURN_TAGS]
+    )
 
 
 def override_hit(text: Column) -> Column:
@@ -99,31 +110,34 @@ def override_hit(text: Column) -> Column:
 
 def exfil_hit(text: Column) -> Column:
     return F.when(
-        matches(text, rules.PREFILTER_EXFIL) & matches(text, rules.EXFIL_TARGET),
+        matches(text, rules.EXFIL_TARGET) & matches(text, rules.EXTERNAL_DEST),
         first_of(text, "injection-exfil", rules.EXFIL, veto=True),
     )
 
 
-def directive_hit(text: Column) -> Column:
-    """36 patterns in order; the veto is anchored at the verb inside the match."""
-    choices = []
-    for before_verb, from_verb in rules.directive_patterns():
-        whole = before_verb + from_verb
-        prefix = F.regexp_extract(
-            text, "(?iu)^([\\s\\S]*?" + java(before_verb) + ")" + java(from_verb), 1
-        )
-        choices.append(
-            F.when(
-                matches(text, whole),
-                _hit("injection-directive", extract(text, whole, 0), prefix),
-            )
-        )
+def _directive(text: Column, before_verb: str, from_verb: str) -> Column:
+    whole = before_verb + from_verb
+    prefix = F.regexp_extract(
+        text, "(?iu)^([\\s\\S]*?" + java(before_verb) + ")" + java(from_verb), 1
+    )
     return F.when(
-        matches(text, rules.PREFILTER_DIRECTIVE) & matches(text, rules.PREFILTER_TARGET),
-        F.coalesce(*choices),
+        matches(text, whole), _hit("injection-directive", extract(text, whole, 0), prefix)
     )
 
 
+def directive_hit(text: Column) -> Column:
+    """The patterns in order, language by language; the veto is anchored at the verb.
+
+    A language's patterns are only tried where its verb-to-target core matches.
+    """
+    gates = rules.directive_gates()
+    per_lang = [
+        F.when(matches(text, gates[lang]), F.coalesce(*[_directive(text, *pair) for pair in pairs]))
+        for lang, pairs in rules.directive_patterns().items()
+    ]
+    return F.when(matches(text, rules.PREFILTER_DIRECTIVE), F.coalesce(*per_lang))
+
+
 RULE_HITS = {
     "injection-override": override_hit,
     "injection-exfil": exfil_hit,
@@ -182,26 +196,32 @@ def content_hits(normal: Column, collapsed: Column, spans: Column, rule_ids=None
     return first_per_rule(live, "rule_id")
 
 
+def worth_scanning(normal: Column, spans: Column, wanted: list[str]) -> Column:
+    gates = {
+        "injection-override": matches(normal, rules.PREFILTER_OVERRIDE),
+        "injection-exfil": matches(normal, rules.EXFIL_TARGET) & matches(normal, rules.EXTERNAL_DEST),
+        "injection-directive": matches(normal, rules.PREFILTER_DIRECTIVE),
+        "injection-hidden": spans.isNotNull(),
+    }
+    out = F.lit(False)
+    for rule in wanted:
+        out = out | gates[rule]
+    return out
+
+
 def scan_content(df: DataFrame, text: str = "text", rule_ids: list[str] | None = None) -> DataFrame:
     """Injection hits, one row per text and rule, with a quote of the matched text."""
+    wanted = [*RULE_HITS, "injection-hidden"] if rule_ids is None else rule_ids
     keys = [c for c in df.columns if c != text]
-    gate = (
-        matches(F.col("_normal"), rules.PREFILTER_OVERRIDE)
-        | (matches(F.col("_normal"), rules.PREFILTER_EXFIL) & matches(F.col("_normal"), rules.EXFIL_TARGET))
-        | matches(F.col("_normal"), rules.PREFILTER_TARGET)
-        | F.col("_spans").isNotNull()
-    )
     return (
         with_normal(df, text)
-        .filter(gate)
+        .filter(worth_scanning(F.col("_normal"), F.col("_spans"), wanted))
         .withColumn("_collapsed", collapse_paragraphs(F.col("_normal")))
         .select(
             *keys,
             F.explode(
-                content_hits(F.col("_normal"), F.col("_collapsed"), F.col("_spans"), rule_ids)
+                content_hits(F.col("_normal"), F.col("_collapsed"), F.col("_spans"), wanted)
             ).alias("hit"),
         )
         .select(*keys, "hit.rule_id", "hit.quote")
     )
-
-

@@ -147,11 +147,9 @@ def ui_patterns() -> list[str]:
     return [rf"\b{lx.group(lx.UI_NOUNS[lang])}\p{{L}}*\b" for lang in lx.LANGS]
 
 
-# One cheap pass that every hit must survive: each rule needs one of these words. Kept a superset
-# of the rules by tests.
-PREFILTER = (
-    r"rls|securi|seguri|seguran|service|sb_secret|admin|master|publi|públi|anonymous|everyone"
-    r"|anyone|todos|qualquer|auth|autent|autori|login|sign|sess|sesi|protected|protegida|cors"
-    r"|origin|orígen|origen|key|secret|token|password|creden|contrase|senha|connection|csrf|xss"
-    r"|sanitiz|rate|límite|limite|verification|\.env"
+# What a clause must hold for any rule to match: the targets themselves, so no hit can be lost.
+PREFILTER = lx.group(
+    [lx.RLS, lx.SERVICE_KEY, lx.SECRET, lx.SECURITY_CONTROL, EVERYONE, ENV_FILE]
+    + ["p[úu]blic", "cors", r"origins?\b", r"or[íi]genes", "origens", "access-control-allow-origin"]
+    + [a for lang in lx.LANGS for a in lx.AUTH[lang]]
 )
