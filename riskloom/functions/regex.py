@@ -95,6 +95,17 @@ def matches_any(text: Column, patterns: list[str], ignore_case: bool = True) ->
     return cond
 
 
+def mentions(lowered: Column, words: list[str]) -> Column:
+    """Whether lower-cased text holds one of the words: a byte search, far cheaper than a regex.
+
+    Used as a first gate; the words must be parts of whatever the gated patterns match.
+    """
+    out = F.lit(False)
+    for word in words:
+        out = out | F.contains(lowered, F.lit(word))
+    return out
+
+
 def extract(text: Column, pattern: str, group: int = 1, ignore_case: bool = True) -> Column:
     """The group of the first match, ``''`` where nothing matched."""
     return F.regexp_extract(text, java(pattern, ignore_case), group)

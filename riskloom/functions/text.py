@@ -13,10 +13,12 @@ from riskloom.functions.regex import SPACE, SPACE_SET
 # Soft hyphen, zero-width characters, direction marks, word joiner, BOM.
 INVISIBLE = r"[\x{00AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]"
 
-# Characters that normalise to themselves and never combine with a neighbour in this set, so a
-# text made only of them needs no trip to Python. Covers plain Western European prose.
-_NFKC_STABLE = r"\x00-\x7F¡«»¿À-ÖØ-öø-ÿ€–—‘’“”"
-_NEEDS_NFKC = f"[^{_NFKC_STABLE}]"
+# Characters NFKC may change or combine: everything but ASCII, the plain letters and punctuation
+# of Latin-1, the euro sign, dashes and curly quotes.
+_MAY_CHANGE = (
+    r"[\xA0\xA8\xAA\xAF\xB2-\xB5\xB8-\xBA\xBC-\xBE\x{100}-\x{2012}\x{2015}-\x{2017}\x{201A}\x{201B}"
+    r"\x{201E}-\x{20AB}\x{20AD}-\x{10FFFF}]"
+)
 
 
 @F.arrow_udf(StringType())
@@ -30,7 +32,8 @@ def nfkc(text: Column) -> Column:
     Rows that cannot change are passed as null: they cost a bit in the Arrow batch instead of
     their text, and the table is read once.
     """
-    return F.coalesce(_nfkc(F.when(text.rlike(_NEEDS_NFKC), text)), text)
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.coalesce(_nfkc(F.when(~ascii_only & text.rlike(_MAY_CHANGE), text)), text)
 
 
 def js_trim(text: Column) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.expr import record
-from riskloom.functions.regex import extract, extract_all, java, matches
+from riskloom.functions.expr import let, record
+from riskloom.functions.regex import extract, extract_all, java, matches, mentions
 from riskloom.functions.text import (
     collapse_paragraphs,
     fold_content,
@@ -103,7 +103,7 @@ def override_hit(text: Column) -> Column:
         matches(text, rules.PREFILTER_OVERRIDE),
         F.coalesce(
             first_of(text, "injection-override", rules.OVERRIDE, veto=False),
-            F.when(orphan.isNotNull(), _hit("injection-override", orphan, None)),
+            let(orphan, lambda o: F.when(o.isNotNull(), _hit("injection-override", o, None))),
         ),
     )
 
@@ -156,72 +156,84 @@ def hidden_spans(raw: Column) -> Column:
 
 
 def with_normal(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``_normal`` and ``_spans`` (normalised hidden spans).
+    """Adds ``_nfkc`` and ``_spans`` (hidden spans as one NFKC string, or null).
 
     Both NFKC calls sit in one projection so Spark sends them to Python in one Arrow batch.
-    Spans travel as one string and are cut again afterwards.
     """
-    joined = F.array_join(hidden_spans(F.col(text)), _JOIN)
-    return (
-        df.withColumn("_joined", F.nullif(joined, F.lit("")))
-        .withColumns({"_nfkc": nfkc(F.col(text)), "_joined": nfkc(F.col("_joined"))})
-        .withColumns(
-            {
-                "_normal": fold_content(F.col("_nfkc")),
-                "_spans": F.transform(F.split("_joined", _JOIN), fold_content),
-            }
-        )
-        .drop("_nfkc", "_joined")
-    )
+    joined = F.nullif(F.array_join(hidden_spans(F.col(text)), _JOIN), F.lit(""))
+    return df.withColumn("_joined", joined).withColumns(
+        {"_nfkc": nfkc(F.col(text)), "_spans": nfkc(F.col("_joined"))}
+    ).drop("_joined")
 
 
 def hidden_hit(spans: Column) -> Column:
-    named = F.filter(spans, lambda s: matches(s, rules.NAMES_AN_AI))
-    first = F.get(named, F.lit(0))
-    return F.when(first.isNotNull(), _hit("injection-hidden", first, None))
-
-
-def content_hits(normal: Column, collapsed: Column, spans: Column, rule_ids=None) -> Column:
-    """``array<struct<rule_id,quote,negated>>``, each rule once, line pass before paragraph pass."""
-    wanted = list(RULE_HITS) + ["injection-hidden"] if rule_ids is None else list(rule_ids)
-    hits = [
-        RULE_HITS[rule](passed)
-        for passed in (normal, collapsed)
-        for rule in RULE_HITS
-        if rule in wanted
-    ]
+    named = F.filter(
+        F.transform(F.split(spans, _JOIN), fold_content), lambda s: matches(s, rules.NAMES_AN_AI)
+    )
+    return let(
+        F.get(named, F.lit(0)),
+        lambda first: F.when(first.isNotNull(), _hit("injection-hidden", first, None)),
+    )
+
+
+def _worth(low: Column) -> dict[str, Column]:
+    """Per rule, whether the lower-cased text holds a word the rule cannot do without."""
+    return {
+        "injection-override": mentions(low, rules.WORDS_OVERRIDE),
+        "injection-exfil": mentions(low, rules.WORDS_DEST) & mentions(low, rules.WORDS_TARGET),
+        "injection-directive": mentions(low, rules.WORDS_TARGET),
+    }
+
+
+def content_hits(normal: Column, spans: Column, rule_ids: list[str] | None = None) -> Column:
+    """``array<struct<rule_id,quote,negated>>``, each rule once, line pass before paragraph pass.
+
+    ``normal`` is the normalised text and ``spans`` the joined hidden spans, both bound values.
+    The paragraph pass only runs where it reads differently from the line pass.
+    """
+    wanted = [*RULE_HITS, "injection-hidden"] if rule_ids is None else rule_ids
+    rules_on_text = [r for r in RULE_HITS if r in wanted]
+
+    def both_passes(low: Column) -> Column:
+        worth = _worth(low)
+        any_worth = F.lit(False)
+        for rule in rules_on_text:
+            any_worth = any_worth | worth[rule]
+
+        def on(text: Column) -> list[Column]:
+            return [F.when(worth[rule], RULE_HITS[rule](text)) for rule in rules_on_text]
+
+        second = let(
+            F.when(any_worth & normal.contains("\n"), collapse_paragraphs(normal)),
+            lambda flat: F.when(flat.isNotNull(), F.array(*on(flat))).otherwise(_no_hits()),
+        )
+        return F.concat(F.array(*on(normal)), second)
+
+    parts = []
+    if rules_on_text:
+        parts.append(let(F.lower(normal), both_passes))
     if "injection-hidden" in wanted:
-        hits.append(hidden_hit(spans))
-    live = F.filter(F.array(*hits), lambda h: h.isNotNull() & ~h["negated"])
+        parts.append(F.array(F.when(spans.isNotNull(), hidden_hit(spans))))
+    live = F.filter(F.concat(*parts), lambda h: h.isNotNull() & ~h["negated"])
     return first_per_rule(live, "rule_id")
 
 
-def worth_scanning(normal: Column, spans: Column, wanted: list[str]) -> Column:
-    gates = {
-        "injection-override": matches(normal, rules.PREFILTER_OVERRIDE),
-        "injection-exfil": matches(normal, rules.EXFIL_TARGET) & matches(normal, rules.EXTERNAL_DEST),
-        "injection-directive": matches(normal, rules.PREFILTER_DIRECTIVE),
-        "injection-hidden": spans.isNotNull(),
-    }
-    out = F.lit(False)
-    for rule in wanted:
-        out = out | gates[rule]
-    return out
+def _no_hits() -> Column:
+    return F.array().cast("array<struct<rule_id:string,quote:string,negated:boolean>>")
 
 
 def scan_content(df: DataFrame, text: str = "text", rule_ids: list[str] | None = None) -> DataFrame:
-    """Injection hits, one row per text and rule, with a quote of the matched text."""
-    wanted = [*RULE_HITS, "injection-hidden"] if rule_ids is None else rule_ids
+    """Injection hits, one row per text and rule, with a quote of the matched text.
+
+    No filter sits above the normal form, so it is computed once per row (see ``scan_prompts``).
+    """
     keys = [c for c in df.columns if c != text]
+    hits = let(
+        fold_content(F.col("_nfkc")),
+        lambda normal: content_hits(normal, F.col("_spans"), rule_ids),
+    )
     return (
         with_normal(df, text)
-        .filter(worth_scanning(F.col("_normal"), F.col("_spans"), wanted))
-        .withColumn("_collapsed", collapse_paragraphs(F.col("_normal")))
-        .select(
-            *keys,
-            F.explode(
-                content_hits(F.col("_normal"), F.col("_collapsed"), F.col("_spans"), wanted)
-            ).alias("hit"),
-        )
+        .select(*keys, F.explode(hits).alias("hit"))
         .select(*keys, "hit.rule_id", "hit.quote")
     )

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.regex import matches, matches_any
+from riskloom.functions.expr import let
+from riskloom.functions.regex import matches, matches_any, mentions
 from riskloom.functions.text import normalize_prompt, split_clauses
 from riskloom.rules import intent as rules
 from riskloom.rules.lexicon import UNIVERSAL_EXCLUDES
@@ -55,6 +56,13 @@ def prompt_hits(
     normal: Column, scanner_names: tuple[str, ...] = rules.SCANNER_NAMES
 ) -> Column:
     """``array<struct<rule_id,clause_pos,clause>>``, each rule once, at its first clause."""
+    named = let(F.lower(normal), lambda low: mentions(low, rules.TARGET_WORDS))
+    return F.when(named, _hits(normal, scanner_names)).otherwise(
+        F.array().cast("array<struct<rule_id:string,clause_pos:int,clause:string>>")
+    )
+
+
+def _hits(normal: Column, scanner_names: tuple[str, ...]) -> Column:
     clauses = F.transform(
         split_clauses(normal), lambda c, i: F.struct(c.alias("clause"), i.alias("pos"))
     )
@@ -69,12 +77,14 @@ def prompt_hits(
 
 def first_per_rule(hits: Column, field: str) -> Column:
     """Keep the first element per value of ``field``; at most one per rule, so the list is short."""
-    empty = F.filter(hits, lambda h: F.lit(False))
-    return F.aggregate(
+    return let(
         hits,
-        empty,
-        lambda acc, h: F.when(F.exists(acc, lambda a: a[field] == h[field]), acc).otherwise(
-            F.concat(acc, F.array(h))
+        lambda hs: F.aggregate(
+            hs,
+            F.filter(hs, lambda h: F.lit(False)),
+            lambda acc, h: F.when(F.exists(acc, lambda a: a[field] == h[field]), acc).otherwise(
+                F.concat(acc, F.array(h))
+            ),
         ),
     )
 
@@ -93,11 +103,13 @@ def scan_prompts(
     text: str = "text",
     scanner_names: tuple[str, ...] = rules.SCANNER_NAMES,
 ) -> DataFrame:
-    """Rule hits, one row per prompt and rule."""
+    """Rule hits, one row per prompt and rule.
+
+    The normal form is bound inside the expression. As a column with a filter on it, the filter
+    would be pushed below the projection and the normalisation done twice.
+    """
     keys = [c for c in prompts.columns if c != text]
-    return (
-        prompts.withColumn("_normal", normalize_prompt(F.col(text)))
-        .filter(matches(F.col("_normal"), rules.PREFILTER))
-        .select(*keys, F.explode(prompt_hits(F.col("_normal"), scanner_names)).alias("hit"))
-        .select(*keys, "hit.rule_id", "hit.clause_pos", "hit.clause")
+    hits = let(normalize_prompt(F.col(text)), lambda normal: prompt_hits(normal, scanner_names))
+    return prompts.select(*keys, F.explode(hits).alias("hit")).select(
+        *keys, "hit.rule_id", "hit.clause_pos", "hit.clause"
     )

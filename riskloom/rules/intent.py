@@ -149,7 +149,20 @@ def ui_patterns() -> list[str]:
 
 # What a clause must hold for any rule to match: the targets themselves, so no hit can be lost.
 PREFILTER = lx.group(
-    [lx.RLS, lx.SERVICE_KEY, lx.SECRET, lx.SECURITY_CONTROL, EVERYONE, ENV_FILE]
+    [
+        a
+        for p in (lx.RLS, lx.SERVICE_KEY, lx.SECRET, lx.SECURITY_CONTROL, EVERYONE)
+        for a in lx.alternatives(p)
+    ]
     + ["p[úu]blic", "cors", r"origins?\b", r"or[íi]genes", "origens", "access-control-allow-origin"]
     + [a for lang in lx.LANGS for a in lx.AUTH[lang]]
+    + [ENV_FILE]
 )
+
+# Parts of those targets, for a first look at the whole prompt.
+TARGET_WORDS = (
+    "rls level nivel nível service sb_secret admin master key secret token password credential "
+    "credencial contrase senha connection security seguridad seguran csrf xss sanitiz limit límite "
+    "verification anonymous everyone anyone todos qualquer .env public públic cors origin orígen "
+    "origen auth login sign session sesi protected protegida autentica autoriza sess"
+).split()

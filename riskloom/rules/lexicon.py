@@ -131,14 +131,68 @@ SECURITY_CONTROL = (
 # ---- end of fixed values ------------------------------------------------------------------
 
 
+def _alternation(items: list[str]) -> str:
+    """Alternatives joined, those with the same first letter under one branch.
+
+    Java tries alternatives one by one at every position, so a flat list of forty words costs
+    forty attempts per character. At any position only words with the right first letter can
+    match and their order is kept, so the language and the match are unchanged.
+    """
+    branches: list[tuple[str | None, list[str]]] = []
+    by_letter: dict[str, list[str]] = {}
+    for item in dict.fromkeys(items):
+        first, follow = item[:1], item[1:2]
+        if first.isascii() and first.isalpha() and follow not in tuple("?*+{"):
+            if first not in by_letter:
+                by_letter[first] = []
+                branches.append((first, by_letter[first]))
+            by_letter[first].append(item[1:])
+        else:
+            branches.append((None, [item]))
+    out = []
+    for letter, rest in branches:
+        if letter is None:
+            out.append(rest[0])
+        elif len(rest) == 1:
+            out.append(letter + rest[0])
+        else:
+            inner = _alternation(rest)
+            shared = len({r[:1] for r in rest}) == 1 and rest[0][:1].isalpha()
+            out.append(letter + (inner if shared and "|" not in _outside(inner) else f"(?:{inner})"))
+    return "|".join(out)
+
+
+def _outside(pattern: str) -> str:
+    """The pattern without what stands in parentheses."""
+    out, depth = [], 0
+    for ch in pattern:
+        depth += ch == "("
+        if depth == 0:
+            out.append(ch)
+        depth -= ch == ")"
+    return "".join(out)
+
+
 def group(items: list[str]) -> str:
-    return "(?:" + "|".join(items) + ")"
+    return "(?:" + _alternation(items) + ")"
 
 
 def stems(items: list[str]) -> str:
     return group([i[:-1] if i.endswith("$") else i + r"[\p{L}]*" for i in items])
 
 
+def alternatives(pattern: str) -> list[str]:
+    """The top-level alternatives of a parenthesised pattern."""
+    inner = pattern[1:-1].removeprefix("?:")
+    out, depth, start = [], 0, 0
+    for i, ch in enumerate(inner):
+        depth += (ch == "(") - (ch == ")")
+        if ch == "|" and depth == 0:
+            out.append(inner[start:i])
+            start = i + 1
+    return [*out, inner[start:]]
+
+
 def all_verbs(lang: str) -> list[str]:
     return [stem for role in VERBS[lang].values() for stem in role]
 
