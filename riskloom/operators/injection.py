@@ -43,15 +43,15 @@ def _hit(rule_id: str, quote: Column, before: Column | None) -> Column:
 
 def first_of(text: Column, rule_id: str, patterns: list[str], veto: bool) -> Column:
     """The first pattern that matches decides, even when its first match is then vetoed."""
-    return F.coalesce(
-        *[
-            F.when(
-                matches(text, p),
-                _hit(rule_id, extract(text, p, 0), text_before(text, p) if veto else None),
-            )
-            for p in patterns
-        ]
-    )
+    def one(p: str) -> Column:
+        return let(
+            extract(text, p, 0),
+            lambda found: F.when(
+                found != "", _hit(rule_id, found, text_before(text, p) if veto else None)
+            ),
+        )
+
+    return F.coalesce(*[one(p) for p in patterns])
 
 
 def turn_tags(text: Column, tag: str) -> Column:
@@ -116,12 +116,12 @@ def exfil_hit(text: Column) -> Column:
 
 
 def _directive(text: Column, before_verb: str, from_verb: str) -> Column:
-    whole = before_verb + from_verb
     prefix = F.regexp_extract(
         text, "(?iu)^([\\s\\S]*?" + java(before_verb) + ")" + java(from_verb), 1
     )
-    return F.when(
-        matches(text, whole), _hit("injection-directive", extract(text, whole, 0), prefix)
+    return let(
+        extract(text, before_verb + from_verb, 0),
+        lambda found: F.when(found != "", _hit("injection-directive", found, prefix)),
     )
 
 
@@ -200,14 +200,15 @@ def content_hits(normal: Column, spans: Column, rule_ids: list[str] | None = Non
         for rule in rules_on_text:
             any_worth = any_worth | worth[rule]
 
-        def on(text: Column) -> list[Column]:
-            return [F.when(worth[rule], RULE_HITS[rule](text)) for rule in rules_on_text]
-
-        second = let(
-            F.when(any_worth & normal.contains("\n"), collapse_paragraphs(normal)),
-            lambda flat: F.when(flat.isNotNull(), F.array(*on(flat))).otherwise(_no_hits()),
+        # Both passes share one copy of the patterns.
+        flat = F.when(any_worth & normal.contains("\n"), collapse_paragraphs(normal))
+        texts = F.array_compact(F.array(normal, flat))
+        return F.flatten(
+            F.transform(
+                texts,
+                lambda t: F.array(*[F.when(worth[r], RULE_HITS[r](t)) for r in rules_on_text]),
+            )
         )
-        return F.concat(F.array(*on(normal)), second)
 
     parts = []
     if rules_on_text:
@@ -218,10 +219,6 @@ def content_hits(normal: Column, spans: Column, rule_ids: list[str] | None = Non
     return first_per_rule(live, "rule_id")
 
 
-def _no_hits() -> Column:
-    return F.array().cast("array<struct<rule_id:string,quote:string,negated:boolean>>")
-
-
 def scan_content(df: DataFrame, text: str = "text", rule_ids: list[str] | None = None) -> DataFrame:
     """Injection hits, one row per text and rule, with a quote of the matched text.
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.functions.expr import each
 from riskloom.functions.html import attr, strip_comments, tags, HEAD_WINDOW
 from riskloom.functions.text import collapse_spaces, format_bytes
 from riskloom.functions.regex import matches
@@ -459,7 +460,7 @@ def failed_checks(facts: DataFrame, checks: list[str] | None = None) -> DataFram
 
 def web_findings(facts: DataFrame, checks: list[str] | None = None) -> DataFrame:
     """One row per site and failed check, before suppressions."""
-    return failed_checks(facts, checks).select("site", F.inline("fired"))
+    return failed_checks(facts, checks).select("site", each(F.col("fired")))
 
 
 def affected_pages(signals: DataFrame) -> DataFrame:
