@@ -79,3 +79,8 @@ def values(rows: list[tuple], columns: str) -> str:
 def oracles() -> dict[str, str]:
     """The SQL twins with the expressions they use written out."""
     return {name: with_expressions(sql) for name, sql in _SQL.items()}
+
+
+def oracle_of(name: str) -> str:
+    """The SQL of a query without its shared expressions, for use inside another query."""
+    return _SQL[name]
