@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 
 _WORD = "A-Za-z0-9_"
 BOUNDARY = f"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
-SPACE_SET = (
-    r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
-)
+# The space separators and the six controls and marks the rules count as white space.
+SPACE_SET = r" \t\n\x0B\f\r\x{2028}\x{2029}\x{FEFF}\p{Zs}"
 SPACE = f"[{SPACE_SET}]"
 ANY = r"[\s\S]"
 

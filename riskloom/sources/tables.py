@@ -19,5 +19,20 @@ def dimension(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema=struct)
 
 
+# Tables whose rows are costly to scan; the others are read as they lie.
+TEXT_TABLES = {"documents", "pages", "conversations", "events"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the scan alone would leave some idle.
+
+    A small table in one file is one task however many cores there are. With at least as many
+    scan partitions as cores, which any large table has, nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
