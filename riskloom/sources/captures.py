@@ -53,6 +53,8 @@ def read_source_tree(
 
     The first ``repo_depth`` folders below the root name the repository. Name and size filters
     come before ``content`` is decoded, and Spark packs small files into shared partitions.
+    Spark's file readers skip names that start with a dot or underscore; repositories whose
+    ``.env`` files matter should be packed into a ``(repo, path, content)`` table instead.
     """
     skipped = "|".join(d.replace(".", r"\.") for d in SKIPPED_DIRS)
     files = (
