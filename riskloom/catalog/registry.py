@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +25,9 @@ def expression(name: str, sql: str) -> None:
     EXPRESSIONS[name] = sql
 
 
+@lru_cache(maxsize=None)
 def _used(sql: str) -> list[str]:
+    """Expressions named in a text; only called once every expression is registered."""
     words = set(re.findall(r"\b[a-z_][a-z0-9_]*\b", _without_literals(sql)))
     return [name for name in EXPRESSIONS if name in words]
 
@@ -76,9 +79,14 @@ def values(rows: list[tuple], columns: str) -> str:
     return f"SELECT * FROM (VALUES {body}) AS v({columns})"
 
 
+@lru_cache(maxsize=1)
+def _all_oracles() -> dict[str, str]:
+    return {name: with_expressions(sql) for name, sql in _SQL.items()}
+
+
 def oracles() -> dict[str, str]:
     """The SQL twins with the expressions they use written out."""
-    return {name: with_expressions(sql) for name, sql in _SQL.items()}
+    return dict(_all_oracles())
 
 
 def oracle_of(name: str) -> str:
