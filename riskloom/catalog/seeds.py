@@ -127,6 +127,7 @@ EMPTY_SHELL = (
 # ---- captured responses, one set per site --------------------------------------------------
 
 SITE_MOD = 12
+PAD = 700_000
 GOOD_HEADERS = {
     "Content-Security-Policy": "default-src 'self'",
     "Strict-Transport-Security": "max-age=63072000",
@@ -200,8 +201,8 @@ def _response_rows() -> list[tuple]:
         for i in range(2):
             url = "https://{host}/assets/index-" + f"{i}.js"
             ref = f"//# sourceMappingURL=index-{i}.js.map" if k % 3 else "//# sourceMappingURL=data:x"
-            size = 700_000 if k % 6 == 5 else 10
-            add(k, "bundle", url, 200, BUNDLE_JS + " " * size + "\n" + ref)
+            pad = "{pad}" if k % 6 == 5 else ""
+            add(k, "bundle", url, 200, BUNDLE_JS + pad + "\n" + ref)
             body = [MAP_BODY, MAP_BODY_BARE, "<html>"][(k + i) % 3]
             add(k, "sourcemap", url + ".map", 200 if k % 5 else 404, body)
         plain = [
@@ -427,7 +428,15 @@ def responses(spark: SparkSession, sf: str, roles: list[str] | None = None) -> D
         return F.replace(F.col(name), F.lit("{host}"), F.col("site")).alias(name)
 
     return joined.select(
-        "site", "role", "hop", fill("url"), "status", "headers", fill("location"), fill("body")
+        "site",
+        "role",
+        "hop",
+        fill("url"),
+        "status",
+        "headers",
+        fill("location"),
+        # A heavy bundle is written short and padded here.
+        F.replace(fill("body"), F.lit("{pad}"), F.repeat(F.lit(" "), F.lit(PAD))).alias("body"),
     )
 
 
@@ -555,7 +564,8 @@ expression(
 expression(
     "responses",
     f"""SELECT site, role, hop, replace(url, '{{host}}', site) AS url, status, headers,
-    replace(location, '{{host}}', site) AS location, replace(body, '{{host}}', site) AS body
+    replace(location, '{{host}}', site) AS location,
+    replace(replace(body, '{{host}}', site), '{{pad}}', repeat(' ', {PAD})) AS body
     FROM sites JOIN response_seeds ON site_no % {SITE_MOD} = k""",
 )
 expression("config_seeds", values(SITE_CONFIGS, "k, json"))

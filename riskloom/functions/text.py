@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -23,7 +24,9 @@ _MAY_CHANGE = (
 
 @F.arrow_udf(StringType())
 def _nfkc(texts: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(texts, form="NFKC")
+    # Arrow's own kernel leaves NFKC text decomposed, so each value goes through the standard library.
+    values = [None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()]
+    return pa.array(values, type=texts.type)
 
 
 def nfkc(text: Column) -> Column:
