@@ -1,0 +1,25 @@
+"""Registered queries of the training-data operators, one per operator, and the pipeline."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from riskloom.llm.compression import compression_bands
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_bands(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_compression_bands": op1_compression_bands,
+}
+SQL: dict[str, str] = {}
