@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm.compression import compression_bands
+from riskloom.llm.jaccard_join import jaccard_components
+from riskloom.llm.line_dedup import LINE_DEDUP_SQL, dedup_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +21,19 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("set_key")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"), with_text=False)
+
+
 QUERIES: dict[str, Query] = {
     "op1_compression_bands": op1_compression_bands,
+    "op7_jaccard_join": op7_jaccard_join,
+    "op10_line_dedup": op10_line_dedup,
+}
+SQL: dict[str, str] = {
+    "op10_line_dedup": LINE_DEDUP_SQL,
 }
-SQL: dict[str, str] = {}
