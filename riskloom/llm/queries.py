@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from riskloom.llm.compression import compression_bands
 from riskloom.llm.jaccard_join import jaccard_components
 from riskloom.llm.line_dedup import LINE_DEDUP_SQL, dedup_lines
+from riskloom.llm.mixing import mix_sources
+from riskloom.llm.sentencepiece_viterbi import encode
+from riskloom.llm.toxicity import fit, score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +24,19 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).drop("set_key")
 
@@ -31,6 +47,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_compression_bands": op1_compression_bands,
+    "op2_toxicity": op2_toxicity,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_mixing": op5_mixing,
     "op7_jaccard_join": op7_jaccard_join,
     "op10_line_dedup": op10_line_dedup,
 }
