@@ -13,9 +13,10 @@ Which shingles are frequent only decides the order and the kind of index, so it
 are bounded in size; every pair of similar sets meets in some bucket whatever they say.
 
 Equal sets are one entity from the start. A bucket does not emit its pairs: each member is paired with the
-bucket's pivots (a few per bucket), pairs are verified on the whole sets, and links become components. Only
-buckets that still hold members of different components emit the missing pairs, those outside the bucket's
-largest component against the others. So every pair of similar sets is verified or already in one component.
+bucket's pivots (a few per bucket). Pairs whose sizes and parity bits allow the similarity are verified on the
+whole sets, one pair per set first; links become components. Then only pairs across components are looked at:
+the others of the buckets' pairs, and in buckets that still hold members of different components those outside
+the largest against the rest. So every pair of similar sets is verified or already in one component.
 """
 
 from __future__ import annotations
@@ -56,6 +57,7 @@ class Settings:
 _RARE, _COMBINED, _LIGHT, _HEAVY = 0, 1, 2, 3
 _POSTING = "bucket long, k1 long, k2 long, kind int, n int, pos int"
 _CANDIDATE = "big boolean, bucket long, k1 long, k2 long, kind int, n int, pos int, o1 long, o2 long, on int"
+_PARITIES = 2048
 _U64 = np.uint64
 
 
@@ -69,14 +71,19 @@ def least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return (percent * (n + m) + 100 + percent - 1) // (100 + percent)
 
 
-def _batch(names: list[str], columns: list, types: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+def _parities(tokens: np.ndarray) -> np.ndarray:
+    """For each of ``_PARITIES`` classes of shingles whether the set has an odd number of them, as longs.
+
+    Two sets differ in at least as many shingles as they do in parities.
+    """
+    counts = np.bincount((tokens >> _U64(20)).astype(np.int64) & (_PARITIES - 1), minlength=_PARITIES)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
 def _describe(s: Settings):
-    """Rows of kind 0: doc_id, n, set key. Rows of kind 1: a shingle and its count among the sets counted."""
-    names = ["kind", "id", "n", "k1", "k2"]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    """Rows of kind 0: doc_id, n, set key, parities. Rows of kind 1: a shingle and its count among the sets counted."""
+    names = ["kind", "id", "n", "k1", "k2", "odd"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
         tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
@@ -84,17 +91,19 @@ def _describe(s: Settings):
         tokens, counts = tokens[often].view(np.int64), counts[often]
         one = np.ones(len(tokens), dtype=np.int32)
         empty = pa.nulls(len(tokens), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(one), pa.array(tokens), pa.array(counts), empty, empty], names=names)
+        none = pa.nulls(len(tokens), types[-1])
+        return pa.RecordBatch.from_arrays([pa.array(one), pa.array(tokens), pa.array(counts), empty, empty, none], names=names)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: list[np.ndarray] = []
         seen: set[tuple[int, int]] = set()
         held = 0
         for batch in batches:
-            ns, k1s, k2s = [], [], []
+            ns, k1s, k2s, odd = [], [], [], []
             for value in batch.column(1):
                 tokens = shingle_set(value.as_py() or b"", s.size)
                 ns.append(len(tokens))
+                odd.append(_parities(tokens))
                 if not len(tokens):
                     k1s.append(None)
                     k2s.append(None)
@@ -109,7 +118,9 @@ def _describe(s: Settings):
                 if held >= s.local_tokens:
                     yield counted(sets)
                     sets, seen, held = [], set(), 0
-            yield _batch(names, [[0] * len(ns), batch.column(0).to_pylist(), ns, k1s, k2s], types)
+            columns = [[0] * len(ns), batch.column(0).to_pylist(), ns, k1s, k2s]
+            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=False)]
+            yield pa.RecordBatch.from_arrays([*arrays, long_lists(odd, pa.int64())], names=names)
         if sets:
             yield counted(sets)
 
@@ -266,21 +277,21 @@ def _meet(s: Settings):
 
 
 def _marked_sets(s: Settings, marks):
-    """(k1, k2, tokens) of the sets whose key is marked, and of some others."""
+    """(k1, k2, tokens) of the rows whose doc_id is marked or null, and of some others."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(marks.value, dtype=np.uint8)
         for batch in batches:
+            at = batch.column(0).fill_null(0).to_numpy() & (2**s.marked_log2 - 1)
+            wanted = (bits[at >> 3] >> (at & 7) & 1).astype(bool) | batch.column(0).is_null().to_numpy(zero_copy_only=False)
             keys, sets, seen = [], [], set()
-            for value in batch.column(0):
-                tokens = shingle_set(value.as_py() or b"", s.size)
+            for row in np.flatnonzero(wanted).tolist():
+                tokens = shingle_set(batch.column(1)[row].as_py() or b"", s.size)
                 if len(tokens) < 2 or (key := _key(tokens)) in seen:
                     continue
-                at = key[0] & (2**s.marked_log2 - 1)
-                if bits[at >> 3] >> (at & 7) & 1:
-                    seen.add(key)
-                    keys.append(key)
-                    sets.append(tokens.view(np.int64))
+                seen.add(key)
+                keys.append(key)
+                sets.append(tokens.view(np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), long_lists(sets, pa.int64())],
@@ -290,10 +301,10 @@ def _marked_sets(s: Settings, marks):
     return find
 
 
-def _marks(keys: DataFrame, log2: int) -> bytes:
-    """One bit for each key's low bits, gathered as bitmaps of 4 KB; its size is a parameter."""
-    at = F.col("k1").bitwiseAND(F.lit(2**log2 - 1)) + 1  # the bitmap functions count from 1
-    maps = keys.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(
+def _marks(ids: DataFrame, log2: int) -> bytes:
+    """One bit for each id's low bits, gathered as bitmaps of 4 KB; its size is a parameter."""
+    at = F.col("id").bitwiseAND(F.lit(2**log2 - 1)) + 1  # the bitmap functions count from 1
+    maps = ids.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")
     )
     out = np.zeros(2**log2 // 8, dtype=np.uint8)
@@ -303,22 +314,52 @@ def _marks(keys: DataFrame, log2: int) -> bytes:
     return out.tobytes()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (k1, k2, o1, o2) whose whole sets are similar, as (a, b) node names."""
+_PAIR = ("k1", "k2", "o1", "o2")
+
+
+def _possible(pairs: DataFrame, entities: DataFrame, s: Settings) -> DataFrame:
+    """The pairs whose sizes and parities allow the similarity, with a doc_id of each end."""
+    a = entities.select("k1", "k2", "n", "id", "odd")
+    b = entities.select(*[F.col(x).alias(y) for x, y in zip(a.columns, ("o1", "o2", "m", "other_id", "other_odd"), strict=True)])
+    met = pairs.join(a, ["k1", "k2"]).join(b, ["o1", "o2"])
+    differ = F.aggregate(
+        F.zip_with("odd", "other_odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x
+    )
+    total = F.col("n") + F.col("m")
+    return met.filter(differ <= total - 2 * _least_overlap(total, s)).select(*_PAIR, "id", "other_id")
+
+
+def _least_overlap(total, s: Settings):
+    """``least_overlap`` as a column."""
+    whole = 100 + s.percent
+    return F.floor((s.percent * total + whole - 1) / F.lit(float(whole)) + 1e-9).cast("long")
+
+
+def _verified(pairs: DataFrame, narrow: DataFrame, s: Settings) -> DataFrame:
+    """The pairs whose whole sets are similar, as (a, b) node names."""
     spark = pairs.sparkSession
-    ends = pairs.select("k1").union(pairs.select(F.col("o1").alias("k1")))
+    ends = pairs.select("id").union(pairs.select(F.col("other_id").alias("id"))).filter("id IS NOT NULL")
     marks = spark.sparkContext.broadcast(_marks(ends, s.marked_log2))
-    sets = texts.mapInArrow(_marked_sets(s, marks), "k1 long, k2 long, tokens array<long>")
+    sets = narrow.mapInArrow(_marked_sets(s, marks), "k1 long, k2 long, tokens array<long>")
     sets = materialize(sets.dropDuplicates(["k1", "k2"]))
     left = sets.withColumnRenamed("tokens", "x")
     right = sets.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("tokens").alias("y"))
-    joined = pairs.join(left, ["k1", "k2"]).join(right, ["o1", "o2"])
+    joined = pairs.select(*_PAIR).join(left, ["k1", "k2"]).join(right, ["o1", "o2"])
     shared = F.size(F.array_intersect("x", "y")).cast("long")
     union = F.size("x") + F.size("y") - shared
     linked = joined.filter(100 * shared >= s.percent * union)
     return linked.select(_node("k1", "k2").alias("a"), _node("o1", "o2").alias("b"))
 
 
+def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one component yet."""
+    one = components.withColumnRenamed("component", "c")
+    two = components.select(F.col("node").alias("other"), F.col("component").alias("d"))
+    named = pairs.withColumn("node", _node("k1", "k2")).withColumn("other", _node("o1", "o2"))
+    named = named.join(one, "node", "left").join(two, "other", "left")
+    return named.filter(F.coalesce("c", "node") != F.coalesce("d", "other")).select(*pairs.columns)
+
+
 def _node(k1: str, k2: str):
     return F.concat(F.lpad(F.hex(k1), 16, "0"), F.lpad(F.hex(k2), 16, "0"))
 
@@ -354,7 +395,7 @@ def _missing_pairs(members: DataFrame, components: DataFrame, s: Settings) -> Da
     met = met.unionByName(few.filter("light").join(other.filter(~F.col("_light")), on))
     found = F.when(F.col("combined"), 2).otherwise(1)
     bound = found + F.least(F.col("n") - F.col("pos"), F.col("_n") - F.col("_pos")) - found
-    need = F.ceil(s.percent * (F.col("n") + F.col("_n")) / F.lit(100.0 + s.percent) - 1e-9)
+    need = _least_overlap(F.col("n") + F.col("_n"), s)
     met = met.filter((F.col("component") != F.col("_component")) & (bound >= need))
     return _distinct_pairs(met.select("k1", "k2", F.col("_k1").alias("o1"), F.col("_k2").alias("o2")))
 
@@ -371,7 +412,7 @@ def jaccard_components(docs: DataFrame, settings: Settings | None = None) -> Dat
     spark = docs.sparkSession
     texts = docs.select(F.col("text").cast("binary").alias("text"))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    described = materialize(narrow.mapInArrow(_describe(s), "kind int, id long, n long, k1 long, k2 long"), "kind")
+    described = materialize(narrow.mapInArrow(_describe(s), "kind int, id long, n long, k1 long, k2 long, odd array<long>"), "kind")
     told = described.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= s.frequent)
     told = told.orderBy(F.desc("n"), "id").limit(s.max_frequent).toArrow()  # at most 8 MB
     frequent = spark.sparkContext.broadcast((told.column(0).to_numpy().view(np.uint64), told.column(1).to_numpy()))
@@ -383,11 +424,18 @@ def jaccard_components(docs: DataFrame, settings: Settings | None = None) -> Dat
     dealt = postings.repartition(width, "bucket", "kind").sortWithinPartitions("bucket", "kind", turn, "k1", "k2")
     met = materialize(dealt.mapInArrow(_meet(s), _CANDIDATE), "big")
 
-    links = materialize(_verified(materialize(_distinct_pairs(met.filter("NOT big"))), texts, s))
+    sets = described.filter("kind = 0 AND n > 1").groupBy("k1", "k2")
+    entities = materialize(sets.agg(F.min("n").alias("n"), F.min("id").alias("id"), F.first("odd").alias("odd")))
+    possible = materialize(_possible(_distinct_pairs(met.filter("NOT big")), entities, s))
+    # One pair per set joins most of what belongs together; the other pairs of one component need no look.
+    least = F.min(F.struct("o1", "o2", "id", "other_id")).alias("p")
+    first = possible.groupBy("k1", "k2").agg(least).select("k1", "k2", "p.*")
+    links = materialize(_verified(first, narrow, s))
     components = materialize(connected_components(links))
-    missing = materialize(_missing_pairs(met.filter("big"), components, s))
+    missing = _possible(_missing_pairs(met.filter("big"), components, s), entities, s)
+    missing = materialize(missing.union(_apart(possible, components)).distinct())
     if not missing.isEmpty():
-        links = links.union(materialize(_verified(missing, texts, s)))
+        links = links.union(materialize(_verified(missing, narrow, s)))
         components = materialize(connected_components(links))
 
     rows = described.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", _node("k1", "k2").alias("node"))

@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm.compression import compression_bands
+from riskloom.llm.cover_tree import near_duplicates
+from riskloom.llm.html_layout import extract_html
 from riskloom.llm.jaccard_join import jaccard_components
 from riskloom.llm.line_dedup import LINE_DEDUP_SQL, dedup_lines
 from riskloom.llm.mixing import mix_sources
 from riskloom.llm.sentencepiece_viterbi import encode
 from riskloom.llm.toxicity import fit, score_toxicity
+from riskloom.llm.warc import WARC_SQL, archive_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,10 +40,22 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).drop("set_key")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
+def op9_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_html(table(spark, sf_dir, "pages"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -50,9 +65,13 @@ QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_mixing": op5_mixing,
+    "op6_cover_tree": op6_cover_tree,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_warc": op8_warc,
+    "op9_html_layout": op9_html_layout,
     "op10_line_dedup": op10_line_dedup,
 }
 SQL: dict[str, str] = {
+    "op8_warc": WARC_SQL,
     "op10_line_dedup": LINE_DEDUP_SQL,
 }
