@@ -198,3 +198,26 @@ def _with_n_docs(run):
         return out
 
     return wrapped
+
+
+def apply_mix(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """The mixed rows: each document ``copies`` times, and once more with its first ``part`` words if that is not 0.
+
+    Columns are those of ``docs``; n_chars, where there is one, follows the text. Rows that repeat a doc_id are
+    taken alike. The shortened text has its words joined by spaces.
+    """
+    taken = plan.filter("copies > 0 OR part > 0").groupBy(F.col("doc_id").alias("_id"))
+    taken = taken.agg(F.max("copies").alias("_copies"), F.max("part").alias("_part"))
+    rows = docs.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    whole = F.when(F.col("_copies") > 0, F.array_repeat(F.lit(0).cast("long"), F.col("_copies").cast("int"))).otherwise(
+        F.array().cast("array<bigint>")
+    )
+    share = F.when(F.col("_part") > 0, F.array("_part")).otherwise(F.array().cast("array<bigint>"))
+    rows = rows.withColumn("_words", F.explode(F.concat(whole, share)))
+    words = F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1), F.lit(1), F.greatest(F.col("_words"), F.lit(1)).cast("int"))
+    text = F.when(F.col("_words") > 0, F.array_join(words, " ")).otherwise(F.col("text"))
+    rows = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        size = F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)
+        rows = rows.withColumn("n_chars", F.when(F.col("_words") > 0, size).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)

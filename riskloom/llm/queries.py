@@ -10,6 +10,7 @@ from riskloom.llm.compression import compression_bands
 from riskloom.llm.cover_tree import near_duplicates
 from riskloom.llm.html_layout import extract_html
 from riskloom.llm.jaccard_join import jaccard_components
+from riskloom.llm.license_rules import LICENSE_SQL, scan_licenses
 from riskloom.llm.line_dedup import LINE_DEDUP_SQL, dedup_lines
 from riskloom.llm.mixing import mix_sources
 from riskloom.llm.sentencepiece_viterbi import encode
@@ -32,6 +33,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_compression_bands": op1_compression_bands,
     "op2_toxicity": op2_toxicity,
+    "op3_license_rules": op3_license_rules,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_mixing": op5_mixing,
     "op6_cover_tree": op6_cover_tree,
@@ -72,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op10_line_dedup": op10_line_dedup,
 }
 SQL: dict[str, str] = {
+    "op3_license_rules": LICENSE_SQL,
     "op8_warc": WARC_SQL,
     "op10_line_dedup": LINE_DEDUP_SQL,
 }

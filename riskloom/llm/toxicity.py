@@ -332,20 +332,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[list
     return [found[k] for k in order], [int(ids[k]) for k in order]
 
 
+def _document(text: str | None, table: np.ndarray, machine: Machine) -> float:
+    """The highest decision of a word of the text."""
+    if not text:
+        return min(-1.0, machine.bias)
+    return max(_top(letter_codes(part), table, machine.bias) for part in _sections(text))
+
+
 def _scorer(held):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine: Machine | None = held.value
         table = machine.table() if machine else None
         for batch in batches:
-            tops = []
-            for value in batch.column(1):
-                text = value.as_py()
-                if machine is None or not text:
-                    tops.append(min(-1.0, machine.bias) if machine else 0.0)
-                    continue
-                tops.append(max(_top(letter_codes(part), table, machine.bias) for part in _sections(text)))
-            scores = _score(np.array(tops, dtype=np.float64), machine) if machine else np.zeros(len(tops))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(np.array(tops, dtype=np.float64))], names=["doc_id", "score", "top_word"])
+            if machine is None:
+                tops = scores = np.zeros(batch.num_rows)
+            else:
+                tops = np.array([_document(v.as_py(), table, machine) for v in batch.column(1)], dtype=np.float64)
+                scores = _score(tops, machine)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(tops)], names=["doc_id", "score", "top_word"])
 
     return score
 
@@ -385,3 +389,26 @@ def score_toxicity(docs: DataFrame, machine: Machine | None) -> DataFrame:
         F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"),
         "top_word",
     )
+
+
+def _clean_only(at: int, held):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine: Machine | None = held.value
+        table = machine.table() if machine else None
+        for batch in batches:
+            if machine is None:
+                yield batch
+                continue
+            tops = np.array([_document(v.as_py(), table, machine) for v in batch.column(at)], dtype=np.float64)
+            yield batch.filter(pa.array(_score(tops, machine) < THRESHOLD))
+
+    return keep
+
+
+def drop_toxic(docs: DataFrame, machine: Machine | None) -> DataFrame:
+    """The rows of ``docs`` (text and any other columns) that score below the threshold. Row-local.
+
+    Null and empty texts stay, as do all rows if there is no machine.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(machine)
+    return docs.mapInArrow(_clean_only(docs.columns.index("text"), held), docs.schema)
