@@ -50,6 +50,7 @@ _SCOPE = frozenset(("table", "td", "th", "caption", "button", "html"))
 #: End tags that reach through a scope.
 _THROUGH = frozenset(("table", "tr", "tbody", "thead", "tfoot", "body"))
 _HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.I)
+_OPEN_TAG = re.compile("</?[a-zA-Z]")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -139,6 +140,8 @@ class _Builder(HTMLParser):
 def parse(html: str) -> Element:
     builder = _Builder()
     builder.feed(html)
+    if _OPEN_TAG.match(builder.rawdata):  # a tag that the text ends in shows nothing
+        builder.rawdata = ""
     builder.close()
     return builder.root
 
