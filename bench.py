@@ -35,6 +35,7 @@ def main() -> None:
         master=f"local[{cpus}]",
         **{
             "spark.sql.shuffle.partitions": cpus,
+            "riskloom.scan.partitions": cpus,
             "spark.ui.enabled": "false",
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g"),
         },

@@ -98,7 +98,7 @@ expression(
     "map_rows",
     r"""SELECT b.site, b.rank, b.map_url, m.embeds FROM (SELECT site, rank, regexp_extract(url, '^(.*/)', 1) || ref AS map_url
     FROM (SELECT site, rank, url, regexp_extract(body, '//[#@]\s*sourceMappingURL=([^\s''"]+)', 1) AS ref FROM bundle_rank_rows)
-    WHERE rank <= 12 AND ref <> '' AND NOT starts_with(ref, 'data:')) b
+    WHERE ref <> '' AND NOT starts_with(ref, 'data:')) b
     JOIN (SELECT DISTINCT site, url AS map_url, regexp_matches(body, '"sourcesContent"\s*:\s*\[') AS embeds FROM responses
     WHERE role = 'sourcemap' AND status BETWEEN 200 AND 299 AND regexp_matches(body, '"(?:mappings|sources)"\s*:')) m
     USING (site, map_url)""",

@@ -139,9 +139,9 @@ def _(spark, sf):
 
 expression(
     "home_asset_rows",
-    f"""SELECT site, asset, status, pos FROM (SELECT a.site, a.asset, row_number() OVER (PARTITION BY a.site ORDER BY a.pos) AS pos
+    """SELECT site, asset, status, pos FROM (SELECT a.site, a.asset, row_number() OVER (PARTITION BY a.site ORDER BY a.pos) AS pos
     FROM asset_rows a JOIN homes USING (site, page_id)) JOIN (SELECT site, url AS asset, status FROM responses
-    WHERE role = 'asset') USING (site, asset) WHERE pos <= {rules.MAX_ASSETS}""",
+    WHERE role = 'asset') USING (site, asset)""",
 )
 
 
@@ -162,12 +162,11 @@ def _(spark, sf):
 _NOT_JS = "(?i)" + rules.NOT_A_JS_ERROR
 expression(
     "console_rows",
-    rf"""SELECT * FROM (SELECT site, type, text, row_number() OVER (PARTITION BY site ORDER BY min(seq)) AS rank FROM (
-    SELECT site, type, seq, CASE WHEN length(t) > 300 THEN left(t, 299) || '…' ELSE t END AS text
-    FROM (SELECT site, type, seq, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM console_messages
-        WHERE type IN ('error', 'pageerror')))
+    rf"""SELECT site, type, text, row_number() OVER (PARTITION BY site ORDER BY min(seq)) AS rank FROM (
+    SELECT site, type, seq, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM console_messages
+        WHERE type IN ('error', 'pageerror'))
     WHERE text <> '' AND NOT (type = 'error' AND regexp_matches(text, '{_NOT_JS}'))
-    GROUP BY site, type, text) WHERE rank <= {rules.MAX_CONSOLE_ERRORS}""",
+    GROUP BY site, type, text""",
 )
 
 
@@ -183,8 +182,7 @@ expression(
 )
 expression(
     "js_byte_rows",
-    f"""SELECT site, sum(strlen(body))::BIGINT AS js_bytes, count(*) AS bundles FROM bundle_rank_rows
-    WHERE rank <= {rules.MAX_BUNDLES} GROUP BY site""",
+    """SELECT site, sum(strlen(body))::BIGINT AS js_bytes, count(*) AS bundles FROM bundle_rank_rows GROUP BY site""",
 )
 
 
@@ -199,14 +197,11 @@ def _(spark, sf):
     UNION ALL SELECT site, 'console', count(*) FROM console_rows WHERE rank <= 2 GROUP BY site""",
 )
 def _(spark, sf):
-    """The caps are job parameters; here they are tightened to 1 bundle and 2 console errors."""
-    bundles = K.js_bytes(_responses(spark, sf, ["bundle"]), keep=1)
-    console = S.console_errors(seeds.console_messages(spark, sf), keep=2).groupBy("site").agg(
-        F.count("*").alias("n")
-    )
-    return bundles.select("site", F.lit("bundles").alias("what"), F.col("bundles").alias("n")).unionByName(
-        console.select("site", F.lit("console").alias("what"), "n")
-    )
+    """Run limits are a choice of the caller, by rank; here 1 bundle and 2 console errors a site."""
+    bundles = K.ranked_bundles(_responses(spark, sf, ["bundle"]), []).filter("rank <= 1")
+    console = S.console_errors(seeds.console_messages(spark, sf)).filter("rank <= 2")
+    parts = [df.select("site", F.lit(what).alias("what")) for df, what in ((bundles, "bundles"), (console, "console"))]
+    return parts[0].unionByName(parts[1]).groupBy("site", "what").agg(F.count("*").alias("n"))
 
 
 # ---- the checks -----------------------------------------------------------------------------

@@ -58,7 +58,7 @@ expression(
     coalesce(json_extract_string(j, '$.command'), json_extract_string(j, '$.tool_input.command')) AS command,
     CASE WHEN {_MOMENT_CASE} = 'action' THEN json_extract_string(j, '$.tool_input.file_path') END AS file_path,
     CASE WHEN {_MOMENT_CASE} = 'action' THEN coalesce(json_extract_string(j, '$.tool_input.content'),
-        json_extract_string(j, '$.tool_input.edits[0].new_string') || chr(10) || json_extract_string(j, '$.tool_input.edits[0].old_string')) END AS content,
+        (SELECT string_agg(t.atom ->> '$', chr(10) ORDER BY t.id) FROM json_tree(j, '$.tool_input.edits') t WHERE t.type NOT IN ('OBJECT', 'ARRAY'))) END AS content,
     CASE WHEN event_id % {seeds.EVENT_MOD} = 18 THEN '' WHEN {_MOMENT_CASE} = 'content' THEN CASE WHEN event_id % {seeds.EVENT_MOD} = 23 THEN 'ok' || chr(10) || '1' || chr(10) || 'true'
         ELSE coalesce(json_extract_string(j, '$.tool_response.text'), json_extract_string(j, '$.tool_response'), json_extract_string(j, '$.received')) END END AS received,
     CASE WHEN {_MOMENT_CASE} = 'content' THEN coalesce(json_extract_string(j, '$.tool_input.file_path'), json_extract_string(j, '$.tool_input.url'),
@@ -74,11 +74,13 @@ def _(spark, sf):
     )
 
 
-@query("flatten_payload")
+@query(
+    "flatten_payload",
+    """SELECT event_id, (SELECT string_agg(coalesce(t.atom ->> '$', ''), chr(10) ORDER BY t.id) FROM json_tree(e.j) t
+        WHERE t.type NOT IN ('OBJECT', 'ARRAY')) AS flat FROM event_json e""",
+)
 def _(spark, sf):
-    return hook_payloads(_events(spark, sf)).select(
-        "event_id", G.flatten_payload(F.col("event")).alias("flat")
-    )
+    return _events(spark, sf).select("event_id", G.flatten_payload(F.col("payload")).alias("flat"))
 
 
 expression("capability_rows", values(rules.CAPABILITIES, "host, moment, event_name, can_note, can_block"))

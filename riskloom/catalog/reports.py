@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from riskloom.catalog import seeds
 from riskloom.catalog.captures import _first_firebase
-from riskloom.catalog.checks import _facts
+from riskloom.catalog.checks import _facts, _suppressions
+from riskloom.catalog.repos import supabase_repos
 from riskloom.catalog.registry import expression, literal, oracle_of, query, values
 from riskloom.operators import audit as A
 from riskloom.operators import captures as K
+from riskloom.operators import config as C
 from riskloom.operators import repos as R
 from riskloom.operators import secrets as S
 from riskloom.operators import sites as W
@@ -72,16 +74,26 @@ def _families(spark, sf):
         (K.rls_exposed(probes), "site", "security"),
         (K.rls_writable(probes, writes), "site", "security"),
         (K.graphql_introspection(r), "site", "security"),
-        (W.web_findings(_facts(spark, sf)), "site", "web"),
+        (_unsuppressed(spark, sf), "site", "web"),
         (S.scan_secrets(files), "repo", "security"),
         (R.nextjs_no_security_headers(files), "repo", "security"),
         (R.unguarded_mutation(files), "repo", "security"),
         (R.formula_injection(files), "repo", "security"),
         (R.committed_env_file(files), "repo", "security"),
-        (R.migration_findings(sql), "repo", "security"),
+        (R.migration_findings(sql, supabase_repos(spark, sf)), "repo", "security"),
+        (S.site_secrets(seeds.site_pages(spark, sf), "html", "page_id"), "site", "security"),
+        (S.site_secrets(r.filter((F.col("role") == "bundle") & F.col("status").between(200, 299)), "body", "hop"), "site", "security"),
+        (S.secrets_in_data(probes), "site", "security"),
+        (A.audit_export_findings(seeds.audit_exports(spark, sf)), "project", "security"),
     ]
 
 
+def _unsuppressed(spark, sf):
+    """Web findings that the site's declaration does not silence; what it silences is not counted."""
+    web = W.web_findings(_facts(spark, sf)).withColumn("kind", F.lit("web"))
+    return C.apply_suppressions(web, _suppressions(spark, sf)).filter("suppressed_reason IS NULL")
+
+
 def _findings(spark, sf):
     return P.all_findings(_families(spark, sf))
 
@@ -103,6 +115,10 @@ _PARTS = [
     ("formula_injection", "repo", "security"),
     ("committed_env_file", "repo", "security"),
     (None, "repo", "security"),
+    ("page_secrets", "site", "security"),
+    ("bundle_secrets", "site", "security"),
+    ("secrets_in_data", "site", "security"),
+    ("audit_export_findings", "project", "security"),
 ]
 _MIGRATIONS = [
     "tables_without_rls", "rls_turned_off", "policy_dropped", "permissive_policy", "security_definer", "grant_anon",
@@ -113,7 +129,8 @@ def _finding_sql() -> str:
     parts = []
     for ord_, (name, target, kind) in enumerate(_PARTS):
         if ord_ == 9:
-            sources = ["SELECT * FROM web_finding_rows"]
+            sources = ["""SELECT w.* FROM web_finding_rows w WHERE NOT EXISTS (
+                SELECT 1 FROM suppress_rows s WHERE s.site = w.site AND s.id = w.id)"""]
         elif ord_ == 10:
             sources = ["SELECT repo, path, id, severity FROM secret_rows"]
         elif name is None:
@@ -174,7 +191,7 @@ def _(spark, sf):
     FROM finding_rows WHERE kind = 'web' GROUP BY id""",
 )
 def _(spark, sf):
-    web = P.as_findings(W.web_findings(_facts(spark, sf)), "site", 9, "web")
+    web = P.as_findings(_unsuppressed(spark, sf), "site", 9, "web")
     return P.prevalence(web, seeds.sites(spark, sf).select(F.col("site").alias("target")))
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import functions as F
 
 from riskloom.catalog import seeds
-from riskloom.catalog.registry import expression, query
+from riskloom.catalog.registry import expression, oracle_of, query
 from riskloom.functions.regex import extract_all
 from riskloom.operators import captures as K
 from riskloom.operators import repos as R
@@ -19,7 +18,8 @@ from riskloom.sources.captures import (
     SCANNED_NAMES,
     captured_responses,
     file_class,
-    read_source_tree,
+    packed_tree,
+    SKIPPED_DIRS,
 )
 
 
@@ -54,11 +54,14 @@ def _(spark, sf):
     return _all_files(spark, sf).select("repo", "path", file_class(F.col("path")).alias("class"))
 
 
-@query("scan_source_tree")
+@query(
+    "scan_source_tree",
+    f"""SELECT repo, path, strlen(content)::BIGINT AS size FROM file_rows
+    WHERE NOT regexp_matches(path, '(^|/)({"|".join(d.replace(".", "[.]") for d in SKIPPED_DIRS)})/')""",
+)
 def _(spark, sf):
-    """The folder of tables read as a source tree; no size limit, names and sizes only."""
-    tree = read_source_tree(spark, os.path.dirname(sf.rstrip("/")), repo_depth=1, max_bytes=1 << 40)
-    return tree.filter(F.col("repo") == os.path.basename(sf.rstrip("/"))).select("repo", "path", "size")
+    """Trees packed as (repo, path, content), which keep names that start with a dot or underscore."""
+    return packed_tree(_all_files(spark, sf)).select("repo", "path", "size")
 
 
 @query(
@@ -199,14 +202,39 @@ expression("home_secret_rows", _secret_sql("site, page_id, url", "html", "home_d
 def _(spark, sf):
     pages = seeds.site_pages(spark, sf)
     homes = pages.groupBy("site").agg(F.min_by("url", F.col("page_id")).alias("url"), F.min("page_id").alias("page_id"))
-    first_pass = S.scan_secrets(
-        pages.join(homes.select("site", "page_id"), ["site", "page_id"], "left_semi").select("site", "html"),
-        "html",
-        with_line=False,
-    )
+    hits = S.scan_secrets(pages.select("site", "page_id", "html"), "html", with_line=False)
+    first_pass = hits.join(homes.select("site", "page_id"), ["site", "page_id"], "left_semi")
     return S.secrets_new_in_crawl(pages, homes, first_pass)
 
 
+expression("page_secret_rows", _secret_sql("site, page_id, url", "html", "site_pages"))
+expression("bundle_bodies", "SELECT site, hop, url, body FROM responses WHERE role = 'bundle' AND status BETWEEN 200 AND 299")
+expression("bundle_secret_rows", _secret_sql("site, hop, url", "body", "bundle_bodies"))
+
+
+@query(
+    "page_secrets",
+    """SELECT site, id, severity, arg_min(url, page_id) AS source, sha256(value) AS secret_sha256
+    FROM page_secret_rows GROUP BY site, id, severity, value""",
+)
+def _(spark, sf):
+    return S.site_secrets(seeds.site_pages(spark, sf), "html", "page_id")
+
+
+@query(
+    "bundle_secrets",
+    """SELECT site, id, severity, arg_min(url, {'hop': hop, 'url': url}) AS source, sha256(value) AS secret_sha256
+    FROM bundle_secret_rows GROUP BY site, id, severity, value""",
+)
+def _(spark, sf):
+    return S.site_secrets(_bundles(spark, sf), "body", "hop")
+
+
+def _bundles(spark, sf):
+    answered = (F.col("role") == "bundle") & F.col("status").between(200, 299)
+    return captured_responses(seeds.responses(spark, sf, ["bundle"])).filter(answered)
+
+
 expression("readable_rows", "SELECT site, source, body FROM probe_rows WHERE readable")
 expression("data_secret_rows", _secret_sql("site, source", "body", "readable_rows", generic=False))
 
@@ -272,7 +300,8 @@ MIGRATION_SQL = {
         arg_min(line, seq * 1000 + k) AS line, 'no ENABLE ROW LEVEL SECURITY for this table in the repository' AS evidence
         FROM (SELECT *, lower(g1) AS t FROM create_rows) c
         WHERE NOT EXISTS (SELECT 1 FROM enable_rows e WHERE e.repo = c.repo AND lower(e.g1) = c.t)
-        AND repo IN (SELECT repo FROM sql_files WHERE regexp_matches(content, {_lit(R.RLS_MODEL, True)})) GROUP BY repo, t""",
+        AND repo IN (SELECT repo FROM sql_files WHERE regexp_matches(content, {_lit(R.RLS_MODEL, True)})
+            UNION ALL SELECT repo FROM ({oracle_of("supabase_context")}) WHERE supabase) GROUP BY repo, t""",
 }
 _JOBS = {
     "rls_turned_off": R.rls_turned_off,
@@ -284,10 +313,17 @@ _JOBS = {
 }
 
 
+def supabase_repos(spark, sf):
+    """Repositories that use Supabase by their files, whether or not a migration shows it."""
+    kept = F.when(file_class(F.col("path")) == "source", F.col("content")).otherwise("")
+    return R.supabase_context(_all_files(spark, sf).withColumn("content", kept)).filter("supabase")
+
+
 def _register(name: str) -> None:
     @query(name, MIGRATION_SQL[name])
     def _(spark, sf):
-        return _JOBS[name](seeds.sql_files(spark, sf))
+        gate = [supabase_repos(spark, sf)] if name == "tables_without_rls" else []
+        return _JOBS[name](seeds.sql_files(spark, sf), *gate)
 
 
 for _name in _JOBS:

@@ -202,7 +202,8 @@ def _response_rows() -> list[tuple]:
             url = "https://{host}/assets/index-" + f"{i}.js"
             ref = f"//# sourceMappingURL=index-{i}.js.map" if k % 3 else "//# sourceMappingURL=data:x"
             pad = "{pad}" if k % 6 == 5 else ""
-            add(k, "bundle", url, 200, BUNDLE_JS + pad + "\n" + ref)
+            leak = ';var pay="' + "sk_" + "live_" + "c" * 28 + '"' if k % 5 == 2 and i == 0 else ""
+            add(k, "bundle", url, 200, BUNDLE_JS + leak + pad + "\n" + ref)
             body = [MAP_BODY, MAP_BODY_BARE, "<html>"][(k + i) % 3]
             add(k, "sourcemap", url + ".map", 200 if k % 5 else 404, body)
         plain = [

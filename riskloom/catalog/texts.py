@@ -297,7 +297,7 @@ def _(spark, sf):
 
 def _span_sql(col: str) -> str:
     parts = ", ".join(
-        f"regexp_extract_all({col}, {_re(p.replace('{0,2000}?', '*?'))}, 1)" for p in inj.HIDDEN_SPANS
+        f"regexp_extract_all({col}, {_re(p)}, 1)" for p in inj.HIDDEN_SPANS
     )
     return (
         f"list_filter(list_transform(flatten([{parts}]), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')"

@@ -11,7 +11,7 @@ from riskloom.operators import config as C
 from riskloom.operators import pages as P
 from riskloom.operators import sites as S
 from riskloom.operators.captures import site_files
-from riskloom.functions.text import collapse_spaces, format_bytes, same_page
+from riskloom.functions.text import collapse_spaces, format_bytes, page_outline, same_outline
 from riskloom.functions.urls import host_of, normalize_page_url
 from riskloom.rules import web as rules
 from riskloom.sources.captures import captured_responses
@@ -43,7 +43,7 @@ def _sql_meta(key: str) -> str:
 
 expression(
     "page_windows",
-    f"""SELECT site, page_id, url, html, left({NOCOMMENT}, 204800) AS doc,
+    f"""SELECT site, page_id, url, html, {NOCOMMENT} AS doc,
     regexp_replace({NOCOMMENT}, '{INERT}', ' ', 'g') AS visible FROM site_pages""",
 )
 expression(
@@ -393,11 +393,10 @@ _FLAT = "lower(trim(regexp_replace({h}, '\\s+', ' ', 'g')))"
     FROM site_pages p JOIN homes USING (site) JOIN site_pages h ON h.page_id = homes.page_id)""",
 )
 def _(spark, sf):
-    pages = seeds.site_pages(spark, sf)
-    homes = S.home_pages(pages).select("site", F.col("html").alias("home_html"))
-    return pages.join(homes, "site").select(
-        "page_id", same_page(F.col("html"), F.col("home_html")).alias("same")
-    )
+    """Pages shrink to their length and opening where they are read; the home's are joined to them."""
+    pages = seeds.site_pages(spark, sf).select("site", "page_id", page_outline(F.col("html")).alias("own"))
+    homes = S.of_home(pages, home=F.col("own"))
+    return pages.join(homes, "site").select("page_id", same_outline(F.col("own"), F.col("home")).alias("same"))
 
 
 expression("homes", "SELECT site, min(page_id) AS page_id FROM site_pages GROUP BY site")
@@ -421,7 +420,7 @@ _HTML_START = r"(?i)^\s*(?:<!doctype\s+html|<html[\s>]|<head[\s>]|<body[\s>])"
 expression(
     "site_file_bodies",
     f"""SELECT site, role, body FROM responses WHERE role IN ('robots', 'llms', 'sitemap') AND status = 200
-    AND NOT coalesce(regexp_matches(left(body, 200), '{_HTML_START}'), false)""",
+    AND NOT coalesce(regexp_matches(body, '{_HTML_START}'), false)""",
 )
 expression(
     "site_file_rows",
@@ -429,7 +428,7 @@ expression(
     bool_or(role = 'sitemap' AND ok) AS has_sitemap,
     bool_or(role = 'favicon' AND ok AND NOT regexp_matches(coalesce(json_extract_string(headers, '$."Content-Type"'), ''), '(?i)text/html')) AS favicon_ok,
     max(CASE WHEN role = 'notfound' THEN status END) AS notfound_status
-    FROM (SELECT *, status = 200 AND NOT coalesce(regexp_matches(left(body, 200), '{_HTML_START}'), false) AS ok
+    FROM (SELECT *, status = 200 AND NOT coalesce(regexp_matches(body, '{_HTML_START}'), false) AS ok
     FROM responses WHERE role IN ('home', 'robots', 'llms', 'sitemap', 'favicon', 'notfound')) GROUP BY site""",
 )
 
@@ -458,9 +457,9 @@ expression(
 
 @query(
     "crawl_frontier",
-    f"""SELECT site, link, rank FROM (SELECT site, link, row_number() OVER (PARTITION BY site ORDER BY pos) AS rank
+    """SELECT site, link, row_number() OVER (PARTITION BY site ORDER BY pos) AS rank
     FROM candidate_rows c JOIN (SELECT site, normal FROM homes JOIN own_urls USING (page_id)) USING (site)
-    WHERE link <> normal) WHERE rank <= {rules.MAX_PAGES - 1}""",
+    WHERE link <> normal""",
 )
 def _(spark, sf):
     files = site_files(captured_responses(seeds.responses(spark, sf, ["sitemap"])))

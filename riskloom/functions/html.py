@@ -11,9 +11,6 @@ from riskloom.functions.text import clean, collapse_spaces
 
 # ---- fixed values -------------------------------------------------------------------------
 
-HEAD_WINDOW = 200 * 1024
-BODY_WINDOW = 5 * 1024 * 1024
-
 COMMENT = r"<!--[\s\S]*?-->"
 INERT = r"<(script|style|noscript)\b[^>]*>[\s\S]*?</\1>"
 TAG = r"<[^>]+>"
@@ -74,7 +71,7 @@ def inline_script_bytes(html: Column) -> Column:
 
 
 def starts_like_html(body: Column) -> Column:
-    return matches(F.left(body, F.lit(200)), HTML_START)
+    return matches(body, HTML_START)
 
 
 def rels(tag: Column) -> Column:
@@ -86,7 +83,7 @@ def _first(items: Column) -> Column:
 
 
 def page_signal_columns(html: Column, doc: Column, full: Column, visible: Column) -> dict[str, Column]:
-    """The signals of one page; ``doc`` is the head window and ``full`` the body window."""
+    """The signals of one page, read over the whole document; ``full`` has no comments."""
     metas = F.transform(
         tags(doc, "meta"),
         lambda t: F.struct(

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from riskloom.functions.expr import let
 from riskloom.functions.regex import SPACE, SPACE_SET
 
 # Soft hyphen, zero-width characters, direction marks, word joiner, BOM.
@@ -116,12 +117,24 @@ def format_bytes(n: Column) -> Column:
     )
 
 
-def same_page(a: Column, b: Column) -> Column:
+#: Two pages open alike if so many characters agree. This is the rule, not a bound on the work.
+OPENING_CHARS = 400
+
+
+def page_outline(html: Column, opening: int = OPENING_CHARS) -> Column:
+    """What ``same_outline`` needs of a document: its length and opening, white space and case aside."""
+    flat = F.lower(F.trim(collapse_spaces(html)))
+    return let(flat, lambda f: F.struct(F.length(f).alias("length"), F.left(f, F.lit(opening)).alias("opening")))
+
+
+def same_outline(a: Column, b: Column) -> Column:
     """Two documents that read as one page: similar length and the same opening."""
-    na, nb = F.lower(F.trim(collapse_spaces(a))), F.lower(F.trim(collapse_spaces(b)))
-    la, lb = F.length(na), F.length(nb)
+    la, lb = a["length"], b["length"]
     close = F.abs(la - lb) <= 0.1 * F.greatest(la, lb)
-    same_head = F.left(na, F.lit(400)) == F.left(nb, F.lit(400))
-    return F.when((la == 0) | (lb == 0), na == nb).otherwise(close & same_head)
+    return F.when((la == 0) | (lb == 0), la == lb).otherwise(close & (a["opening"] == b["opening"]))
+
+
+def same_page(a: Column, b: Column) -> Column:
+    return same_outline(page_outline(a), page_outline(b))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.html import starts_like_html
 from riskloom.functions.regex import extract, extract_or_null, matches
-from riskloom.functions.text import same_page
+from riskloom.functions.text import page_outline, same_outline
 from riskloom.functions.urls import absolutize
 from riskloom.rules import web as rules
 
@@ -24,7 +24,6 @@ LEAKY_HEADERS = ["x-powered-by", "server"]
 LEAKY_ALLOWED = r"^(cloudflare|vercel)$"
 MAX_HOPS = 3
 SOURCE_MAP_REF = r"//[#@]\s*sourceMappingURL=([^\s'\"]+)"
-SOURCE_MAP_BUNDLES = 12
 FIREBASE_KEY = r"AIza[0-9A-Za-z_-]{35}"
 FIREBASE_PROJECT = r"[\"']?projectId[\"']?\s*[:=]\s*[\"']([a-z0-9-]+)[\"']"
 FIREBASE_DATABASE = r"[\"']?databaseURL[\"']?\s*[:=]\s*[\"'](https://[^\"']+?(?:firebaseio\.com|firebasedatabase\.app))[\"']"
@@ -48,30 +47,37 @@ def site_files(responses: DataFrame) -> DataFrame:
     role, status, body = F.col("role"), F.col("status"), F.col("body")
     served = (status == 200) & ~F.coalesce(starts_like_html(body), F.lit(False))
 
-    def file(name: str) -> Column:
-        return F.max(F.when((role == name) & served, body))
+    order = F.struct("hop", "url")
 
+    def first(condition: Column, value: Column) -> Column:
+        """Of several captures of one role the first one counts."""
+        return F.min_by(F.when(condition, value), F.when(condition, order))
+
+    # Only the outlines of the two pages compared leave the map side, not the pages.
+    outlined = F.when(role.isin("home", "notfound"), page_outline(body))
     picked = responses.filter(role.isin("home", "robots", "llms", "sitemap", "favicon", "notfound"))
-    probe_body = F.max(F.when(role == "notfound", body))
+    probe = F.struct("status", F.col("_outline").alias("outline"))
     return (
-        picked.groupBy("site")
+        picked.withColumn("_outline", outlined)
+        .withColumn("_icon", (role == "favicon") & (status == 200) & ~is_html(F.col("headers"), body))
+        .withColumn("_served", served)
+        .withColumn("body", F.when(role.isin("robots", "llms", "sitemap"), body))
+        .groupBy("site")
         .agg(
-            file("robots").alias("robots_txt"),
-            file("llms").alias("llms_txt"),
-            file("sitemap").alias("sitemap_xml"),
-            F.coalesce(
-                F.bool_or((role == "favicon") & (status == 200) & ~is_html(F.col("headers"), body)),
-                F.lit(False),
-            ).alias("favicon_ok"),
-            F.coalesce(F.max(F.when(role == "notfound", status)), F.lit(0)).alias("notfound_status"),
-            F.max(F.when(role == "home", body)).alias("_home"),
-            probe_body.alias("_probe"),
+            *[
+                first((role == name) & F.col("_served"), F.col("body")).alias(alias)
+                for name, alias in (("robots", "robots_txt"), ("llms", "llms_txt"), ("sitemap", "sitemap_xml"))
+            ],
+            F.coalesce(F.bool_or("_icon"), F.lit(False)).alias("favicon_ok"),
+            first(role == "notfound", probe).alias("_probe"),
+            first(role == "home", F.col("_outline")).alias("_home"),
         )
+        .withColumn("notfound_status", F.coalesce("_probe.status", F.lit(0)))
         .withColumn(
             "notfound_distinct",
             (F.col("notfound_status") == 0)
             | (F.col("notfound_status") >= 400)
-            | ~F.coalesce(same_page(F.col("_probe"), F.col("_home")), F.lit(False)),
+            | ~F.coalesce(same_outline(F.col("_probe.outline"), F.col("_home")), F.lit(False)),
         )
         .drop("_home", "_probe")
     )
@@ -167,24 +173,20 @@ def plain_http_served(responses: DataFrame) -> DataFrame:
     )
 
 
-def ranked_bundles(responses: DataFrame, keep: int, extra: list[Column]) -> DataFrame:
-    """The first ``keep`` answered bundles of each site. Only the named columns travel."""
+def ranked_bundles(responses: DataFrame, extra: list[Column]) -> DataFrame:
+    """The answered bundles of each site in load order. Only the named columns travel."""
     order = Window.partitionBy("site").orderBy("hop", "url")
     return (
         responses.filter((F.col("role") == "bundle") & F.col("status").between(200, 299))
         .select("site", "hop", "url", *extra)
         .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= keep)
     )
 
 
-def js_bytes(responses: DataFrame, keep: int = rules.MAX_BUNDLES) -> DataFrame:
-    size = F.octet_length("body").cast("long").alias("bytes")
-    return (
-        ranked_bundles(responses, keep, [size])
-        .groupBy("site")
-        .agg(F.sum("bytes").alias("js_bytes"), F.count("*").alias("bundles"))
-    )
+def js_bytes(responses: DataFrame) -> DataFrame:
+    answered = responses.filter((F.col("role") == "bundle") & F.col("status").between(200, 299))
+    size = F.octet_length("body").cast("long")
+    return answered.groupBy("site").agg(F.sum(size).alias("js_bytes"), F.count("*").alias("bundles"))
 
 
 def source_map_url(body: Column, url: Column) -> Column:
@@ -198,7 +200,7 @@ def source_maps(responses: DataFrame) -> DataFrame:
     Map bodies are judged where they are read; the join moves two flags, not the bodies.
     """
     map_url = source_map_url(F.col("body"), F.col("url")).alias("map_url")
-    bundles = ranked_bundles(responses, SOURCE_MAP_BUNDLES, [map_url]).filter(
+    bundles = ranked_bundles(responses, [map_url]).filter(
         F.col("map_url").isNotNull()
     )
     body = F.col("body")

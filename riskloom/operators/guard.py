@@ -3,8 +3,12 @@ and a stream in append mode."""
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from riskloom.functions.expr import each, let, record, staged
 from riskloom.functions.regex import extract, located, matches
@@ -69,24 +73,57 @@ def _member(v: Column, *paths: str) -> Column:
     )
 
 
-def flatten_payload(v: Column, depth: int = 0) -> Column:
-    """The leaves of a value, one per line, five levels deep; deeper values read as empty.
-
-    Members of an object come in key order, the order a variant stores them in.
+def _leaves(value) -> str:
+    """The leaves of a JSON value in document order, one per line, at any depth."""
+    out, todo = [], [value]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, dict):
+            todo += reversed(item.values())
+        elif isinstance(item, list):
+            todo += reversed(item)
+        else:
+            out.append("" if item is None else str(item).lower() if isinstance(item, bool) else str(item))
+    return "\n".join(out)
+
+
+def _number(text: str) -> str:
+    """A fraction as scripts print it: without one if it is whole."""
+    value = float(text)
+    return str(int(value)) if value.is_integer() and abs(value) < 1e21 else repr(value)
+
+
+def _member_of(payload: str, paths: str):
+    """The value at the first of the comma-separated dotted paths that is there and not null."""
+    try:
+        root = json.loads(payload, parse_int=str, parse_float=_number)
+    except (ValueError, RecursionError):
+        return payload if paths == "" else None
+    for path in paths.split(","):
+        value = root
+        for name in path.split(".") if path else ():
+            value = value.get(name) if isinstance(value, dict) else None
+        if value is not None:
+            return value
+    return None
+
+
+@F.arrow_udf(StringType())
+def _flattened(payloads: pa.Array, paths: pa.Array, only_lists: pa.Array) -> pa.Array:
+    # A variant keeps members in key order; the order of the document is only in its text.
+    out = []
+    for payload, path, lists in zip(payloads.to_pylist(), paths.to_pylist(), only_lists.to_pylist(), strict=True):
+        value = None if payload is None or path is None else _member_of(payload, path)
+        out.append(None if value is None or (lists and not isinstance(value, list)) else _leaves(value))
+    return pa.array(out, pa.string())
+
+
+def flatten_payload(payload: Column, paths: Column | str = "", only_lists: bool = False) -> Column:
+    """The leaves of a payload, or of the first member of ``paths`` it has, in document order; null without one.
+
+    ``payload`` is JSON text; text that is no JSON is its own only leaf. Rows with a null payload are not parsed.
     """
-    children = F.coalesce(
-        F.try_variant_get(v, "$", "array<variant>"),
-        F.map_values(F.try_variant_get(v, "$", "map<string,variant>")),
-    )
-    leaf = F.coalesce(F.try_variant_get(v, "$", "string"), F.lit(""))
-    if depth > rules.FLATTEN_DEPTH:
-        return let(children, lambda cs: F.when(cs.isNull(), leaf).otherwise(""))
-    return let(
-        children,
-        lambda cs: F.when(cs.isNull(), leaf).otherwise(
-            F.array_join(F.transform(cs, lambda c: flatten_payload(c, depth + 1)), "\n")
-        ),
-    )
+    return _flattened(payload, F.lit(paths) if isinstance(paths, str) else paths, F.lit(only_lists))
 
 
 def detect_host(e: Column) -> Column:
@@ -112,12 +149,9 @@ def detect_host(e: Column) -> Column:
     )
 
 
-def pending_content(args: Column) -> Column:
-    """The text a write tool is about to put on disk, whatever the host wraps it in."""
-    edits = let(
-        _member(args, *["$." + n for n in rules.EDIT_LISTS]),
-        lambda m: F.when(_kind(m) == "ARRAY", flatten_payload(m)),
-    )
+def pending_content(args: Column, edits: Column) -> Column:
+    """The text a write tool is about to put on disk, whatever the host wraps it in. ``edits`` is the text
+    of its edit list."""
     nested = _string(args, "$.input")
     return F.coalesce(
         _strings(args, *["$." + n for n in rules.DIRECT_CONTENT]),
@@ -210,14 +244,23 @@ def normalize_hook_events(raw: DataFrame, payload: str = "payload") -> DataFrame
     ).withColumn("_step", _step(e, host, c("_event"), c("_tool")))
 
     step = c("_step")
-    response = (
-        F.when(host == "cursor", _member(e, "$.tool_response", "$.content", "$.tool_output"))
-        .when(host == "copilot", _member(e, "$.tool_response", "$.result"))
-        .when(host == "gemini", _member(e, "$.tool_response", "$.toolResponse", "$.result"))
-        .when(host == "opencode", _get(e, "$.received"))
-        .otherwise(_get(e, "$.tool_response"))
+    results = (
+        F.when(host == "cursor", "tool_response,content,tool_output")
+        .when(host == "copilot", "tool_response,result")
+        .when(host == "gemini", "tool_response,toolResponse,result")
+        .when(host == "opencode", "received")
+        .otherwise("tool_response")
+    )
+    edit_lists = ",".join(f"tool_input.{name}" for name in rules.EDIT_LISTS)
+    writes = step.isin("write", "any") & host.isin(PAIR)
+    answered = stepped.withColumns(
+        {
+            "_received": F.when(
+                step == "content", F.coalesce(flatten_payload(F.when(step == "content", c(payload)), results), F.lit(""))
+            ),
+            "_edits": flatten_payload(F.when(writes, c(payload)), edit_lists, only_lists=True),
+        }
     )
-    received = F.when(step == "content", F.coalesce(flatten_payload(c("_response")), F.lit("")))
     prompt = F.when(host == "gemini", F.coalesce("_prompt", "_message")).otherwise(c("_prompt"))
     command = (
         F.when(host.isin("windsurf", "opencode"), c("_command"))
@@ -237,7 +280,7 @@ def normalize_hook_events(raw: DataFrame, payload: str = "payload") -> DataFrame
         .when(host == "cursor", F.coalesce("_arg_content", "_content", "_arg_new_string"))
         .when(host == "copilot", c("_arg_content"))
         .when(host == "gemini", F.coalesce("_arg_content", "_arg_new_string"))
-        .otherwise(pending_content(c("_args")))
+        .otherwise(pending_content(c("_args"), c("_edits")))
     )
     source = (
         F.when(host.isin(PAIR), F.coalesce("_arg_file_path", "_arg_url", "_tool"))
@@ -252,9 +295,6 @@ def normalize_hook_events(raw: DataFrame, payload: str = "payload") -> DataFrame
         .when(step.isin("shell", "write", "any"), "action")
         .otherwise(step)
     )
-    answered = stepped.withColumn("_response", F.when(step == "content", response)).withColumn(
-        "_received", received
-    )
     return staged(
         answered,
         keys,

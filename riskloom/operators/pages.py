@@ -35,16 +35,15 @@ CHUNK_REF = r"[\"'`]([./][A-Za-z0-9/._-]*\.js)[\"'`]"
 
 
 def page_signals(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Fourteen signals per page. The windows are columns so each is computed once, and the
+    """Fourteen signals per page. The stripped texts are columns so each is computed once, and the
     document itself does not travel past this projection."""
     keys = [c for c in pages.columns if c != html]
     windows = (
-        pages.withColumn("_full", H.strip_comments(F.substring(F.col(html), 1, H.BODY_WINDOW)))
-        .withColumn("_doc", F.substring(F.col("_full"), 1, H.HEAD_WINDOW))
+        pages.withColumn("_full", H.strip_comments(F.col(html)))
         .withColumn("_visible", H.strip_inert(F.col("_full")))
     )
     signals = H.page_signal_columns(
-        F.col(html), F.col("_doc"), F.col("_full"), F.col("_visible")
+        F.col(html), F.col("_full"), F.col("_full"), F.col("_visible")
     )
     return windows.select(*keys, *[c.alias(n) for n, c in signals.items()])
 

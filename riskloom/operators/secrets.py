@@ -133,17 +133,29 @@ def secrets_new_in_crawl(
     """Secrets on crawled pages that no earlier pass reported, each key once per site.
 
     ``pages`` is ``(site, page_id, url, html)``, ``scanned_urls`` is ``(site, url)`` and ``earlier``
-    is ``(site, id, secret_sha256)``. Only hits are shuffled, and repeats are merged map-side.
+    is ``(site, id, secret_sha256)``. Pages are scanned where they are read; only hits are joined and
+    shuffled, and repeats are merged map-side.
     """
-    fresh = pages.join(scanned_urls.select("site", "url"), ["site", "url"], "left_anti")
-    hits = scan_secrets(fresh.select("site", "page_id", "url", text), text, with_line=False)
+    hits = scan_secrets(pages.select("site", "page_id", "url", text), text, with_line=False)
+    fresh = hits.join(scanned_urls.select("site", "url"), ["site", "url"], "left_anti")
     return (
-        hits.groupBy("site", "id", "secret_sha256")
+        fresh.groupBy("site", "id", "secret_sha256")
         .agg(F.min_by("url", F.col("page_id")).alias("source"))
         .join(earlier.select("site", "id", "secret_sha256"), ["site", "id", "secret_sha256"], "left_anti")
     )
 
 
+def site_secrets(texts: DataFrame, text: str, order: str) -> DataFrame:
+    """``(site, id, severity, source, secret_sha256)``: each secret of a site once, at its first text.
+
+    ``texts`` is ``(site, url, text, order)``. Row-local scan; only hits are shuffled, merged map-side.
+    """
+    hits = scan_secrets(texts.select("site", "url", order, text), text, with_line=False)
+    return hits.groupBy("site", "id", "severity", "secret_sha256").agg(
+        F.min_by("url", F.struct(order, "url")).alias("source")
+    )
+
+
 def secrets_in_data(probes: DataFrame) -> DataFrame:
     """Secrets pasted into rows anyone can read; the generic rule is too noisy for row JSON."""
     hits = scan_secrets(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.expr import each
-from riskloom.functions.html import attr, strip_comments, tags, HEAD_WINDOW
+from riskloom.functions.html import attr, strip_comments, tags
 from riskloom.functions.text import collapse_spaces, format_bytes
 from riskloom.functions.regex import matches
 from riskloom.functions.urls import host_of, normalize_page_url, origin_of
@@ -70,41 +70,43 @@ def site_rollup(signals: DataFrame) -> DataFrame:
     )
 
 
-def home_pages(pages: DataFrame) -> DataFrame:
-    """The lowest ``page_id`` of each site with its document.
+def of_home(pages: DataFrame, **facts: Column) -> DataFrame:
+    """Per site the facts of its home page, the one with the lowest ``page_id``.
 
-    The ids are found first on two narrow columns; only the homes' documents meet that join.
+    Facts are made where pages are read and picked by an aggregation that combines on the map side, so
+    no document is shuffled.
     """
-    homes = pages.groupBy("site").agg(F.min("page_id").alias("page_id"))
-    return pages.join(homes, ["site", "page_id"])
+    narrow = pages.select("site", "page_id", *[c.alias(name) for name, c in facts.items()])
+    picked = F.min_by(F.struct(*facts), F.col("page_id")).alias("_home")
+    return narrow.groupBy("site").agg(picked).select("site", "_home.*")
 
 
 def home_facts(pages: DataFrame) -> DataFrame:
-    """Per site: assets of the home page (the first 30), inlined icon, framework."""
+    """Per site: assets of the home page, inlined icon."""
     html, url = F.col("html"), F.col("url")
-    return home_pages(pages).select(
-        "site",
-        F.col("url").alias("home_url"),
-        F.slice(page_assets(html, url), 1, rules.MAX_ASSETS).alias("assets"),
-        F.coalesce(matches(favicon_href(html), "^data:"), F.lit(False)).alias("icon_inlined"),
+    return of_home(
+        pages,
+        home_url=url,
+        assets=page_assets(html, url),
+        icon_inlined=F.coalesce(matches(favicon_href(html), "^data:"), F.lit(False)),
     )
 
 
-def crawl_frontier(pages: DataFrame, files: DataFrame, max_pages: int = rules.MAX_PAGES) -> DataFrame:
-    """``(site, link, rank)``: what to fetch after the home page. Sitemap entries where there are
-    any, links of the home page otherwise. Row-local: one home page and one sitemap per site."""
-    homes = home_pages(pages).join(files.select("site", "sitemap_xml"), "site", "left")
+def crawl_frontier(pages: DataFrame, files: DataFrame) -> DataFrame:
+    """``(site, link, rank)``: what to fetch after the home page, all of it, the first first. Sitemap
+    entries where there are any, links of the home page otherwise."""
+    homes = of_home(
+        pages, linked=internal_links(F.col("html"), F.col("url")), own=normalize_page_url(F.col("url"), F.col("url"))
+    )
     listed = sitemap_urls(F.coalesce("sitemap_xml", F.lit("")), F.col("site"))
-    linked = internal_links(F.col("html"), F.col("url"))
-    own = normalize_page_url(F.col("url"), F.col("url"))
     candidates = F.filter(
-        F.when(F.size("_listed") > 0, F.col("_listed")).otherwise(linked),
-        lambda u: F.col("_own").isNull() | (u != F.col("_own")),
+        F.when(F.size("_listed") > 0, F.col("_listed")).otherwise(F.col("linked")),
+        lambda u: F.col("own").isNull() | (u != F.col("own")),
     )
     return (
-        homes.withColumn("_listed", listed)
-        .withColumn("_own", own)
-        .select("site", F.posexplode(F.slice(candidates, 1, max_pages - 1)).alias("pos", "link"))
+        homes.join(files.select("site", "sitemap_xml"), "site", "left")
+        .withColumn("_listed", listed)
+        .select("site", F.posexplode(candidates).alias("pos", "link"))
         .select("site", "link", (F.col("pos") + 1).alias("rank"))
     )
 
@@ -122,47 +124,32 @@ def broken_assets(pages: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def asset_rollup(pages: DataFrame, responses: DataFrame) -> DataFrame:
-    """Counts and the first ten broken ones; at most 30 rows per site reach the list."""
-    broken = F.when(
-        F.col("status") >= 400, F.struct("pos", "asset", F.col("status").cast("string").alias("status"))
-    )
-    return (
-        asset_results(pages, responses)
-        .groupBy("site")
-        .agg(
-            F.count("*").alias("assets_checked"),
-            F.count_if(F.col("status") >= 400).alias("assets_broken"),
-            F.array_sort(F.collect_list(broken)).alias("_broken"),
-        )
-        .withColumn(
-            "assets_listed",
-            F.array_join(
-                F.transform(
-                    F.slice("_broken", 1, rules.LISTED_ASSETS),
-                    lambda b: F.concat_ws(" ", b["asset"], b["status"]),
-                ),
-                " | ",
-            ),
-        )
-        .drop("_broken")
+    """Counts of all home assets and the first ten broken ones."""
+    results = asset_results(pages, responses)
+    order = Window.partitionBy("site").orderBy("pos", "status")
+    first = results.filter(F.col("status") >= 400).withColumn("rank", F.row_number().over(order))
+    line = F.struct("rank", F.concat_ws(" ", "asset", F.col("status").cast("string")).alias("line"))
+    listed = first.filter(F.col("rank") <= rules.LISTED_ASSETS).groupBy("site").agg(_joined(line).alias("assets_listed"))
+    counts = results.groupBy("site").agg(
+        F.count("*").alias("assets_checked"), F.count_if(F.col("status") >= 400).alias("assets_broken")
     )
+    return counts.join(listed, "site", "left").withColumn("assets_listed", F.coalesce("assets_listed", F.lit("")))
+
 
+def _joined(line: Column) -> Column:
+    """The few ranked lines of a group in one text."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), " | ")
 
-def console_errors(messages: DataFrame, keep: int = rules.MAX_CONSOLE_ERRORS) -> DataFrame:
-    """Cleaned runtime errors, the first ``keep`` distinct ones per site.
 
-    Repeats are merged before ranking, so a site that logs one error a billion times sends one
-    row per mapper; the rank filter is a group limit and also runs before the shuffle.
+def console_errors(messages: DataFrame) -> DataFrame:
+    """Cleaned runtime errors, all distinct ones per site, ranked by first appearance.
+
+    Repeats are merged before ranking, so a site that logs one error a billion times sends one row per mapper.
     """
-    flat = F.trim(collapse_spaces(F.col("text")))
-    cut = F.when(
-        F.length(flat) > rules.CONSOLE_TEXT_CHARS,
-        F.concat(F.left(flat, F.lit(rules.CONSOLE_TEXT_CHARS - 1)), F.lit("…")),
-    ).otherwise(flat)
     order = Window.partitionBy("site").orderBy("seq")
     return (
         messages.filter(F.col("type").isin("error", "pageerror"))
-        .withColumn("text", cut)
+        .withColumn("text", F.trim(collapse_spaces(F.col("text"))))
         .filter(
             (F.col("text") != "")
             & ~((F.col("type") == "error") & matches(F.col("text"), rules.NOT_A_JS_ERROR))
@@ -170,27 +157,16 @@ def console_errors(messages: DataFrame, keep: int = rules.MAX_CONSOLE_ERRORS) ->
         .groupBy("site", "type", "text")
         .agg(F.min("seq").alias("seq"))
         .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= keep)
     )
 
 
 def console_rollup(messages: DataFrame) -> DataFrame:
-    """Per site with a console capture: errors kept and the first five. Bounded by 15 rows."""
-    listed = F.array_sort(
-        F.collect_list(F.struct("rank", F.concat(F.lit("["), "type", F.lit("] "), "text").alias("line")))
-    )
-    kept = (
-        console_errors(messages)
-        .groupBy("site")
-        .agg(F.count("*").alias("console_count"), listed.alias("_lines"))
-        .select(
-            "site",
-            "console_count",
-            F.array_join(
-                F.transform(F.slice("_lines", 1, rules.LISTED_CONSOLE_ERRORS), lambda x: x["line"]), " | "
-            ).alias("console_listed"),
-        )
-    )
+    """Per site with a console capture: how many errors, and the first five."""
+    errors = console_errors(messages)
+    line = F.struct("rank", F.concat(F.lit("["), "type", F.lit("] "), "text").alias("line"))
+    listed = errors.filter(F.col("rank") <= rules.LISTED_CONSOLE_ERRORS).groupBy("site")
+    kept = errors.groupBy("site").agg(F.count("*").alias("console_count"))
+    kept = kept.join(listed.agg(_joined(line).alias("console_listed")), "site", "left")
     captured = messages.select("site").distinct()
     return captured.join(kept, "site", "left").select(
         "site",
@@ -535,14 +511,14 @@ def checks_passed(matrix: DataFrame) -> DataFrame:
 
 def stack_fingerprint(pages: DataFrame, responses: DataFrame) -> DataFrame:
     """Twelve signals of the home page, scored."""
-    homes = home_pages(pages)
-    head = strip_comments(F.left(F.col("html"), F.lit(HEAD_WINDOW)))
-    signals = page_signals(
-        homes.withColumn("_head", head)
-        .withColumn("framework", detect_framework(F.col("_head")))
-        .withColumn("has_script_src", F.exists(tags(F.col("_head"), "script"), lambda t: attr(t, "src").isNotNull()))
-        .drop("_head")
-    )
+    whole = strip_comments(F.col("html"))
+    facts = page_signals(
+        pages.withColumn("_whole", whole)
+        .withColumn("framework", detect_framework(F.col("_whole")))
+        .withColumn("has_script_src", F.exists(tags(F.col("_whole"), "script"), lambda t: attr(t, "src").isNotNull()))
+        .drop("_whole")
+    )
+    signals = of_home(facts, **{c: F.col(c) for c in facts.columns if c not in ("site", "page_id")})
     host = F.regexp_replace(host_of(F.col("url")), r":\d+\z", "")
     files = site_files(responses).select(
         "site",

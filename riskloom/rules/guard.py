@@ -33,7 +33,6 @@ WRITE_TOOL = r"^(write|edit|create|apply_patch|multiedit|notebookedit|str_replac
 SHELL_TOOL = r"^(bash|shell|powershell|runcommand|run_shell_command|terminal|developer__shell|execute)$"
 DIRECT_CONTENT = ["content", "new_string", "new_str", "patch", "diff", "text"]
 EDIT_LISTS = ["edits", "replacements", "changes"]
-FLATTEN_DEPTH = 4
 
 SQL_FILE = r"\.sql$"
 DDL_TEXT = r"\b(alter|create)\s+table\b"

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 JWT = r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"
 GENERIC_NAME = r"(?:api[_-]?key|secret|token|passwd|password|client[_-]?secret|access[_-]?key|private[_-]?key)"
-GENERIC = r"(?:^|[^A-Za-z0-9])(?:[A-Za-z0-9_-]*[_-])?" + GENERIC_NAME + r"[\"']?\s*[:=]\s*[\"']([^\"'\s]{16,})[\"']"
+GENERIC = r"(?:^|[^A-Za-z0-9])" + GENERIC_NAME + r"[\"']?\s*[:=]\s*[\"']([^\"'\s]{16,})[\"']"
 PLACEHOLDER = r"your[_-]|example|placeholder|replace|change[_-]?me|insert[_-]|dummy|xxxx|\.\.\.|<[^>]*>|\$\{|process\.env|_here\b"
 PUBLIC_KEY = r"^sb_publishable_"
 BEARER_INLINE = r"[\"'`]Bearer\s+([A-Za-z0-9._~+/=-]{20,})[\"'`]"

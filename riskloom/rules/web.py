@@ -7,11 +7,6 @@ from __future__ import annotations
 EMPTY_TEXT_CHARS = 200
 HEAVY_BYTES = 1_048_576
 FINGERPRINT_TOTAL = 12
-MAX_PAGES = 8
-MAX_ASSETS = 30
-MAX_BUNDLES = 40
-MAX_CONSOLE_ERRORS = 15
-CONSOLE_TEXT_CHARS = 300
 LISTED_ASSETS = 10
 LISTED_CONSOLE_ERRORS = 5
 LISTED_PAGES = 8

@@ -17,7 +17,6 @@ SCANNED_EXTENSIONS = (
     ".yml .toml .sh"
 ).split()
 SCANNED_NAMES = ["Dockerfile", "dockerfile", "Procfile"]
-MAX_FILE_BYTES = 2_000_000
 SAMPLE_ENV = r"\.env\.(example|sample|template)$"
 
 # ---- end of fixed values ------------------------------------------------------------------
@@ -47,20 +46,20 @@ def file_class(path: Column) -> Column:
 
 
 def read_source_tree(
-    spark: SparkSession, root: str, repo_depth: int = 1, max_bytes: int = MAX_FILE_BYTES
+    spark: SparkSession, root: str, repo_depth: int = 1, max_bytes: int | None = None
 ) -> DataFrame:
     """``(repo, path, size, content)`` of every text file below ``root``.
 
-    The first ``repo_depth`` folders below the root name the repository. Name and size filters
-    come before ``content`` is decoded, and Spark packs small files into shared partitions.
+    The first ``repo_depth`` folders below the root name the repository. Name filters, and the
+    size limit if one is given, come before ``content`` is decoded; Spark packs small files into shared
+    partitions.
     Spark's file readers skip names that start with a dot or underscore; repositories whose
     ``.env`` files matter should be packed into a ``(repo, path, content)`` table instead.
     """
     skipped = "|".join(d.replace(".", r"\.") for d in SKIPPED_DIRS)
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        .filter(F.col("length") <= max_bytes)
-    )
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    if max_bytes is not None:
+        files = files.filter(F.col("length") <= max_bytes)
     clean_root = root.rstrip("/")
     below = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), f"^.*?\\Q{clean_root}\\E/", "")
     parts = F.split(below, "/")
@@ -77,6 +76,13 @@ def read_source_tree(
     )
 
 
+def packed_tree(files: DataFrame) -> DataFrame:
+    """``(repo, path, size, content)`` of files packed into a table, the skipped folders left out."""
+    skipped = "|".join(d.replace(".", r"\.") for d in SKIPPED_DIRS)
+    kept = files.filter(~F.col("path").rlike(f"(?:^|/)(?:{skipped})/"))
+    return kept.select("repo", "path", F.octet_length("content").cast("long").alias("size"), "content")
+
+
 def captured_responses(raw: DataFrame) -> DataFrame:
     """Headers as a map with lower-case names; accepts a JSON string or a map."""
     headers = F.col("headers")

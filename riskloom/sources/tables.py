@@ -23,16 +23,16 @@ def dimension(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 TEXT_TABLES = {"documents", "pages", "conversations", "events"}
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the scan alone would leave some idle.
+#: A session setting for runs on one small file: into how many partitions its rows are dealt. Unset, which
+#: is right for tables of many files, nothing is moved.
+DEALT = "riskloom.scan.partitions"
 
-    A small table in one file is one task however many cores there are. With at least as many
-    scan partitions as cores, which any large table has, nothing is moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+def dealt(df: DataFrame) -> DataFrame:
+    parts = df.sparkSession.conf.get(DEALT, None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return dealt(df) if name in TEXT_TABLES else df
