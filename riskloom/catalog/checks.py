@@ -316,10 +316,10 @@ CHECK_SQL = {
         count="n_no_h1 + n_many_h1",
     ),
     "web_missing_sitemap": _finding(
-        "web_missing_sitemap", _FILES, "NOT coalesce(has_sitemap, false)", "'sitemap.xml is not served'", "origin || '/sitemap.xml'"
+        "web_missing_sitemap", _FILES, "NOT coalesce(has_sitemap, false)", "'no sitemap.xml answered'", "origin || '/sitemap.xml'"
     ),
     "web_missing_llms_txt": _finding(
-        "web_missing_llms_txt", _FILES, "NOT coalesce(has_llms, false)", "'llms.txt is not served'", "origin || '/llms.txt'"
+        "web_missing_llms_txt", _FILES, "NOT coalesce(has_llms, false)", "'no llms.txt answered'", "origin || '/llms.txt'"
     ),
     "web_missing_lang": _count_check("web_missing_lang", "n_lang", " without a lang attribute"),
     "web_missing_alt": _finding(

@@ -380,8 +380,8 @@ def check_columns(checks: list[str]) -> dict[str, Column]:
         ),
         lambda: c("n_no_h1") + c("n_many_h1"),
     )
-    add("web_missing_sitemap", lambda: ~c("has_sitemap"), at("/sitemap.xml"), text("sitemap.xml is not served"), none)
-    add("web_missing_llms_txt", lambda: ~c("has_llms"), at("/llms.txt"), text("llms.txt is not served"), none)
+    add("web_missing_sitemap", lambda: ~c("has_sitemap"), at("/sitemap.xml"), text("no sitemap.xml answered"), none)
+    add("web_missing_llms_txt", lambda: ~c("has_llms"), at("/llms.txt"), text("no llms.txt answered"), none)
     pages_with("web_missing_lang", " without a lang attribute")
     add(
         "web_missing_alt",

@@ -12,7 +12,6 @@ SCANNER_NAMES = ("riskloom",)
 
 # ---- fixed values -------------------------------------------------------------------------
 
-VERB_TARGET_GAP = 30
 NOT_WORD = r"(?<![\p{L}\p{N}_])"
 
 DISCUSSION = [
@@ -48,6 +47,33 @@ SECRET_METADATA = [
     r"\b(name|names|prefix|suffix|id|shape|type|length|last\s*4|placeholder|redact|mask|masked|nombre|nome|prefijo|prefixo)\b",
 ]
 
+RULE_IDS = [
+    "disable-rls", "service-role-client", "make-public", "remove-auth", "cors-wildcard", "hardcode-secret",
+    "disable-security", "commit-env",
+]
+#: Rules that are no verb with an object: whole patterns, tried first.
+WHOLE = {
+    "disable-rls": [RLS_STATE],
+    "service-role-client": [SERVICE_KEY_THEN_CLIENT, CLIENT_THEN_SERVICE_KEY],
+    "cors-wildcard": CORS,
+    "hardcode-secret": [SECRET_IN_CODE],
+}
+#: (rule, first part, second part, characters between, in either order). Parts are verb roles of the lexicon
+#: or objects; every row is made once per language.
+PAIRS = [
+    ("disable-rls", "weaken", "rls", 30, True),
+    ("service-role-client", "expose", "service key", 30, True),
+    ("make-public", "datastore", "public", 25, True),
+    ("make-public", "allow", "public or everyone", 30, False),
+    ("remove-auth", "weaken", "auth", 30, False),
+    ("hardcode-secret", "place", "secret", 30, False),
+    ("disable-security", "weaken", "security control", 30, False),
+    ("commit-env", "ship", "env file", 30, False),
+    ("commit-env", "emit", "secret", 30, False),
+]
+EXCLUDES = {"make-public": PUBLIC_EXCLUDES, "commit-env": SECRET_METADATA}
+VETOED_BY_UI = ["make-public", "remove-auth"]
+
 # ---- end of fixed values ------------------------------------------------------------------
 
 
@@ -59,72 +85,37 @@ class IntentRule:
     ui_veto: bool = False
 
 
-def _verb_then(role: str, lang: str, target: str) -> str:
-    verb = lx.stems(lx.VERBS[lang][role])
-    return rf"\b{verb}\b[^\n]{{0,{VERB_TARGET_GAP}}}{NOT_WORD}{target}"
-
+def _parts(lang: str) -> dict[str, tuple[str, str, str]]:
+    """Per part its pattern, and how a boundary before and after it is written."""
+    objects = {"rls": lx.RLS, "service key": lx.SERVICE_KEY, "secret": lx.SECRET, "env file": ENV_FILE}
+    objects |= {"security control": lx.SECURITY_CONTROL, "auth": lx.group(lx.AUTH[lang])}
+    public = lx.stems(lx.PUBLIC_WORD[lang])
+    # The alternation is deliberately open: "everyone" and its translations are a branch of their own.
+    objects["public or everyone"] = public + "|" + EVERYONE
+    out = {name: (NOT_WORD, pattern, "") for name, pattern in objects.items()}
+    out |= {role: (r"\b", lx.stems(stems), r"\b") for role, stems in lx.VERBS[lang].items()}
+    return out | {"datastore": (r"\b", lx.group(lx.DATASTORES[lang]), r"\b"), "public": (r"\b", public, "")}
 
-def _then_verb(role: str, lang: str, target: str) -> str:
-    verb = lx.stems(lx.VERBS[lang][role])
-    return rf"{NOT_WORD}{target}[^\n]{{0,{VERB_TARGET_GAP}}}\b{verb}"
 
-
-def _per_lang(role: str, target: str, both_orders: bool = False) -> list[str]:
+def _pair(lang: str, first: str, second: str, gap: int, either: bool) -> list[str]:
+    parts = _parts(lang)
     out = []
-    for lang in lx.LANGS:
-        out.append(_verb_then(role, lang, target))
-        if both_orders:
-            out.append(_then_verb(role, lang, target))
+    for one, two in ((first, second), (second, first))[: 2 if either else 1]:
+        (before, x, after), (start, y, end) = parts[one], parts[two]
+        # The part that comes last needs no boundary after it, but for a store, which is a noun.
+        out.append(rf"{before}{x}{after}[^\n]{{0,{gap}}}{start}{y}{end if two == 'datastore' else ''}")
     return out
 
 
-def _store_public() -> list[str]:
-    out = []
-    for lang in lx.LANGS:
-        store, public = lx.group(lx.DATASTORES[lang]), lx.stems(lx.PUBLIC_WORD[lang])
-        out += [rf"\b{store}\b[^\n]{{0,25}}\b{public}", rf"\b{public}[^\n]{{0,25}}\b{store}\b"]
-    return out
+def _compiled(rule: str) -> IntentRule:
+    patterns = list(WHOLE.get(rule, []))
+    for of, *row in PAIRS:
+        if of == rule:
+            patterns += [p for lang in lx.LANGS for p in _pair(lang, *row)]
+    return IntentRule(rule, tuple(patterns), tuple(EXCLUDES.get(rule, ())), rule in VETOED_BY_UI)
 
 
-def _allow_public() -> list[str]:
-    # The alternation is deliberately open, as in the specification: "everyone" and its
-    # translations stand on their own as the second branch.
-    return [
-        _verb_then("allow", lang, lx.stems(lx.PUBLIC_WORD[lang]) + "|" + EVERYONE)
-        for lang in lx.LANGS
-    ]
-
-
-RULES: tuple[IntentRule, ...] = (
-    IntentRule("disable-rls", (RLS_STATE, *_per_lang("weaken", lx.RLS, both_orders=True))),
-    IntentRule(
-        "service-role-client",
-        (
-            SERVICE_KEY_THEN_CLIENT,
-            CLIENT_THEN_SERVICE_KEY,
-            *_per_lang("expose", lx.SERVICE_KEY, both_orders=True),
-        ),
-    ),
-    IntentRule(
-        "make-public",
-        (*_store_public(), *_allow_public()),
-        exclude=tuple(PUBLIC_EXCLUDES),
-        ui_veto=True,
-    ),
-    IntentRule(
-        "remove-auth",
-        tuple(_verb_then("weaken", lang, lx.group(lx.AUTH[lang])) for lang in lx.LANGS),
-        ui_veto=True,
-    ),
-    IntentRule("cors-wildcard", tuple(CORS)),
-    IntentRule("hardcode-secret", (SECRET_IN_CODE, *_per_lang("place", lx.SECRET))),
-    IntentRule("disable-security", tuple(_per_lang("weaken", lx.SECURITY_CONTROL))),
-    IntentRule(
-        "commit-env",
-        (*_per_lang("ship", ENV_FILE), *_per_lang("emit", lx.SECRET)),
-        exclude=tuple(SECRET_METADATA),
-    ),
-)
+RULES: tuple[IntentRule, ...] = tuple(map(_compiled, RULE_IDS))
 
 
 def discussion_patterns(scanner_names: tuple[str, ...] = SCANNER_NAMES) -> list[str]:
