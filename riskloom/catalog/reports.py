@@ -221,6 +221,13 @@ def _(spark, sf):
     return P.sarif_results(P.localize(_findings(spark, sf), spark)).select("target", "rule_id", "level", "message")
 
 
-@query("sink_payload")
+@query(
+    "sink_payload",
+    f"""SELECT target, 'header' AS row, NULL AS id, NULL AS severity, verdict FROM ({oracle_of("verdict")})
+    UNION ALL SELECT target, 'finding', id, severity, NULL FROM finding_rows""",
+)
 def _(spark, sf):
-    return P.payloads(_findings(spark, sf))
+    documents = P.payloads(_findings(spark, sf))
+    return documents.select(
+        "target", *[F.get_json_object("document", f"$.{name}").alias(name) for name in ("row", "id", "severity", "verdict")]
+    )

@@ -143,46 +143,31 @@ def sarif_rules(localized: DataFrame) -> DataFrame:
     )
 
 
-def payloads(findings: DataFrame, per_document: int = 1000) -> DataFrame:
-    """``(target, part, document)``: a target's counts, verdict and findings as JSON.
+SCHEMA_VERSION = 1
 
-    A target with up to ``per_document`` findings is one document. A larger one is spread over
-    parts by a hash, so no task gathers a huge target; every part carries the whole counts.
+
+def payloads(findings: DataFrame) -> DataFrame:
+    """``(target, document)``: JSON lines, a header per target and a line per finding.
+
+    The header has the verdict and the counts. However many findings a target has, none are gathered.
     """
     counts = severity_counts(findings)
-    sizes = findings.groupBy("target").agg(F.count("*").alias("_n"))
-    security = counts.filter(F.col("kind") == "security").select(
-        "target", F.struct(*catalog.SEVERITIES).alias("counts")
-    )
-    web = counts.filter(F.col("kind") == "web").select(
-        "target", F.struct(*catalog.SEVERITIES).alias("web_counts")
-    )
-    head = (
-        sizes.join(verdicts(findings), "target")
-        .join(security, "target", "left")
-        .join(web, "target", "left")
-    )
-    parts = F.ceil(F.col("_n") / per_document).cast("int")
-    spread = F.pmod(F.xxhash64("id", "source", "line", "evidence"), parts).cast("int")
-    item = F.struct(
-        severity_rank(F.col("severity")).alias("rank"), "ord", "id", "kind", "severity", "source", "line", "evidence"
+    per_kind = {
+        name: counts.filter(F.col("kind") == kind).select("target", F.struct(*catalog.SEVERITIES).alias(name))
+        for kind, name in (("security", "counts"), ("web", "web_counts"))
+    }
+    head = verdicts(findings).join(findings.groupBy("target").agg(F.count("*").alias("findings")), "target")
+    for part in per_kind.values():
+        head = head.join(part, "target", "left")
+    header = F.struct(
+        F.lit("header").alias("row"), F.lit(SCHEMA_VERSION).alias("schemaVersion"),
+        "target", "verdict", "gate_fails", "findings", "counts", "web_counts",
     )
-    return (
-        findings.join(sizes, "target")
-        .withColumn("part", spread)
-        .groupBy("target", "part")
-        .agg(F.array_sort(F.collect_list(item)).alias("findings"))
-        .join(head, "target")
-        .select(
-            "target",
-            "part",
-            F.size("findings").alias("n"),
-            F.to_json(F.struct("target", "part", "verdict", "gate_fails", "counts", "web_counts", "findings")).alias("document"),
-        )
+    line = F.struct(F.lit("finding").alias("row"), "target", "ord", "id", "kind", "severity", "source", "line", "evidence")
+    return head.select("target", F.to_json(header).alias("document")).unionByName(
+        findings.select("target", F.to_json(line).alias("document"))
     )
 
 
 def write_payloads(findings: DataFrame, path: str) -> None:
     payloads(findings).select("document").write.mode("overwrite").text(path)
-
-
