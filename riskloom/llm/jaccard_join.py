@@ -16,7 +16,7 @@ Equal sets are one entity from the start. A bucket does not emit its pairs: each
 bucket's pivots (a few per bucket). Pairs whose sizes and parity bits allow the similarity are verified on the
 whole sets, one pair per set first; links become components. Then only pairs across components are looked at:
 the others of the buckets' pairs, and in buckets that still hold members of different components those outside
-the largest against the rest. So every pair of similar sets is verified or already in one component.
+the largest against the rest, a component at a time. So every pair of similar sets is verified or already in one component.
 """
 
 from __future__ import annotations
@@ -215,7 +215,7 @@ def _meets(a: dict, b: dict, percent: int) -> np.ndarray:
 
 
 def _meet(s: Settings):
-    """Buckets come in order, a row at a time; each member meets its part's pivot and the one before it.
+    """Buckets come in order, a row at a time; each member meets its part's pivot, the first row.
 
     Rows with o1: candidate pairs. Rows without: members of a bucket of three or more, or of a part.
     """
@@ -233,9 +233,9 @@ def _meet(s: Settings):
             last = starts[-1]
             yield from emit(rows, starts[:-1], last)
             carry = {f: rows[f][last:] for f in fields}
-            if len(carry["bucket"]) > 50_000:  # a long bucket goes on with its pivot and last member
+            if len(carry["bucket"]) > 50_000:  # a long bucket goes on with its pivot
                 yield from emit(carry, np.array([0]), len(carry["bucket"]))
-                carry = {f: carry[f][[0, -1]] for f in fields}
+                carry = {f: carry[f][:1] for f in fields}
         if carry is not None:
             yield from emit(carry, np.array([0]), len(carry["bucket"]))
 
@@ -248,13 +248,7 @@ def _meet(s: Settings):
         # Frequent buckets are kept even if alone: the other kind's rows and parts are met later.
         keep = (sizes[group] > 1) | (rows["kind"][:end] % 4 >= _LIGHT)
         members = np.flatnonzero(keep)
-        pairs_a, pairs_b = [], []
-        for back in (starts[group], np.arange(end) - 1):
-            ok = offset > 0 if back is not None else None
-            a, b = np.flatnonzero(ok), back[ok]
-            pairs_a.append(a)
-            pairs_b.append(b)
-        a, b = np.concatenate(pairs_a), np.concatenate(pairs_b)
+        a, b = np.flatnonzero(offset > 0), starts[group][offset > 0]
         if len(a):
             one, two = ({f: rows[f][x] for f in fields} for x in (a, b))
             different = (one["k1"] != two["k1"]) | (one["k2"] != two["k2"])
@@ -335,20 +329,27 @@ def _least_overlap(total, s: Settings):
     return F.floor((s.percent * total + whole - 1) / F.lit(float(whole)) + 1e-9).cast("long")
 
 
-def _verified(pairs: DataFrame, narrow: DataFrame, s: Settings) -> DataFrame:
-    """The pairs whose whole sets are similar, as (a, b) node names."""
+def _sets(pairs: DataFrame, narrow: DataFrame, s: Settings, known: DataFrame | None = None) -> DataFrame:
+    """(k1, k2, tokens) of the ends of pairs, from the texts, but for those already ``known``."""
     spark = pairs.sparkSession
-    ends = pairs.select("id").union(pairs.select(F.col("other_id").alias("id"))).filter("id IS NOT NULL")
-    marks = spark.sparkContext.broadcast(_marks(ends, s.marked_log2))
-    sets = narrow.mapInArrow(_marked_sets(s, marks), "k1 long, k2 long, tokens array<long>")
-    sets = materialize(sets.dropDuplicates(["k1", "k2"]))
+    other = pairs.select(F.col("o1").alias("k1"), F.col("o2").alias("k2"), F.col("other_id").alias("id"))
+    ends = pairs.select("k1", "k2", "id").union(other)
+    if known is not None:
+        ends = ends.join(known.select("k1", "k2"), ["k1", "k2"], "left_anti")
+    marks = spark.sparkContext.broadcast(_marks(ends.filter("id IS NOT NULL"), s.marked_log2))
+    found = narrow.mapInArrow(_marked_sets(s, marks), "k1 long, k2 long, tokens array<long>")
+    return materialize(found.dropDuplicates(["k1", "k2"]))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """The pairs whose whole sets are similar, as (a, b) node names."""
     left = sets.withColumnRenamed("tokens", "x")
     right = sets.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("tokens").alias("y"))
     joined = pairs.select(*_PAIR).join(left, ["k1", "k2"]).join(right, ["o1", "o2"])
     shared = F.size(F.array_intersect("x", "y")).cast("long")
     union = F.size("x") + F.size("y") - shared
     linked = joined.filter(100 * shared >= s.percent * union)
-    return linked.select(_node("k1", "k2").alias("a"), _node("o1", "o2").alias("b"))
+    return materialize(linked.select(_node("k1", "k2").alias("a"), _node("o1", "o2").alias("b")))
 
 
 def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
@@ -371,13 +372,51 @@ def _distinct_pairs(rows: DataFrame) -> DataFrame:
     return rows.select(*ends, *others).distinct()
 
 
-def _missing_pairs(members: DataFrame, components: DataFrame, s: Settings) -> DataFrame:
-    """Pairs of one bucket in different components: those outside its largest component against all."""
+_FOLDED = [f"odd{i}" for i in range(8)]
+
+
+def _folded(odd: str) -> list:
+    """The parities of 512 classes, eight longs, from those of 2048: classes merge by exclusive or."""
+    out = []
+    for i in range(8):
+        a, b, c, d = (F.get(odd, F.lit(i + 8 * k)) for k in range(4))
+        out.append(a.bitwiseXOR(b).bitwiseXOR(c).bitwiseXOR(d).alias(_FOLDED[i]))
+    return out
+
+
+def _close(n: str, m: str, prefix: str, s: Settings):
+    """Whether sizes and folded parities allow the similarity; part of the join, so that others are not made."""
+    differ = F.lit(0)
+    for name in _FOLDED:
+        differ = differ + F.bit_count(F.col(name).bitwiseXOR(F.col(prefix + name)))
+    total = F.col(n) + F.col(m)
+    return differ <= total - 2 * _least_overlap(total, s)
+
+
+def _positions_allow(n, pos, m, other_pos, combined, s: Settings):
+    found = F.when(combined, 2).otherwise(1)
+    bound = found + F.least(n - pos, m - other_pos) - found
+    return bound >= _least_overlap(n + m, s)
+
+
+def _missing_pairs(members: DataFrame, components: DataFrame, entities: DataFrame, s: Settings) -> DataFrame:
+    """Pairs of a bucket that are in different components and may be similar.
+
+    Those outside a bucket's largest component are held against the others there: against single sets one by
+    one, against a component of several as a whole. Then each such (set, component) meets the component's
+    sets once, however many buckets brought them together.
+    """
     named = members.withColumn("node", _node("k1", "k2")).join(components, "node", "left")
-    named = named.withColumn("component", F.coalesce("component", "node")).drop("node", "big", "o1", "o2", "on")
     # Light and heavy rows and all parts of a frequent shingle are one bucket; combinations are another.
-    named = named.withColumn("combined", F.col("kind") == _COMBINED).withColumn("light", F.col("kind") % 4 == _LIGHT)
-    named = materialize(named)
+    named = materialize(
+        named.select(
+            "bucket", "k1", "k2", "n", "pos", "kind",
+            F.coalesce("component", "node").alias("component"),
+            F.col("component").isNotNull().alias("several"),
+            (F.col("kind") == _COMBINED).alias("combined"),
+            (F.col("kind") % 4 == _LIGHT).alias("light"),
+        ).drop("kind")
+    )
     counts = named.groupBy("bucket", "combined", "component").agg(
         F.count("*").alias("c"), F.count_if(~F.col("light")).alias("n_other")
     )
@@ -388,16 +427,33 @@ def _missing_pairs(members: DataFrame, components: DataFrame, s: Settings) -> Da
     )
     # Two light members meet in their combinations, so a bucket of light ones has nothing to add.
     mixed = materialize(largest.filter("n_components > 1 AND n_other > 0").select("bucket", "combined", "main"))
-    few = materialize(named.join(mixed, ["bucket", "combined"]).filter("component <> main").drop("main"))
-    other = named.select("bucket", "combined", *[F.col(c).alias(f"_{c}") for c in ("k1", "k2", "n", "pos", "light", "component")])
+    sketches = entities.select("k1", "k2", *_folded("odd"))
+    held = materialize(named.join(mixed, ["bucket", "combined"]).join(sketches, ["k1", "k2"]))
+    few = held.filter("component <> main").drop("main", "several")
+    renamed = ["k1", "k2", "n", "pos", "light", "component", *_FOLDED]
+    single = held.filter(~F.col("several")).select("bucket", "combined", *[F.col(c).alias("_" + c) for c in renamed])
+    allowed = _positions_allow(F.col("n"), F.col("pos"), F.col("_n"), F.col("_pos"), F.col("combined"), s)
+    different = (F.col("component") != F.col("_component")) & ~(F.col("light") & F.col("_light"))
     on = ["bucket", "combined"]
-    met = few.filter(~F.col("light")).join(other, on)
-    met = met.unionByName(few.filter("light").join(other.filter(~F.col("_light")), on))
-    found = F.when(F.col("combined"), 2).otherwise(1)
-    bound = found + F.least(F.col("n") - F.col("pos"), F.col("_n") - F.col("_pos")) - found
-    need = _least_overlap(F.col("n") + F.col("_n"), s)
-    met = met.filter((F.col("component") != F.col("_component")) & (bound >= need))
-    return _distinct_pairs(met.select("k1", "k2", F.col("_k1").alias("o1"), F.col("_k2").alias("o2")))
+    pairs = few.join(single, on).filter(different & allowed & _close("n", "_n", "_", s))
+    pairs = pairs.select("k1", "k2", F.col("_k1").alias("o1"), F.col("_k2").alias("o2"))
+    # A component of several by the loosest of its members in the bucket.
+    several = held.filter("several").groupBy(*on, F.col("component").alias("_component")).agg(
+        F.min("n").alias("_n"), F.max("n").alias("_m"), F.min("pos").alias("_pos"), F.min("light").alias("_light")
+    )
+    total = F.col("n") + F.col("_n")
+    reach = F.least(F.col("n") - F.col("pos"), F.col("_m") - F.col("_pos"))
+    wanted = few.join(several, on).filter(different & (reach >= _least_overlap(total, s)))
+    wanted = wanted.select("k1", "k2", "n", F.col("_component").alias("component"), *_FOLDED).distinct()
+    inside = components.withColumnRenamed("node", "_node").join(
+        entities.select(
+            _node("k1", "k2").alias("_node"), F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("n").alias("_n"),
+            *[c.alias("_" + name) for c, name in zip(_folded("odd"), _FOLDED, strict=True)],
+        ),
+        "_node",
+    )
+    whole = materialize(wanted).join(materialize(inside), "component").filter(_close("n", "_n", "_", s))
+    return _distinct_pairs(pairs.union(whole.select("k1", "k2", "o1", "o2")))
 
 
 def jaccard_components(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -427,15 +483,18 @@ def jaccard_components(docs: DataFrame, settings: Settings | None = None) -> Dat
     sets = described.filter("kind = 0 AND n > 1").groupBy("k1", "k2")
     entities = materialize(sets.agg(F.min("n").alias("n"), F.min("id").alias("id"), F.first("odd").alias("odd")))
     possible = materialize(_possible(_distinct_pairs(met.filter("NOT big")), entities, s))
-    # One pair per set joins most of what belongs together; the other pairs of one component need no look.
-    least = F.min(F.struct("o1", "o2", "id", "other_id")).alias("p")
+    known = _sets(possible, narrow, s)
+    # One pair per set joins most of what belongs together; the others are looked at across components only.
+    least = F.min(F.struct("o1", "o2")).alias("p")
     first = possible.groupBy("k1", "k2").agg(least).select("k1", "k2", "p.*")
-    links = materialize(_verified(first, narrow, s))
+    links = _verified(first, known, s)
+    components = materialize(connected_components(links))
+    links = links.union(_verified(_apart(possible, components), known, s))
     components = materialize(connected_components(links))
-    missing = _possible(_missing_pairs(met.filter("big"), components, s), entities, s)
-    missing = materialize(missing.union(_apart(possible, components)).distinct())
+    missing = materialize(_possible(_missing_pairs(met.filter("big"), components, entities, s), entities, s))
     if not missing.isEmpty():
-        links = links.union(materialize(_verified(missing, narrow, s)))
+        known = known.union(_sets(missing, narrow, s, known)).dropDuplicates(["k1", "k2"])
+        links = links.union(_verified(missing, known, s))
         components = materialize(connected_components(links))
 
     rows = described.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", _node("k1", "k2").alias("node"))
