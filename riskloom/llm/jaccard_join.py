@@ -320,7 +320,8 @@ def _possible(pairs: DataFrame, entities: DataFrame, s: Settings) -> DataFrame:
         F.zip_with("odd", "other_odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x
     )
     total = F.col("n") + F.col("m")
-    return met.filter(differ <= total - 2 * _least_overlap(total, s)).select(*_PAIR, "id", "other_id")
+    met = met.withColumn("differ", differ).filter(F.col("differ") <= total - 2 * _least_overlap(total, s))
+    return met.select(*_PAIR, "id", "other_id", "differ")
 
 
 def _least_overlap(total, s: Settings):
@@ -352,6 +353,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return materialize(linked.select(_node("k1", "k2").alias("a"), _node("o1", "o2").alias("b")))
 
 
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """For each set of ``pairs`` the pair with the fewest differing parities."""
+    turned = pairs.select(F.col("o1").alias("k1"), F.col("o2").alias("k2"), F.col("k1").alias("o1"), F.col("k2").alias("o2"), "differ")
+    best = pairs.select(*_PAIR, "differ").union(turned).groupBy("k1", "k2").agg(F.min(F.struct("differ", "o1", "o2")).alias("p"))
+    return _distinct_pairs(best.select("k1", "k2", "p.o1", "p.o2"))
+
+
 def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
     """The pairs whose ends are not in one component yet."""
     one = components.withColumnRenamed("component", "c")
@@ -361,6 +369,19 @@ def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
     return named.filter(F.coalesce("c", "node") != F.coalesce("d", "other")).select(*pairs.columns)
 
 
+def _joined(pairs: DataFrame, sets: DataFrame, links: DataFrame | None, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """Links and components with those of ``pairs``. Whole sets travel for one pair per set first, the nearest;
+    that joins most of what belongs together, and of the others only pairs across components are looked at."""
+    first = _verified(_nearest(pairs), sets, s)
+    links = first if links is None else links.union(first)
+    components = materialize(connected_components(links))
+    rest = materialize(_apart(pairs, components))
+    if not rest.isEmpty():
+        links = links.union(_verified(rest, sets, s))
+        components = materialize(connected_components(links))
+    return links, components
+
+
 def _node(k1: str, k2: str):
     return F.concat(F.lpad(F.hex(k1), 16, "0"), F.lpad(F.hex(k2), 16, "0"))
 
@@ -484,18 +505,12 @@ def jaccard_components(docs: DataFrame, settings: Settings | None = None) -> Dat
     entities = materialize(sets.agg(F.min("n").alias("n"), F.min("id").alias("id"), F.first("odd").alias("odd")))
     possible = materialize(_possible(_distinct_pairs(met.filter("NOT big")), entities, s))
     known = _sets(possible, narrow, s)
-    # One pair per set joins most of what belongs together; the others are looked at across components only.
-    least = F.min(F.struct("o1", "o2")).alias("p")
-    first = possible.groupBy("k1", "k2").agg(least).select("k1", "k2", "p.*")
-    links = _verified(first, known, s)
-    components = materialize(connected_components(links))
-    links = links.union(_verified(_apart(possible, components), known, s))
-    components = materialize(connected_components(links))
+    known = _sets(possible, narrow, s)
+    links, components = _joined(possible, known, None, s)
     missing = materialize(_possible(_missing_pairs(met.filter("big"), components, entities, s), entities, s))
     if not missing.isEmpty():
         known = known.union(_sets(missing, narrow, s, known)).dropDuplicates(["k1", "k2"])
-        links = links.union(_verified(missing, known, s))
-        components = materialize(connected_components(links))
+        links, components = _joined(missing, materialize(known), links, s)
 
     rows = described.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", _node("k1", "k2").alias("node"))
     sets = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
