@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskloom.llm.component_sql import EMBEDDING_SQL, JACCARD_SQL
 from riskloom.llm.compression import compression_bands
 from riskloom.llm.cover_tree import near_duplicates
 from riskloom.llm.html_layout import extract_html
@@ -79,6 +80,8 @@ QUERIES: dict[str, Query] = {
 }
 SQL: dict[str, str] = {
     "op3_license_rules": LICENSE_SQL,
+    "op6_cover_tree": EMBEDDING_SQL,
+    "op7_jaccard_join": JACCARD_SQL,
     "op8_warc": WARC_SQL,
     "op10_line_dedup": LINE_DEDUP_SQL,
 }
