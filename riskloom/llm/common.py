@@ -41,12 +41,6 @@ def code_points(data: bytes) -> int:
     return len(data.translate(None, CONTINUATION))
 
 
-def binary_views(column: pa.Array):
-    """The bytes of each row of a binary column, None for null."""
-    for value in column:
-        yield value.as_py()
-
-
 def long_lists(arrays: list[np.ndarray], dtype: pa.DataType) -> pa.Array:
     """Numpy arrays as one Arrow list column."""
     offsets = np.zeros(len(arrays) + 1, dtype=np.int32)
