@@ -11,7 +11,7 @@ from riskloom.operators import config as C
 from riskloom.operators import pages as P
 from riskloom.operators import sites as S
 from riskloom.operators.captures import site_files
-from riskloom.functions.text import collapse_spaces, format_bytes, page_outline, same_outline
+from riskloom.functions.text import format_bytes, page_outline, same_outline
 from riskloom.functions.urls import host_of, normalize_page_url
 from riskloom.rules import web as rules
 from riskloom.sources.captures import captured_responses
