@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word is a run of anything but the six ASCII white-space characters.
@@ -41,6 +43,23 @@ def code_points(data: bytes) -> int:
     return len(data.translate(None, CONTINUATION))
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 * 2**20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``most`` bytes of a text column, a row at least.
+
+    Spark's batches are bounded in rows, not bytes; what is made of a slice stays small whatever they hold.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_pylist()
+        start, held = 0, 0
+        for row, size in enumerate(sizes):
+            if held and held + size > most:
+                yield batch.slice(start, row - start)
+                start, held = row, 0
+            held += size
+        if batch.num_rows > start:
+            yield batch.slice(start)
+
+
 def long_lists(arrays: list[np.ndarray], dtype: pa.DataType) -> pa.Array:
     """Numpy arrays as one Arrow list column."""
     offsets = np.zeros(len(arrays) + 1, dtype=np.int32)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import long_lists, materialize
+from riskloom.llm.common import long_lists, materialize, portions
 from riskloom.llm.graph import connected_components
 from riskloom.llm.shingles import mix, shingle_set
 
@@ -44,7 +44,7 @@ class Settings:
     max_combined: int = 6
     #: A task reports a shingle found in so many of the sets it counts at a time.
     local_count: int = 3
-    local_tokens: int = 2_000_000
+    local_tokens: int = 1_000_000
     #: Reported counts from which a shingle is frequent, and how many of the most frequent are told to tasks.
     frequent: int = 16
     max_frequent: int = 2**19
@@ -98,7 +98,7 @@ def _describe(s: Settings):
         sets: list[np.ndarray] = []
         seen: set[tuple[int, int]] = set()
         held = 0
-        for batch in batches:
+        for batch in portions(batches, "text"):
             ns, k1s, k2s, odd = [], [], [], []
             for value in batch.column(1):
                 tokens = shingle_set(value.as_py() or b"", s.size)
@@ -176,8 +176,11 @@ def _indexed(tokens: np.ndarray, key: tuple[int, int], order: _Order, s: Setting
 def _index(s: Settings, frequent):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = _Order(*frequent.value)
-        for batch in batches:
-            rows, keys, ns, lengths, seen = [], [], [], [], set()
+        seen: set[tuple[int, int]] = set()
+        for batch in portions(batches, "text"):
+            rows, keys, ns, lengths = [], [], [], []
+            if len(seen) > 50_000:
+                seen.clear()
             for value in batch.column(0):
                 tokens = shingle_set(value.as_py() or b"", s.size)
                 if len(tokens) < 2 or (key := _key(tokens)) in seen:  # one shingle: similar to equal sets only
@@ -275,7 +278,7 @@ def _marked_sets(s: Settings, marks):
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(marks.value, dtype=np.uint8)
-        for batch in batches:
+        for batch in portions(batches, "text"):
             at = batch.column(0).fill_null(0).to_numpy() & (2**s.marked_log2 - 1)
             wanted = (bits[at >> 3] >> (at & 7) & 1).astype(bool) | batch.column(0).is_null().to_numpy(zero_copy_only=False)
             keys, sets, seen = [], [], set()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.common import SPACE_BYTES, code_points, materialize
+from riskloom.llm.common import SPACE_BYTES, code_points, materialize, portions
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -76,7 +76,7 @@ def _build_filters(log2: int, min_chars: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once = np.zeros(2 ** (log2 - 3), dtype=np.uint8)
         twice = np.zeros_like(once)
-        for batch in batches:
+        for batch in portions(batches, "text"):
             found = [_distinct_hashes(v.as_py(), min_chars) for v in batch.column(0) if v.is_valid]
             hashes = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.uint64)
             _, first, counts = np.unique(hashes[:, 0], return_index=True, return_counts=True)
@@ -137,7 +137,7 @@ def twice_seen_filter(texts: DataFrame, log2: int, min_chars: int) -> np.ndarray
 def _suspects(shared, log2: int, min_chars: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = np.frombuffer(zstandard.ZstdDecompressor().decompress(shared.value), dtype=np.uint8)
-        for batch in batches:
+        for batch in portions(batches, "text"):
             ids, hashes = [], []
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if value.is_valid:
@@ -177,7 +177,7 @@ def _rewrite(columns: list[str], with_text: bool, min_chars: int, shared):
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if shared is not None:
             k1, k2, keeper = shared.value
-        for batch in batches:
+        for batch in portions(batches, "_text"):
             held = dict(zip(batch.schema.names, batch.columns, strict=True))
             texts = [v.as_py() or b"" for v in held["_text"]]
             doc_ids = held["_id"].to_pylist()
