@@ -334,14 +334,14 @@ def _(spark, sf):
 
 @query("orphan_close_tags", "SELECT doc_id, tag, pos - 1 AS pos, tag_text FROM orphan_rows")
 def _(spark, sf):
-    """Every orphan, found by counting opens and closes before each tag inside the row."""
-    texts = seeds.texts(spark, sf).filter(matches(F.col("text"), r"</?(?:system|assistant)")).select(
-        "doc_id", normalize_content(F.col("text")).alias("normal")
-    )
-    out = None
-    for tag in inj.TURN_TAGS:
-        part = texts.select("doc_id", F.lit(tag).alias("tag"), J.orphan_closes(F.col("normal"), tag).alias("o")).select(
-            "doc_id", "tag", F.inline("o")
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Every orphan, found by counting opens and closes before each tag inside the row.
+
+    Nothing is set aside on the raw text: a tag may be one only after normalisation.
+    """
+    texts = seeds.texts(spark, sf).select("doc_id", normalize_content(F.col("text")).alias("normal"))
+
+    def orphans(tag):
+        found = J.orphan_closes(F.col("normal"), tag)
+        return F.transform(found, lambda o: F.struct(F.lit(tag).alias("tag"), o["pos"].alias("pos"), o["tag_text"].alias("tag_text")))
+
+    return texts.select("doc_id", F.inline(F.concat(*[orphans(tag) for tag in inj.TURN_TAGS])))

@@ -146,3 +146,29 @@ def test_result_is_independent_of_partitions(spark):
     one = sorted(map(tuple, I.scan_prompts(df.repartition(1)).collect()))
     many = sorted(map(tuple, I.scan_prompts(df.repartition(13)).collect()))
     assert one == many
+
+
+def test_orphan_close_tags_reads_normalised_text(spark, tmp_path):
+    """Tags that are tags only after normalisation, against brute force on text normalised by hand."""
+    import re
+    import unicodedata
+
+    from riskloom.catalog import QUERIES
+
+    texts = ["a ＜/system＞ b", "a </sys\u200btem> b", "a </assistant\uff1e b", "＜system＞ x </sys\u00adtem>", "</system> \ufeff</\u2060assistant >", "plain"]
+    want = []
+    for k, text in enumerate(texts):
+        normal = re.sub("[\u00ad\u200b-\u200f\u2060\ufeff]", "", unicodedata.normalize("NFKC", text))
+        for tag in ("system", "assistant"):
+            opens = closes = 0
+            for pos, m in enumerate(re.finditer(rf"(?i)</{tag}\s*>|<{tag}(?:\s[^>]*)?>", normal)):
+                if not m.group().startswith("</"):
+                    opens += 1
+                    continue
+                if closes >= opens:
+                    want.append((k * 50 + 49, tag, pos, m.group()))
+                closes += 1
+    docs = spark.createDataFrame([(k * 50 + 49, "en", t) for k, t in enumerate(texts)], "doc_id long, lang string, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["orphan_close_tags"](spark, str(tmp_path)).select("doc_id", "tag", "pos", "tag_text").collect()
+    assert len(want) == 5 and sorted(tuple(r) for r in got) == sorted(want)
