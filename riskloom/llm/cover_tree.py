@@ -4,7 +4,8 @@ Unit vectors with a cosine of at least ``t`` are at most ``eps = sqrt(2 - 2 t)``
 cells by a cover tree over a bounded sample (nested levels, radius halved from level to level, each row routed
 to the nearest child); every row is in a cell, and a cell keeps the largest distance of its rows from its
 centre. Cells whose centres are further apart than both radii and ``eps`` hold no pair and are never brought
-together. A cell is split into blocks of bounded size, so a crowded one is many blocks.
+together. A cell is split into blocks of bounded size, so a crowded one is many blocks. Vectors of different
+lengths are never linked: each length has cells of its own, of an upper tree of its own where there are many.
 
 A task gets two blocks (or one with itself), builds a cover tree over each and walks both at once, level by
 level: a pair of nodes is dropped when the distance of its centres exceeds both covering radii and ``eps``; what
@@ -276,9 +277,9 @@ def near_duplicates(
     """vec_id, n_links, component_id, kept per row of ``vectors`` (vec_id, embedding; others are ignored).
 
     Vectors that are null, empty, zero, or hold null or non-finite components have no links and are their own
-    component. All linked vectors must have one length; those of another length than the most frequent one
-    also have no links. Repeated rows link with each other like any others; a null vec_id is possible, a
-    component of null ids has a null id. An empty table gives an empty result.
+    component. Vectors link with those of their own length only, whatever lengths a table holds. Repeated rows
+    link with each other like any others; a null vec_id is possible, a component of null ids has a null id. An
+    empty table gives an empty result.
     """
     spark = vectors.sparkSession
     typed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -290,24 +291,46 @@ def near_duplicates(
     # A row number of its own for each row: ids may repeat or be null.
     rows = materialize(typed.withColumn("row", F.monotonically_increasing_id()).withColumn("usable", F.coalesce("usable", F.lit(False))))
     good = rows.filter("usable")
-    sizes = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    length = F.size("embedding")
+    # A length of one vector has no pair.
+    sizes = {r.d: r["count"] for r in good.groupBy(length.alias("d")).count().filter("count > 1").collect()}
     result = rows.select("vec_id", "row")
-    if sizes is None:
+    if not sizes:
         return result.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    good = good.filter(F.size("embedding") == sizes.d).select("row", "embedding")
-    chosen = good.orderBy(F.xxhash64("row")).limit(sample).select("embedding").toPandas()  # bounded by ``sample``
-    upper = upper_tree(unit_rows(chosen["embedding"]))
-    shared = spark.sparkContext.broadcast(upper)
+    good = good.select("row", "embedding")
+    most = max(sizes, key=lambda d: (sizes[d], -d))
+    uppers: dict[int, tuple[int, Upper | None]] = {}
+    total = 0
+    for d in sorted(sizes):
+        upper = None  # one cell, which fits a block
+        if d == most or sizes[d] > block:
+            chosen = good.filter(length == d).orderBy(F.xxhash64("row")).limit(sample).select("embedding").toPandas()  # bounded by ``sample``
+            upper = upper_tree(unit_rows(chosen["embedding"]))
+        uppers[d] = total, upper
+        total += 1 if upper is None else len(upper.centres[-1])
+    shared = spark.sparkContext.broadcast(uppers)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                cell, apart = shared.value.route(unit_rows(batch["embedding"]))
-                yield batch.assign(cell=cell, apart=apart)
+            for d, part in batch.groupby(batch["embedding"].map(len)):
+                if d not in shared.value:
+                    continue
+                start, upper = shared.value[d]
+                if upper is None:
+                    yield part.assign(cell=start, apart=0.0)
+                else:
+                    cell, apart = upper.route(unit_rows(part["embedding"]))
+                    yield part.assign(cell=start + cell, apart=apart)
 
     routed = materialize(good.mapInPandas(route, "row long, embedding array<double>, cell long, apart double"))
     cells = {r.cell: (r.n, r.reach) for r in routed.groupBy("cell").agg(F.count("*").alias("n"), F.max("apart").alias("reach")).collect()}
-    near = _near_cells(upper, cells, threshold)
+    near = []
+    for start, upper in uppers.values():
+        if upper is None:
+            near.append((start, start))
+        else:
+            own = {c: cells[start + c] for c in range(len(upper.centres[-1])) if start + c in cells}
+            near += [(start + i, start + j) for i, j in _near_cells(upper, own, threshold)]
     blocks = {c: max(1, -(-n // block)) for c, (n, _) in cells.items()}
     starts = dict(zip(sorted(blocks), np.cumsum([0] + [blocks[c] for c in sorted(blocks)]).tolist(), strict=False))
     # Crowded cells are many blocks, dealt by a hash of the row.

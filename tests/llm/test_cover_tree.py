@@ -96,3 +96,13 @@ def test_nothing_to_compare(make):
     compare(make, odd_rows())
     compare(make, [(1, [1.0, 2.0])])
     assert c.near_duplicates(make([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_lengths_apart_each_with_its_links(make):
+    """Three lengths that hold copies and near copies: all in one cell each, and with many blocks a length."""
+    rows = [(k, v.tolist()) for k, v in enumerate(vectors(4, 200))]
+    rows += [(1000 + k, v.tolist()) for k, v in enumerate(vectors(5, 120, 4))]
+    rows += [(2000, [1.0, 2.0]), (2001, [1.0, 2.0]), (2002, [2.0, 4.1]), (None, [1.0, 2.0]), (3000, [5.0])]
+    rows += [(4000 + k, rows[0][1][:5]) for k in range(2)]  # another length, the same first components
+    compare(make, rows + odd_rows())
+    compare(make, rows, sample=40, block=30)
