@@ -1,10 +1,10 @@
 """License scans by sentence rules: known licence sentences become identifiers, their order makes a licence.
 
 A text is cut into fragments at line ends and sentence marks, and each is normalised (case, punctuation,
-comment marks, white space). A known sentence may run over several lines, so at each fragment up to
-``MOST_LINES`` fragments are joined and looked up, the longest first. The identifiers found, in order, are held
-against licence rules, ordered lists of identifiers that have to follow each other. Column expressions only;
-texts without any word that every known sentence needs one of are passed over.
+comment marks, white space). A known sentence may run over any number of lines: the fragments are joined with
+their starts marked, and at each start the longest known sentence that ends with a fragment is taken. The
+identifiers found, in order, are held against licence rules, ordered lists of identifiers that have to follow
+each other. Column expressions only; texts without any word that every known sentence needs one of are passed over.
 """
 
 from __future__ import annotations
@@ -96,6 +96,7 @@ RULES = [
 _CONTAINED = {"BSD-2-Clause": "BSD-3-Clause"}
 #: Every known sentence has one of these.
 GATE = "(?i)licen[sc]|permi|redistribut|warrant|copyright"
+#: The SQL twin joins so many fragments at most; the expressions below have no such bound.
 MOST_LINES = 10
 _CUT = r"([.!?;:])[ \t\r]+"
 _OTHER = "[^a-z0-9.+]+"
@@ -115,6 +116,18 @@ def known_sentences() -> dict[str, str]:
     return {" ".join(fragments_of(sentence)): name for name, sentence in SENTENCES.items()}
 
 
+def _any_sentence() -> str:
+    """Group 1: the longest known sentence from a fragment's start to a fragment's end, words apart by a blank or a start.
+
+    It looks ahead only, so that each fragment start is tried, also those inside a sentence found before.
+    """
+    import re
+
+    longest_first = sorted(known_sentences(), key=len, reverse=True)
+    words = ("[ \\n]".join(re.escape(word) for word in sentence.split(" ")) for sentence in longest_first)
+    return rf"\n(?=((?:{'|'.join(words)})(?=\n|\z)))"
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -125,20 +138,12 @@ def _identifiers(text: Column) -> Column:
     )
     pieces = F.filter(plain, lambda p: p != "")
     known = F.create_map(*[F.lit(x) for pair in known_sentences().items() for x in pair])
-
-    def at(fragments: Column, i: Column) -> Column:
-        tries = [
-            F.try_element_at(known, F.array_join(F.slice(fragments, i, F.lit(n)), " ")) for n in range(MOST_LINES, 0, -1)
-        ]
-        return F.coalesce(*tries)
-
-    # A constant list of one is transformed to bind the fragments once.
-    each = F.transform(
-        F.array(pieces),
-        lambda p: F.when(F.size(p) > 0, F.filter(F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: at(p, i)), lambda x: x.isNotNull())),
+    marked = F.concat(F.lit("\n"), F.array_join(pieces, "\n"))
+    found = F.transform(
+        F.regexp_extract_all(marked, F.lit(_any_sentence()), F.lit(1)), lambda s: F.try_element_at(known, F.translate(s, "\n", " "))
     )
     none = F.array().cast("array<string>")
-    return F.when(F.coalesce(text.rlike(GATE), F.lit(False)), F.coalesce(F.element_at(each, 1), none)).otherwise(none)
+    return F.when(F.coalesce(text.rlike(GATE), F.lit(False)), found).otherwise(none)
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:

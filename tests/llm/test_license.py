@@ -58,3 +58,18 @@ def test_columns_and_empty_table(make):
     table = make([(1, "Released under the MIT License.", "x"), (1, "Released under the MIT License.", "x"), (None, "a", "x")], "doc_id long, text string, licenses string")
     assert sorted(x.licenses for x in r.scan_licenses(table).collect()) == ["", "MIT", "MIT"]
     assert r.scan_licenses(make([], "doc_id long, text string")).count() == 0
+
+
+def test_sentences_wrapped_at_any_width(make):
+    """Down to one word a line; against brute force over all runs of fragments."""
+    known = r.known_sentences()
+    whole = [" ".join(MIT), "Notes before. " + " ".join(BSD) + " Licensed under the Apache License, Version 2.0 (the \"License\");"]
+    texts = [wrap(t, width, mark) for t in whole for width in (1, 20, 30, 44, 60) for mark in (" * ", "# ")]
+    want = []
+    for text in texts:
+        f = r.fragments_of(text)
+        ends = lambda i: [n for n in range(i + 1, len(f) + 1) if " ".join(f[i:n]) in known]
+        want.append(",".join(known[" ".join(f[i : max(ends(i))])] for i in range(len(f)) if ends(i)))
+    got = scan(make, texts)
+    assert [x[1] for x in got] == want
+    assert [x[2] for x in got[:10]] == ["MIT"] * 10 and [x[2] for x in got[10:]] == ["BSD-2-Clause"] * 10
