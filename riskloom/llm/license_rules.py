@@ -96,6 +96,85 @@ RULES = [
 _CONTAINED = {"BSD-2-Clause": "BSD-3-Clause"}
 #: Every known sentence has one of these.
 GATE = "(?i)licen[sc]|permi|redistribut|warrant|copyright"
+_GNU = "can redistribute it and/or modify it under the terms of the GNU"
+_FSF = "as published by the Free Software Foundation"
+_LATER = "of the License, or (at your option) any later version."
+#: Further licences. The SQL twin stays as it was and knows those above only.
+MORE_SENTENCES = {
+    "gpl2-redistribute": f"This program is free software; you {_GNU} General Public License {_FSF}; either version 2 {_LATER}",
+    "gpl2-only": f"This program is free software; you {_GNU} General Public License {_FSF}; version 2 of the License.",
+    "gpl2-only-short": f"This program is free software; you {_GNU} General Public License version 2 {_FSF}.",
+    "lgpl2-redistribute": f"This library is free software; you {_GNU} Library General Public License {_FSF}; either version 2 {_LATER}",
+    "lgpl21-redistribute": f"This library is free software; you {_GNU} Lesser General Public License {_FSF}; either version 2.1 {_LATER}",
+    "lgpl3-redistribute": f"This program is free software: you {_GNU} Lesser General Public License {_FSF}, either version 3 {_LATER}",
+    "lgpl3-library": f"This library is free software: you {_GNU} Lesser General Public License {_FSF}, either version 3 {_LATER}",
+    "agpl3-redistribute": f"This program is free software: you {_GNU} Affero General Public License {_FSF}, either version 3 {_LATER}",
+    "lgpl-warranty": (
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+    ),
+    "mpl2-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "isc-grant": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "isc-grant-and": (
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "cc0-dedication": (
+        "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of "
+        "his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to "
+        "the extent allowed by law."
+    ),
+    "cc0-software": (
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights "
+        "to this software to the public domain worldwide."
+    ),
+    "unlicense-dedication": "This is free and unencumbered software released into the public domain.",
+}
+MORE_RULES = [
+    ("GPL-2.0-or-later", ["gpl2-redistribute", "gpl-warranty"]),
+    ("GPL-2.0-only", ["gpl2-only"]),
+    ("GPL-2.0-only", ["gpl2-only-short"]),
+    ("LGPL-2.0-or-later", ["lgpl2-redistribute", "lgpl-warranty"]),
+    ("LGPL-2.1-or-later", ["lgpl21-redistribute", "lgpl-warranty"]),
+    ("LGPL-3.0-or-later", ["lgpl3-redistribute", "gpl-warranty"]),
+    ("LGPL-3.0-or-later", ["lgpl3-library", "lgpl-warranty"]),
+    ("AGPL-3.0-or-later", ["agpl3-redistribute", "gpl-warranty"]),
+    ("MPL-2.0", ["mpl2-header"]),
+    ("ISC", ["isc-grant"]),
+    ("ISC", ["isc-grant-and"]),
+    ("CC0-1.0", ["cc0-dedication"]),
+    ("CC0-1.0", ["cc0-software"]),
+    ("Unlicense", ["unlicense-dedication"]),
+]
+#: Short notices are an opening and a name.
+_OPENINGS = ("Licensed under the", "Released under the", "Distributed under the", "This work is licensed under the")
+NOTICES = {
+    "GPL-2.0": ("GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL, version 2"),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "GNU LGPL, version 2.1"),
+    "LGPL-3.0": ("GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "GNU LGPL, version 3"),
+    "AGPL-3.0": ("GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "GNU AGPL, version 3"),
+    "MPL-2.0": ("Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "Mozilla Public License, v. 2.0"),
+    "ISC": ("ISC License",),
+    "CC0-1.0": ("Creative Commons CC0 1.0 Universal license", "CC0 1.0 license", "CC0 1.0 Universal Public Domain Dedication"),
+    "Unlicense": ("Unlicense",),
+}
+SPDX = (
+    "GPL-2.0 GPL-2.0+ GPL-2.0-only GPL-2.0-or-later GPL-3.0-only LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 LGPL-2.1+ LGPL-2.1-only "
+    "LGPL-2.1-or-later LGPL-3.0 LGPL-3.0+ LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later MPL-2.0 ISC "
+    "CC0-1.0 Unlicense BSD-2-Clause"
+).split()
+for _name, _titles in NOTICES.items():
+    for _n, (_opening, _title) in enumerate((o, t) for o in _OPENINGS for t in _titles):
+        MORE_SENTENCES[f"notice-{_name.lower()}-{_n + 1}"] = f"{_opening} {_title}."
+        MORE_RULES.append((_name, [f"notice-{_name.lower()}-{_n + 1}"]))
+for _name in SPDX:
+    MORE_SENTENCES[f"spdx-{_name.lower()}"] = f"SPDX-License-Identifier: {_name}"
+    MORE_RULES.append((_name.replace("+", "-or-later"), [f"spdx-{_name.lower()}"]))
+#: Every further sentence has one of these or of ``GATE``.
+MORE_GATE = GATE + "|unencumbered|cc0|gnu"
 #: The SQL twin joins so many fragments at most; the expressions below have no such bound.
 MOST_LINES = 10
 _CUT = r"([.!?;:])[ \t\r]+"
@@ -112,10 +191,15 @@ def fragments_of(text: str) -> list[str]:
 
 
 def known_sentences() -> dict[str, str]:
-    """Identifier by normalised sentence."""
+    """Identifier by normalised sentence, as the SQL twin knows them."""
     return {" ".join(fragments_of(sentence)): name for name, sentence in SENTENCES.items()}
 
 
+def all_sentences() -> dict[str, str]:
+    """Identifier by normalised sentence, the further licences included."""
+    return known_sentences() | {" ".join(fragments_of(sentence)): name for name, sentence in MORE_SENTENCES.items()}
+
+
 def _any_sentence() -> str:
     """Group 1: the longest known sentence from a fragment's start to a fragment's end, words apart by a blank or a start.
 
@@ -123,7 +207,7 @@ def _any_sentence() -> str:
     """
     import re
 
-    longest_first = sorted(known_sentences(), key=len, reverse=True)
+    longest_first = sorted(all_sentences(), key=len, reverse=True)
     words = ("[ \\n]".join(re.escape(word) for word in sentence.split(" ")) for sentence in longest_first)
     return rf"\n(?=((?:{'|'.join(words)})(?=\n|\z)))"
 
@@ -137,13 +221,13 @@ def _identifiers(text: Column) -> Column:
         lines, lambda line: F.rtrim(F.trim(F.regexp_replace(F.translate(line, _UPPER, _LOWER), _OTHER, " ")), F.lit("."))
     )
     pieces = F.filter(plain, lambda p: p != "")
-    known = F.create_map(*[F.lit(x) for pair in known_sentences().items() for x in pair])
+    known = F.create_map(*[F.lit(x) for pair in all_sentences().items() for x in pair])
     marked = F.concat(F.lit("\n"), F.array_join(pieces, "\n"))
     found = F.transform(
         F.regexp_extract_all(marked, F.lit(_any_sentence()), F.lit(1)), lambda s: F.try_element_at(known, F.translate(s, "\n", " "))
     )
     none = F.array().cast("array<string>")
-    return F.when(F.coalesce(text.rlike(GATE), F.lit(False)), found).otherwise(none)
+    return F.when(F.coalesce(text.rlike(MORE_GATE), F.lit(False)), found).otherwise(none)
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -155,7 +239,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _identifiers(F.col("text").cast("string")).alias("ids"))
     chain = F.array_join(F.transform("ids", lambda i: F.concat(F.lit("|"), i, F.lit("|"))), "")
-    hits = [F.when(F.instr(chain, "".join(f"|{i}|" for i in ids)) > 0, F.lit(name)) for name, ids in RULES]
+    hits = [F.when(F.instr(chain, "".join(f"|{i}|" for i in ids)) > 0, F.lit(name)) for name, ids in RULES + MORE_RULES]
     names = F.array_distinct(F.array_compact(F.array(*hits)))
     for short, longer in _CONTAINED.items():
         names = F.when(F.array_contains(names, longer), F.array_remove(names, short)).otherwise(names)

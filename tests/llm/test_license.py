@@ -73,3 +73,20 @@ def test_sentences_wrapped_at_any_width(make):
     got = scan(make, texts)
     assert [x[1] for x in got] == want
     assert [x[2] for x in got[:10]] == ["MIT"] * 10 and [x[2] for x in got[10:]] == ["BSD-2-Clause"] * 10
+
+
+def test_further_licences(make):
+    more = r.MORE_SENTENCES
+    assert len(r.all_sentences()) == len(r.SENTENCES) + len(more)
+    assert all(re.search(r.MORE_GATE, s) for s in more.values())
+    got = scan(make, [s for _, ids in r.MORE_RULES for s in (wrap(" ".join((r.SENTENCES | more)[i] for i in ids), 40),)])
+    assert [x[2] for x in got] == [name for name, _ in r.MORE_RULES]
+    texts = {
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "# SPDX-License-Identifier: GPL-2.0+": "GPL-2.0-or-later",
+        "Released under the Unlicense.": "Unlicense",
+        "// SPDX-License-Identifier: MPL-2.0\nint x;": "MPL-2.0",
+        "This is free and unencumbered software released into the public\ndomain.": "Unlicense",
+        "It was never released under the ISC License, sorry.": "",
+    }
+    assert [x[2] for x in scan(make, list(texts))] == list(texts.values())
