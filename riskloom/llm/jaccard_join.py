@@ -50,6 +50,8 @@ class Settings:
     max_frequent: int = 2**19
     #: A frequent shingle's bucket is dealt over parts of about this many members.
     part_members: int = 4096
+    #: A bucket of more members than this is met in portions, each with the bucket's pivot.
+    held_members: int = 50_000
     #: log2 of the bits that mark sets in need of verification (4 MB).
     marked_log2: int = 25
 
@@ -227,6 +229,7 @@ def _meet(s: Settings):
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: dict[str, np.ndarray] | None = None
+        cut = False  # whether members of the carried bucket were emitted before
         for batch in batches:
             new = {f: batch.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(fields)}
             rows = new if carry is None else {f: np.concatenate([carry[f], new[f]]) for f in fields}
@@ -234,15 +237,17 @@ def _meet(s: Settings):
             # Kinds of one bucket are apart in the order; light and heavy rows meet in the later step.
             starts = np.flatnonzero(np.concatenate(([True], ~same)))
             last = starts[-1]
-            yield from emit(rows, starts[:-1], last)
+            yield from emit(rows, starts[:-1], last, cut)
+            cut = cut and last == 0
             carry = {f: rows[f][last:] for f in fields}
-            if len(carry["bucket"]) > 50_000:  # a long bucket goes on with its pivot
-                yield from emit(carry, np.array([0]), len(carry["bucket"]))
+            if len(carry["bucket"]) > s.held_members:  # a long bucket goes on with its pivot
+                cut = True
+                yield from emit(carry, np.array([0]), len(carry["bucket"]), cut)
                 carry = {f: carry[f][:1] for f in fields}
         if carry is not None:
-            yield from emit(carry, np.array([0]), len(carry["bucket"]))
+            yield from emit(carry, np.array([0]), len(carry["bucket"]), cut)
 
-    def emit(rows: dict, starts: np.ndarray, end: int) -> Iterator[pa.RecordBatch]:
+    def emit(rows: dict, starts: np.ndarray, end: int, cut: bool) -> Iterator[pa.RecordBatch]:
         if not len(starts):
             return
         sizes = np.diff(starts, append=end)
@@ -257,7 +262,8 @@ def _meet(s: Settings):
             different = (one["k1"] != two["k1"]) | (one["k2"] != two["k2"])
             ok = different & _meets(one, two, s.percent)
             a, b = a[ok], b[ok]
-        big = sizes[group[members]] > 2
+        # What is left of a cut bucket belongs to a big one, however little it is.
+        big = (sizes[group[members]] > 2) | (cut & (group[members] == 0))
         members = members[big | (rows["kind"][members] % 4 >= _LIGHT)]
         yield table(rows, a, b)
         yield table(rows, members, None)

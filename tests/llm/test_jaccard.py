@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from riskloom.llm import jaccard_join as j
 from riskloom.llm.graph import connected_components
@@ -104,3 +105,20 @@ def test_components(make):
             parent[max(a, b)] = min(a, b)
     got = {r.node: r.component for r in connected_components(make(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in parent}
+
+
+def test_a_cut_bucket_keeps_its_last_member():
+    """A bucket that goes on over several batches, whatever is left of it after a cut, gives all its members."""
+    for held in (2, 3, 5):
+        for n in range(3, 12):
+            for step in (1, 2, 4):
+                # A bucket before, of two: no members; the long one; one alone after it.
+                buckets = [1, 1] + [2] * n + [3]
+                columns = [np.array(buckets), np.arange(len(buckets)), np.arange(len(buckets))]
+                columns += [np.full(len(buckets), v, dtype=np.int32) for v in (j._RARE, 50, 0)]
+                whole = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "k1", "k2", "kind", "n", "pos"])
+                batches = [whole.slice(k, step) for k in range(0, len(buckets), step)]
+                rows = [r for b in j._meet(j.Settings(held_members=held))(iter(batches)) for r in b.to_pylist()]
+                members = {(r["bucket"], r["k1"]) for r in rows if r["big"]}
+                assert members == {(2, k) for k in range(2, n + 2)}, (held, n, step)
+                assert {r["k1"] for r in rows if not r["big"]} == {1, *range(3, n + 2)}
