@@ -14,9 +14,11 @@ from riskloom.llm.jaccard_join import jaccard_components
 from riskloom.llm.license_rules import LICENSE_SQL, scan_licenses
 from riskloom.llm.line_dedup import LINE_DEDUP_SQL, dedup_lines
 from riskloom.llm.mixing import mix_sources
+from riskloom.llm.rendezvous import SHARD_SQL, assign_shards
 from riskloom.llm.sentencepiece_viterbi import encode
 from riskloom.llm.toxicity import fit, score_toxicity
 from riskloom.llm.warc import WARC_SQL, archive_pages
+from riskloom.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +68,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op11_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_compression_bands": op1_compression_bands,
     "op2_toxicity": op2_toxicity,
@@ -77,6 +87,8 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_html_layout": op9_html_layout,
     "op10_line_dedup": op10_line_dedup,
+    "op11_rendezvous": op11_rendezvous,
+    "op12_whitening": op12_whitening,
 }
 SQL: dict[str, str] = {
     "op3_license_rules": LICENSE_SQL,
@@ -84,4 +96,5 @@ SQL: dict[str, str] = {
     "op7_jaccard_join": JACCARD_SQL,
     "op8_warc": WARC_SQL,
     "op10_line_dedup": LINE_DEDUP_SQL,
+    "op11_rendezvous": SHARD_SQL,
 }
