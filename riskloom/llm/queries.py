@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskloom.llm.collocations import COLLOCATION_SQL, collocations
 from riskloom.llm.component_sql import EMBEDDING_SQL, JACCARD_SQL
 from riskloom.llm.compression import compression_bands
 from riskloom.llm.cover_tree import near_duplicates
@@ -76,6 +77,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_compression_bands": op1_compression_bands,
     "op2_toxicity": op2_toxicity,
@@ -89,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_rendezvous": op11_rendezvous,
     "op12_whitening": op12_whitening,
+    "op13_collocations": op13_collocations,
 }
 SQL: dict[str, str] = {
     "op3_license_rules": LICENSE_SQL,
@@ -97,4 +103,5 @@ SQL: dict[str, str] = {
     "op8_warc": WARC_SQL,
     "op10_line_dedup": LINE_DEDUP_SQL,
     "op11_rendezvous": SHARD_SQL,
+    "op13_collocations": COLLOCATION_SQL,
 }
