@@ -13,14 +13,21 @@ Which path survives at a boundary depends on the model:
   boundary the one piece survives that is compatible with the survivor at its start, and pieces need not be
   merged over the whole text.
 
+Candidates for a boundary come from a walk backwards through a trie of reversed pieces, which ends where no
+piece goes on.
+
 No piece holds the space mark after another character (checked when the model is loaded), so all paths
-converge before each space mark that follows another character. The stretches between are short and repeat;
-their ids are remembered in a bounded table.
+converge before each space mark that follows another character, and around characters that no piece joins to
+others, whatever the window still holds. What the window has found between two such places is remembered in
+a bounded table, as stretches repeat.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from array import array
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +35,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import long_lists
+from riskloom.llm.common import portions
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Stretches and piece pairs each table holds, of up to ``_SHORT`` characters: some 150 MB at most in a worker.
-REMEMBERED = 500_000
+#: Stretches and piece pairs each table holds, stretches of up to ``_SHORT`` characters: some 100 MB in a worker.
+REMEMBERED = 400_000
 _SHORT = 64
 UNIGRAM, BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
@@ -41,6 +48,15 @@ _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 UNKNOWN_PENALTY = 10.0
 
 
+def _reversed_trie(ids: dict[str, int]) -> dict:
+    """Pieces from their last character to their first: a character leads to (trie, id or -1)."""
+    ends: dict[str, list] = {"": [{}, -1]}
+    for piece in sorted({p[k:] for p in ids for k in range(len(p))}, key=len):
+        ends[piece] = [{}, ids.get(piece, -1)]
+        ends[piece[1:]][0][piece[0]] = ends[piece]
+    return ends[""][0]
+
+
 class PieceModel:
     """Pieces, scores and normaliser settings of a model file. Only the identity normaliser is known."""
 
@@ -64,55 +80,85 @@ class PieceModel:
         self.types = [p.type for p in model.pieces]
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == _NORMAL}
         self.scores = {p.piece: p.score for p in model.pieces if p.type == _NORMAL}
+        self.score_of = [p.score for p in model.pieces]
+        self.backwards = _reversed_trie(self.ids)
         self.unknown = next(i for i, t in enumerate(self.types) if t == _UNKNOWN)
         self.bytes = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == _BYTE}
         self.longest = max(map(len, self.ids), default=1)
         self.words_apart = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        # Runs of characters that no piece joins to others, known or not: paths converge on both sides of them.
+        joined = {c for p in self.ids if len(p) > 1 for c in p} | {SPACE}
+        self.apart = re.compile("([^" + "".join(map(re.escape, sorted(joined))) + "]+)")
         self.unknown_score = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
 
 
 class Encoder:
+    """Ids of texts. Inside, a piece is its id, an unknown character ``-2 - ord``, and -1 the start of a text."""
+
     def __init__(self, model: PieceModel, remembered: int = REMEMBERED):
         self.model = model
         self.remembered = remembered
-        self._known: dict[str, tuple[int, ...]] = {}
-        self._pairs: dict[tuple[str, str], bool] = {}
-        self._id_pairs: dict[int, bool] = {}
-        self._long: list[str] = []
-        self._survivor = self._by_score if model.kind == UNIGRAM else self._by_merges
+        self._known: dict[str, bytes] = {}
+        self._pairs: dict[int, bool] = {}
+        self._survivors = self._by_score if model.kind == UNIGRAM else self._by_merges
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_many([text])[0]
+        return np.frombuffer(self.encode_packed([text])[0], dtype=np.int32).tolist()
 
     def encode_many(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text. What its stretches have not taught yet is learnt in alphabetical order first."""
+        return [np.frombuffer(ids, dtype=np.int32).tolist() for ids in self.encode_packed(texts)]
+
+    def encode_packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit numbers. What its stretches have not taught yet is found first."""
         if not self.model.words_apart:
-            marked = [self._marked(t) for t in texts]
-            return [[i for piece in self.pieces(m) for i in self._ids(piece)] for m in marked]
+            return [self._packed(self._window(self._marked(t))) for t in texts]
         split = [self._stretches(self._marked(t)) if t else [] for t in texts]
-        self._learn(set().union(*split) - self._known.keys())
-        known, out = self._known, []
-        for stretches in split:
-            ids: list[int] = []
-            extend = ids.extend
-            for stretch in stretches:
-                extend(known[stretch])
-            out.append(ids)
-        if len(known) >= self.remembered:
-            known.clear()
+        used = set().union(*split)
+        known = self._known
+        self._learn(used - known.keys())
+        out = [b"".join(map(known.__getitem__, stretches)) for stretches in split]
+        if len(known) >= self.remembered:  # what these texts used is what the next are likely to
+            self._known = {x: known[x] for x in used if len(x) <= _SHORT} if len(used) < self.remembered else {}
         else:
-            for stretch in [x for x in self._long if x in known]:
+            for stretch in [x for x in used if len(x) > _SHORT]:
                 del known[stretch]
-        self._long.clear()
         return out
 
+    def _learn(self, stretches: set[str]) -> None:
+        """Ids of new stretches. Neighbours in the alphabet share their first boundaries and survivors."""
+        last, back, best, before = [-1], [0], [0.0], ""
+        for text in sorted(stretches):
+            if len(text) > _SHORT:
+                self._known[text] = self._packed(self._window(text))
+                continue
+            same, most = 0, min(len(text), len(before))
+            while same < most and text[same] == before[same]:
+                same += 1
+            del last[same + 1 :], back[same + 1 :], best[same + 1 :]
+            self._survivors(text, last, back, best)
+            self._known[text] = self._packed(self._path(last, back, len(text)))
+            before = text
+
     def _marked(self, text: str) -> str:
         if not text:
             return ""
         return (SPACE if self.model.dummy_prefix else "") + text.replace(" ", SPACE)
 
+    def _stretches(self, marked: str) -> list[str]:
+        """The text cut where paths converge in any case."""
+        segments = self.model.apart.split(marked)
+        if len(segments) == 1:
+            return self._words(marked)
+        out = []
+        for n, segment in enumerate(segments):
+            if n % 2:
+                out.append(segment)
+            elif segment:
+                out += self._words(segment)
+        return out
+
     @staticmethod
-    def _stretches(marked: str) -> list[str]:
+    def _words(marked: str) -> list[str]:
         """The text cut before each space mark that follows another character."""
         parts = marked.split(SPACE)
         if "" not in parts[1:]:
@@ -126,91 +172,42 @@ class Encoder:
                 pending = ""
         return out
 
-    def _learn(self, stretches: set[str]) -> None:
-        """Ids of new stretches. Neighbours in the alphabet share their first boundaries and survivors."""
-        known = self._known
-        if self.model.kind != BPE:
-            for stretch in stretches:
-                known[stretch] = tuple(i for piece in self.pieces(stretch) for i in self._ids(piece))
-                if len(stretch) > _SHORT:
-                    self._long.append(stretch)
-            return
-        get, pairs, longest = self.model.ids.get, self._id_pairs, self.model.longest
-        last, back, before = [-1] * (_SHORT + 1), [0] * (_SHORT + 1), ""
-        for text in sorted(stretches):
-            n = len(text)
-            if n > _SHORT:
-                known[text] = tuple(i for piece in self.pieces(text) for i in self._ids(piece))
-                self._long.append(text)
-                continue
-            same, most = 0, min(n, len(before))
-            while same < most and text[same] == before[same]:
-                same += 1
-            for end in range(same + 1, n + 1):
-                for start in range(0 if end <= longest else end - longest, end):
-                    piece = get(text[start:end])
-                    if piece is None:
-                        continue
-                    pair = last[start] << 20 | piece
-                    fits = pairs.get(pair)
-                    if fits is None:
-                        fits = self._fits(last[start], piece, pair)
-                    if fits:
-                        last[end], back[end] = piece, start
-                        break
-                else:  # an unknown character: the long way, and nothing to share
-                    known[text] = tuple(i for piece in self.pieces(text) for i in self._ids(piece))
-                    before = text[: end - 1]
-                    break
+    def _packed(self, pieces: Iterable[int]) -> bytes:
+        found = array("i")
+        for piece in pieces:
+            if piece >= 0:
+                found.append(piece)
+            elif self.model.byte_fallback:
+                found.extend(self.model.bytes[b] for b in chr(-2 - piece).encode())
             else:
-                found, end = [], n
-                while end:
-                    found.append(last[end])
-                    end = back[end]
-                known[text] = tuple(found[::-1])
-                before = text
+                found.append(self.model.unknown)
+        return found.tobytes()
 
-    def _fits(self, one: int, two: int, pair: int) -> bool:
-        pieces = self.model.pieces
-        if len(self._id_pairs) >= self.remembered:
-            self._id_pairs.clear()
-        fits = self._id_pairs[pair] = self._compatible("" if one < 0 else pieces[one], pieces[two], keep=False)
-        return fits
+    def pieces(self, text: str) -> Iterator[str]:
+        return map(self._surface, self._window(text))
 
-    def _ids(self, piece: str) -> tuple[int, ...]:
-        model = self.model
-        if piece in model.ids:
-            return (model.ids[piece],)
-        if model.byte_fallback:
-            return tuple(model.bytes[b] for b in piece.encode())
-        return (model.unknown,)
+    def _surface(self, piece: int) -> str:
+        return self.model.pieces[piece] if piece >= 0 else chr(-2 - piece) if piece < -1 else ""
 
-    def pieces(self, text: str) -> Iterator[str]:
+    def _window(self, text: str) -> Iterator[int]:
         """The pieces in order, each as soon as no path in the window can do without it."""
-        longest, ids, survivor = self.model.longest, self.model.ids, self._survivor
-        # Boundary k of the text is held at k - base: score, length of the piece that ends there, the piece.
-        base, best, back, piece_at = 0, [0.0], [0], [""]
-        for end in range(1, len(text) + 1):
-            low = max(base, end - longest)
-            candidates = [text[s:end] for s in range(low, end) if text[s:end] in ids]
-            if not candidates or len(candidates[-1]) != 1:
-                candidates.append(text[end - 1 : end])  # an unknown character stands for itself
-            score, piece = survivor(candidates, end - base, best, piece_at)
-            best.append(score)
-            back.append(len(piece))
-            piece_at.append(piece)
-            if len(best) > 4 * longest:
-                meet = self._meeting(back, longest)
-                if meet:
-                    yield from self._path(back, piece_at, meet)
-                    base += meet
-                    del best[:meet], back[:meet], piece_at[:meet]
-        yield from self._path(back, piece_at, len(back) - 1)
+        longest = self.model.longest
+        # For each boundary held: the piece that ends there, the length of its text, the score of the path.
+        last, back, best = [-1], [0], [0.0]
+        survivors, held = self._survivors, 0
+        while held < len(text):
+            portion = min(len(text), held + 4 * longest)
+            survivors(text[held - len(last) + 1 : portion], last, back, best)
+            held = portion
+            if held < len(text) and (meet := self._meeting(back, longest)):
+                yield from self._path(last, back, meet)
+                del last[:meet], back[:meet], best[:meet]
+        yield from self._path(last, back, len(back) - 1)
 
     @staticmethod
     def _meeting(back: list[int], longest: int) -> int:
         """The last boundary on the paths of all boundaries that a later piece can start from."""
-        ends = set(range(len(back) - longest, len(back)))
+        ends = set(range(max(0, len(back) - longest), len(back)))
         while len(ends) > 1:
             latest = max(ends)
             ends.remove(latest)
@@ -218,35 +215,62 @@ class Encoder:
         return ends.pop()
 
     @staticmethod
-    def _path(back: list[int], piece_at: list[str], end: int) -> list[str]:
+    def _path(last: list[int], back: list[int], end: int) -> list[int]:
         out = []
         while end > 0:
-            out.append(piece_at[end])
+            out.append(last[end])
             end -= back[end]
         return out[::-1]
 
-    def _by_score(self, candidates: list[str], end: int, best: list[float], piece_at: list[str]) -> tuple[float, str]:
-        scores, worst = self.model.scores, self.model.unknown_score
-        return max(((best[end - len(c)] + scores.get(c, worst), c) for c in candidates), key=lambda x: x[0])
-
-    def _by_merges(self, candidates: list[str], end: int, best: list[float], piece_at: list[str]) -> tuple[float, str]:
-        pairs = self._pairs
-        for piece in candidates:
-            pair = (piece_at[end - len(piece)], piece)
-            fits = pairs.get(pair)
-            if fits is None:
-                fits = self._compatible(*pair)
-            if fits:
-                return 0.0, piece
-        raise AssertionError("no piece fits")
-
-    def _compatible(self, one: str, two: str, keep: bool = True) -> bool:
-        wanted = [one, two] if one else [two]
-        fits = self._merged(one + two) == wanted
-        if keep:
-            if len(self._pairs) >= self.remembered:
-                self._pairs.clear()
-            self._pairs[(one, two)] = fits
+    def _by_score(self, text: str, last: list[int], back: list[int], best: list[float]) -> None:
+        """Goes on to the end of ``text``, of which ``last`` has the boundaries up to some place."""
+        trie, score_of, unknown = self.model.backwards, self.model.score_of, self.model.unknown_score
+        for end in range(len(last), len(text) + 1):
+            node, start, top = trie, end, None
+            while start and (found := node.get(text[start - 1])):
+                node, piece = found
+                start -= 1
+                if piece < 0:
+                    continue
+                score = best[start] + score_of[piece]
+                if top is None or score >= top[0]:
+                    top = score, piece, start
+            if trie.get(text[end - 1], (None, -1))[1] < 0:
+                score = best[end - 1] + unknown
+                if top is None or score > top[0]:
+                    top = score, -2 - ord(text[end - 1]), end - 1
+            best.append(top[0])
+            last.append(top[1])
+            back.append(end - top[2])
+
+    def _by_merges(self, text: str, last: list[int], back: list[int], best: list[float]) -> None:
+        """As ``_by_score``: the one compatible piece; where no piece is, the character is unknown."""
+        trie, pairs = self.model.backwards, self._pairs
+        for end in range(len(last), len(text) + 1):
+            node, start = trie, end
+            while start and (found := node.get(text[start - 1])):
+                node, piece = found
+                start -= 1
+                if piece < 0:
+                    continue
+                pair = last[start] << 32 | piece
+                fits = pairs.get(pair)
+                if fits is None:
+                    fits = self._fits(last[start], piece, pair)
+                if fits:
+                    last.append(piece)
+                    back.append(end - start)
+                    break
+            else:
+                last.append(-2 - ord(text[end - 1]))
+                back.append(1)
+            best.append(0.0)
+
+    def _fits(self, one: int, two: int, pair: int) -> bool:
+        if len(self._pairs) >= self.remembered:
+            self._pairs.clear()
+        before, after = self._surface(one), self._surface(two)
+        fits = self._pairs[pair] = self._merged(before + after) == ([before, after] if before else [after])
         return fits
 
     def _merged(self, text: str) -> list[str]:
@@ -275,31 +299,25 @@ class Decoder:
 
     def decode(self, ids) -> str:
         surface = self._surface
-        joined = b"".join([surface[i] for i in ids])
+        joined = b"".join(map(surface.__getitem__, ids))
         if self.model.dummy_prefix and joined.startswith(b" "):
             joined = joined[1:]
         return joined.decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=2)
+def _tools(model: bytes) -> tuple[Encoder, Decoder]:
+    """Encoder and decoder of a worker: what they remember serves its later tasks too."""
+    pieces = PieceModel(model)
+    return Encoder(pieces), Decoder(pieces)
+
+
 def read_model(path: str = MODEL_PATH) -> bytes:
     """A model file on the driver; it goes to the tasks with the code (about half a megabyte)."""
     with open(path, "rb") as file:
         return file.read()
 
 
-def _portions(batch: pa.RecordBatch, most: int = 8 * 2**20) -> Iterator[pa.RecordBatch]:
-    """Slices of about ``most`` bytes of the second column, one row at least; ids take several times the text."""
-    start, held = 0, 0
-    sizes = pc.fill_null(pc.binary_length(batch.column(1)) if pa.types.is_string(batch.column(1).type) else pc.list_value_length(batch.column(1)), 0)
-    for row, size in enumerate(sizes.to_pylist()):
-        if held and held + size > most:
-            yield batch.slice(start, row - start)
-            start, held = row, 0
-        held += size
-    if batch.num_rows > start:
-        yield batch.slice(start)
-
-
 def encode(docs: DataFrame, model: bytes | None = None) -> DataFrame:
     """doc_id, n_tokens, ids and decoded_ok per row of ``docs`` (doc_id, text; others are ignored). No shuffle.
 
@@ -311,28 +329,27 @@ def encode(docs: DataFrame, model: bytes | None = None) -> DataFrame:
     schema = "doc_id long, n_tokens long, ids array<int>, decoded_ok boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = PieceModel(held)
-        encoder, decoder = Encoder(pieces), Decoder(pieces)
-        for whole in batches:
-            for batch in _portions(whole):
-                found, right = [], []
-                texts = batch.column(1).to_pylist()
-                for text, ids in zip(texts, encoder.encode_many([t or "" for t in texts]), strict=True):
-                    right.append(None if text is None else decoder.decode(ids) == text.replace(SPACE, " "))
-                    found.append(None if text is None else np.array(ids, dtype=np.int32))
-                lists = long_lists([np.zeros(0, np.int32) if f is None else f for f in found], pa.int32())
-                if None in right:
-                    mask = pa.array([f is None for f in found])
-                    lists = pa.ListArray.from_arrays(lists.offsets, lists.values, mask=mask)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        pa.array([None if f is None else len(f) for f in found], pa.int64()),
-                        lists,
-                        pa.array(right, pa.bool_()),
-                    ],
-                    names=["doc_id", "n_tokens", "ids", "decoded_ok"],
-                )
+        encoder, decoder = _tools(held)
+        for batch in portions(batches, "text"):
+            texts = batch.column(1).to_pylist()
+            packed = encoder.encode_packed([t or "" for t in texts])
+            right = [
+                None if text is None else decoder.decode(np.frombuffer(ids, np.int32).tolist()) == text.replace(SPACE, " ")
+                for text, ids in zip(texts, packed, strict=True)
+            ]
+            missing = pa.array([t is None for t in texts])
+            counts = np.array([len(ids) // 4 for ids in packed], dtype=np.int64)
+            offsets = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
+            ids = pa.Array.from_buffers(pa.int32(), int(counts.sum()), [None, pa.py_buffer(b"".join(packed))])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pc.if_else(missing, None, pa.array(counts)),
+                    pa.ListArray.from_arrays(offsets, ids, mask=missing),
+                    pa.array(right, pa.bool_()),
+                ],
+                names=["doc_id", "n_tokens", "ids", "decoded_ok"],
+            )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -342,9 +359,10 @@ def decode(encoded: DataFrame, model: bytes | None = None) -> DataFrame:
     held = read_model() if model is None else model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(PieceModel(held))
+        _, decoder = _tools(held)
         for whole in batches:
-            for batch in _portions(whole):
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
                 texts = [None if ids is None else decoder.decode(ids) for ids in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
