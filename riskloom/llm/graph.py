@@ -1,20 +1,27 @@
 """Connected components by alternating large-star and small-star steps over an edge table.
 
-Every step is a grouped minimum and an equi-join between written tables, so a node with very many
-edges is split by adaptive execution and nothing is gathered per component.
+A step deals each edge to one of its nodes and reads a node's edges in order, the least neighbour first, so
+a task holds one row of a node however many edges it has. Nodes of very many edges are dealt over parts, each
+with the node's smaller neighbours.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import materialize
 
-MAX_ROUNDS = 60
+#: A node that is the smaller end of more edges than this, and of more than one in ``HEAVY_SHARE``, is dealt
+#: over ``HEAVY_PARTS`` parts. So there are at most ``HEAVY_SHARE`` such nodes.
+HEAVY_EDGES = 100
+HEAVY_SHARE = 500
+HEAVY_PARTS = 16
 
 
 def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,36 +46,103 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def _step(edges: DataFrame) -> DataFrame:
+def _differs(x: pa.Array) -> np.ndarray:
+    return pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)).to_numpy(zero_copy_only=False)
+
+
+def _star(emit: Callable[[pa.Array, pa.Array, pa.Array, np.ndarray], tuple[pa.Array, pa.Array]]):
+    """Rows (node, part, other) come in order. ``emit`` gets nodes, others, the least of both of each group for
+    each row, and which rows are the first of their group; it gives the new edges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None  # the last row and its group's least
+        for batch in batches:
+            node, part, other = batch.columns
+            if not len(node):
+                continue
+            new = np.ones(len(node), dtype=bool)
+            new[1:] = _differs(node) | _differs(part)
+            again = np.zeros(len(node), dtype=bool)
+            again[1:] = ~new[1:] & ~_differs(other)
+            first = np.flatnonzero(new)
+            group = np.cumsum(new) - 1
+            least = pc.min_element_wise(node.take(pa.array(first)), other.take(pa.array(first)))
+            if before is not None and (node[0], part[0]) == before[:2]:
+                new[0], again[0] = False, other[0] == before[2]
+                least = pa.concat_arrays([pa.array([before[3].as_py()], node.type), least.slice(1)])
+            low = least.take(pa.array(group))
+            before = node[-1], part[-1], other[-1], low[-1]
+            keep = pa.array(~again)
+            a, b = emit(node.filter(keep), other.filter(keep), low.filter(keep), new[~again])
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+
+    return run
+
+
+def _large(node: pa.Array, other: pa.Array, low: pa.Array, first: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    greater = pc.greater(other, node)
+    return other.filter(greater), low.filter(greater)
+
+
+def _small(node: pa.Array, other: pa.Array, low: pa.Array, first: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    ends = pc.if_else(pa.array(first), node, other)
+    apart = pc.not_equal(ends, low)
+    return ends.filter(apart), low.filter(apart)
+
+
+def _dealt_both_ways(edges: DataFrame, size: int) -> DataFrame:
+    """(node, part, other) of every edge from both ends; a heavy node's greater neighbours over parts, its
+    smaller ones in each."""
+    most = max(HEAVY_EDGES, 2 * size // HEAVY_SHARE)
+    heavy = [r.b for r in edges.groupBy("b").count().filter(F.col("count") > most).select("b").collect()]
+    zero = F.lit(0)
+    if not heavy:
+        ends = F.array(F.struct(F.col("a").alias("node"), zero.alias("part"), F.col("b").alias("other")),
+                       F.struct(F.col("b").alias("node"), zero.alias("part"), F.col("a").alias("other")))
+        return edges.select(F.inline(ends))
+    spread = F.pmod(F.xxhash64("a"), F.lit(HEAVY_PARTS)).cast("int")
+    every = F.when(F.col("a").isin(heavy), F.array(*map(F.lit, range(HEAVY_PARTS)))).otherwise(F.array(zero))
+    down = edges.select(F.col("a").alias("node"), F.explode(every).alias("part"), F.col("b").alias("other"))
+    up = edges.select(F.col("b").alias("node"), F.when(F.col("b").isin(heavy), spread).otherwise(zero).alias("part"), F.col("a").alias("other"))
+    return down.unionByName(up)
+
+
+def _step(edges: DataFrame, size: int) -> DataFrame:
     """Large-star then small-star; edges hold a > b."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    large = large.distinct()
-    low = large.groupBy("a").agg(F.min("b").alias("m"))
-    small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b")
-    return small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+    order = ["node", "part", "other"]
+    both = _dealt_both_ways(edges, size).repartition("node", "part").sortWithinPartitions(*order)
+    large = both.mapInArrow(_star(_large), edges.schema)
+    down = large.select(F.col("a").alias("node"), F.lit(0).alias("part"), F.col("b").alias("other"))
+    return down.repartition("node").sortWithinPartitions(*order).mapInArrow(_star(_small), edges.schema)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); the component is its smallest node.
 
-    Ids are longs or strings, compared in Spark's order. Rows with a null end or a loop are ignored.
+    Ids are longs or strings, compared in Spark's order. Rows with a null end or a loop are ignored. Steps go on
+    until nothing changes; labels only fall, so that comes.
     """
-    spark = edges.sparkSession
     clean = edges.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     forest = clean.mapInArrow(_local_forest, clean.schema)
     current = materialize(forest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         now = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark or now[0] == 0:
             break
         mark = now
-        current = materialize(_step(current))
-    else:
-        raise RuntimeError("components did not settle")
+        current = materialize(_step(current, now[0]))
     roots = current.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return spark.createDataFrame([], roots.schema).unionByName(
-        current.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    ).unionByName(roots)
+    return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def joined_components(components: DataFrame, edges: DataFrame) -> DataFrame:
+    """``components`` (node, component) after more edges (a, b): only edges between components are worked on."""
+    names = [components.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")) for end in ("a", "b")]
+    ends = edges.select("a", "b").distinct().join(names[0], "a", "left").join(names[1], "b", "left")
+    ends = materialize(ends.select("a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b")))
+    found = materialize(connected_components(ends.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))))
+    single = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(components, "node", "left_anti")
+    whole = components.unionByName(single.select("node", F.col("node").alias("component")))
+    renamed = found.select(F.col("node").alias("component"), F.col("component").alias("now"))
+    return whole.join(renamed, "component", "left").select("node", F.coalesce("now", "component").alias("component"))

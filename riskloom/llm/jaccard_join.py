@@ -27,11 +27,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import long_lists, materialize, portions
-from riskloom.llm.graph import connected_components
+from riskloom.llm.graph import connected_components, joined_components
 from riskloom.llm.shingles import mix, shingle_set
 
 
@@ -60,6 +60,7 @@ _RARE, _COMBINED, _LIGHT, _HEAVY = 0, 1, 2, 3
 _POSTING = "bucket long, k1 long, k2 long, kind int, n int, pos int"
 _CANDIDATE = "big boolean, bucket long, k1 long, k2 long, kind int, n int, pos int, o1 long, o2 long, on int"
 _PARITIES = 2048
+_NO_ID = -(2**63)
 _U64 = np.uint64
 
 
@@ -280,26 +281,23 @@ def _meet(s: Settings):
 
 
 def _marked_sets(s: Settings, marks):
-    """(k1, k2, tokens) of the rows whose doc_id is marked or null, and of some others."""
+    """(k1, k2, id, tokens) of the rows whose doc_id is marked or null, and of some others."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(marks.value, dtype=np.uint8)
         for batch in portions(batches, "text"):
             at = batch.column(0).fill_null(0).to_numpy() & (2**s.marked_log2 - 1)
             wanted = (bits[at >> 3] >> (at & 7) & 1).astype(bool) | batch.column(0).is_null().to_numpy(zero_copy_only=False)
-            keys, sets, seen = [], [], set()
+            ids = batch.column(0).fill_null(_NO_ID).to_pylist()
+            keys, sets = [], []
             for row in np.flatnonzero(wanted).tolist():
                 tokens = shingle_set(batch.column(1)[row].as_py() or b"", s.size)
-                if len(tokens) < 2 or (key := _key(tokens)) in seen:
-                    continue
-                seen.add(key)
-                keys.append(key)
-                sets.append(tokens.view(np.int64))
+                if len(tokens) > 1:
+                    keys.append((*_key(tokens), ids[row]))
+                    sets.append(tokens.view(np.int64))
             if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), long_lists(sets, pa.int64())],
-                    names=["k1", "k2", "tokens"],
-                )
+                columns = [pa.array([k[i] for k in keys], pa.int64()) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*columns, long_lists(sets, pa.int64())], names=["k1", "k2", "id", "tokens"])
 
     return find
 
@@ -339,34 +337,58 @@ def _least_overlap(total, s: Settings):
     return F.floor((s.percent * total + whole - 1) / F.lit(float(whole)) + 1e-9).cast("long")
 
 
-def _sets(pairs: DataFrame, narrow: DataFrame, s: Settings, known: DataFrame | None = None) -> DataFrame:
-    """(k1, k2, tokens) of the ends of pairs, from the texts, but for those already ``known``."""
+def _named(row: str, key: str) -> Column:
+    """A doc_id that stands for an entity; entities of rows without one share a name."""
+    return F.coalesce(F.col(row), F.lit(_NO_ID)).alias(key)
+
+
+def _repeated(described: DataFrame) -> DataFrame:
+    """(k1, k2, id) that several rows have: those that repeat doc_id and text, and copies without doc_id."""
+    rows = described.filter("kind = 0 AND n > 1").select("k1", "k2", _named("id", "id"))
+    return materialize(rows.groupBy("k1", "k2", "id").count().filter("count > 1").select("k1", "k2", "id"))
+
+
+def _sets(pairs: DataFrame, narrow: DataFrame, repeated: DataFrame, s: Settings) -> DataFrame:
+    """(k1, k2, id, tokens) of the ends of pairs and of some others, from the texts, each once.
+
+    A set is written where its text is read and dealt out only to be verified.
+    """
     spark = pairs.sparkSession
-    other = pairs.select(F.col("o1").alias("k1"), F.col("o2").alias("k2"), F.col("other_id").alias("id"))
-    ends = pairs.select("k1", "k2", "id").union(other)
-    if known is not None:
-        ends = ends.join(known.select("k1", "k2"), ["k1", "k2"], "left_anti")
-    marks = spark.sparkContext.broadcast(_marks(ends.filter("id IS NOT NULL"), s.marked_log2))
-    found = narrow.mapInArrow(_marked_sets(s, marks), "k1 long, k2 long, tokens array<long>")
-    return materialize(found.dropDuplicates(["k1", "k2"]))
+    ends = pairs.select("id").union(pairs.select("other_id")).filter("id IS NOT NULL")
+    marks = spark.sparkContext.broadcast(_marks(ends, s.marked_log2))
+    found = narrow.mapInArrow(_marked_sets(s, marks), "k1 long, k2 long, id long, tokens array<long>")
+    if repeated.isEmpty():
+        return materialize(found)
+    on = ["k1", "k2", "id"]
+    once, again = found.join(repeated, on, "left_anti"), found.join(repeated, on, "left_semi")
+    return materialize(once.unionByName(again.dropDuplicates(on)))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """The pairs whose whole sets are similar, as (a, b) node names."""
-    left = sets.withColumnRenamed("tokens", "x")
-    right = sets.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("tokens").alias("y"))
-    joined = pairs.select(*_PAIR).join(left, ["k1", "k2"]).join(right, ["o1", "o2"])
-    shared = F.size(F.array_intersect("x", "y")).cast("long")
-    union = F.size("x") + F.size("y") - shared
+    """The pairs whose whole sets are similar, as (a, b) node names.
+
+    Both joins read one dealing of ``sets``; the left ends' sets then travel once more to the right ends.
+    """
+    x, y = sets.alias("x"), sets.alias("y")
+    ends = pairs.select(*_PAIR, _named("id", "id"), _named("other_id", "other_id")).alias("p")
+    joined = ends.join(x, [F.col(f"p.{k}") == F.col(f"x.{k}") for k in ("k1", "k2", "id")])
+    joined = joined.select("p.*", F.col("x.tokens").alias("mine")).alias("p")
+    other = {"o1": "k1", "o2": "k2", "other_id": "id"}
+    joined = joined.join(y, [F.col(f"p.{o}") == F.col(f"y.{k}") for o, k in other.items()])
+    joined = joined.select(*[f"p.{c}" for c in _PAIR], "mine", F.col("y.tokens").alias("others"))
+    shared = F.size(F.array_intersect("mine", "others")).cast("long")
+    union = F.size("mine") + F.size("others") - shared
     linked = joined.filter(100 * shared >= s.percent * union)
     return materialize(linked.select(_node("k1", "k2").alias("a"), _node("o1", "o2").alias("b")))
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
     """For each set of ``pairs`` the pair with the fewest differing parities."""
-    turned = pairs.select(F.col("o1").alias("k1"), F.col("o2").alias("k2"), F.col("k1").alias("o1"), F.col("k2").alias("o2"), "differ")
-    best = pairs.select(*_PAIR, "differ").union(turned).groupBy("k1", "k2").agg(F.min(F.struct("differ", "o1", "o2")).alias("p"))
-    return _distinct_pairs(best.select("k1", "k2", "p.o1", "p.o2"))
+    turns = {"k1": "o1", "k2": "o2", "id": "other_id", "o1": "k1", "o2": "k2", "other_id": "id"}
+    held = pairs.select(*turns, "differ")
+    turned = held.select(*[F.col(y).alias(x) for x, y in turns.items()], "differ")
+    best = held.union(turned).groupBy("k1", "k2").agg(F.min(F.struct("differ", "o1", "o2", "other_id", "id")).alias("p"))
+    return _distinct_pairs(best.select("k1", "k2", "p.id", "p.o1", "p.o2", "p.other_id"))
 
 
 def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
@@ -378,17 +400,15 @@ def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
     return named.filter(F.coalesce("c", "node") != F.coalesce("d", "other")).select(*pairs.columns)
 
 
-def _joined(pairs: DataFrame, sets: DataFrame, links: DataFrame | None, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """Links and components with those of ``pairs``. Whole sets travel for one pair per set first, the nearest;
-    that joins most of what belongs together, and of the others only pairs across components are looked at."""
-    first = _verified(_nearest(pairs), sets, s)
-    links = first if links is None else links.union(first)
-    components = materialize(connected_components(links))
+def _joined(pairs: DataFrame, sets: DataFrame, components: DataFrame | None, s: Settings) -> DataFrame:
+    """Components with the links of ``pairs``. Whole sets travel for one pair per set first, the nearest; that
+    joins most of what belongs together, and of the others only pairs across components are looked at."""
+    first = _verified(materialize(_nearest(pairs)), sets, s)
+    components = materialize(connected_components(first) if components is None else joined_components(components, first))
     rest = materialize(_apart(pairs, components))
     if not rest.isEmpty():
-        links = links.union(_verified(rest, sets, s))
-        components = materialize(connected_components(links))
-    return links, components
+        components = materialize(joined_components(components, _verified(rest, sets, s)))
+    return components
 
 
 def _node(k1: str, k2: str):
@@ -396,9 +416,11 @@ def _node(k1: str, k2: str):
 
 
 def _distinct_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs with the smaller key first, each once; what else ``rows`` says of the ends goes with them."""
     first = F.struct("k1", "k2") < F.struct("o1", "o2")
-    ends = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("k1", "o1"), ("k2", "o2"))]
-    others = [F.when(first, F.col(y)).otherwise(F.col(x)).alias(y) for x, y in (("k1", "o1"), ("k2", "o2"))]
+    sides = [(x, y) for x, y in (("k1", "o1"), ("k2", "o2"), ("id", "other_id")) if x in rows.columns]
+    ends = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in sides]
+    others = [F.when(first, F.col(y)).otherwise(F.col(x)).alias(y) for x, y in sides]
     return rows.select(*ends, *others).distinct()
 
 
@@ -513,13 +535,11 @@ def jaccard_components(docs: DataFrame, settings: Settings | None = None) -> Dat
     sets = described.filter("kind = 0 AND n > 1").groupBy("k1", "k2")
     entities = materialize(sets.agg(F.min("n").alias("n"), F.min("id").alias("id"), F.first("odd").alias("odd")))
     possible = materialize(_possible(_distinct_pairs(met.filter("NOT big")), entities, s))
-    known = _sets(possible, narrow, s)
-    known = _sets(possible, narrow, s)
-    links, components = _joined(possible, known, None, s)
+    repeated = _repeated(described)
+    components = _joined(possible, _sets(possible, narrow, repeated, s), None, s)
     missing = materialize(_possible(_missing_pairs(met.filter("big"), components, entities, s), entities, s))
     if not missing.isEmpty():
-        known = known.union(_sets(missing, narrow, s, known)).dropDuplicates(["k1", "k2"])
-        links, components = _joined(missing, materialize(known), links, s)
+        components = _joined(missing, _sets(missing, narrow, repeated, s), components, s)
 
     rows = described.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", _node("k1", "k2").alias("node"))
     sets = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
