@@ -69,14 +69,16 @@ def _(spark, sf):
 
 expression(
     "hop_rows",
-    """SELECT site, url, CASE WHEN first_hop IS NULL THEN CASE WHEN hops >= 3 THEN 'served' END
-        WHEN d_status = 0 OR d_status >= 400 THEN 'unavailable' WHEN d_redirect THEN 'upgraded' ELSE 'served' END AS verdict,
-    coalesce(d_status, 0) AS status, coalesce(first_hop, hops)::INT AS redirects FROM (
-    SELECT site, url, count(*) AS hops, min(hop) FILTER (WHERE decides) AS first_hop,
-        arg_min(status, hop) FILTER (WHERE decides) AS d_status, arg_min(redirect, hop) FILTER (WHERE decides) AS d_redirect
-    FROM (SELECT *, NOT (redirect AND NOT starts_with(coalesce(location, ''), 'https://')) AS decides FROM (
-        SELECT *, status BETWEEN 300 AND 399 AND coalesce(location, '') <> '' AS redirect FROM responses
-        WHERE role = 'plain_http' AND hop < 3)) GROUP BY site, url)""",
+    """SELECT site, url, coalesce(verdict, 'served') AS verdict, CASE WHEN verdict IS NULL THEN 0 ELSE status END AS status, redirects FROM (
+    WITH RECURSIVE answers AS (SELECT site, url, min({'s': status, 'l': location}) AS a FROM responses WHERE role = 'plain_http' GROUP BY ALL),
+    steps AS (
+      SELECT site, url, url AS at, 0 AS redirects, NULL::VARCHAR AS verdict, 0 AS status FROM answers WHERE url = 'http://' || site || '/'
+      UNION ALL
+      SELECT s.site, s.url, a.a.l, s.redirects + CASE WHEN a.a.s BETWEEN 300 AND 399 AND a.a.l <> '' AND NOT starts_with(a.a.l, 'https://') THEN 1 ELSE 0 END,
+        CASE WHEN a.a.s BETWEEN 300 AND 399 AND a.a.l <> '' THEN CASE WHEN starts_with(a.a.l, 'https://') THEN 'upgraded' END
+            WHEN coalesce(a.a.s, 0) = 0 OR a.a.s >= 400 THEN 'unavailable' ELSE 'served' END, coalesce(a.a.s, 0)
+      FROM steps s LEFT JOIN answers a ON a.site = s.site AND a.url = s.at WHERE s.verdict IS NULL AND s.redirects < 3)
+    SELECT * FROM steps QUALIFY row_number() OVER (PARTITION BY site, url ORDER BY redirects DESC, verdict IS NOT NULL DESC) = 1)""",
 )
 
 

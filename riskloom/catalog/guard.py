@@ -10,7 +10,8 @@ from riskloom.operators import guard as G
 from riskloom.rules import guard as rules
 from riskloom.rules import secrets
 from riskloom.sources.captures import hook_payloads
-from riskloom.streaming.guard_stream import guard_risks, verdict_counts
+from riskloom.sources.scratch import new_path
+from riskloom.streaming import guard_stream as stream
 
 expression("event_json", "SELECT event_id, ts, payload, CASE WHEN json_valid(payload) AND json_type(payload) IN ('OBJECT', 'ARRAY') THEN json(payload) ELSE json_object('prompt', payload) END AS j FROM hook_events")
 expression(
@@ -42,28 +43,69 @@ def _(spark, sf):
     return hook_payloads(_events(spark, sf)).select("event_id", G.detect_host(F.col("event")).alias("host"))
 
 
-# What the templates hold, said once more by hand: host and moment per template number.
-_MOMENTS = {
-    "prompt": [0, 3, 10, 14, 17],
-    "action": [1, 4, 6, 8, 11, 13, 15, 19, 20, 21],
-    "content": [2, 5, 7, 9, 12, 16, 23],
-}
-_MOMENT_CASE = "CASE " + " ".join(
-    f"WHEN event_id % {seeds.EVENT_MOD} IN ({', '.join(map(str, ks))}) THEN '{m}'" for m, ks in _MOMENTS.items()
-) + " END"
+# The twin reads each payload as the specification does: host, event and tool names, then the step, then its fields.
+def _name_like(column: str, pattern: str) -> str:
+    return f"regexp_matches({column}, {literal('(?i)' + pattern)})"
+
+
+def _text(*paths: str) -> str:
+    """The first of the members that is a JSON string and not empty."""
+    return "coalesce(" + ", ".join(
+        f"CASE WHEN json_type(j, '$.{p}') = 'VARCHAR' THEN nullif(json_extract_string(j, '$.{p}'), '') END" for p in paths
+    ) + ", NULL)"
+
+
+def _present(*paths: str) -> str:
+    """The first member that is there and not null, as JSON."""
+    return "coalesce(" + ", ".join(f"CASE WHEN json_type(j, '$.{p}') <> 'NULL' THEN json_extract(j, '$.{p}') END" for p in paths) + ", NULL)"
+
+
+def _leaves_sql(member: str) -> str:
+    return (
+        f"(SELECT string_agg(coalesce(t.atom ->> '$', ''), chr(10) ORDER BY t.id) FROM json_tree({member}) t "
+        "WHERE t.type NOT IN ('OBJECT', 'ARRAY'))"
+    )
+
+
+_SHELL, _WRITE = _name_like("tool", rules.SHELL_TOOL), _name_like("tool", rules.WRITE_TOOL)
+_STEP = f"""CASE
+    WHEN host IN ('claude-code', 'codex') THEN CASE WHEN {_name_like('ev', 'UserPromptSubmit')} THEN 'prompt'
+        WHEN {_name_like('ev', 'PreToolUse')} THEN CASE WHEN {_SHELL} THEN 'shell' WHEN {_WRITE} THEN 'write' END
+        WHEN {_name_like('ev', 'PostToolUse')} THEN 'content' END
+    WHEN host = 'cursor' THEN CASE WHEN {_name_like('ev', 'beforeSubmitPrompt')} OR (ev = '' AND {_text('prompt')} IS NOT NULL) THEN 'prompt'
+        WHEN {_name_like('ev', 'beforeShellExecution')} OR (ev = '' AND {_text('command')} IS NOT NULL) THEN 'shell'
+        WHEN {_name_like('ev', 'preToolUse')} THEN CASE WHEN {_text('command', 'tool_input.command')} IS NOT NULL THEN 'shell' ELSE 'write' END
+        WHEN ev = '' OR {_name_like('ev', 'postToolUse|afterFileEdit|beforeReadFile')} THEN 'content' END
+    WHEN host = 'copilot' THEN CASE WHEN {_name_like('ev', 'preToolUse')} THEN CASE WHEN {_SHELL} THEN 'shell' ELSE 'write' END
+        WHEN {_name_like('ev', 'postToolUse')} THEN 'content' END
+    WHEN host = 'gemini' THEN CASE WHEN {_name_like('ev', 'BeforeAgent')} THEN 'prompt'
+        WHEN {_name_like('ev', 'BeforeTool')} THEN CASE WHEN {_SHELL} THEN 'shell' ELSE 'write' END
+        WHEN {_name_like('ev', 'AfterTool')} THEN 'content' END
+    WHEN host = 'windsurf' THEN CASE WHEN {_name_like('ev', 'pre_user_prompt')} THEN 'prompt'
+        WHEN {_name_like('ev', 'pre_run_command')} THEN 'shell' WHEN {_name_like('ev', 'pre_write_code')} THEN 'write' END
+    ELSE CASE {_text('moment')} WHEN 'prompt' THEN 'prompt' WHEN 'content' THEN 'content' WHEN 'action' THEN 'any' END END"""
+_RESULT = f"""CASE host WHEN 'cursor' THEN {_present('tool_response', 'content', 'tool_output')} WHEN 'copilot' THEN {_present('tool_response', 'result')}
+    WHEN 'gemini' THEN {_present('tool_response', 'toolResponse', 'result')} WHEN 'opencode' THEN {_present('received')} ELSE {_present('tool_response')} END"""
+_PENDING = f"""CASE host WHEN 'opencode' THEN {_text('content')} WHEN 'windsurf' THEN {_text('content', 'new_content')}
+    WHEN 'cursor' THEN {_text('tool_input.content', 'content', 'tool_input.new_string')} WHEN 'copilot' THEN {_text('tool_input.content')}
+    WHEN 'gemini' THEN {_text('tool_input.content', 'tool_input.new_string')}
+    ELSE coalesce({_text(*['tool_input.' + n for n in rules.DIRECT_CONTENT])}, {_leaves_sql("json_extract(j, '$.tool_input.edits')")}) END"""
+_PATH = f"""CASE host WHEN 'opencode' THEN {_text('filePath')} WHEN 'windsurf' THEN {_text('file_path', 'path')}
+    WHEN 'cursor' THEN {_text('tool_input.file_path', 'file_path')}
+    WHEN 'gemini' THEN {_text('tool_input.file_path', 'tool_input.absolute_path', 'tool_input.path')} ELSE {_text('tool_input.file_path', 'tool_input.path')} END"""
+_ORIGIN = f"""CASE WHEN host IN ('claude-code', 'codex') THEN coalesce({_text('tool_input.file_path', 'tool_input.url')}, tool)
+    WHEN host = 'cursor' THEN coalesce({_text('file_path', 'url')}, nullif(tool, ''), 'tool result') WHEN host = 'opencode' THEN {_text('source')} ELSE tool END"""
+expression("event_steps", f"SELECT *, {_STEP} AS step FROM (SELECT *, coalesce({_text('tool_name')}, CASE WHEN host IN ('copilot', 'gemini') THEN {_text('toolName')} END, '') AS tool FROM event_host)")
+expression("event_results", f"SELECT *, CASE WHEN step = 'content' THEN coalesce({_leaves_sql(_RESULT)}, '') END AS got FROM event_steps")
 expression(
     "event_norm",
-    f"""SELECT event_id, ts, host, {_MOMENT_CASE} AS moment,
-    CASE WHEN {_MOMENT_CASE} = 'prompt' THEN json_extract_string(j, '$.prompt') END AS prompt,
-    coalesce(json_extract_string(j, '$.command'), json_extract_string(j, '$.tool_input.command')) AS command,
-    CASE WHEN {_MOMENT_CASE} = 'action' THEN json_extract_string(j, '$.tool_input.file_path') END AS file_path,
-    CASE WHEN {_MOMENT_CASE} = 'action' THEN coalesce(json_extract_string(j, '$.tool_input.content'),
-        (SELECT string_agg(t.atom ->> '$', chr(10) ORDER BY t.id) FROM json_tree(j, '$.tool_input.edits') t WHERE t.type NOT IN ('OBJECT', 'ARRAY'))) END AS content,
-    CASE WHEN event_id % {seeds.EVENT_MOD} = 18 THEN '' WHEN {_MOMENT_CASE} = 'content' THEN CASE WHEN event_id % {seeds.EVENT_MOD} = 23 THEN 'ok' || chr(10) || '1' || chr(10) || 'true'
-        ELSE coalesce(json_extract_string(j, '$.tool_response.text'), json_extract_string(j, '$.tool_response'), json_extract_string(j, '$.received')) END END AS received,
-    CASE WHEN {_MOMENT_CASE} = 'content' THEN coalesce(json_extract_string(j, '$.tool_input.file_path'), json_extract_string(j, '$.tool_input.url'),
-        json_extract_string(j, '$.file_path'), json_extract_string(j, '$.source'), json_extract_string(j, '$.tool_name'), '') END AS source
-    FROM event_host""",
+    f"""SELECT event_id, ts, host, CASE WHEN blank THEN NULL WHEN step IN ('shell', 'write', 'any') THEN 'action' ELSE step END AS moment,
+    CASE WHEN step = 'prompt' THEN CASE WHEN host = 'gemini' THEN {_text('prompt', 'message')} ELSE {_text('prompt')} END END AS prompt,
+    CASE WHEN step IN ('shell', 'any') THEN CASE WHEN host IN ('windsurf', 'opencode') THEN {_text('command')}
+        WHEN host = 'cursor' THEN {_text('command', 'tool_input.command')} ELSE {_text('tool_input.command')} END END AS command,
+    CASE WHEN step IN ('write', 'any') THEN {_PATH} END AS file_path, CASE WHEN step IN ('write', 'any') THEN {_PENDING} END AS content,
+    got AS received, CASE WHEN step = 'content' AND NOT blank THEN {_ORIGIN} END AS source
+    FROM (SELECT *, coalesce(step = 'content' AND got = '' AND host <> 'opencode', false) AS blank FROM event_results)""",
 )
 
 
@@ -118,7 +160,7 @@ def _(spark, sf):
 
 def _cmd(rule: str) -> str:
     p, fold = next((p, f) for r, p, f in rules.COMMAND_RULES if r == rule)
-    # No lookaround in the twin: the commands of the templates never show a sample env file.
+    # No lookaround in the twin; no command given here names a sample env file.
     p = p.replace(r"(?<![\w.])", "").replace(r"(?!\.(?:example|sample|template|dist))", "").replace(r"(?=\s|$)", r"(?:\s|$)")
     return literal(("(?i)" if fold else "") + p)
 
@@ -183,18 +225,53 @@ expression(
     UNION ALL SELECT event_id, ts, host, 'action', rule_id FROM command_rows
     UNION ALL SELECT event_id, ts, host, 'action', rule_id FROM write_risk_rows
     UNION ALL SELECT event_id, ts, host, 'content', 'injection-directive' FROM event_norm JOIN capability_rows c USING (host, moment)
-    WHERE moment = 'content' AND c.event_name IS NOT NULL AND regexp_matches(received, '(?i)^assistant:[^\\n]{{0,60}}\\bdisable[^\\n]{{0,40}}rls')""",
+    WHERE moment = 'content' AND c.event_name IS NOT NULL AND regexp_matches(received, '(?i)assistant:[^\\n]{{0,60}}\\bdisable[^\\n]{{0,40}}rls')""",
 )
 
 
-@query(
-    "guard_stream",
-    """SELECT g.event_id, g.ts, g.host, g.moment, g.rule_id, CASE WHEN g.moment = 'action' AND c.can_block THEN 'ask' ELSE 'note' END AS action
-    FROM guard_risk_rows g JOIN capability_rows c USING (host, moment)""",
-)
+#: Files, and so micro-batches, that the registered streams take each part of the event table in.
+LANDED_FILES = 2
+RISK_SCHEMA = "event_id bigint, ts timestamp, host string, moment string, action string, rule_id string, quote string, source string"
+
+_RISKS = """SELECT g.event_id, g.ts, g.host, g.moment, g.rule_id, CASE WHEN g.moment = 'action' AND c.can_block THEN 'ask' ELSE 'note' END AS action
+    FROM guard_risk_rows g JOIN capability_rows c USING (host, moment)"""
+
+
+class _Streams:
+    """A landing folder, the risk table and the counts fed from it, each query with its checkpoint."""
+
+    def __init__(self, spark):
+        self.spark = spark
+        self.landed, self.risks, self.counts = (new_path(spark, name) for name in ("events", "risks", "counts"))
+        self.checkpoints = [new_path(spark, "checkpoint") for _ in range(2)]
+
+    def take(self, events, files: int = LANDED_FILES) -> None:
+        """Lands events and scans them; a query that ran before goes on from its checkpoint."""
+        stream.land_events(events, self.landed, files)
+        landed = stream.read_events(self.spark, self.landed, files_per_batch=1)
+        found = stream.guard_risks_once(landed, self.spark)
+        stream.write_risks(found, self.risks, self.checkpoints[0], once=True).awaitTermination()
+
+    def count(self) -> None:
+        """Counts the risks that came since. The risk table grows by whole micro-batches, in the order of time."""
+        risks = stream.read_events(self.spark, self.risks, schema=RISK_SCHEMA)
+        counts = stream.verdict_counts(risks)
+        stream.write_counts(counts, self.counts, self.checkpoints[1], once=True).awaitTermination()
+
+
+@query("guard_batch", _RISKS)
 def _(spark, sf):
     """The stream's functions over the whole event table as a batch."""
-    return guard_risks(_events(spark, sf), spark).select("event_id", "ts", "host", "moment", "rule_id", "action")
+    return stream.guard_risks(_events(spark, sf), spark).select("event_id", "ts", "host", "moment", "rule_id", "action")
+
+
+@query("guard_stream", _RISKS)
+def _(spark, sf):
+    """The event table through the stream: landed files, micro-batches, watermark, checkpoint, risk table."""
+    streams = _Streams(spark)
+    streams.take(_events(spark, sf))
+    risks = spark.read.schema(RISK_SCHEMA).parquet(streams.risks)
+    return risks.select("event_id", "ts", "host", "moment", "rule_id", "action")
 
 
 @query(
@@ -202,6 +279,14 @@ def _(spark, sf):
     """SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, host, moment, rule_id, count(*) AS n FROM guard_risk_rows GROUP BY ALL""",
 )
 def _(spark, sf):
-    return verdict_counts(guard_risks(_events(spark, sf), spark))
-
-
+    """Windowed counts of a second stream over the risk table that the first one writes. The earlier and the later
+    half of the time come one after the other, and both streams go on from their checkpoints."""
+    events, streams = _events(spark, sf), _Streams(spark)
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    if first is None:
+        return stream.verdict_counts(stream.guard_risks(events, spark))
+    middle = F.lit(first + (last - first) / 2)
+    for half in (F.col("ts") < middle, F.col("ts") >= middle):
+        streams.take(events.filter(half), 1)
+        streams.count()
+    return stream.read_counts(spark, streams.counts)

@@ -221,6 +221,28 @@ def _(spark, sf):
     return P.sarif_results(P.localize(_findings(spark, sf), spark)).select("target", "rule_id", "level", "message")
 
 
+_RESULT = "results array<struct<ruleId:string,level:string,message:struct<text:string>>>"
+_RULES = "tool struct<driver:struct<rules:array<struct<id:string>>>>"
+
+
+@query(
+    "sarif_documents",
+    f"""SELECT target, rule_id, level, message, true AS has_rule FROM (SELECT target, id AS rule_id, {_LEVEL} AS level,
+    label || '. ' || why AS message FROM finding_rules LEFT JOIN rule_texts USING (rule) WHERE kind = 'security')""",
+)
+def _(spark, sf):
+    """The results as they stand in the documents, each with whether its run describes its rule exactly once."""
+    documents = P.sarif_documents(P.localize(_findings(spark, sf), spark))
+    runs = documents.select("target", F.from_json("document", f"runs array<struct<{_RULES.replace(' ', ':', 1)},{_RESULT.replace(' ', ':', 1)}>>").alias("d"))
+    run = F.col("d.runs")[0]
+    rules = F.transform(run["tool"]["driver"]["rules"], lambda r: r["id"])
+    results = runs.select("target", rules.alias("rules"), F.explode(run["results"]).alias("r"))
+    once = F.size(F.filter("rules", lambda i: i == F.col("r.ruleId"))) == 1
+    return results.select(
+        "target", F.col("r.ruleId").alias("rule_id"), "r.level", F.col("r.message.text").alias("message"), once.alias("has_rule")
+    )
+
+
 @query(
     "sink_payload",
     f"""SELECT target, 'header' AS row, NULL AS id, NULL AS severity, verdict FROM ({oracle_of("verdict")})

@@ -203,7 +203,7 @@ def _(spark, sf):
     pages = seeds.site_pages(spark, sf)
     homes = pages.groupBy("site").agg(F.min_by("url", F.col("page_id")).alias("url"), F.min("page_id").alias("page_id"))
     hits = S.scan_secrets(pages.select("site", "page_id", "html"), "html", with_line=False)
-    first_pass = hits.join(homes.select("site", "page_id"), ["site", "page_id"], "left_semi")
+    first_pass = hits.join(homes.select("site", "page_id"), ["site", "page_id"])  # one home a site
     return S.secrets_new_in_crawl(pages, homes, first_pass)
 
 

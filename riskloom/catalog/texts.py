@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.catalog import seeds
-from riskloom.catalog.registry import expression, query
+from riskloom.catalog.registry import expression, literal, query
 from riskloom.functions.regex import matches
 from riskloom.functions.text import (
     collapse_paragraphs,
@@ -18,7 +18,7 @@ from riskloom.operators import injection as J
 from riskloom.operators import intent as I
 from riskloom.rules import injection as inj
 from riskloom.rules import intent as rules
-from riskloom.rules.lexicon import UNIVERSAL_EXCLUDES
+from riskloom.rules.lexicon import AUTH, LANGS, RLS, SECRET, SECURITY_CONTROL, SERVICE_KEY, UNIVERSAL_EXCLUDES, VERBS, alternatives
 
 # ---- SQL twins ------------------------------------------------------------------------------
 # DuckDB's regular expressions have no lookaround. The two places a rule looks behind are a
@@ -209,12 +209,30 @@ expression(
 )
 
 
-@query("normalize_content")
+# Folding by character: a separator goes if it stands between single letters, three at least. The twin has no
+# NFKC; the given texts hold nothing that it would change.
+INVISIBLE_SQL = "\u00ad\u200b-\u200f\u2060\ufeff"
+expression(
+    "content_chars",
+    rf"""SELECT doc_id, cs, list_concat([false, false, false, false], list_transform(cs, lambda c: regexp_matches(c, '\p{{L}}')), [false, false, false, false]) AS l,
+    list_concat([false, false, false, false], list_transform(cs, lambda c: regexp_matches(c, '[\p{{L}}\p{{N}}]')), [false, false, false, false]) AS w
+    FROM (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[{INVISIBLE_SQL}]', '', 'g'), '(?s).') AS cs FROM texts)""",
+)
+expression(
+    "content_norm",
+    r"""SELECT doc_id, regexp_replace(array_to_string(list_filter(cs, lambda c, i: NOT (c IN ('.', '-', '_', ' ') AND (
+    (l[i+3] AND NOT w[i+2] AND l[i+5] AND coalesce(cs[i+2] IN ('.', '-', '_', ' '), false) AND l[i+7] AND NOT w[i+8])
+    OR (NOT w[i] AND l[i+1] AND i > 2 AND coalesce(cs[i-2] IN ('.', '-', '_', ' '), false) AND l[i+3] AND l[i+5] AND NOT w[i+6])))), ''), '[ \t]+', ' ', 'g') AS normal
+    FROM content_chars""",
+)
+
+
+@query("normalize_content", "SELECT doc_id, length(normal) AS n, md5(normal) AS digest FROM content_norm")
 def _(spark, sf):
     return (
         seeds.texts(spark, sf)
         .select("doc_id", normalize_content(F.col("text")).alias("normal"))
-        .select("doc_id", F.length("normal").alias("n"), F.md5(F.col("normal").cast("binary")).alias("digest"))
+        .select("doc_id", F.length("normal").cast("long").alias("n"), F.md5(F.col("normal").cast("binary")).alias("digest"))
     )
 
 
@@ -275,7 +293,74 @@ def _(spark, sf):
     return _content(spark, sf, "injection-exfil")
 
 
-@query("injection_directive")
+# A directive's patterns look around at three places. The twin works on a marked copy of the text, one character
+# for one, so that places and lengths are those of the text: the "e" of ".env" before a sample's ending is marked,
+# and so is the first letter of an assistant's name behind an article. A hyphen after a name is kept out by the
+# character that follows. The verbs' endings are written once.
+_ARTICLES = inj.NOT_DETERMINED.removeprefix(r"(?<!").removesuffix(")")
+_NAMES = alternatives(inj.AI_NAME)
+_ANY_NAME = "(?:" + "|".join(f"[{name[0]}\\x04]{name[1:]}" for name in _NAMES) + ")"
+
+
+def _marked(text: str) -> str:
+    out = f"regexp_replace({text}, '(?i)\\.e(nv\\.(?:example|sample|template|dist))', '.' || chr(3) || '\\1', 'g')"
+    for name in _NAMES:
+        out = f"regexp_replace({out}, '(?i)({_ARTICLES}){name[0]}({name[1:]})', '\\1' || chr(4) || '\\2', 'g')"
+    return out
+
+
+def _unmarked_vocative() -> str:
+    first, second, third = (v.replace(inj.NOT_DETERMINED, "") for v in inj.VOCATIVE)
+    second = second.replace(inj.NOT_ATTRIBUTIVE + r"[^,:.\n]{0,30}:", r"(?:[^,:.\n-][^,:.\n]{0,29})?:")
+    second = second.replace("(?:ai\\s+|a\\.i\\.\\s+)", "(?:[a\\x04]i\\s+|[a\\x04]\\.i\\.\\s+)")
+    second, third = (v.replace(inj.AI_NAME, _ANY_NAME) for v in (second, third))
+    return "(?:" + "|".join([first.replace(inj.NOT_ATTRIBUTIVE, ""), second, third]) + ")"
+
+
+def _directive_pairs() -> list[tuple[str, str]]:
+    """``directive_patterns`` for the marked text: before the verb, and from it on."""
+    out = []
+    for lang in LANGS:
+        items = [s for role in ("weaken", "expose", "place", "ship", "emit") for s in VERBS[lang][role]]
+        stems = "|".join(i for i in items if not i.endswith("$"))
+        exact = "|".join([i[:-1] for i in items if i.endswith("$")] + [inj.PLACEMENT])
+        verbs = rf"(?:(?:{stems})\p{{L}}*|{exact})"
+        for target in [RLS, SERVICE_KEY, SECURITY_CONTROL, SECRET, r"\.env\b", "(?:" + "|".join(AUTH[lang]) + ")"]:
+            core = rf"{verbs}\b[^\n]{{0,40}}{target}"
+            out.append((rf"{_unmarked_vocative()}[^\n]{{0,60}}\b", core))
+            out.append((r"\b", rf"{core}[^\n]{{0,30}},\s*{_ANY_NAME}s?\b"))
+    return out
+
+
+def _directive_case(text: str, marked: str) -> str:
+    cases = []
+    for before, core in _directive_pairs():
+        whole = literal("(?i)" + before + core)
+        prefix = f"regexp_extract({marked}, {literal('(?i)^([' + chr(92) + 's' + chr(92) + 'S]*?' + before + ')' + core)}, 1)"
+        hit = f"regexp_extract({marked}, {whole})"
+        quote = f"substr({text}, instr({marked}, {hit}), length({hit}))"
+        cases.append(f"WHEN regexp_matches({marked}, {whole}) THEN CASE WHEN NOT {_negated(prefix)} THEN {quote} END")
+    return "CASE " + " ".join(cases) + " END"
+
+
+# Texts without a target or a name cannot hold a directive; the others are few.
+expression(
+    "directive_texts",
+    rf"""SELECT *, {_marked('normal')} AS marked, {_marked('collapsed')} AS flat_marked FROM (
+    SELECT doc_id, normal, array_to_string(list_transform(regexp_split_to_array(normal, '\n\s*\n'),
+        lambda p: regexp_replace(regexp_replace(p, '\s*\n\s*', ' ', 'g'), '^\s+|\s+$', '', 'g')), chr(10)) AS collapsed FROM content_norm)
+    WHERE regexp_matches(normal, '(?i){inj.AI_NAME}') AND regexp_matches(normal, {literal("(?i)" + inj.PREFILTER_DIRECTIVE)})""",
+)
+expression(
+    "injected_rows",
+    f"""SELECT doc_id, coalesce({_directive_case('normal', 'marked')}, {_directive_case('collapsed', 'flat_marked')}) AS hit FROM directive_texts""",
+)
+
+
+@query(
+    "injection_directive",
+    f"SELECT doc_id, 'injection-directive' AS rule_id, {_sql_quote('hit')} AS quote FROM injected_rows WHERE hit IS NOT NULL",
+)
 def _(spark, sf):
     return _content(spark, sf, "injection-directive")
 

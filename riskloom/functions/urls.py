@@ -1,6 +1,7 @@
 """URL resolution as column expressions, following the WHATWG rules that matter for crawling.
 
-Not covered: internationalised host names, credentials in the authority, percent-decoding.
+International host names become their ``xn--`` form, by the Unicode mapping of the JVM (IDNA 2003: ``ß`` is
+``ss``); a host that has none makes no URL. Not covered: credentials in the authority, percent-decoding.
 """
 
 from __future__ import annotations
@@ -59,17 +60,25 @@ def _remove_dots(path: Column) -> Column:
     return F.when(dotted, let(F.slice(F.split(path, "/"), 2, 1 << 30), fold)).otherwise(path)
 
 
+def _ascii_host(host: Column) -> Column:
+    """A host with its port in ASCII letters; null where it cannot be written in them."""
+    name = F.regexp_replace(host, r":\d*\z", "")
+    spelt = F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), name)
+    port = F.regexp_extract(host, r"(:\d*)\z", 1)
+    return F.when(host.rlike(r"[^\x00-\x7F]"), F.lower(F.concat(spelt, port))).otherwise(F.lower(host))
+
+
 def _authority(raw: Column, scheme: Column) -> Column:
     default = F.when(scheme == "https", r":443").otherwise(":80")
     return let(
-        F.lower(raw),
+        _ascii_host(raw),
         lambda h: F.when(h.endswith(default), F.regexp_replace(h, r":\d+\z", "")).otherwise(h),
     )
 
 
 def host_of(url: Column) -> Column:
     """Lower-cased host with any non-default port; null when the URL is not http(s)."""
-    raw = F.lower(F.regexp_extract(url, _HTTP, 2))
+    raw = _ascii_host(F.regexp_extract(url, _HTTP, 2))
     default = F.when(F.lower(F.left(url, F.lit(5))) == "https", ":443").otherwise(":80")
     host = F.when(raw.endswith(default), F.regexp_replace(raw, r":\d+\z", "")).otherwise(raw)
     return F.nullif(host, F.lit(""))

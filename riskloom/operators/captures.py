@@ -121,41 +121,55 @@ def leaky_headers(responses: DataFrame) -> DataFrame:
     )
 
 
+def _answers(responses: DataFrame) -> DataFrame:
+    """``(site, url, status, location)``: what each plain-HTTP address answered, by the address asked.
+
+    Captures of one chain under its first address, told apart by ``hop``, get the address that the hop before
+    named. An address captured several times counts once.
+    """
+    chain = Window.partitionBy("site", "url").orderBy("hop")
+    named = F.when(F.col("hop") > 0, F.lag("location").over(chain))
+    asked = responses.filter(F.col("role") == "plain_http").select(
+        "site", F.coalesce(named, F.col("url")).alias("url"), F.coalesce("status", F.lit(0)).alias("status"), "location"
+    )
+    return asked.groupBy("site", "url").agg(F.min(F.struct("status", "location")).alias("a")).select("site", "url", "a.*")
+
+
 def redirect_hops(responses: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
-    """Where each plain-HTTP request ended: upgraded, served or unavailable.
+    """Where a plain-HTTP request for each site's root ended: upgraded, served or unavailable.
 
-    The first hop that is no plain-HTTP redirect decides; at most ``max_hops`` rows per start.
+    Captures may come in any order: each step looks up the address that the last answer named. An address that
+    was not captured is unavailable. A chain that is still plain after ``max_hops`` answers, a loop among them,
+    is served.
     """
-    status, location = F.col("status"), F.col("location")
-    redirect = status.between(300, 399) & F.coalesce(location != "", F.lit(False))
-    decides = ~(redirect & ~location.startswith("https://"))
-    hops = responses.filter((F.col("role") == "plain_http") & (F.col("hop") < max_hops))
-    return (
-        hops.withColumn("_redirect", redirect)
-        .withColumn("_decides", F.coalesce(decides, F.lit(True)))
-        .groupBy("site", "url")
-        .agg(
-            F.min_by(
-                F.when(F.col("_decides"), F.struct("hop", "status", "_redirect")),
-                F.when(F.col("_decides"), F.col("hop")),
-            ).alias("d"),
-            F.count("*").alias("hops"),
-        )
-        .withColumn(
-            "verdict",
-            F.when(F.col("d").isNull(), F.when(F.col("hops") >= max_hops, "served"))
-            .when((F.col("d.status") == 0) | (F.col("d.status") >= 400), "unavailable")
-            .when(F.col("d._redirect"), "upgraded")
-            .otherwise("served"),
-        )
-        .select(
+    answers = _answers(responses)
+    root = F.concat(F.lit("http://"), "site", F.lit("/"))
+    live = answers.filter(F.col("url") == root).select(
+        "site", "url", F.col("url").alias("_at"), F.lit(None).cast("string").alias("verdict"),
+        F.lit(0).alias("status"), F.lit(0).alias("redirects"),
+    )
+    named = answers.select(
+        F.col("site").alias("_site"), F.col("url").alias("_url"), F.col("status").alias("_status"), F.col("location").alias("_to")
+    )
+    for hop in range(max_hops):
+        open_ = F.col("verdict").isNull()
+        asked = open_ & (F.col("site") == F.col("_site")) & (F.col("_at") == F.col("_url"))
+        got = F.coalesce("_status", F.lit(0))
+        redirect = got.between(300, 399) & F.coalesce(F.col("_to") != "", F.lit(False))
+        secure = redirect & F.col("_to").startswith("https://")
+        ended = (
+            F.when(secure, "upgraded").when(redirect, F.lit(None))
+            .when((got == 0) | (got >= 400), "unavailable").otherwise("served")
+        )
+        live = live.join(named, asked, "left").select(
             "site",
             "url",
-            "verdict",
-            F.coalesce(F.col("d.status"), F.lit(0)).alias("status"),
-            F.coalesce(F.col("d.hop"), F.col("hops").cast("int")).alias("redirects"),
+            F.when(open_ & ended.isNull(), F.col("_to")).alias("_at"),
+            F.when(open_, ended).otherwise(F.col("verdict")).alias("verdict"),
+            F.when(open_ & ended.isNotNull(), got).otherwise(F.col("status")).alias("status"),
+            F.when(open_, F.when(ended.isNull(), hop + 1).otherwise(hop)).otherwise(F.col("redirects")).alias("redirects"),
         )
-    )
+    return live.select("site", "url", F.coalesce("verdict", F.lit("served")).alias("verdict"), "status", "redirects")
 
 
 def plain_http_served(responses: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType
 from riskloom.functions.expr import each, let, record, staged
 from riskloom.functions.regex import extract, located, matches
 from riskloom.functions.text import INVISIBLE, collapse_spaces, fold_content, js_trim, nfkc
-from riskloom.operators.injection import content_hits, hidden_spans
+from riskloom.operators.injection import content_hits, hidden_spans, with_languages
 from riskloom.operators.intent import first_per_rule, prompt_hits
 from riskloom.operators.repos import (
     DISABLE_RLS,
@@ -397,9 +397,9 @@ def _prompt_risks(normal: Column) -> Column:
     return F.transform(prompt_hits(normal), lambda h: _risk(h["rule_id"], null, null))
 
 
-def _content_risks(normal: Column, spans: Column, source: Column) -> Column:
+def _content_risks(source: Column) -> Column:
     return F.transform(
-        content_hits(normal, spans),
+        content_hits(*map(F.col, ("_normal", "_flat", "_spans", "_languages"))),
         lambda h: _risk(h["rule_id"], h["quote"], F.coalesce(source, F.lit("a tool result"))),
     )
 
@@ -435,7 +435,9 @@ def verdicts(raw: DataFrame, spark: SparkSession, payload: str = "payload", bloc
         .withColumn("_text", text)
         .withColumn("_joined", F.when(F.col("moment") == "content", spans))
         .withColumns({"_nfkc": nfkc(F.col("_text")), "_spans": nfkc(F.col("_joined"))})
+        .withColumn("_normal", F.when(F.col("moment") == "content", fold_content(F.col("_nfkc"))))
     )
+    prepared = with_languages(prepared)
     visible = F.regexp_replace(F.regexp_replace(F.col("_nfkc"), INVISIBLE, ""), r"[ \t]+", " ")
     risks = (
         F.when(F.col("moment") == "prompt", let(visible, _prompt_risks))
@@ -448,7 +450,7 @@ def verdicts(raw: DataFrame, spark: SparkSession, payload: str = "payload", bloc
         )
         .when(
             F.col("moment") == "content",
-            let(fold_content(F.col("_nfkc")), lambda n: _content_risks(n, F.col("_spans"), F.col("source"))),
+            _content_risks(F.col("source")),
         )
     )
     return prepared.select(

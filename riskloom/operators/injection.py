@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType
 
 from riskloom.functions.expr import let, record
+from riskloom.functions.literals import automaton, fold
 from riskloom.functions.regex import extract, extract_all, java, matches, mentions
 from riskloom.functions.text import (
     collapse_paragraphs,
@@ -16,6 +23,7 @@ from riskloom.functions.text import (
 )
 from riskloom.operators.intent import first_per_rule
 from riskloom.rules import injection as rules
+from riskloom.rules.lexicon import LANGS
 
 _JOIN = "\u0001"
 
@@ -108,11 +116,9 @@ def override_hit(text: Column) -> Column:
     )
 
 
-def exfil_hit(text: Column) -> Column:
-    return F.when(
-        matches(text, rules.EXFIL_TARGET) & matches(text, rules.EXTERNAL_DEST),
-        first_of(text, "injection-exfil", rules.EXFIL, veto=True),
-    )
+def exfil_hit(text: Column, strict: bool = False) -> Column:
+    found = _strict_exfil(text) if strict else first_of(text, "injection-exfil", rules.EXFIL, veto=True)
+    return F.when(matches(text, rules.EXFIL_TARGET) & matches(text, rules.EXTERNAL_DEST), found)
 
 
 def _directive(text: Column, before_verb: str, from_verb: str) -> Column:
@@ -125,45 +131,165 @@ def _directive(text: Column, before_verb: str, from_verb: str) -> Column:
     )
 
 
-def directive_hit(text: Column) -> Column:
+@lru_cache(maxsize=1)
+def _directive_automaton():
+    return automaton(rules.directive_words())
+
+
+def languages_of(text: str) -> int:
+    """A bit for each language in which a directive may stand in a text: an assistant is named, and on some
+    line a verb's letters come before a target's, with the end of the word and the gap between."""
+    low, verbs, found, named = fold(text), {}, 0, False
+    for end, (length, parts) in _directive_automaton().iter(low):
+        for part, lang in parts:
+            if part == "name":
+                named = True
+            elif part == "verb":
+                verbs.setdefault(lang, []).append(end + 1)
+            elif not found >> _LANG_BIT[lang] & 1:
+                start = end + 1 - length
+                # Longer words end later though they start before, hence the slack in what is forgotten.
+                near = verbs[lang] = [v for v in verbs.get(lang, ()) if _reaches(low, v, start - _SLACK)]
+                if any(v <= start and _reaches(low, v, start) for v in near):
+                    found |= 1 << _LANG_BIT[lang]
+    return found if named else 0
+
+
+_LANG_BIT = {lang: bit for bit, lang in enumerate(LANGS)}
+#: Characters of a target that may come before its first fixed letters; more than any of the words has.
+_TARGET_LEAD, _SLACK = 4, 64
+
+
+def _reaches(low: str, verb: int, target: int) -> bool:
+    """Whether a verb whose letters end at ``verb`` reaches a target at or after ``target`` on its line."""
+    while verb < target and low[verb].isalpha():
+        verb += 1
+    return target - verb <= rules.DIRECTIVE_GAP + _TARGET_LEAD and "\n" not in low[verb:target]
+
+
+@F.arrow_udf(ByteType())
+def _languages(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else languages_of(t) for t in texts.to_pylist()], pa.int8())
+
+
+def _prefiltered(low: Column) -> Column:
+    return mentions(low, rules.WORDS_TARGET)
+
+
+def directive_languages(normal: Column, flat: Column) -> Column:
+    """``languages_of`` the paragraphs' text, in which all that lines hold stands as near; null where no target
+    is named. Goes to Python, so it cannot stand inside a lambda."""
+    return _languages(F.when(_prefiltered(F.lower(normal)), F.coalesce(flat, normal)))
+
+
+def directive_hit(text: Column, languages: Column | None = None, strict: bool = False) -> Column:
     """The patterns in order, language by language; the veto is anchored at the verb.
 
-    A language's patterns are only tried where its verb-to-target core matches.
+    A language's patterns are only tried where its bit is set; without ``languages`` all are.
+    """
+    one = _strict_directive if strict else _directive
+    per_lang = []
+    for lang, pairs in rules.directive_patterns().items():
+        hit = F.coalesce(*[one(text, *pair) for pair in pairs])
+        per_lang.append(hit if languages is None else F.when(languages.bitwiseAND(F.lit(1 << _LANG_BIT[lang])) != 0, hit))
+    return F.coalesce(*per_lang)
+
+
+# ---- every match ----------------------------------------------------------------------------
+
+
+def _first_live(text: Column, rule_id: str, before: str, from_anchor: str) -> Column:
+    """The first of all matches, one after another, whose anchor no negation governs.
+
+    The anchor of each match is marked, the text cut at the marks, and the last characters before each carried
+    along, so a text of many matches is read once.
     """
-    gates = rules.directive_gates()
-    per_lang = [
-        F.when(matches(text, gates[lang]), F.coalesce(*[_directive(text, *pair) for pair in pairs]))
-        for lang, pairs in rules.directive_patterns().items()
-    ]
-    return F.when(matches(text, rules.PREFILTER_DIRECTIVE), F.coalesce(*per_lang))
+    mark = "\u0001"
+    pattern = f"(?iu)({java(before)})({java(from_anchor)})"
+    clean = F.translate(text, mark, "")
+    pieces = F.split(F.regexp_replace(clean, pattern, f"$1{mark}$2"), mark)
+    quotes = F.regexp_extract_all(clean, F.lit(pattern), F.lit(0))
+    window = F.lit(rules.NEGATION_WINDOW)
+    start = record(tail=F.lit(""), at=F.lit(-1), live=F.lit(-1))
+
+    def step(s: Column, piece: Column) -> Column:
+        # With the piece read, its end is the anchor of match ``at + 1``.
+        tail = F.right(F.concat(s["tail"], F.right(piece, window)), window)
+        at = s["at"] + 1
+        free = (s["live"] < 0) & (at < F.size(pieces) - 1) & ~negated_before(tail)
+        return record(tail=tail, at=at, live=F.when(free, at).otherwise(s["live"]))
+
+    return let(
+        F.aggregate(pieces, start, step, lambda s: s["live"]),
+        lambda live: F.when(live >= 0, _hit(rule_id, F.get(quotes, live), None)),
+    )
+
+
+def _short(pattern: str) -> str:
+    """With gaps that stop at the nearest match, so that one match does not swallow the next."""
+    return re.sub(r"(\[\^\\n\]\{0,\d+\})", r"\1?", pattern)
+
+
+def _strict_directive(text: Column, before_verb: str, from_verb: str) -> Column:
+    found = _first_live(text, "injection-directive", _short(before_verb), _short(from_verb))
+    return F.when(matches(text, before_verb + from_verb), found)
+
+
+def _strict_exfil(text: Column) -> Column:
+    return F.coalesce(*[F.when(matches(text, p), _first_live(text, "injection-exfil", "", _short(p))) for p in rules.EXFIL])
+
+
+def _rule_hits(strict: bool, languages: Column | None) -> dict[str, Callable[[Column], Column]]:
+    return {
+        "injection-override": override_hit,
+        "injection-exfil": lambda t: exfil_hit(t, strict),
+        "injection-directive": lambda t: directive_hit(t, languages, strict),
+    }
 
 
-RULE_HITS = {
-    "injection-override": override_hit,
-    "injection-exfil": exfil_hit,
-    "injection-directive": directive_hit,
-}
+RULES_ON_TEXT = ["injection-override", "injection-exfil", "injection-directive"]
+
+
+def _up_to_last(raw: Column, closer: str) -> Column:
+    """The text up to its last ``closer``, so that a search from any opener before it finds one."""
+    rest = F.substring_index(raw, closer, -1)
+    return F.left(raw, F.length(raw) - F.length(rest))
 
 
 def hidden_spans(raw: Column) -> Column:
-    """Bodies a human reader would not see, in rule order then document order."""
-    gates = ["<!--", r"style\s*=", "aria-hidden"]
-    per_rule = [
-        F.when(matches(raw, gate), extract_all(raw, p, 1)).otherwise(F.array().cast("array<string>"))
-        for gate, p in zip(gates, rules.HIDDEN_SPANS)
-    ]
+    """Bodies a human reader would not see, in rule order then document order. Linear in the text.
+
+    Openers after the last closer are not searched from. An element's pattern is tried once in each run up to
+    the next ``>``: if it fails from the run's first ``<``, it does from the others, so the run is passed over.
+    """
+    gates = {"<!--": "-->", r"style\s*=": "</", "aria-hidden": "</"}
+    per_rule = []
+    for (gate, closer), p in zip(gates.items(), rules.HIDDEN_SPANS):
+        once = p if p.startswith("<!--") else rf"<(?=[^>]*>){p.removeprefix('<')}|<[^>]*+"
+        found = F.filter(extract_all(_up_to_last(raw, closer), once, 1), lambda body: body != "")
+        per_rule.append(F.when(matches(raw, gate), found).otherwise(F.array().cast("array<string>")))
     return F.filter(F.transform(F.concat(*per_rule), js_trim), lambda s: s != "")
 
 
 def with_normal(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``_nfkc`` and ``_spans`` (hidden spans as one NFKC string, or null).
+    """Adds ``_normal``, ``_flat`` (its paragraphs, one a line; null where it has one line), ``_spans`` (hidden
+    spans as one NFKC string, or null) and ``_languages``.
 
-    Both NFKC calls sit in one projection so Spark sends them to Python in one Arrow batch.
+    Each pair of Python calls sits in one projection, so Spark sends them to Python in one Arrow batch.
     """
     joined = F.nullif(F.array_join(hidden_spans(F.col(text)), _JOIN), F.lit(""))
-    return df.withColumn("_joined", joined).withColumns(
-        {"_nfkc": nfkc(F.col(text)), "_spans": nfkc(F.col("_joined"))}
-    ).drop("_joined")
+    spelt = df.withColumn("_joined", joined).withColumns({"_nfkc": nfkc(F.col(text)), "_spans": nfkc(F.col("_joined"))})
+    return with_languages(spelt.withColumn("_normal", fold_content(F.col("_nfkc")))).drop("_joined", "_nfkc")
+
+
+def with_languages(df: DataFrame) -> DataFrame:
+    """Adds ``_flat`` and ``_languages`` next to ``_normal``."""
+    low = F.lower(F.col("_normal"))
+    worth = F.lit(False)
+    for gate in _worth(low).values():
+        worth = worth | gate
+    flat = F.when(worth & F.col("_normal").contains("\n"), collapse_paragraphs(F.col("_normal")))
+    return df.withColumn("_flat", flat).withColumn("_languages", directive_languages(F.col("_normal"), F.col("_flat")))
 
 
 def hidden_hit(spans: Column) -> Column:
@@ -181,32 +307,30 @@ def _worth(low: Column) -> dict[str, Column]:
     return {
         "injection-override": mentions(low, rules.WORDS_OVERRIDE),
         "injection-exfil": mentions(low, rules.WORDS_DEST) & mentions(low, rules.WORDS_TARGET),
-        "injection-directive": mentions(low, rules.WORDS_TARGET),
+        "injection-directive": _prefiltered(low),
     }
 
 
-def content_hits(normal: Column, spans: Column, rule_ids: list[str] | None = None) -> Column:
+def content_hits(
+    normal: Column, flat: Column, spans: Column, languages: Column, rule_ids: list[str] | None = None, strict: bool = False
+) -> Column:
     """``array<struct<rule_id,quote,negated>>``, each rule once, line pass before paragraph pass.
 
-    ``normal`` is the normalised text and ``spans`` the joined hidden spans, both bound values.
-    The paragraph pass only runs where it reads differently from the line pass.
+    The arguments are the columns of ``with_normal``. The paragraph pass only runs where it reads differently
+    from the line pass. ``strict``: a match that a negation excuses does not excuse the others.
     """
-    wanted = [*RULE_HITS, "injection-hidden"] if rule_ids is None else rule_ids
-    rules_on_text = [r for r in RULE_HITS if r in wanted]
+    wanted = [*RULES_ON_TEXT, "injection-hidden"] if rule_ids is None else rule_ids
+    rules_on_text = [r for r in RULES_ON_TEXT if r in wanted]
+    hits = _rule_hits(strict, languages)
 
     def both_passes(low: Column) -> Column:
-        worth = _worth(low)
-        any_worth = F.lit(False)
-        for rule in rules_on_text:
-            any_worth = any_worth | worth[rule]
-
+        worth = _worth(low) | {"injection-directive": F.coalesce(languages, F.lit(0)) != 0}
         # Both passes share one copy of the patterns.
-        flat = F.when(any_worth & normal.contains("\n"), collapse_paragraphs(normal))
         texts = F.array_compact(F.array(normal, flat))
         return F.flatten(
             F.transform(
                 texts,
-                lambda t: F.array(*[F.when(worth[r], RULE_HITS[r](t)) for r in rules_on_text]),
+                lambda t: F.array(*[F.when(worth[r], hits[r](t)) for r in rules_on_text]),
             )
         )
 
@@ -219,16 +343,15 @@ def content_hits(normal: Column, spans: Column, rule_ids: list[str] | None = Non
     return first_per_rule(live, "rule_id")
 
 
-def scan_content(df: DataFrame, text: str = "text", rule_ids: list[str] | None = None) -> DataFrame:
+def scan_content(
+    df: DataFrame, text: str = "text", rule_ids: list[str] | None = None, strict: bool = False
+) -> DataFrame:
     """Injection hits, one row per text and rule, with a quote of the matched text.
 
     No filter sits above the normal form, so it is computed once per row (see ``scan_prompts``).
     """
     keys = [c for c in df.columns if c != text]
-    hits = let(
-        fold_content(F.col("_nfkc")),
-        lambda normal: content_hits(normal, F.col("_spans"), rule_ids),
-    )
+    hits = content_hits(*map(F.col, ("_normal", "_flat", "_spans", "_languages")), rule_ids, strict)
     return (
         with_normal(df, text)
         .select(*keys, F.explode(hits).alias("hit"))

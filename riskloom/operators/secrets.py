@@ -135,9 +135,13 @@ def secrets_new_in_crawl(
     ``pages`` is ``(site, page_id, url, html)``, ``scanned_urls`` is ``(site, url)`` and ``earlier``
     is ``(site, id, secret_sha256)``. Pages are scanned where they are read; only hits are joined and
     shuffled, and repeats are merged map-side.
+
+    The optimiser pushes a semi or anti join below the generator of the hits, where it would deal out whole
+    documents; it leaves an outer join where it stands.
     """
     hits = scan_secrets(pages.select("site", "page_id", "url", text), text, with_line=False)
-    fresh = hits.join(scanned_urls.select("site", "url"), ["site", "url"], "left_anti")
+    scanned = scanned_urls.select("site", "url").distinct().withColumn("_scanned", F.lit(True))
+    fresh = hits.join(scanned, ["site", "url"], "left").filter("_scanned IS NULL")
     return (
         fresh.groupBy("site", "id", "secret_sha256")
         .agg(F.min_by("url", F.col("page_id")).alias("source"))

@@ -116,7 +116,7 @@ def localize(findings: DataFrame, spark: SparkSession, lang: str = "en") -> Data
 # ---- sinks ----------------------------------------------------------------------------------
 
 
-def sarif_results(localized: DataFrame) -> DataFrame:
+def sarif_results(localized: DataFrame, *extra: str) -> DataFrame:
     """One result per security finding; ``path`` and line apart, an address kept whole."""
     level = None
     for severity, name in catalog.SARIF_LEVEL.items():
@@ -129,6 +129,7 @@ def sarif_results(localized: DataFrame) -> DataFrame:
         F.col("source").alias("uri"),
         F.when(~F.coalesce(F.col("source").rlike("(?i)^https?:"), F.lit(False)), F.col("line")).alias("start_line"),
         F.concat_ws(". ", "label", "why").alias("message"),
+        *extra,
     )
 
 
@@ -143,6 +144,53 @@ def sarif_rules(localized: DataFrame) -> DataFrame:
     )
 
 
+#: Results a SARIF document holds, about: large targets have several documents.
+SARIF_RESULTS = 1000
+SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
+
+
+def sarif_documents(localized: DataFrame, results: int = SARIF_RESULTS) -> DataFrame:
+    """``(target, part, document)``: valid SARIF 2.1.0 with one run, its results and each of their rules once.
+
+    Results of a large target are dealt over documents by a hash, so no task holds more than a document's.
+    """
+    found = sarif_results(localized.withColumn("_label", F.col("label")).withColumn("_why", F.col("why")), "_label", "_why")
+    sizes = found.groupBy("target").agg(F.ceil(F.count("*") / F.lit(results)).alias("_parts"))
+    named = sizes.select(F.col("target").alias("_target"), "_parts")
+    text = F.coalesce(F.nullif("message", F.lit("")), F.col("rule_id"))
+    part = F.pmod(F.xxhash64("rule_id", "uri", "start_line", "message"), F.col("_parts"))
+    place = F.struct(
+        F.struct(F.col("uri").alias("uri")).alias("artifactLocation"),
+        F.when(F.col("start_line").isNotNull(), F.struct(F.col("start_line").alias("startLine"))).alias("region"),
+    )
+    location = F.when(F.col("uri").isNotNull(), F.array(F.struct(place.alias("physicalLocation"))))
+    result = F.struct(
+        F.col("rule_id").alias("ruleId"), "level", F.struct(text.alias("text")).alias("message"), location.alias("locations")
+    )
+    name = F.coalesce("_label", F.col("rule_id"))
+    rule = F.struct(
+        F.col("rule_id").alias("id"), name.alias("name"), F.struct(name.alias("text")).alias("shortDescription"),
+        F.struct(F.coalesce("_why", name).alias("text")).alias("fullDescription"),
+    )
+    runs = (
+        found.join(named, F.col("target") == F.col("_target"))
+        .groupBy("target", part.alias("part"))
+        .agg(F.array_sort(F.collect_list(result)).alias("results"), F.array_sort(F.collect_set(rule)).alias("rules"))
+    )
+    tool = F.struct(F.struct(F.lit("riskloom").alias("name"), F.lit(str(SCHEMA_VERSION)).alias("version"), "rules").alias("driver"))
+    document = F.struct(
+        F.lit(SARIF_SCHEMA).alias("$schema"),
+        F.lit("2.1.0").alias("version"),
+        F.array(F.struct(tool.alias("tool"), "results")).alias("runs"),
+    )
+    return runs.select("target", "part", F.to_json(document).alias("document"))
+
+
+def write_sarif(localized: DataFrame, path: str) -> None:
+    """One document a line, in as many files as the session's shuffle gives."""
+    sarif_documents(localized).select("document").write.mode("overwrite").text(path)
+
+
 SCHEMA_VERSION = 1
 
 

@@ -53,8 +53,7 @@ def read_source_tree(
     The first ``repo_depth`` folders below the root name the repository. Name filters, and the
     size limit if one is given, come before ``content`` is decoded; Spark packs small files into shared
     partitions.
-    Spark's file readers skip names that start with a dot or underscore; repositories whose
-    ``.env`` files matter should be packed into a ``(repo, path, content)`` table instead.
+    Spark's file readers skip names that start with a dot or underscore; ``sources.tree`` reads them.
     """
     skipped = "|".join(d.replace(".", r"\.") for d in SKIPPED_DIRS)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
