@@ -1,18 +1,15 @@
 """Connected components by alternating large-star and small-star steps over an edge table.
 
-A step deals each edge to one of its nodes and reads a node's edges in order, the least neighbour first, so
-a task holds one row of a node however many edges it has. Nodes of very many edges are dealt over parts, each
-with the node's smaller neighbours.
+A step deals each edge to one of its nodes and finds a node's least neighbour in a window over its edges, which
+Spark sorts and spills. Nodes of very many edges are dealt over parts, each with the node's smaller neighbours.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import materialize
@@ -46,50 +43,6 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def _differs(x: pa.Array) -> np.ndarray:
-    return pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)).to_numpy(zero_copy_only=False)
-
-
-def _star(emit: Callable[[pa.Array, pa.Array, pa.Array, np.ndarray], tuple[pa.Array, pa.Array]]):
-    """Rows (node, part, other) come in order. ``emit`` gets nodes, others, the least of both of each group for
-    each row, and which rows are the first of their group; it gives the new edges."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None  # the last row and its group's least
-        for batch in batches:
-            node, part, other = batch.columns
-            if not len(node):
-                continue
-            new = np.ones(len(node), dtype=bool)
-            new[1:] = _differs(node) | _differs(part)
-            again = np.zeros(len(node), dtype=bool)
-            again[1:] = ~new[1:] & ~_differs(other)
-            first = np.flatnonzero(new)
-            group = np.cumsum(new) - 1
-            least = pc.min_element_wise(node.take(pa.array(first)), other.take(pa.array(first)))
-            if before is not None and (node[0], part[0]) == before[:2]:
-                new[0], again[0] = False, other[0] == before[2]
-                least = pa.concat_arrays([pa.array([before[3].as_py()], node.type), least.slice(1)])
-            low = least.take(pa.array(group))
-            before = node[-1], part[-1], other[-1], low[-1]
-            keep = pa.array(~again)
-            a, b = emit(node.filter(keep), other.filter(keep), low.filter(keep), new[~again])
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
-
-    return run
-
-
-def _large(node: pa.Array, other: pa.Array, low: pa.Array, first: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    greater = pc.greater(other, node)
-    return other.filter(greater), low.filter(greater)
-
-
-def _small(node: pa.Array, other: pa.Array, low: pa.Array, first: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    ends = pc.if_else(pa.array(first), node, other)
-    apart = pc.not_equal(ends, low)
-    return ends.filter(apart), low.filter(apart)
-
-
 def _dealt_both_ways(edges: DataFrame, size: int) -> DataFrame:
     """(node, part, other) of every edge from both ends; a heavy node's greater neighbours over parts, its
     smaller ones in each."""
@@ -109,11 +62,14 @@ def _dealt_both_ways(edges: DataFrame, size: int) -> DataFrame:
 
 def _step(edges: DataFrame, size: int) -> DataFrame:
     """Large-star then small-star; edges hold a > b."""
-    order = ["node", "part", "other"]
-    both = _dealt_both_ways(edges, size).repartition("node", "part").sortWithinPartitions(*order)
-    large = both.mapInArrow(_star(_large), edges.schema)
-    down = large.select(F.col("a").alias("node"), F.lit(0).alias("part"), F.col("b").alias("other"))
-    return down.repartition("node").sortWithinPartitions(*order).mapInArrow(_star(_small), edges.schema)
+    both = _dealt_both_ways(edges, size)
+    least = F.min("other").over(Window.partitionBy("node", "part"))
+    large = both.withColumn("low", F.least("node", least)).filter("other > node")
+    down = large.select(F.col("other").alias("node"), F.col("low").alias("other"))
+    down = down.repartition("node").dropDuplicates(["node", "other"])
+    down = down.withColumn("low", F.min("other").over(Window.partitionBy("node")))
+    end = F.when(F.col("other") == F.col("low"), F.col("node")).otherwise(F.col("other"))
+    return down.select(end.alias("a"), F.col("low").alias("b"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
