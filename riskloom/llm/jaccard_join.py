@@ -59,7 +59,7 @@ class Settings:
 _RARE, _COMBINED, _LIGHT, _HEAVY = 0, 1, 2, 3
 _POSTING = "bucket long, k1 long, k2 long, kind int, n int, pos int"
 _CANDIDATE = "big boolean, bucket long, k1 long, k2 long, kind int, n int, pos int, o1 long, o2 long, on int"
-_PARITIES = 2048
+_PARITIES, _MOST_PARITIES = 2048, 2**17
 _NO_ID = -(2**63)
 _U64 = np.uint64
 
@@ -75,11 +75,14 @@ def least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _parities(tokens: np.ndarray) -> np.ndarray:
-    """For each of ``_PARITIES`` classes of shingles whether the set has an odd number of them, as longs.
+    """For each class of shingles whether the set has an odd number of them, as longs.
 
-    Two sets differ in at least as many shingles as they do in parities.
+    Two sets differ in at least as many shingles as they do in parities. Longer sets have more classes, some
+    two a shingle, as differing shingles that share a class hide each other. Classes are low bits of a hash, so
+    halves of the array merge into the parities of half as many classes.
     """
-    counts = np.bincount((tokens >> _U64(20)).astype(np.int64) & (_PARITIES - 1), minlength=_PARITIES)
+    classes = min(max(_PARITIES, 1 << (2 * len(tokens)).bit_length()), _MOST_PARITIES)
+    counts = np.bincount((tokens >> _U64(20)).astype(np.int64) & (classes - 1), minlength=classes)
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
@@ -323,14 +326,22 @@ def _possible(pairs: DataFrame, entities: DataFrame, s: Settings) -> DataFrame:
     a = entities.select("k1", "k2", "n", "id", "odd")
     b = entities.select(*[F.col(x).alias(y) for x, y in zip(a.columns, ("o1", "o2", "m", "other_id", "other_odd"), strict=True)])
     met = pairs.join(a, ["k1", "k2"]).join(b, ["o1", "o2"])
-    differ = F.aggregate(
-        F.zip_with("odd", "other_odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x
-    )
     total = F.col("n") + F.col("m")
-    met = met.withColumn("differ", differ).filter(F.col("differ") <= total - 2 * _least_overlap(total, s))
+    allowed = total - 2 * _least_overlap(total, s)
+    near = met.filter(F.abs(F.col("n") - F.col("m")) <= allowed)  # so the classes differ by a factor of two at most
+    one, two = F.col("odd"), F.col("other_odd")
+    one, two = F.when(F.size(one) > F.size(two), _halved(one)).otherwise(one), F.when(F.size(two) > F.size(one), _halved(two)).otherwise(two)
+    differ = F.aggregate(F.zip_with(one, two, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda sum_, x: sum_ + x)
+    met = near.withColumn("differ", differ).filter(F.col("differ") <= allowed)
     return met.select(*_PAIR, "id", "other_id", "differ")
 
 
+def _halved(odd: Column) -> Column:
+    """The parities of half as many classes."""
+    half = (F.size(odd) / 2).cast("int")
+    return F.zip_with(F.slice(odd, F.lit(1), half), F.slice(odd, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+
 def _least_overlap(total, s: Settings):
     """``least_overlap`` as a column."""
     whole = 100 + s.percent
@@ -428,12 +439,13 @@ _FOLDED = [f"odd{i}" for i in range(8)]
 
 
 def _folded(odd: str) -> list:
-    """The parities of 512 classes, eight longs, from those of 2048: classes merge by exclusive or."""
-    out = []
-    for i in range(8):
-        a, b, c, d = (F.get(odd, F.lit(i + 8 * k)) for k in range(4))
-        out.append(a.bitwiseXOR(b).bitwiseXOR(c).bitwiseXOR(d).alias(_FOLDED[i]))
-    return out
+    """The parities of 512 classes, eight longs: classes merge by exclusive or."""
+    blocks = F.sequence(F.lit(0), (F.size(odd) / 8).cast("int") - 1)
+
+    def merged(i: int) -> Column:
+        return F.aggregate(blocks, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.get(F.col(odd), k * 8 + i)))
+
+    return [merged(i).alias(name) for i, name in enumerate(_FOLDED)]
 
 
 def _close(n: str, m: str, prefix: str, s: Settings):
