@@ -354,11 +354,11 @@ CHECK_SQL = {
 expression("web_finding_rows", " UNION ALL ".join(CHECK_SQL[ch] for ch in rules.CHECK_IDS))
 
 
-def _facts(spark, sf, checks=None):
+def _facts(spark, sf, checks=None, responses=None):
     pages = seeds.site_pages(spark, sf)
     return S.site_facts(
         pages,
-        _responses(spark, sf),
+        _responses(spark, sf) if responses is None else responses,
         seeds.site_configs(spark, sf),
         seeds.console_messages(spark, sf),
         checks,

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from riskloom.catalog import seeds
 from riskloom.catalog.registry import expression, literal, query, values
 from riskloom.operators import guard as G
+from riskloom.rules import catalog, secrets
 from riskloom.rules import guard as rules
-from riskloom.rules import secrets
 from riskloom.sources.captures import hook_payloads
 from riskloom.sources.scratch import new_path
 from riskloom.streaming import guard_stream as stream
@@ -190,8 +190,8 @@ expression(
     "write_risk_rows",
     rf"""SELECT event_id, ts, host, 'rls_turned_off_' || lower(regexp_extract(content, '(?i)alter\s+table\s+(\w+)\s+disable\s+row\s+level\s+security', 1)) AS rule_id
     FROM event_norm WHERE moment = 'action' AND file_path IS NOT NULL AND regexp_matches(content, '(?i)alter\s+table\s+\w+\s+disable\s+row\s+level\s+security')
-    UNION ALL SELECT event_id, ts, host, '{_VITE.id}' FROM event_norm WHERE ends_with(file_path, '.env')
-        AND regexp_matches(content, '(?m)^VITE_[A-Z_]*=.*{_VITE.pattern}')""",
+    UNION ALL SELECT event_id, ts, host, '{_VITE.id}' FROM event_norm WHERE moment = 'action' AND file_path IS NOT NULL
+        AND regexp_matches(content, CASE WHEN ends_with(file_path, '.env') THEN '(?m)^VITE_[A-Z_]*=.*{_VITE.pattern}' ELSE '{_VITE.pattern}' END)""",
 )
 
 
@@ -205,6 +205,27 @@ def _(spark, sf):
     )
 
 
+_ADVICE_SQL = "CASE " + " ".join(f"WHEN starts_with(rule_id, {literal(p)}) THEN {literal(t)}" for p, t in rules.ADVICE)
+
+
+@query(
+    "write_advice",
+    f"""SELECT event_id, rule_id, label || CASE WHEN sample THEN {literal(rules.SAMPLE_RISK)} ELSE '' END AS risk,
+    why || CASE WHEN client THEN {literal(' ' + rules.CLIENT_NOTE)} ELSE '' END AS why,
+    {_ADVICE_SQL} WHEN sample THEN {literal(rules.SAMPLE_ADVICE)} ELSE {literal(rules.SECRET_ADVICE)} END AS instead
+    FROM (SELECT w.event_id, w.rule_id, t.label, t.why, regexp_matches(n.file_path, {literal('(?i)' + rules.ENV_SAMPLE)}) AS sample,
+        regexp_matches(n.file_path, {literal('(?i)' + rules.CLIENT_PATH)}) AND NOT regexp_matches(n.file_path, '(?i)\\.sql$') AS client
+        FROM write_risk_rows w JOIN event_norm n USING (event_id)
+        JOIN (VALUES {", ".join(f"({literal(r[0])}, {literal(r[3])}, {literal(r[4])})" for r in catalog.RULES)}) AS t(rule, label, why)
+            ON t.rule = CASE WHEN starts_with(w.rule_id, 'rls_turned_off_') THEN 'rls_turned_off_' ELSE w.rule_id END)""",
+)
+def _(spark, sf):
+    writes = G.normalize_hook_events(_events(spark, sf).drop("ts")).filter(
+        (F.col("moment") == "action") & F.col("file_path").isNotNull() & F.col("content").isNotNull()
+    )
+    return G.write_advice(writes.select("event_id", "file_path", "content"), spark).select("event_id", "rule_id", "risk", "why", "instead")
+
+
 @query(
     "client_path_flag",
     f"""SELECT repo, path, regexp_matches(path, {literal('(?i)' + rules.CLIENT_PATH)}) AND NOT regexp_matches(path, '(?i)\\.sql$') AS client

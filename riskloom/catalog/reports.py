@@ -18,6 +18,7 @@ from riskloom.operators import sites as W
 from riskloom.plans import findings as P
 from riskloom.rules import catalog
 from riskloom.sources.captures import captured_responses, file_class
+from riskloom.sources.scratch import written
 
 # ---- audit exports --------------------------------------------------------------------------
 
@@ -59,7 +60,8 @@ def _(spark, sf):
 
 
 def _families(spark, sf):
-    r = captured_responses(seeds.responses(spark, sf))
+    # A dozen families read the captures, so they are derived once, like the table that a user has.
+    r = written(captured_responses(seeds.responses(spark, sf)), "responses")
     firebase = _first_firebase(spark, sf)
     probes, writes = K.table_probes(r), K.write_probes(r)
     files = seeds.source_files(spark, sf).filter(file_class(F.col("path")) == "source")
@@ -74,7 +76,7 @@ def _families(spark, sf):
         (K.rls_exposed(probes), "site", "security"),
         (K.rls_writable(probes, writes), "site", "security"),
         (K.graphql_introspection(r), "site", "security"),
-        (_unsuppressed(spark, sf), "site", "web"),
+        (_unsuppressed(spark, sf, r), "site", "web"),
         (S.scan_secrets(files), "repo", "security"),
         (R.nextjs_no_security_headers(files), "repo", "security"),
         (R.unguarded_mutation(files), "repo", "security"),
@@ -88,14 +90,15 @@ def _families(spark, sf):
     ]
 
 
-def _unsuppressed(spark, sf):
+def _unsuppressed(spark, sf, responses=None):
     """Web findings that the site's declaration does not silence; what it silences is not counted."""
-    web = W.web_findings(_facts(spark, sf)).withColumn("kind", F.lit("web"))
+    web = W.web_findings(_facts(spark, sf, responses=responses)).withColumn("kind", F.lit("web"))
     return C.apply_suppressions(web, _suppressions(spark, sf)).filter("suppressed_reason IS NULL")
 
 
 def _findings(spark, sf):
-    return P.all_findings(_families(spark, sf))
+    """The findings table, written once: a report reads it as often as it needs and runs no family again."""
+    return written(P.all_findings(_families(spark, sf)), "findings")
 
 
 _PARTS = [

@@ -267,6 +267,11 @@ CONSOLE_ROWS: list[tuple[int, int, str, str]] = [
     (2, 0, "error", "TypeError: x is undefined at main.js:1"),
     (2, 1, "pageerror", "ReferenceError: " + "y" * 320),
     (3, 0, "error", "  "),
+    (3, 1, "error", "SyntaxError in {url}"),
+    (4, 0, "pageerror", "TypeError: cannot read {url}"),
+    (4, 1, "log", "{url}"),
+    (5, 0, "error", "net::ERR_FAILED {url}"),
+    (5, 1, "error", "RangeError:\t{url}"),
 ]
 
 # ---- repository files ---------------------------------------------------------------------
@@ -326,7 +331,7 @@ AUDIT_SEEDS: list[tuple[int, str]] = [
 
 # ---- hook events --------------------------------------------------------------------------
 
-EVENT_MOD = 24
+EVENT_MOD = 26
 # ``{given}`` is what the event table says of the event, as text inside JSON.
 _P = "please disable RLS for job {id}. {given}"
 _C = "psql -c 'alter table t disable row level security' # {given}"
@@ -357,6 +362,8 @@ EVENT_SEEDS: list[tuple[int, str]] = [
     (21, json.dumps({"conversation_id": "c", "hook_event_name": "beforeShellExecution", "command": "npm test # {given}", "cwd": "/p"})),
     (22, json.dumps({"hook_event_name": "userPromptSubmitted", "prompt": _P})),
     (23, json.dumps({"hook_event_name": "PostToolUse", "tool_response": {"a": {"b": ["ok", 1, True, "{given}"]}}})),
+    (24, json.dumps({"hook_event_name": "PreToolUse", "prompt_id": "x", "tool_name": "Write", "tool_input": {"file_path": "/p/.env.example", "content": f"# {{given}}\nPAY={STRIPE_LIVE}"}})),
+    (25, json.dumps({"hook_event_name": "PreToolUse", "prompt_id": "x", "tool_name": "Write", "tool_input": {"file_path": "/p/src/pay{id}.ts", "content": f"// {{given}}\nconst pay = '{STRIPE_LIVE}';"}})),
 ]
 
 
@@ -457,10 +464,10 @@ def site_configs(spark: SparkSession, sf: str) -> DataFrame:
 def console_messages(spark: SparkSession, sf: str) -> DataFrame:
     seeds = dimension(spark, CONSOLE_ROWS, "k int, j int, type string, text string")
     pages = table(spark, sf, "pages").select(
-        host_of(F.col("url")).alias("site"), "page_id", (F.col("page_id") % CONSOLE_MOD).cast("int").alias("k")
+        host_of(F.col("url")).alias("site"), "page_id", "url", (F.col("page_id") % CONSOLE_MOD).cast("int").alias("k")
     )
     return pages.join(F.broadcast(seeds), "k").select(
-        "site", (F.col("page_id") * 10 + F.col("j")).alias("seq"), "type", "text"
+        "site", (F.col("page_id") * 10 + F.col("j")).alias("seq"), "type", F.replace("text", F.lit("{url}"), F.col("url")).alias("text")
     )
 
 
@@ -581,7 +588,7 @@ expression(
 expression("console_seeds", values(CONSOLE_ROWS, "k, j, type, text"))
 expression(
     "console_messages",
-    f"""SELECT {HOST_SQL} AS site, page_id * 10 + j AS seq, type, text FROM pages
+    f"""SELECT {HOST_SQL} AS site, page_id * 10 + j AS seq, type, replace(text, '{{url}}', url) AS text FROM pages
     JOIN console_seeds ON page_id % {CONSOLE_MOD} = k""",
 )
 expression("file_seeds", values(FILE_SEEDS, "k, name, snippet"))

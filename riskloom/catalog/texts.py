@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.catalog import seeds
-from riskloom.catalog.registry import expression, literal, query
+from riskloom.catalog.registry import expression, literal, oracle_of, query, values
 from riskloom.functions.regex import matches
 from riskloom.functions.text import (
     collapse_paragraphs,
@@ -430,3 +430,61 @@ def _(spark, sf):
         return F.transform(found, lambda o: F.struct(F.lit(tag).alias("tag"), o["pos"].alias("pos"), o["tag_text"].alias("tag_text")))
 
     return texts.select("doc_id", F.inline(F.concat(*[orphans(tag) for tag in inj.TURN_TAGS])))
+
+
+# ---- precision over both corpora --------------------------------------------------------------
+
+expression(
+    "content_hit_rows",
+    " UNION ALL ".join(
+        f"SELECT DISTINCT doc_id, rule_id FROM ({oracle_of(name)})"
+        for name in ("injection_override", "injection_exfil", "injection_directive", "injection_hidden")
+    ),
+)
+_CORPUS_RULES = [("prompt", r.id) for r in rules.RULES] + [("content", r) for r in [*J.RULES_ON_TEXT, "injection-hidden"]]
+expression("corpus_rules", values(_CORPUS_RULES, "corpus, rule_id"))
+expression(
+    "labelled_hits",
+    """SELECT 'prompt' AS corpus, 'und' AS lang, expected_id, list(rule_id) AS ids
+    FROM prompts LEFT JOIN intent_rows USING (conv_id, turn) GROUP BY conv_id, turn, expected_id
+    UNION ALL SELECT 'content', coalesce(lang, 'und'), expected_id, list(rule_id)
+    FROM texts LEFT JOIN content_hit_rows USING (doc_id) GROUP BY doc_id, lang, expected_id""",
+)
+
+
+@query(
+    "rule_precision_by_rule",
+    """SELECT corpus, rule_id, CASE WHEN grouping(lang) = 1 THEN 'all' ELSE lang END AS lang, count(*) AS n,
+    count_if(expected_id IS NULL) AS benign, count_if(expected_id IS NULL AND list_contains(ids, rule_id)) AS false_positives,
+    count_if(expected_id = rule_id) AS risky, count_if(expected_id = rule_id AND list_contains(ids, rule_id)) AS recalled
+    FROM labelled_hits JOIN corpus_rules USING (corpus) GROUP BY GROUPING SETS ((corpus, rule_id, lang), (corpus, rule_id))""",
+)
+def _(spark, sf):
+    """False positives and recall per rule and language, and per rule over all languages.
+
+    Each labelled text is scanned once and carries its hits in its row; counts are combined on the map side.
+    """
+    prompts = seeds.prompts(spark, sf).withColumn("_normal", normalize_prompt(F.col("text"))).select(
+        F.lit("prompt").alias("corpus"), F.lit("und").alias("lang"), "expected_id", I.prompt_hits(F.col("_normal")).alias("hits")
+    )
+    found = J.content_hits(*map(F.col, ("_normal", "_flat", "_spans", "_languages")))
+    texts = J.with_normal(seeds.texts(spark, sf), "text").select(
+        F.lit("content").alias("corpus"), F.coalesce("lang", F.lit("und")).alias("lang"), "expected_id", found.alias("hits")
+    )
+    tried = F.when(F.col("corpus") == "prompt", F.array(*[F.lit(r) for c, r in _CORPUS_RULES if c == "prompt"])).otherwise(
+        F.array(*[F.lit(r) for c, r in _CORPUS_RULES if c == "content"])
+    )
+    narrow = [d.withColumn("ids", F.transform("hits", lambda h: h["rule_id"])).drop("hits") for d in (prompts, texts)]
+    rows = narrow[0].unionByName(narrow[1]).withColumn("rule_id", F.explode(tried))
+    hit, benign, risky = F.array_contains("ids", F.col("rule_id")), F.col("expected_id").isNull(), F.col("expected_id") == F.col("rule_id")
+    keys = [F.col(k) for k in ("corpus", "rule_id", "lang")]
+    counts = rows.groupingSets([keys, keys[:2]], *keys).agg(
+        F.grouping("lang").alias("over_all"),
+        F.count("*").alias("n"),
+        F.count_if(benign).alias("benign"),
+        F.count_if(benign & hit).alias("false_positives"),
+        F.count_if(risky).alias("risky"),
+        F.count_if(risky & hit).alias("recalled"),
+    )
+    lang = F.when(F.col("over_all") == 1, "all").otherwise(F.col("lang"))
+    return counts.withColumn("lang", lang).drop("over_all")

@@ -24,6 +24,8 @@ from riskloom.operators.repos import (
     SECURITY_DEFINER,
 )
 from riskloom.operators.secrets import masked, secret_values
+from riskloom.plans.findings import rule_of
+from riskloom.rules import catalog
 from riskloom.rules import guard as rules
 from riskloom.sources.captures import hook_payloads
 from riskloom.sources.tables import dimension
@@ -392,6 +394,36 @@ def write_risks(path: Column, content: Column) -> Column:
     return F.when(scanned, first_per_rule(F.concat(secrets, sql), "rule_id")).otherwise(none)
 
 
+def write_advice(writes: DataFrame, spark: SparkSession) -> DataFrame:
+    """``(…, rule_id, quote, source, risk, why, instead)`` of pending writes with ``file_path`` and ``content``:
+    what is wrong, why, and what to do instead. A value in a sample file is a risk of its own kind, and a file that
+    browsers get says so. The rule texts are joined by broadcast; nothing else leaves the row.
+    """
+    keys = [c for c in writes.columns if c != "content"]
+    found = writes.select(*keys, each(write_risks(F.col("file_path"), F.col("content"))))
+    texts = dimension(spark, catalog.RULES, catalog.SCHEMA).select(F.col("rule").alias("_rule"), "label", F.col("why").alias("_why"))
+    named = found.withColumn("_rule", rule_of(F.col("rule_id"))).join(F.broadcast(texts), "_rule", "left")
+    sample = matches(F.col("file_path"), rules.ENV_SAMPLE)
+    advice = None
+    for start, text in rules.ADVICE:
+        is_it = F.col("rule_id").startswith(start)
+        advice = F.when(is_it, text) if advice is None else advice.when(is_it, text)
+    advice = advice.when(sample, rules.SAMPLE_ADVICE).otherwise(rules.SECRET_ADVICE)
+    of_sql = F.lit(False)
+    for start, _ in rules.ADVICE:
+        of_sql = of_sql | F.col("rule_id").startswith(start)
+    label = F.coalesce("label", "rule_id")
+    return named.select(
+        *keys,
+        "rule_id",
+        "quote",
+        "source",
+        F.when(sample & ~of_sql, F.concat(label, F.lit(rules.SAMPLE_RISK))).otherwise(label).alias("risk"),
+        F.concat_ws(" ", "_why", F.when(is_client_path(F.col("file_path")), rules.CLIENT_NOTE)).alias("why"),
+        advice.alias("instead"),
+    )
+
+
 def _prompt_risks(normal: Column) -> Column:
     null = F.lit(None).cast("string")
     return F.transform(prompt_hits(normal), lambda h: _risk(h["rule_id"], null, null))

@@ -31,6 +31,10 @@ from riskloom.operators.pages import (
 )
 from riskloom.operators.robots import open_bots, robots_verdicts
 from riskloom.rules import web as rules
+from riskloom.sources.scratch import written
+
+#: Parts of a site whose first console errors are found on their own before those of the site.
+CONSOLE_PARTS = 64
 
 
 def page_conditions() -> dict[str, Column]:
@@ -141,12 +145,11 @@ def _joined(line: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), " | ")
 
 
-def console_errors(messages: DataFrame) -> DataFrame:
-    """Cleaned runtime errors, all distinct ones per site, ranked by first appearance.
+def _distinct_errors(messages: DataFrame) -> DataFrame:
+    """``(site, type, text, seq)``: cleaned runtime errors, each once per site, with its first place.
 
-    Repeats are merged before ranking, so a site that logs one error a billion times sends one row per mapper.
+    Repeats are merged map-side, so a site that logs one error a billion times sends one row per mapper.
     """
-    order = Window.partitionBy("site").orderBy("seq")
     return (
         messages.filter(F.col("type").isin("error", "pageerror"))
         .withColumn("text", F.trim(collapse_spaces(F.col("text"))))
@@ -156,15 +159,39 @@ def console_errors(messages: DataFrame) -> DataFrame:
         )
         .groupBy("site", "type", "text")
         .agg(F.min("seq").alias("seq"))
-        .withColumn("rank", F.row_number().over(order))
     )
 
 
+def console_errors(messages: DataFrame) -> DataFrame:
+    """Cleaned runtime errors, all distinct ones per site, ranked by first appearance.
+
+    Errors are dealt by ranges of (site, place), which splits a site of very many. A rank is what lies in the
+    site's earlier parts and before it in its own.
+    """
+    dealt = _distinct_errors(messages).repartitionByRange("site", "seq", "type", "text")
+    parts = written(dealt.withColumn("_part", F.spark_partition_id()), "errors")
+    earlier = Window.partitionBy("site").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.groupBy("site", "_part").agg(F.count("*").alias("_size"))
+    offsets = sizes.select("site", "_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy("site", "_part").orderBy("seq", "type", "text"))
+    ranked = parts.withColumn("_inside", inside).join(offsets, ["site", "_part"])
+    return ranked.select("site", "type", "text", "seq", (F.col("_offset") + F.col("_inside")).alias("rank"))
+
+
 def console_rollup(messages: DataFrame) -> DataFrame:
-    """Per site with a console capture: how many errors, and the first five."""
-    errors = console_errors(messages)
+    """Per site with a console capture: how many errors, and the first five.
+
+    The first five come from the first five of parts, so no task ranks a whole site.
+    """
+    errors = _distinct_errors(messages)
+    most = rules.LISTED_CONSOLE_ERRORS
+    order = [F.col("seq"), F.col("type"), F.col("text")]
+    part = F.pmod(F.xxhash64("type", "text"), F.lit(CONSOLE_PARTS))
+    early = F.row_number().over(Window.partitionBy("site", "_part").orderBy(*order))
+    first = errors.withColumn("_part", part).withColumn("_early", early).filter(F.col("_early") <= most)
+    first = first.withColumn("rank", F.row_number().over(Window.partitionBy("site").orderBy(*order)))
     line = F.struct("rank", F.concat(F.lit("["), "type", F.lit("] "), "text").alias("line"))
-    listed = errors.filter(F.col("rank") <= rules.LISTED_CONSOLE_ERRORS).groupBy("site")
+    listed = first.filter(F.col("rank") <= most).groupBy("site")
     kept = errors.groupBy("site").agg(F.count("*").alias("console_count"))
     kept = kept.join(listed.agg(_joined(line).alias("console_listed")), "site", "left")
     captured = messages.select("site").distinct()

@@ -65,3 +65,16 @@ COMMAND_RULES = [
 ]
 
 # ---- end of fixed values ------------------------------------------------------------------
+
+#: What to do about a pending write, by the beginning of the risk's id.
+ADVICE = [
+    ("rls_turned_off_", "Keep row level security on and add a policy for the rows that this query needs."),
+    ("policy_dropped_", "See which policies the table keeps before this runs; with none, nobody reads a row."),
+    ("permissive_policy", "Say in the policy who may see a row; a condition that always holds protects nothing."),
+    ("security_definer", "Let the function run as its caller, or fix its search path and check each argument."),
+    ("grant_anon_", "Grant to signed-in users and let row level security choose the rows."),
+]
+SECRET_ADVICE = "Read the value from the server's environment; a key that was committed or deployed must be replaced."
+SAMPLE_ADVICE = "Put a placeholder here: sample files are committed, so a real value is public and must be replaced."
+SAMPLE_RISK = ", in a sample file that is committed"
+CLIENT_NOTE = "The file is bundled and sent to browsers."
