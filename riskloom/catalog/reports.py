@@ -256,3 +256,42 @@ def _(spark, sf):
     return documents.select(
         "target", *[F.get_json_object("document", f"$.{name}").alias(name) for name in ("row", "id", "severity", "verdict")]
     )
+
+
+def _sections(spark, sf, responses, web):
+    """What a payload tells besides findings; ``web`` are the web findings before suppression."""
+    silenced = C.apply_suppressions(web, _suppressions(spark, sf)).filter("suppressed_reason IS NOT NULL")
+    rls = K.rls_rollup(K.table_probes(responses), K.write_probes(responses), K.openapi_tables(responses))
+    return {
+        "suppressed": silenced.select(F.col("site").alias("target"), "id", "severity", F.col("suppressed_reason").alias("reason")),
+        "fingerprint": W.stack_fingerprint(seeds.site_pages(spark, sf), responses).withColumnRenamed("site", "target"),
+        "rls": rls.withColumnRenamed("site", "target"),
+    }
+
+
+@query(
+    "payload_sections",
+    f"""SELECT target, row, count(*) AS n, string_agg(word, ',' ORDER BY word) AS words FROM (
+    SELECT w.site AS target, 'suppressed' AS row, w.id || ': ' || s.reason AS word FROM web_finding_rows w JOIN suppress_rows s ON s.site = w.site AND s.id = w.id
+    UNION ALL SELECT site, 'fingerprint', 'score ' || score FROM fingerprint_rows
+    UNION ALL SELECT site, 'rls', probed || ' probed, ' || exposed || ' exposed, ' || enumerated || ' listed' FROM ({oracle_of("rls_rollup")}))
+    GROUP BY ALL""",
+)
+def _(spark, sf):
+    """The lines of the payloads' other sections, read back from the documents."""
+    responses = written(captured_responses(seeds.responses(spark, sf)), "responses")
+    web = W.web_findings(_facts(spark, sf, responses=responses)).withColumn("kind", F.lit("web"))
+    none = P.as_findings(web.limit(0), "site", 9, "web")
+    documents = P.payloads(none, _sections(spark, sf, responses, web))
+
+    def read(name):
+        return F.get_json_object("document", f"$.{name}")
+
+    word = (
+        F.when(F.col("row") == "suppressed", F.concat_ws(": ", read("id"), read("reason")))
+        .when(F.col("row") == "fingerprint", F.concat(F.lit("score "), read("score")))
+        .otherwise(F.concat(read("probed"), F.lit(" probed, "), read("exposed"), F.lit(" exposed, "), read("enumerated"), F.lit(" listed")))
+    )
+    lines = documents.withColumn("row", read("row")).withColumn("word", word)
+    words = F.array_join(F.array_sort(F.collect_list("word")), ",")  # a site has few suppressions
+    return lines.groupBy("target", "row").agg(F.count("*").alias("n"), words.alias("words"))

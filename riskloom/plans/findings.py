@@ -194,10 +194,12 @@ def write_sarif(localized: DataFrame, path: str) -> None:
 SCHEMA_VERSION = 1
 
 
-def payloads(findings: DataFrame) -> DataFrame:
-    """``(target, document)``: JSON lines, a header per target and a line per finding.
+def payloads(findings: DataFrame, sections: dict[str, DataFrame] | None = None) -> DataFrame:
+    """``(target, document)``: JSON lines, a header per target, a line per finding, and lines of other sections.
 
-    The header has the verdict and the counts. However many findings a target has, none are gathered.
+    The header has the verdict and the counts. ``sections`` names tables with a ``target`` whose rows become
+    lines of their own: what was suppressed and why, fingerprints, probed tables. However many findings a
+    target has, none are gathered. ``findings`` is read several times, so pass a written table.
     """
     counts = severity_counts(findings)
     per_kind = {
@@ -212,10 +214,14 @@ def payloads(findings: DataFrame) -> DataFrame:
         "target", "verdict", "gate_fails", "findings", "counts", "web_counts",
     )
     line = F.struct(F.lit("finding").alias("row"), "target", "ord", "id", "kind", "severity", "source", "line", "evidence")
-    return head.select("target", F.to_json(header).alias("document")).unionByName(
+    out = head.select("target", F.to_json(header).alias("document")).unionByName(
         findings.select("target", F.to_json(line).alias("document"))
     )
+    for name, rows in (sections or {}).items():
+        row = F.struct(F.lit(name).alias("row"), *rows.columns)
+        out = out.unionByName(rows.select("target", F.to_json(row).alias("document")))
+    return out
 
 
-def write_payloads(findings: DataFrame, path: str) -> None:
-    payloads(findings).select("document").write.mode("overwrite").text(path)
+def write_payloads(findings: DataFrame, path: str, sections: dict[str, DataFrame] | None = None) -> None:
+    payloads(findings, sections).select("document").write.mode("overwrite").text(path)

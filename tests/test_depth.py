@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from riskloom.functions.urls import host_of, normalize_page_url
 from riskloom.operators import audit as A
 from riskloom.operators import captures as K
+from riskloom.operators import guard as G
 from riskloom.operators import repos as R
 from riskloom.operators import secrets as S
+from riskloom.operators import sites as W
 from riskloom.operators.injection import hidden_spans
 from riskloom.plans import findings as P
+from riskloom.rules import guard
 from riskloom.rules import injection as inj
 from riskloom.sources.captures import file_class
 from riskloom.sources.tree import read_whole_tree
@@ -216,3 +219,58 @@ def test_sarif_documents_are_valid_and_bounded(spark):
     assert sum("region" in p for p in places) == 2499
     assert "region" not in results["u"][0]["locations"][0]["physicalLocation"] and "locations" not in results["v"][0]
     assert results["u"][0]["message"]["text"] == "lone"
+
+
+# ---- console ----------------------------------------------------------------------------------
+
+
+def test_console_ranks_of_a_site_with_most_errors(spark):
+    rng = random.Random(4)
+    rows = [("hot", n, rng.choice(["error", "pageerror"]), f"E{n % 3000}  at\t{n % 3000}") for n in range(9000)]
+    rows += [("cold", n, "error", f"C{n}") for n in range(3)] + [("quiet", 1, "log", "x"), ("quiet", 2, "error", " ")]
+    rng.shuffle(rows)
+    messages = spark.createDataFrame(rows, "site string, seq long, type string, text string").repartition(9)
+    first = {}
+    for site, seq, kind, text in sorted(rows, key=lambda r: r[1]):
+        clean = " ".join(text.split())
+        if kind != "log" and clean:
+            first.setdefault((site, kind, clean), seq)
+    wanted = {}
+    for site in ("hot", "cold"):
+        own = sorted((seq, kind, text) for (s, kind, text), seq in first.items() if s == site)
+        wanted |= {(site, kind, text): n for n, (_, kind, text) in enumerate(own, 1)}
+    assert {(r.site, r.type, r.text): r["rank"] for r in W.console_errors(messages).collect()} == wanted
+    listed = {r.site: (r.console_count, r.console_listed) for r in W.console_rollup(messages).collect()}
+    ranked = sorted((n, f"[{kind}] {text}") for (site, kind, text), n in wanted.items() if site == "hot")
+    assert listed["hot"] == (len(ranked), " | ".join(line for _, line in ranked[:5]))
+    assert listed["cold"][0] == 3 and listed["quiet"] == (0, None)
+
+
+# ---- pending writes ---------------------------------------------------------------------------
+
+
+def test_advice_on_pending_writes(spark):
+    live = "sk_" + "live_" + "q7" * 15
+    rows = [
+        (1, "/p/.env.example", f"PAY={live}"), (2, "/p/.env", f"PAY={live}"), (3, "/p/src/a.ts", f"const a = '{live}'"),
+        (4, "/p/server/a.ts", f"const a = '{live}'"), (5, "/p/src/db/1.sql", "alter table t disable row level security;"),
+        (6, "/p/src/x.ts", "sql`alter table t disable row level security`"), (7, "/p/node_modules/a.ts", f"'{live}'"), (8, None, live),
+    ]
+    advice = {r.n: r for r in G.write_advice(spark.createDataFrame(rows, "n int, file_path string, content string"), spark).collect()}
+    assert set(advice) == {1, 3, 4, 5, 6}
+    assert advice[1].risk.endswith(guard.SAMPLE_RISK) and advice[1].instead == guard.SAMPLE_ADVICE
+    assert {n for n, r in advice.items() if guard.CLIENT_NOTE in r.why} == {3, 6}
+    assert advice[4].instead == guard.SECRET_ADVICE and advice[5].instead == advice[6].instead == guard.ADVICE[0][1]
+    assert all(r.quote and r.source and r.risk for r in advice.values())
+
+
+# ---- payload sections -------------------------------------------------------------------------
+
+
+def test_payload_lines_of_other_sections(spark):
+    findings = spark.createDataFrame([("t", 0, "a", "security", "high", None, None, None)], "target string, ord int, id string, kind string, severity string, source string, line int, evidence string")
+    silenced = spark.createDataFrame([("t", "web_x", "later"), ("u", "web_y", "never")], "target string, id string, reason string")
+    lines = [json.loads(r.document) for r in P.payloads(findings, {"suppressed": silenced}).collect()]
+    assert [line["row"] for line in lines if line["target"] == "t"].count("suppressed") == 1
+    assert {"row": "suppressed", "target": "u", "id": "web_y", "reason": "never"} in lines
+    assert [line["verdict"] for line in lines if line["row"] == "header"] == ["high"]
