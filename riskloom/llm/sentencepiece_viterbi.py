@@ -27,7 +27,6 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +38,8 @@ from riskloom.llm.common import portions
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Stretches and piece pairs each table holds, stretches of up to ``_SHORT`` characters: some 100 MB in a worker.
-REMEMBERED = 400_000
+#: Stretches and piece pairs each table holds, stretches of up to ``_SHORT`` characters: some 80 MB in a worker.
+REMEMBERED = 300_000
 _SHORT = 64
 UNIGRAM, BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
@@ -49,12 +48,17 @@ UNKNOWN_PENALTY = 10.0
 
 
 def _reversed_trie(ids: dict[str, int]) -> dict:
-    """Pieces from their last character to their first: a character leads to (trie, id or -1)."""
-    ends: dict[str, list] = {"": [{}, -1]}
-    for piece in sorted({p[k:] for p in ids for k in range(len(p))}, key=len):
-        ends[piece] = [{}, ids.get(piece, -1)]
-        ends[piece[1:]][0][piece[0]] = ends[piece]
-    return ends[""][0]
+    """Pieces from their last character to their first: a character leads to [trie, id or -1]."""
+    root: list = [{}, -1]
+    for piece, number in ids.items():
+        node = root
+        for char in reversed(piece):
+            following = node[0].get(char)
+            if following is None:
+                following = node[0][char] = [{}, -1]
+            node = following
+        node[1] = number
+    return root[0]
 
 
 class PieceModel:
@@ -305,9 +309,8 @@ class Decoder:
         return joined.decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def _tools(model: bytes) -> tuple[Encoder, Decoder]:
-    """Encoder and decoder of a worker: what they remember serves its later tasks too."""
+    """A task's own encoder and decoder: what they remember goes with the task, as workers live on for others."""
     pieces = PieceModel(model)
     return Encoder(pieces), Decoder(pieces)
 
