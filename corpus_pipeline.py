@@ -13,13 +13,24 @@ from riskloom.llm.sentencepiece_viterbi import encode
 from riskloom.llm.toxicity import drop_toxic, fit
 
 
+#: What a batch of rows sent to a Python worker holds. Workers and their buffers are kept from stage to stage.
+BATCH_BYTES = "4m"
+
+
+def _bounded_batches(spark: SparkSession) -> None:
+    """Spark's own bound of 64 MB a batch stays in memory several times over, in the JVM and in each worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the machine learnt from ``labels`` rejects go; the others stay as they are."""
+    _bounded_batches(spark)
     return drop_toxic(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long lines found in several documents stay in the last one only. A document may become empty, none goes."""
+    _bounded_batches(spark)
     kept = dedup_lines(docs)
     size = F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)
     return kept.withColumn("n_chars", size).select(*docs.columns)
@@ -30,6 +41,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     A row without doc_id cannot be named and stays. Only ids of documents that go are joined to the texts.
     """
+    _bounded_batches(spark)
     found = jaccard_components(docs)
     gone = materialize(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
     repeated = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_again")).count().filter("count > 1")
@@ -44,10 +56,12 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: documents left out, repeated, or (one a source at most) shortened."""
+    _bounded_batches(spark)
     return apply_mix(docs, materialize(mix_sources(docs)))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bounded_batches(spark)
     return encode(docs)
 
 
