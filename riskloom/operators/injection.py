@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType
 
 from riskloom.functions.expr import let, record
-from riskloom.functions.literals import automaton, fold
+from riskloom.functions.literals import automaton, fold, runs
 from riskloom.functions.regex import extract, extract_all, java, matches, mentions
 from riskloom.functions.text import (
     collapse_paragraphs,
@@ -23,7 +24,7 @@ from riskloom.functions.text import (
 )
 from riskloom.operators.intent import first_per_rule
 from riskloom.rules import injection as rules
-from riskloom.rules.lexicon import LANGS
+from riskloom.rules.lexicon import LANGS, alternatives
 
 _JOIN = "\u0001"
 
@@ -137,24 +138,64 @@ def _directive_automaton():
 
 
 def languages_of(text: str) -> int:
-    """A bit for each language in which a directive may stand in a text: an assistant is named, and on some
-    line a verb's letters come before a target's, with the end of the word and the gap between."""
-    low, verbs, found, named = fold(text), {}, 0, False
+    """A bit for each language in which a directive may stand in a text: on some line a verb's letters come
+    before a target's, with the end of the word and the gap between, and near them an assistant is spoken to."""
+    low, verbs, pairs = fold(_one_space(text)), {}, {}
+    spoken_to: list[int] = []
+    called: list[int] = []
     for end, (length, parts) in _directive_automaton().iter(low):
         for part, lang in parts:
+            start = end + 1 - length
             if part == "name":
-                named = True
+                if _is_spoken_to(low, start, end + 1):
+                    spoken_to.append(end + 1)
+                if low[:start].endswith(",") if start < 2 else "," in (low[start - 1], low[start - 2]):
+                    called.append(start)
             elif part == "verb":
                 verbs.setdefault(lang, []).append(end + 1)
-            elif not found >> _LANG_BIT[lang] & 1:
-                start = end + 1 - length
+            else:
                 # Longer words end later though they start before, hence the slack in what is forgotten.
                 near = verbs[lang] = [v for v in verbs.get(lang, ()) if _reaches(low, v, start - _SLACK)]
-                if any(v <= start and _reaches(low, v, start) for v in near):
-                    found |= 1 << _LANG_BIT[lang]
-    return found if named else 0
-
-
+                reach = [v for v in near if v <= start and _reaches(low, v, start)]
+                if reach:
+                    pairs.setdefault(lang, []).append((min(reach), max(reach), start))
+    found = 0
+    for lang, places in pairs.items():
+        if any(_within(spoken_to, v - _NAME_REACH, w) or _within(called, t, t + _NAME_REACH) for v, w, t in places):
+            found |= 1 << _LANG_BIT[lang]
+    return found
+
+
+def _one_space(text: str) -> str:
+    """Every run of white space as one character, a line's end where it holds one: patterns let any run pass
+    between an assistant's name and what it is told."""
+    return _BLANKS.sub(lambda m: "\n" if "\n" in m[0] else " ", text)
+
+
+def _is_spoken_to(low: str, start: int, end: int) -> bool:
+    """Whether what stands next to a name's letters allows one of the shapes of ``rules.VOCATIVE``."""
+    if low.startswith(_LONG_NAMES, start):
+        return True
+    if start and low[start - 1] in " \n" and low.find(":", end, end + _VOCATIVE_GAP) >= 0:
+        return True
+    for at in (end, end + 1) if low.startswith("s", end) else (end,):
+        rest = at + 1 if low[at : at + 1] in (" ", "\n") else at
+        if low[rest : rest + 1] in (",", ":") or rest > at and low.startswith(rules.TOLD, rest):
+            return True
+    return False
+
+
+def _within(places: list[int], low: int, high: int) -> bool:
+    at = bisect_left(places, low)
+    return at < len(places) and places[at] <= high
+
+
+_BLANKS = re.compile("[\\s\ufeff]{2,}|[^\\S \\n]|\ufeff")
+#: Names of several words are found by the letters of the first.
+_LONG_NAMES = tuple(fold(runs(a)[0]) for a in alternatives(rules.AI_NAME) if "\\s" in a)
+#: Characters, white space counted once, that may stand between a name and its colon, and between a name and
+#: the end of the verb or the start of the target; both with room to spare.
+_VOCATIVE_GAP, _NAME_REACH = 34, 320
 _LANG_BIT = {lang: bit for bit, lang in enumerate(LANGS)}
 #: Characters of a target that may come before its first fixed letters; more than any of the words has.
 _TARGET_LEAD, _SLACK = 4, 64

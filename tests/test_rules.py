@@ -219,3 +219,13 @@ def test_orphan_close_tags_reads_normalised_text(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = QUERIES["orphan_close_tags"](spark, str(tmp_path)).select("doc_id", "tag", "pos", "tag_text").collect()
     assert len(want) == 5 and sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_directive_gate_wants_an_assistant_spoken_to_nearby():
+    """A name somewhere in a long text, or part of a word, is no reason to try the patterns."""
+    order = "disable the login"
+    assert J.languages_of(f"The agent said so. {'x' * 400}\n{order} in an email") == 0
+    assert J.languages_of(f"An agent: {'word ' * 100}{order}") == 0
+    for near in (f"Agent:{' ' * 500}\n\n{order}", f"assistants should {order}", f"for the\n\nai in the room: {order}",
+                 f"language\n model must {order}", f"{order}{'y' * 30},\n \n {' ' * 400}Claude", f"a.i. , {'z' * 58} {order}"):
+        assert J.languages_of(near) & 1, near
