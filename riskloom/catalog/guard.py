@@ -11,6 +11,7 @@ from riskloom.rules import catalog, secrets
 from riskloom.rules import guard as rules
 from riskloom.sources.captures import hook_payloads
 from riskloom.sources.scratch import new_path
+from riskloom.sources.tables import table
 from riskloom.streaming import guard_stream as stream
 
 expression("event_json", "SELECT event_id, ts, payload, CASE WHEN json_valid(payload) AND json_type(payload) IN ('OBJECT', 'ARRAY') THEN json(payload) ELSE json_object('prompt', payload) END AS j FROM hook_events")
@@ -250,8 +251,8 @@ expression(
 )
 
 
-#: Files, and so micro-batches, that the registered streams take each part of the event table in.
-LANDED_FILES = 2
+#: Parts in the order of time, and so micro-batches, that the registered streams take the event table in.
+LANDED_SLICES = 2
 RISK_SCHEMA = "event_id bigint, ts timestamp, host string, moment string, action string, rule_id string, quote string, source string"
 
 _RISKS = """SELECT g.event_id, g.ts, g.host, g.moment, g.rule_id, CASE WHEN g.moment = 'action' AND c.can_block THEN 'ask' ELSE 'note' END AS action
@@ -266,11 +267,10 @@ class _Streams:
         self.landed, self.risks, self.counts = (new_path(spark, name) for name in ("events", "risks", "counts"))
         self.checkpoints = [new_path(spark, "checkpoint") for _ in range(2)]
 
-    def take(self, events, files: int = LANDED_FILES) -> None:
-        """Lands events and scans them; a query that ran before goes on from its checkpoint."""
-        stream.land_events(events, self.landed, files)
-        landed = stream.read_events(self.spark, self.landed, files_per_batch=1)
-        found = stream.guard_risks_once(landed, self.spark)
+    def take(self, events) -> None:
+        """Lands events and scans them in one micro-batch; a query that ran before goes on from its checkpoint."""
+        stream.land_slice(events, self.landed)
+        found = stream.guard_risks_once(stream.read_events(self.spark, self.landed), self.spark)
         stream.write_risks(found, self.risks, self.checkpoints[0], once=True).awaitTermination()
 
     def count(self) -> None:
@@ -289,8 +289,9 @@ def _(spark, sf):
 @query("guard_stream", _RISKS)
 def _(spark, sf):
     """The event table through the stream: landed files, micro-batches, watermark, checkpoint, risk table."""
-    streams = _Streams(spark)
-    streams.take(_events(spark, sf))
+    events, streams = table(spark, sf, "events"), _Streams(spark)
+    for of_slice in stream.time_slices(events, LANDED_SLICES):
+        streams.take(seeds.fill_events(events.filter(of_slice), spark))
     risks = spark.read.schema(RISK_SCHEMA).parquet(streams.risks)
     return risks.select("event_id", "ts", "host", "moment", "rule_id", "action")
 
@@ -301,13 +302,11 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """Windowed counts of a second stream over the risk table that the first one writes. The earlier and the later
-    half of the time come one after the other, and both streams go on from their checkpoints."""
-    events, streams = _events(spark, sf), _Streams(spark)
-    first, last = events.agg(F.min("ts"), F.max("ts")).first()
-    if first is None:
-        return stream.verdict_counts(stream.guard_risks(events, spark))
-    middle = F.lit(first + (last - first) / 2)
-    for half in (F.col("ts") < middle, F.col("ts") >= middle):
-        streams.take(events.filter(half), 1)
+    half of the events come one after the other, and both streams go on from their checkpoints."""
+    events, streams = table(spark, sf, "events"), _Streams(spark)
+    if events.isEmpty():
+        return stream.verdict_counts(stream.guard_risks(_events(spark, sf), spark))
+    for of_slice in stream.time_slices(events, LANDED_SLICES):
+        streams.take(seeds.fill_events(events.filter(of_slice), spark))
         streams.count()
     return stream.read_counts(spark, streams.counts)

@@ -7,7 +7,7 @@ that was half done when a query stopped is done again and leaves no second trace
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,9 +17,33 @@ EVENT_SCHEMA = "event_id bigint, ts timestamp, payload string"
 LATE = "10 minutes"
 
 
+#: Rows of a landed file, about: a scan of as many events is a task.
+EVENTS_A_FILE = 20_000
+
+
+def land_slice(events: DataFrame, path: str) -> None:
+    """Appends events that are read as one micro-batch, in as many files as there are tasks to scan them."""
+    files = max(1, -(-events.count() // EVENTS_A_FILE))
+    events.repartition(files).write.mode("append").parquet(path)
+
+
+def time_slices(events: DataFrame, slices: int) -> list[Column]:
+    """Conditions that part the events by their time into slices of about equal size, the earliest first."""
+    shares = [n / slices for n in range(1, slices)]
+    bounds = events.agg(F.percentile_approx("ts", F.array(*map(F.lit, shares)), F.lit(10_000))).first()[0] if shares else None
+    bounds = sorted(set(bounds or []))
+    at = F.coalesce(sum((F.col("ts") >= F.lit(b)).cast("int") for b in bounds), F.lit(0)) if bounds else F.lit(0)
+    return [at == n for n in range(len(bounds) + 1)]
+
+
 def land_events(events: DataFrame, path: str, files: int) -> None:
-    """Appends events to a landing folder as ``files`` files in the order of their time."""
-    events.repartitionByRange(files, "ts").sortWithinPartitions("ts").write.mode("append").parquet(path)
+    """Appends events to a landing folder as ``files`` files in the order of their time.
+
+    Streams take files in the order in which they were written, and a file that comes after a later one is behind
+    the watermark. So each is written before the next one is begun.
+    """
+    for of_slice in time_slices(events, files):
+        events.filter(of_slice).coalesce(1).write.mode("append").parquet(path)
 
 
 def read_events(

@@ -4,6 +4,7 @@ import json
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.streaming import guard_stream as stream
 
@@ -74,3 +75,28 @@ def test_events_without_an_id_are_kept(spark, folders):
 
 def risks_of(spark, folders):
     return spark.read.parquet(folders["risks"]).collect()
+
+
+def test_events_land_in_the_order_of_time(spark, folders):
+    """Each file is older than the next in time as in age, whatever the tasks' order, and events without a time stay."""
+    events = [event(n, n % 7 * 10 + n) for n in range(90)] + [(200, None, "ls")]
+    df = spark.createDataFrame(events, stream.EVENT_SCHEMA).repartition(8)
+    stream.land_events(df, folders["events"], 3)
+    files = (
+        spark.read.parquet(folders["events"]).selectExpr("_metadata.file_modification_time AS age", "ts", "_metadata.file_path AS f")
+        .groupBy("f", "age").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n")).orderBy("age").collect()
+    )
+    assert len(files) == 3 and len({f.age for f in files}) == 3 and sum(f.n for f in files) == 91
+    assert all(x.b < y.a for x, y in zip(files, files[1:]))
+
+
+def test_a_slice_lands_in_many_files_and_is_one_batch(spark, folders, monkeypatch):
+    monkeypatch.setattr(stream, "EVENTS_A_FILE", 10)
+    df = spark.createDataFrame([event(n, n) for n in range(45)], stream.EVENT_SCHEMA)
+    stream.land_slice(df, folders["events"])
+    landed = stream.read_events(spark, folders["events"])
+    query = stream.write_risks(stream.guard_risks_once(landed, spark), folders["risks"], folders["scan"], once=True)
+    query.awaitTermination()
+    assert spark.read.parquet(folders["events"]).selectExpr("_metadata.file_path AS f").distinct().count() == 5
+    assert len([p for p in query.recentProgress if p.numInputRows]) == 1
+    assert len(risks(spark, folders)) == 45
