@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import long_lists, materialize, portions
+from riskloom.llm.common import lean, long_lists, materialize, portions, small_batches
 from riskloom.llm.numbering import number_rows, place
 from riskloom.llm.quotient_filter import entries, from_bytes, half_bits, merge, pack, permute, restore, to_bytes, unpack
 
@@ -70,9 +70,11 @@ def words_of(data: bytes) -> tuple[pa.Array, np.ndarray]:
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
     first = np.flatnonzero(starts)
-    places = np.cumsum(inside, dtype=np.int32)
-    offsets = np.append(places[first] - 1, places[-1] if len(places) else 0).astype(np.int32)
-    new = np.diff(np.cumsum(kinds == 2, dtype=np.int32)[first], prepend=-1) != 0
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:]
+    offsets = np.zeros(len(first) + 1, dtype=np.int32)
+    np.cumsum(np.flatnonzero(ends) - first + 1, out=offsets[1:])
+    new = np.diff(np.searchsorted(np.flatnonzero(kinds == 2), first), prepend=-1) != 0
     buffers = [None, pa.py_buffer(offsets), pa.py_buffer(chars[inside])]
     return pa.Array.from_buffers(pa.string(), len(first), buffers), new
 
@@ -320,7 +322,7 @@ def frequent_ngrams(docs: DataFrame, settings: Settings | None = None) -> tuple[
     narrow = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text")
     )
-    sliced = materialize(narrow.mapInArrow(_sliced(s), _SLICED), "kind")
+    sliced = materialize(narrow.mapInArrow(lean(_sliced(s)), _SLICED), "kind")
     own_words = sliced.filter("kind = 0")
     totals = materialize(own_words.groupBy("lang").agg(F.sum("count").alias("n")))
     vocabulary = _frequent_words(own_words, s)
@@ -329,22 +331,22 @@ def frequent_ngrams(docs: DataFrame, settings: Settings | None = None) -> tuple[
     listed = own_words.join(vocabulary.select("lang", "word", "id"), ["lang", "word"]).groupBy("slice")
     listed = listed.agg(F.collect_list(F.struct("local", "id")).alias("known"))
     streams = sliced.filter("kind = 1").select("slice", "stream").join(listed, "slice")
-    state = materialize(streams.select("slice", "stream", "known.local", "known.id").mapInArrow(_with_ids, _STATE))
+    state = materialize(streams.select("slice", "stream", "known.local", "known.id").mapInArrow(lean(_with_ids), _STATE))
     grams = vocabulary.select(F.array("id").alias("ids"), "a")
     for words in range(2, s.max_words + 1):
         starts = state.agg(F.sum("starts")).first()[0] or 0
         if not starts:
             break
         shard_bits = min((starts // s.shard_entries).bit_length(), half_bits(words, id_bits), 30)
-        filters = state.mapInArrow(_filters(words, id_bits, shard_bits), "slice long, shard int, start int, filter binary")
+        filters = state.mapInArrow(lean(_filters(words, id_bits, shard_bits)), "slice long, shard int, start int, filter binary")
         dealt = filters.repartition("shard").sortWithinPartitions("shard")
-        merged = materialize(dealt.mapInArrow(_merged(s, words, id_bits), _MERGED), "kind")
+        merged = materialize(dealt.mapInArrow(lean(_merged(s, words, id_bits)), _MERGED), "kind")
         grams = grams.union(merged.filter("kind = 0").select("ids", "a"))
         if words < s.max_words:
             told = merged.filter("kind = 1").groupBy("slice").agg(
                 F.collect_list(F.struct("start", "entries", "bits")).alias("told")
             )
-            state = materialize(state.join(told, "slice").mapInArrow(_advanced(words, id_bits), _STATE))
+            state = materialize(state.join(told, "slice").mapInArrow(lean(_advanced(words, id_bits)), _STATE))
     return materialize(grams), vocabulary, totals
 
 
@@ -394,7 +396,8 @@ def collocations(docs: DataFrame, settings: Settings | None = None) -> DataFrame
     empty result.
     """
     s = settings or Settings()
-    grams, vocabulary, totals = frequent_ngrams(docs, s)
+    with small_batches(docs.sparkSession):
+        grams, vocabulary, totals = frequent_ngrams(docs, s)
     chosen = materialize(_alone(materialize(_scored(grams, s)), s))
     spelt = chosen.select("ids", F.posexplode("ids").alias("place", "id")).join(vocabulary.select("id", "lang", "word"), "id")
     spelt = spelt.groupBy("ids").agg(

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,7 +10,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from riskloom.llm import collocations as C
 from riskloom.llm.collocations import Settings, collocations, words_of
+from riskloom.llm.common import BATCH_BYTES
 from riskloom.llm.quotient_filter import entries, from_bytes, half_bits, merge, pack, permute, restore, to_bytes, unpack
 
 SCHEMA = "doc_id long, text string, lang string, phrase string, rank string"
@@ -140,3 +143,27 @@ def test_merged_filters_add_up():
     assert keys == sorted(wanted) and dict(zip(keys, totals.tolist(), strict=True)) == wanted
     for (one, two, _), own in zip(filters, places, strict=True):
         assert (left[own] == one).all() and (right[own] == two).all()
+
+
+def test_batches_to_workers_are_bounded_while_phrases_are_counted(spark, monkeypatch):
+    limit, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(limit, None)
+    counted = C.frequent_ngrams
+
+    def watched(docs, settings):
+        seen.append(spark.conf.get(limit))
+        return counted(docs, settings)
+
+    monkeypatch.setattr(C, "frequent_ngrams", watched)
+    C.collocations(spark.createDataFrame([("a b. a b", "en")], "text string, lang string"))
+    assert seen == [BATCH_BYTES] and spark.conf.get(limit, None) == before
+
+
+def test_words_of_a_slice_take_no_number_for_each_byte():
+    text = b"some words, and more of them. " * 100_000
+    tracemalloc.start()
+    words, new = C.words_of(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(words) == 600_000 and int(new.sum()) == 200_000
+    assert peak < 15 * len(text)
