@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ByteType
+from pyspark.sql.types import LongType
 
 from riskloom.functions.expr import let, record
 from riskloom.functions.literals import automaton, fold, runs
@@ -137,14 +138,15 @@ def _directive_automaton():
     return automaton(rules.directive_words())
 
 
-def languages_of(text: str) -> int:
-    """A bit for each language in which a directive may stand in a text: on some line a verb's letters come
-    before a target's, with the end of the word and the gap between, and near them an assistant is spoken to."""
+def directives_of(text: str) -> int:
+    """A bit for each of ``rules.directive_patterns``, in their order, that may match in a text: on some line a
+    verb's letters come before a target's, with the end of the word and the gap between, and near them an
+    assistant is spoken to before the verb, or called after the target."""
     low, verbs, pairs = fold(_one_space(text)), {}, {}
     spoken_to: list[int] = []
     called: list[int] = []
     for end, (length, parts) in _directive_automaton().iter(low):
-        for part, lang in parts:
+        for part, lang, which in parts:
             start = end + 1 - length
             if part == "name":
                 if _is_spoken_to(low, start, end + 1):
@@ -158,14 +160,28 @@ def languages_of(text: str) -> int:
                 near = verbs[lang] = [v for v in verbs.get(lang, ()) if _reaches(low, v, start - _SLACK)]
                 reach = [v for v in near if v <= start and _reaches(low, v, start)]
                 if reach:
-                    pairs.setdefault(lang, []).append((min(reach), max(reach), start))
+                    pairs.setdefault((lang, which), []).append((min(reach), max(reach), start))
     found = 0
-    for lang, places in pairs.items():
-        if any(_within(spoken_to, v - _NAME_REACH, w) or _within(called, t, t + _NAME_REACH) for v, w, t in places):
-            found |= 1 << _LANG_BIT[lang]
+    for (lang, which), places in pairs.items():
+        bit = _pattern_bit(lang, 2 * which)
+        if any(_within(spoken_to, v - _NAME_REACH, w) for v, w, _ in places):
+            found |= 1 << bit
+        if any(_within(called, t, t + _NAME_REACH) for _, _, t in places):
+            found |= 2 << bit
     return found
 
 
+def _pattern_bit(lang: str, pattern: int) -> int:
+    """The bit of a language's pattern: two for each target, one before the verb and one behind the target."""
+    return 2 * rules.DIRECTIVE_TARGETS * _LANG_BIT[lang] + pattern
+
+
+def languages_of(text: str) -> int:
+    """A bit for each language in which a directive may stand in a text."""
+    found, each = directives_of(text), 2 * rules.DIRECTIVE_TARGETS
+    return sum(1 << bit for bit in _LANG_BIT.values() if found >> each * bit & (1 << each) - 1)
+
+
 def _one_space(text: str) -> str:
     """Every run of white space as one character, a line's end where it holds one: patterns let any run pass
     between an assistant's name and what it is told."""
@@ -208,9 +224,9 @@ def _reaches(low: str, verb: int, target: int) -> bool:
     return target - verb <= rules.DIRECTIVE_GAP + _TARGET_LEAD and "\n" not in low[verb:target]
 
 
-@F.arrow_udf(ByteType())
+@F.arrow_udf(LongType())
 def _languages(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else languages_of(t) for t in texts.to_pylist()], pa.int8())
+    return pa.array([None if t is None else directives_of(t) for t in texts.to_pylist()], pa.int64())
 
 
 def _prefiltered(low: Column) -> Column:
@@ -218,22 +234,24 @@ def _prefiltered(low: Column) -> Column:
 
 
 def directive_languages(normal: Column, flat: Column) -> Column:
-    """``languages_of`` the paragraphs' text, in which all that lines hold stands as near; null where no target
+    """``directives_of`` the paragraphs' text, in which all that lines hold stands as near; null where no target
     is named. Goes to Python, so it cannot stand inside a lambda."""
-    return _languages(F.when(_prefiltered(F.lower(normal)), F.coalesce(flat, normal)))
+    return _languages(F.when(let(F.lower(normal), _prefiltered), F.coalesce(flat, normal)))
 
 
 def directive_hit(text: Column, languages: Column | None = None, strict: bool = False) -> Column:
     """The patterns in order, language by language; the veto is anchored at the verb.
 
-    A language's patterns are only tried where its bit is set; without ``languages`` all are.
+    A pattern is only tried where its bit of ``directives_of`` is set; without ``languages`` all are.
     """
     one = _strict_directive if strict else _directive
-    per_lang = []
+    hits = []
     for lang, pairs in rules.directive_patterns().items():
-        hit = F.coalesce(*[one(text, *pair) for pair in pairs])
-        per_lang.append(hit if languages is None else F.when(languages.bitwiseAND(F.lit(1 << _LANG_BIT[lang])) != 0, hit))
-    return F.coalesce(*per_lang)
+        for k, pair in enumerate(pairs):
+            hit = one(text, *pair)
+            bit = F.lit(1 << _pattern_bit(lang, k)).cast("long")
+            hits.append(hit if languages is None else F.when(languages.bitwiseAND(bit) != 0, hit))
+    return F.coalesce(*hits)
 
 
 # ---- every match ----------------------------------------------------------------------------
@@ -325,11 +343,13 @@ def with_normal(df: DataFrame, text: str) -> DataFrame:
 
 def with_languages(df: DataFrame) -> DataFrame:
     """Adds ``_flat`` and ``_languages`` next to ``_normal``."""
-    low = F.lower(F.col("_normal"))
-    worth = F.lit(False)
-    for gate in _worth(low).values():
-        worth = worth | gate
-    flat = F.when(worth & F.col("_normal").contains("\n"), collapse_paragraphs(F.col("_normal")))
+
+    def worth(low: Column) -> Column:
+        return reduce(or_, _worth(low).values())
+
+    # Lower case once for all the words looked for: a search that another one decides shares nothing with it.
+    wanted = F.col("_normal").contains("\n") & let(F.lower(F.col("_normal")), worth)
+    flat = F.when(wanted, collapse_paragraphs(F.col("_normal")))
     return df.withColumn("_flat", flat).withColumn("_languages", directive_languages(F.col("_normal"), F.col("_flat")))
 
 
