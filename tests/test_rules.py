@@ -247,3 +247,17 @@ def test_only_the_directives_a_text_may_hold_are_tried(spark):
     found = rows.withColumn("one", one).withColumn("all", all_).collect()
     assert [r.t for r in found if r.one != r["all"]] == []
     assert sum(r.one is not None for r in found) >= 30
+
+
+def test_what_a_secret_rule_matches_holds_its_parts():
+    assert set(secret_rules.PARTS) == {r.id for r in secret_rules.RULES}
+    snippets = [s for _, _, s in seeds.FILE_SEEDS] + ["redis://u:p@h/x", "ASIA" + "Q" * 16, "rk_" + "live_" + "z" * 24, "github_" + "pat_" + "y" * 44, "PassWord: 'Zq81MVN20xkd93ps'"]
+    tried = 0
+    for rule in secret_rules.RULES:
+        for text in snippets:
+            if re.search(rule.pattern, text):
+                own = text.lower() if rule.id == secret_rules.GENERIC_ID else text
+                assert all(any(p in own for p in words) for words in secret_rules.PARTS[rule.id]), (rule.id, text)
+                tried += 1
+    assert tried >= len(secret_rules.RULES)
+    assert not any(p in "just a key" for words in secret_rules.PARTS["stripe_secret"] for p in words)
