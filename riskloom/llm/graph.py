@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import materialize
+from riskloom.llm.common import lean, materialize
 
 #: A node that is the smaller end of more edges than this, and of more than one in ``HEAVY_SHARE``, is dealt
 #: over ``HEAVY_PARTS`` parts. So there are at most ``HEAVY_SHARE`` such nodes.
@@ -79,7 +79,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     until nothing changes; labels only fall, so that comes.
     """
     clean = edges.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    forest = clean.mapInArrow(_local_forest, clean.schema)
+    forest = clean.mapInArrow(lean(_local_forest), clean.schema)
     current = materialize(forest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     while True:

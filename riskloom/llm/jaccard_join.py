@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import long_lists, materialize, portions
+from riskloom.llm.common import lean, long_lists, materialize, portions
 from riskloom.llm.graph import connected_components, joined_components
 from riskloom.llm.shingles import mix, shingle_set
 
@@ -367,7 +367,7 @@ def _sets(pairs: DataFrame, narrow: DataFrame, repeated: DataFrame, s: Settings)
     spark = pairs.sparkSession
     ends = pairs.select("id").union(pairs.select("other_id")).filter("id IS NOT NULL")
     marks = spark.sparkContext.broadcast(_marks(ends, s.marked_log2))
-    found = narrow.mapInArrow(_marked_sets(s, marks), "k1 long, k2 long, id long, tokens array<long>")
+    found = narrow.mapInArrow(lean(_marked_sets(s, marks)), "k1 long, k2 long, id long, tokens array<long>")
     if repeated.isEmpty():
         return materialize(found)
     on = ["k1", "k2", "id"]
@@ -532,17 +532,17 @@ def jaccard_components(docs: DataFrame, settings: Settings | None = None) -> Dat
     spark = docs.sparkSession
     texts = docs.select(F.col("text").cast("binary").alias("text"))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    described = materialize(narrow.mapInArrow(_describe(s), "kind int, id long, n long, k1 long, k2 long, odd array<long>"), "kind")
+    described = materialize(narrow.mapInArrow(lean(_describe(s)), "kind int, id long, n long, k1 long, k2 long, odd array<long>"), "kind")
     told = described.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= s.frequent)
     told = told.orderBy(F.desc("n"), "id").limit(s.max_frequent).toArrow()  # at most 8 MB
     frequent = spark.sparkContext.broadcast((told.column(0).to_numpy().view(np.uint64), told.column(1).to_numpy()))
 
-    postings = texts.mapInArrow(_index(s, frequent), _POSTING)
+    postings = texts.mapInArrow(lean(_index(s, frequent)), _POSTING)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Four orders, by the bucket: a set meets few pivots, but not the same one everywhere.
     turn = F.xxhash64("k1", F.col("bucket").bitwiseAND(F.lit(3)))
     dealt = postings.repartition(width, "bucket", "kind").sortWithinPartitions("bucket", "kind", turn, "k1", "k2")
-    met = materialize(dealt.mapInArrow(_meet(s), _CANDIDATE), "big")
+    met = materialize(dealt.mapInArrow(lean(_meet(s)), _CANDIDATE), "big")
 
     sets = described.filter("kind = 0 AND n > 1").groupBy("k1", "k2")
     entities = materialize(sets.agg(F.min("n").alias("n"), F.min("id").alias("id"), F.first("odd").alias("odd")))

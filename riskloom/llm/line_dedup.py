@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.common import SPACE_BYTES, code_points, materialize, portions
+from riskloom.llm.common import SPACE_BYTES, code_points, lean, materialize, portions
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -123,9 +123,9 @@ def _merge_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def twice_seen_filter(texts: DataFrame, log2: int, min_chars: int) -> np.ndarray:
     """The merged filter of line keys seen in two documents or more (and some others)."""
     spark = texts.sparkSession
-    blocks = texts.mapInArrow(_build_filters(log2, min_chars), "block int, once binary, twice binary")
+    blocks = texts.mapInArrow(lean(_build_filters(log2, min_chars)), "block int, once binary, twice binary")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    merged = blocks.repartition(width, "block").mapInArrow(_merge_filters, "block int, twice binary")
+    merged = blocks.repartition(width, "block").mapInArrow(lean(_merge_filters), "block int, twice binary")
     out = np.zeros(2 ** (log2 - 3), dtype=np.uint8)
     unpack = zstandard.ZstdDecompressor()
     size = min(_BLOCK_BYTES, len(out))
@@ -161,7 +161,7 @@ def repeated_keys(docs: DataFrame, min_chars: int, min_docs: int, log2: int) ->
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     twice = twice_seen_filter(narrow.select("text"), log2, min_chars)
     shared = spark.sparkContext.broadcast(zstandard.ZstdCompressor(level=1).compress(twice))
-    suspects = materialize(narrow.mapInArrow(_suspects(shared, log2, min_chars), "k1 long, k2 long, doc_id long"))
+    suspects = materialize(narrow.mapInArrow(lean(_suspects(shared, log2, min_chars)), "k1 long, k2 long, doc_id long"))
     confirmed = materialize(
         suspects.groupBy("k1", "k2")
         .agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"))
@@ -268,7 +268,7 @@ def dedup_lines(
         drops = drops.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("_drops"))
         drops = drops.withColumnRenamed("doc_id", "_drop_id")
         frame = frame.join(drops, F.col("_id").eqNullSafe(F.col("_drop_id")), "left").drop("_drop_id")
-    out = frame.mapInArrow(_rewrite(columns, with_text, min_chars, shared), T.StructType(fields))
+    out = frame.mapInArrow(lean(_rewrite(columns, with_text, min_chars, shared)), T.StructType(fields))
     order = [c for c in docs.columns if c not in _ADDED] if with_text else ["doc_id"]
     return out.select(*order, *_ADDED)
 

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import portions
+from riskloom.llm.common import lean, portions
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -351,7 +351,7 @@ def encode(docs: DataFrame, model: bytes | None = None) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids", "decoded_ok"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), schema)
 
 
 def decode(encoded: DataFrame, model: bytes | None = None) -> DataFrame:

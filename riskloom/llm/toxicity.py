@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import SPACE_BYTES
+from riskloom.llm.common import SPACE_BYTES, lean
 
 #: Letters are read as 32 codes: 1-26 a to z, 27 the edge of a word, 28-31 other letters by code point.
 EDGE = 27
@@ -380,7 +380,7 @@ def score_toxicity(docs: DataFrame, machine: Machine | None) -> DataFrame:
     """
     held = docs.sparkSession.sparkContext.broadcast(machine)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = narrow.mapInArrow(_scorer(held), "doc_id long, score double, top_word double")
+    scored = narrow.mapInArrow(lean(_scorer(held)), "doc_id long, score double, top_word double")
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
     return scored.select(
         "doc_id",
@@ -411,4 +411,4 @@ def drop_toxic(docs: DataFrame, machine: Machine | None) -> DataFrame:
     Null and empty texts stay, as do all rows if there is no machine.
     """
     held = docs.sparkSession.sparkContext.broadcast(machine)
-    return docs.mapInArrow(_clean_only(docs.columns.index("text"), held), docs.schema)
+    return docs.mapInArrow(lean(_clean_only(docs.columns.index("text"), held)), docs.schema)

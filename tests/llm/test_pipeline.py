@@ -1,7 +1,10 @@
 from collections import Counter
 
+import pyarrow as pa
+import pytest
+
 import corpus_pipeline
-from riskloom.llm import sentencepiece_viterbi
+from riskloom.llm import common, sentencepiece_viterbi
 from riskloom.llm.common import materialize
 from riskloom.llm.toxicity import THRESHOLD, _document, _score, fit
 from tests.llm.test_jaccard import brute as near_copies
@@ -69,3 +72,13 @@ def test_odd_rows(spark, sf, make):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_a_task_gives_back_what_it_freed(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(True))
+    batch = pa.RecordBatch.from_arrays([pa.array([1])], names=["a"])
+    assert list(common.lean(lambda batches: (b for b in batches))(iter([batch]))) == [batch] and given == [True]
+    with pytest.raises(ZeroDivisionError):
+        list(common.lean(lambda batches: (1 // 0 for _ in batches))(iter([batch])))
+    assert given == [True, True]
