@@ -19,7 +19,7 @@ import math
 import random
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import WORD, materialize
@@ -200,15 +200,67 @@ def _with_n_docs(run):
     return wrapped
 
 
+#: log2 of the slots that tell how often an id is taken, before any text moves (4 MB for each number of copies).
+SLOTS_LOG2 = 25
+#: So many numbers of copies have slots, the most usual ones; documents taken otherwise are joined by id.
+MOST_KINDS = 6
+
+
+def _slot(id_: Column) -> Column:
+    return id_.bitwiseAND(F.lit(2**SLOTS_LOG2 - 1)) + 1  # the bitmap functions count from 1
+
+
+def _bit(bits: str, at: Column) -> Column:
+    """A bit of a bitmap, 0 without one."""
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2, F.lit(0))
+
+
+def _with_copies(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are taken, with ``_copies`` and ``_part``.
+
+    Ids fall into slots, and tasks are told which numbers of copies each slot has. A row whose slot has one only is
+    settled where it is read. The others, with those taken in part and those without an id, are joined by id. Ids
+    no further apart than there are slots never share one.
+    """
+    id_ = F.col("doc_id").cast("long")
+    per_id = plan.groupBy(F.col("doc_id").cast("long").alias("_id"))
+    per_id = per_id.agg(F.max("copies").alias("_copies"), F.max("part").alias("_part"))
+    asked = docs.select(id_.alias("_asked")).distinct().join(per_id, F.col("_asked").eqNullSafe(F.col("_id")), "left")
+    asked = materialize(
+        asked.select(F.col("_asked").alias("_id"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("_copies", "_part")])
+    )
+    usual = asked.groupBy("_copies").count().orderBy(F.desc("count"), "_copies").limit(MOST_KINDS)
+    kinds = {kind: f"_kind{n}" for n, kind in enumerate([-1, *sorted(row[0] for row in usual.collect())])}
+
+    slot = _slot(F.col("_id"))
+    unusual = (F.col("_part") > 0) | ~F.col("_copies").isin(list(kinds))
+    marks = asked.filter("_id IS NOT NULL").select(
+        F.bitmap_bucket_number(slot).alias("_chunk"),
+        F.bitmap_bit_position(slot).alias("_at"),
+        F.when(unusual, -1).otherwise(F.col("_copies")).alias("_kind"),
+    )
+    chunks = marks.groupBy("_chunk").agg(
+        *[F.expr(f"bitmap_construct_agg(_at) FILTER (WHERE _kind = {kind})").alias(name) for kind, name in kinds.items()]
+    )
+    rows = docs.join(F.broadcast(chunks), F.bitmap_bucket_number(_slot(id_)) == F.col("_chunk"), "left")
+    place = F.bitmap_bit_position(_slot(id_))
+    held = F.array_compact(F.array(*[F.when(_bit(name, place) == 1, F.lit(kind).cast("long")) for kind, name in kinds.items()]))
+    rows = rows.select(*docs.columns, F.when(F.size(held) == 1, F.get(held, F.lit(0))).alias("_one"))
+    sure = F.coalesce(F.col("_one") >= 0, F.lit(False))
+    settled = rows.filter(sure & (F.col("_one") > 0)).withColumnRenamed("_one", "_copies").withColumn("_part", F.lit(0).cast("long"))
+    taken = asked.filter("_copies > 0 OR _part > 0")
+    left = rows.filter(~sure).drop("_one").join(taken, id_.eqNullSafe(F.col("_id"))).drop("_id")
+    return settled.unionByName(left)
+
+
 def apply_mix(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """The mixed rows: each document ``copies`` times, and once more with its first ``part`` words if that is not 0.
 
     Columns are those of ``docs``; n_chars, where there is one, follows the text. Rows that repeat a doc_id are
     taken alike. The shortened text has its words joined by spaces.
     """
-    taken = plan.filter("copies > 0 OR part > 0").groupBy(F.col("doc_id").alias("_id"))
-    taken = taken.agg(F.max("copies").alias("_copies"), F.max("part").alias("_part"))
-    rows = docs.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    rows = _with_copies(docs, plan)
     whole = F.when(F.col("_copies") > 0, F.array_repeat(F.lit(0).cast("long"), F.col("_copies").cast("int"))).otherwise(
         F.array().cast("array<bigint>")
     )

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 from riskloom.llm import mixing as m
@@ -102,3 +103,45 @@ def test_apply(make):
     for source in want:  # the repeated doc_id of source a is taken alike
         assert abs(words[source] - want[source]) <= (8 if source == "a" else 0)
     assert m.mix_sources(make([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_apply_is_exact_where_ids_share_a_slot(make):
+    """Ids far apart, null, repeated, missing in the plan, taken in part or unusually often."""
+    far = 2**25
+    ids = [*range(300), 5 + far, 6 + far, 7 - far, -1, -far, None, 20, 2**62, 9 + far]
+    docs = make([(i, f"a{n} b c") for n, i in enumerate(ids)], "doc_id long, text string")
+    taken = {i: (2 if i is None else abs(i) % 4, 0) for i in ids[:-1]}
+    taken |= {11: (0, 2), 12: (3, 1), 13: (9, 0), 5 + far: (3, 0), 6 + far: (2, 0)} | {k: (k - 90, 0) for k in range(100, 110)}
+    plan = make([(i, *x) for i, x in taken.items()], "doc_id long, copies long, part long")
+    want = Counter()
+    for n, i in enumerate(ids):
+        copies, part = taken.get(i, (0, 0))
+        want[i, f"a{n} b c"] += copies
+        if part:
+            want[i, " ".join(f"a{n} b c".split()[:part])] += 1
+    assert Counter(map(tuple, m.apply_mix(docs, plan).collect())) == +want
+
+
+def test_apply_leaves_texts_where_they_are_read(spark, tmp_path):
+    """A plan that is too large to be broadcast does not send the texts through a shuffle."""
+    path = f"file://{tmp_path}/docs"
+    text = "array_join(transform(sequence(1, 100), x -> sha2(concat(id, '-', x), 256)), ' ')"
+    spark.range(2000).selectExpr("id AS doc_id", f"{text} AS text").repartition(3).write.parquet(path)
+    docs = spark.read.parquet(path)
+    plan = spark.range(2000).selectExpr("id AS doc_id", "id % 3 AS copies", "if(id = 7, 5L, 0L) AS part")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        written = shuffled(spark)
+        m.apply_mix(docs, plan).write.parquet(f"file://{tmp_path}/out")
+        assert spark.read.parquet(f"file://{tmp_path}/out").count() == sum(i % 3 for i in range(2000)) + 1
+        assert shuffled(spark) - written < 1e6  # the texts are 13 MB
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def shuffled(spark):
+    """Bytes that the session has written to shuffles."""
+    time.sleep(1)  # Spark's status lags behind
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
