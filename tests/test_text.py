@@ -44,6 +44,19 @@ def test_match_lines(spark):
     assert [[(m["match"], m["line"]) for m in ms] for ms in got] == want
 
 
+def test_match_groups_and_passes(spark):
+    """Groups and lines as by Python, and the text is read for the matches and between them, not once a group."""
+    rng = random.Random(4)
+    parts = ["grant ", "select, insert ", "on ", "table ", "public.", "orders ", "to ", "anon", "s ", ";\n", "\n", "PUBLIC ", "Grant all on t to anon"]
+    samples = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(300)] + ["grant all on a to anon\n" * 3000]
+    want = [
+        [(m.group(), *m.groups(), s[: m.start()].count("\n") + 1) for m in regex.finditer("(?i)" + R.GRANT_ANON, s)] for s in samples
+    ]
+    column = located(F.col("a"), R.GRANT_ANON, 3)
+    assert [[tuple(m) for m in ms] for ms in _column(spark, samples, column)] == want
+    assert str(column).count("regexp_extract_all") == 1
+
+
 def test_clauses(spark):
     got = _column(spark, ["a. b!c; d\n\ne .env f?", "...", "v2.1 ok"], X.split_clauses(F.col("a")))
     assert got == [["a", "b!c", "d", "e .env f"], [], ["v2.1 ok"]]
