@@ -6,7 +6,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Callable
 from functools import lru_cache, reduce
-from operator import or_
+from operator import and_, or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -107,15 +107,17 @@ def orphan_close(text: Column) -> Column:
     )
 
 
-def override_hit(text: Column) -> Column:
-    orphan = orphan_close(text)
-    return F.when(
-        matches(text, rules.PREFILTER_OVERRIDE),
-        F.coalesce(
-            first_of(text, "injection-override", rules.OVERRIDE, veto=False),
-            let(orphan, lambda o: F.when(o.isNotNull(), _hit("injection-override", o, None))),
-        ),
-    )
+def override_hit(text: Column, low: Column | None = None) -> Column:
+    """``low``: lower-cased text that holds the words of ``text``. A pattern is only tried where it holds what the
+    pattern cannot do without, and the common gate only where something was found."""
+    held = low if low is not None else F.lower(text)
+    found = []
+    for pattern, parts in zip(rules.OVERRIDE, rules.OVERRIDE_PARTS, strict=True):
+        worth = reduce(and_, [mentions(held, words) for words in parts])
+        found.append(F.when(worth, first_of(text, "injection-override", [pattern], veto=False)))
+    orphan = F.when(held.contains("</"), orphan_close(text))
+    found.append(let(orphan, lambda o: F.when(o.isNotNull(), _hit("injection-override", o, None))))
+    return let(F.coalesce(*found), lambda hit: F.when(hit.isNotNull() & matches(text, rules.PREFILTER_OVERRIDE), hit))
 
 
 def exfil_hit(text: Column, strict: bool = False) -> Column:
@@ -298,9 +300,9 @@ def _strict_exfil(text: Column) -> Column:
     return F.coalesce(*[F.when(matches(text, p), _first_live(text, "injection-exfil", "", _short(p))) for p in rules.EXFIL])
 
 
-def _rule_hits(strict: bool, languages: Column | None) -> dict[str, Callable[[Column], Column]]:
+def _rule_hits(strict: bool, languages: Column | None, low: Column) -> dict[str, Callable[[Column], Column]]:
     return {
-        "injection-override": override_hit,
+        "injection-override": lambda t: override_hit(t, low),
         "injection-exfil": lambda t: exfil_hit(t, strict),
         "injection-directive": lambda t: directive_hit(t, languages, strict),
     }
@@ -330,7 +332,7 @@ def hidden_spans(raw: Column) -> Column:
     return F.filter(F.transform(F.concat(*per_rule), js_trim), lambda s: s != "")
 
 
-def with_normal(df: DataFrame, text: str) -> DataFrame:
+def with_normal(df: DataFrame, text: str, rule_ids: list[str] | None = None) -> DataFrame:
     """Adds ``_normal``, ``_flat`` (its paragraphs, one a line; null where it has one line), ``_spans`` (hidden
     spans as one NFKC string, or null) and ``_languages``.
 
@@ -338,14 +340,15 @@ def with_normal(df: DataFrame, text: str) -> DataFrame:
     """
     joined = F.nullif(F.array_join(hidden_spans(F.col(text)), _JOIN), F.lit(""))
     spelt = df.withColumn("_joined", joined).withColumns({"_nfkc": nfkc(F.col(text)), "_spans": nfkc(F.col("_joined"))})
-    return with_languages(spelt.withColumn("_normal", fold_content(F.col("_nfkc")))).drop("_joined", "_nfkc")
+    return with_languages(spelt.withColumn("_normal", fold_content(F.col("_nfkc"))), rule_ids).drop("_joined", "_nfkc")
 
 
-def with_languages(df: DataFrame) -> DataFrame:
-    """Adds ``_flat`` and ``_languages`` next to ``_normal``."""
+def with_languages(df: DataFrame, rule_ids: list[str] | None = None) -> DataFrame:
+    """Adds ``_flat`` and ``_languages`` next to ``_normal``; ``_flat`` is null where none of the rules may match."""
 
     def worth(low: Column) -> Column:
-        return reduce(or_, _worth(low).values())
+        wanted = [cond for rule_id, cond in _worth(low).items() if rule_ids is None or rule_id in rule_ids]
+        return reduce(or_, wanted, F.lit(False))
 
     # Lower case once for all the words looked for: a search that another one decides shares nothing with it.
     wanted = F.col("_normal").contains("\n") & let(F.lower(F.col("_normal")), worth)
@@ -382,9 +385,9 @@ def content_hits(
     """
     wanted = [*RULES_ON_TEXT, "injection-hidden"] if rule_ids is None else rule_ids
     rules_on_text = [r for r in RULES_ON_TEXT if r in wanted]
-    hits = _rule_hits(strict, languages)
 
     def both_passes(low: Column) -> Column:
+        hits = _rule_hits(strict, languages, low)
         worth = _worth(low) | {"injection-directive": F.coalesce(languages, F.lit(0)) != 0}
         # Both passes share one copy of the patterns.
         texts = F.array_compact(F.array(normal, flat))
@@ -414,7 +417,7 @@ def scan_content(
     keys = [c for c in df.columns if c != text]
     hits = content_hits(*map(F.col, ("_normal", "_flat", "_spans", "_languages")), rule_ids, strict)
     return (
-        with_normal(df, text)
+        with_normal(df, text, rule_ids)
         .select(*keys, F.explode(hits).alias("hit"))
         .select(*keys, "hit.rule_id", "hit.quote")
     )
