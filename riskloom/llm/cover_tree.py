@@ -1,187 +1,350 @@
 """Embedding near-dedup: exact cosine threshold pairs by dual traversal of cover trees.
 
-Unit vectors with a cosine of at least ``t`` are at most ``eps = sqrt(2 - 2 t)`` apart. The rows are dealt into
-cells by a cover tree over a bounded sample (nested levels, radius halved from level to level, each row routed
-to the nearest child); every row is in a cell, and a cell keeps the largest distance of its rows from its
-centre. Cells whose centres are further apart than both radii and ``eps`` hold no pair and are never brought
-together. A cell is split into blocks of bounded size, so a crowded one is many blocks. Vectors of different
-lengths are never linked: each length has cells of its own, of an upper tree of its own where there are many.
-
-A task gets two blocks (or one with itself), builds a cover tree over each and walks both at once, level by
-level: a pair of nodes is dropped when the distance of its centres exceeds both covering radii and ``eps``; what
-reaches the bottom is compared in double precision. Tasks return link counts and a spanning forest of their
-links, never the pairs.
-
-With vectors that have no low-dimensional structure the bounds of the upper levels prune little: all cells meet,
-and the work is that of comparing the groups' centres with each other.
+Distances are angles: unit vectors with a cosine of at least ``t`` are at most ``eps = arccos(t)`` apart. The rows
+are dealt into cells by a cover tree over a bounded sample (nested levels, radius halved from level to level, each
+row routed to the nearest child), about as many cells as a cell has rows. A cell is split into blocks of bounded
+size, so a crowded one is many blocks. Vectors of different lengths are never linked: each length has cells of its
+own, of an upper tree of its own where there are many. Rows within ``eps / 2`` of their cell's centre are all
+linked with each other: where they are more than a block, such a core has blocks of its own that are not compared
+with each other.
+
+Each block is made into a cover tree, and runs of blocks (groups) are written to the shared folder, once. A task
+gets the numbers of two groups (or one with itself) and reads both from there: what is shuffled and kept on disk
+grows with the rows, not with the pairs of groups. Of two blocks only the nodes meet that can reach the other
+block's cell, from either side. The trees are walked at once, level by level: a pair of nodes is dropped when its
+centres are further apart than both covering radii and ``eps``, which is first asked of a sketch (a few directions
+and the length of the rest) that never makes an angle wider. What reaches the bottom is compared in double
+precision; crowded ends in single precision first, and in double where that could decide otherwise. Tasks return
+link counts and a spanning forest of their links, never the pairs.
+
+With vectors that have no low-dimensional structure a row can reach a part of the cells only because they are many;
+the work still grows faster than the rows.
 """
 
 from __future__ import annotations
 
 import pickle
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
+from math import isqrt
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import materialize
+from riskloom.llm.common import lean, materialize, small_batches
 from riskloom.llm.graph import connected_components
 
 THRESHOLD = 0.95
-#: The sample that shapes the upper tree, and the most cells it may have.
-SAMPLE = 2048
-CELLS = 32
-#: Rows of a block: a task holds two blocks and their distances.
-BLOCK = 2500
-#: The smallest radius of the trees over blocks.
-LEAF = 0.125
-#: Rounding allowance of the bounds; pairs themselves are decided by their own cosine.
-_SLACK = 1e-6
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
+#: The most rows of a sample that shapes an upper tree, and so the most cells; the bytes of its vectors.
+SAMPLE = 4096
+SAMPLE_BYTES = 32 * 2**20
+#: Rows of a length that a task offers for the sample, and bytes of all lengths.
+OFFERED, OFFERED_BYTES = 1024, 64 * 2**20
+#: Rows of a block, and nodes of it that meet another's as one.
+BLOCK = 4096
+SHELL = 1200
+#: A group of blocks: a task holds two. There are at least so many groups where the rows fill as many blocks.
+GROUP_ROWS, GROUP_BYTES = 2**17, 48 * 2**20
+GROUPS = 12
+#: Tasks that compare groups, at most.
+MEETINGS = 2048
+#: The largest and smallest radius of the trees over blocks.
+TOP, LEAF = 0.25, 0.125
+#: Directions of a sketch.
+SKETCH = 23
+#: Rounding allowances of the bounds, in double and single precision; pairs themselves are decided by their own cosine.
+_SLACK, _NARROW = 1e-6, 1e-5
+
+
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Between unit rows, row by row."""
+    return 2 * np.arcsin(np.minimum(1.0, np.sqrt(((a - b) ** 2).sum(axis=1)) / 2))
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
 @dataclass
 class Level:
-    """Nodes of one level: centre rows, covering radii, and where each node's children start in the next."""
+    """Nodes of one level: centre rows, covering radii, where each node's children start in the next, and its rows."""
 
     centres: np.ndarray
     radii: np.ndarray
     starts: np.ndarray
+    rows: np.ndarray
 
 
 @dataclass
 class Tree:
-    """Unit rows in leaf order, and the levels from the root down; a leaf's children are rows."""
+    """Rows in leaf order (of any length above zero), and the levels from the root down; a leaf's children are rows.
+    Trees that meet have sketches along the same ``basis``."""
 
     x: np.ndarray
     order: np.ndarray
     levels: list[Level]
+    basis: np.ndarray | None = None
+    #: What ``_faces`` made.
+    faces: dict = field(default_factory=dict, repr=False)
+
+    @cached_property
+    def sketch(self) -> np.ndarray:
+        return sketches(unit_rows(self.x), self.basis)
+
+    def narrow(self, rows: slice) -> np.ndarray:
+        return unit_rows(self.x[rows]).astype(np.float32)
+
+
+def sketches(unit: np.ndarray, basis: np.ndarray | None) -> np.ndarray:
+    """Unit rows in few columns whose products are never below those of the rows: along ``basis``, and the length of
+    what is left."""
+    if basis is None:
+        return unit.astype(np.float32)
+    along = unit @ basis
+    rest = np.sqrt(np.maximum(0.0, 1.0 - (along * along).sum(axis=1)))
+    return np.column_stack((along, rest)).astype(np.float32)
+
+
+def sketch_basis(sample: np.ndarray, directions: int = SKETCH) -> np.ndarray | None:
+    """The sample's main directions; None: the vectors are short enough to be their own sketch."""
+    d = sample.shape[1]
+    if d <= directions + 1:
+        return None
+    main = np.linalg.svd(sample[:1024], full_matrices=False)[2][:directions].T
+    return np.linalg.qr(main)[0]
 
 
 def _split(x: np.ndarray, members: np.ndarray, radius: float) -> list[np.ndarray]:
-    """Members as groups within ``radius`` of a centre, centres being more than ``radius`` apart; centre first."""
-    rows = x[members]
-    near = np.full(len(members), np.inf)
-    owner = np.full(len(members), -1)
-    centres: list[int] = []
-    while True:
+    """Members as groups within ``radius`` of a centre, centres being about more than ``radius`` apart; centre first."""
+    rows, near = x[members], np.float32(np.cos(radius))
+    owner, cosine = np.full(len(members), -1), np.zeros(len(members), dtype=np.float32)
+    centres, left = 0, np.arange(len(members))
+    while len(left):
         # The next members that no centre covers; those of them that cover each other are settled first.
-        batch = np.flatnonzero(near > radius)[:256]
-        if not len(batch):
-            break
+        batch = left[:256]
         chosen = []
-        apart = _distances(rows[batch], rows[batch]) > radius
+        apart = rows[batch] @ rows[batch].T < near
         free = np.ones(len(batch), dtype=bool)
         for k in range(len(batch)):
             if free[k]:
                 chosen.append(k)
                 free &= apart[k]
         new = batch[chosen]
-        dots = rows @ rows[new].T
+        dots = rows[left] @ rows[new].T
         best = dots.argmax(axis=1)
-        closest = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dots[np.arange(len(members)), best]))
-        better = closest < near
-        near[better], owner[better] = closest[better], len(centres) + best[better]
-        owner[new], near[new] = np.arange(len(centres), len(centres) + len(new)), -1.0
-        centres += new.tolist()
-    # By owner, and the centre (distance -1) before the others: the nesting of levels.
-    ranked = np.lexsort((near, owner))
+        top = dots[np.arange(len(left)), best]
+        covered = top >= near
+        owner[left[covered]], cosine[left[covered]] = centres + best[covered], top[covered]
+        owner[new], cosine[new] = np.arange(centres, centres + len(new)), 2.0
+        centres += len(new)
+        left = left[owner[left] < 0]
+    # By owner, and the centre (cosine 2) before the others: the nesting of levels.
+    ranked = np.lexsort((-cosine, owner))
     ends = np.flatnonzero(np.diff(owner[ranked])) + 1
     return np.split(members[ranked], ends)
 
 
-def build_tree(x: np.ndarray, smallest: float) -> Tree:
-    """A cover tree: radii halve from 1 to ``smallest``; a node's first child has the node's own centre."""
+def build_tree(x: np.ndarray, smallest: float, largest: float = 1.0) -> Tree:
+    """A cover tree: radii halve from ``largest`` to ``smallest``; a node's first child has the node's own centre."""
+    unit = unit_rows(x)
+    narrow = unit.astype(np.float32)
     nodes = [np.arange(len(x))]
     shape = []
-    radius = 1.0
+    radius = largest
     while True:
-        radii = np.array([_distances(x[m[:1]], x[m]).max() if len(m) > 1 else 0.0 for m in nodes])
-        centres = np.array([m[0] for m in nodes])
+        sizes = np.array([len(m) for m in nodes])
+        ends = np.cumsum(np.concatenate(([0], sizes)))
+        members, centres = np.concatenate(nodes), np.array([m[0] for m in nodes])
+        radii = np.maximum.reduceat(_angles(unit[np.repeat(centres, sizes)], unit[members]), ends[:-1])
         if radius < smallest or not (radii > _SLACK).any():
-            shape.append((centres, radii, np.cumsum([0] + [len(m) for m in nodes])))
+            shape.append((centres, radii, ends, ends))
             break
         below, starts = [], [0]
-        for members, cover in zip(nodes, radii, strict=True):
-            below += _split(x, members, radius) if cover > _SLACK else [members]
+        for group, cover in zip(nodes, radii, strict=True):
+            below += _split(narrow, group, radius) if cover > _SLACK else [group]
             starts.append(len(below))
-        shape.append((centres, radii, np.array(starts)))
+        shape.append((centres, radii, np.array(starts), ends))
         nodes = below
         radius /= 2
     order = np.concatenate(nodes)
     place = np.empty(len(order), dtype=np.int64)
     place[order] = np.arange(len(order))
-    return Tree(x[order], order, [Level(place[c], r, s) for c, r, s in shape])
-
-
-def _children(starts: np.ndarray, i: np.ndarray, other: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of a child of i with a child of j, for each pair of nodes (i, j)."""
-    n, m = starts[i + 1] - starts[i], other[j + 1] - other[j]
-    size = n * m
-    pair = np.repeat(np.arange(len(i)), size)
-    inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    return starts[i][pair] + inside // m[pair], other[j][pair] + inside % m[pair]
-
-
-_DENSE, _PORTION, _ROWS = 4096, 100_000, 512
+    return Tree(x[order], order, [Level(place[c], r, s, e) for c, r, s, e in shape])
+
+
+def _children(starts: np.ndarray, i: np.ndarray, other: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a child of i with a child of j, for each pair of nodes (i, j), in portions."""
+    cuts = np.flatnonzero(np.diff(np.cumsum((starts[i + 1] - starts[i]) * (other[j + 1] - other[j])) // _PORTION)) + 1
+    for a, b in zip(np.split(i, cuts), np.split(j, cuts), strict=True) if len(i) else []:
+        n, m = starts[a + 1] - starts[a], other[b + 1] - other[b]
+        size = n * m
+        pair = np.repeat(np.arange(len(a)), size)
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        yield starts[a][pair] + inside // m[pair], other[b][pair] + inside % m[pair]
+
+
+#: Row pairs below two nodes from which on they are compared as a matrix, index pairs of a portion, rows of a matrix.
+_DENSE, _PORTION, _ROWS = 4096, 50_000, 512
+
+
+def _faces(tree: Tree, level: int, half: float, side: int) -> np.ndarray:
+    """Nodes as rows: the product of a left (side -1) and a right (1) one is cos(angle) - cos(both reaches), as far
+    as sketches tell; a node's reach is its radius and half of eps. Not below zero: the two may hold a pair."""
+    made = tree.faces.get((level, half, side))
+    if made is None:
+        nodes = tree.levels[level]
+        reach = nodes.radii + half
+        made = np.column_stack((tree.sketch[nodes.centres], side * np.cos(reach), np.sin(reach))).astype(np.float32)
+        wide = reach > np.pi / 2
+        made[wide] = 0.0  # met by any
+        made[wide, -1] = 1.0
+        tree.faces[level, half, side] = made
+    return made
+
+
+def _set(mask: np.ndarray) -> np.ndarray:
+    """Places of the few that are set, eight looked at at once."""
+    flat = mask.ravel()
+    whole = len(flat) // 8 * 8
+    some = (8 * np.flatnonzero(flat[:whole].view(np.uint64))[:, None] + np.arange(8)).ravel()
+    return np.concatenate((some[flat[some]], whole + np.flatnonzero(flat[whole:])))
+
+
+def _met(left: np.ndarray, right: np.ndarray, p: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of all pairs (p, q), those whose faces allow a link."""
+    facing = right[q].T
+    for lo in range(0, len(p), _ROWS):
+        hits = _set(left[p[lo : lo + _ROWS]] @ facing >= -_NARROW)
+        if len(hits):
+            i, j = np.divmod(hits, len(q))
+            yield p[lo + i], q[j]
+
+
+def _reachable(one: Tree, at: int, two: Tree, bt: int, p: np.ndarray, q: np.ndarray, eps: float) -> np.ndarray:
+    """Whether the nodes' whole centres, too, are near enough."""
+    left, right = one.levels[at], two.levels[bt]
+    out = np.empty(len(p), dtype=bool)
+    for lo in range(0, len(p), _PORTION):
+        a, b = p[lo : lo + _PORTION], q[lo : lo + _PORTION]
+        dots = _cosines(one, two, left.centres[a], right.centres[b])
+        out[lo : lo + _PORTION] = dots >= np.cos(np.minimum(np.pi, left.radii[a] + right.radii[b] + eps)) - _doubt(one)
+    return out
+
+
+def _cosines(one: Tree, two: Tree, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """In single precision."""
+    x, y = one.x[p].astype(np.float32, copy=False), two.x[q].astype(np.float32, copy=False)
+    squares = np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y)
+    return np.einsum("ij,ij->i", x, y) / np.sqrt(squares)
+
+
+def _doubt(tree: Tree) -> float:
+    """What single precision may be off by."""
+    return (tree.x.shape[1] + 8) * 2.0**-21
+
+
+def _linked(one: Tree, two: Tree, p: np.ndarray, q: np.ndarray, threshold: float) -> np.ndarray:
+    out = np.empty(len(p), dtype=bool)
+    for lo in range(0, len(p), _PORTION):
+        a, b = one.x[p[lo : lo + _PORTION]], two.x[q[lo : lo + _PORTION]]
+        out[lo : lo + _PORTION] = np.einsum("ij,ij->i", unit_rows(a), unit_rows(b)) >= threshold
+    return out
+
+
+def _matrix(one: Tree, two: Tree, p: slice, q: slice, own: bool, threshold: float) -> np.ndarray:
+    """Links of rows p with rows q: single precision decides but near the threshold."""
+    dots = one.narrow(p) @ two.narrow(q).T
+    linked = dots >= threshold
+    doubt = np.flatnonzero(np.abs(dots - threshold) <= _doubt(one))
+    if len(doubt):
+        i, j = np.divmod(doubt, linked.shape[1])
+        linked[i, j] = _linked(one, two, p.start + i, q.start + j, threshold)
+    if own:
+        linked &= np.arange(p.start, p.stop)[:, None] < np.arange(q.start, q.stop)[None, :]
+    return linked
+
+
+def _walk(one: Tree, two: Tree | None, threshold: float, p: np.ndarray | None = None, q: np.ndarray | None = None):
+    """Links as (rows, rows, None), or as (range, range, matrix) where they are crowded; p, q: nodes below the roots
+    that are to meet, all if not given; two None: within one, each link once."""
+    eps = float(np.arccos(threshold))
+    half = eps / 2 + _SLACK
+    own = two is None
+    two = one if own else two
+    level, last = 1, max(len(one.levels), len(two.levels)) - 1
+    at, bt = (min(1, len(t.levels) - 1) for t in (one, two))
+    p = np.arange(len(one.levels[at].centres)) if p is None else p
+    q = np.arange(len(two.levels[bt].centres)) if q is None else q
+    meeting = _met(_faces(one, at, half, -1), _faces(two, bt, half, 1), p, q)
+    while True:
+        found = []
+        for a, b in meeting:
+            if own:
+                a, b = a[a <= b], b[a <= b]
+            near = _reachable(one, at, two, bt, a, b, eps)
+            found.append((a[near], b[near]))
+        if not any(len(f[0]) for f in found):
+            return
+        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        left, right = one.levels[at], two.levels[bt]
+        n, m = left.rows[a + 1] - left.rows[a], right.rows[b + 1] - right.rows[b]
+        level += 1
+        if level <= last:
+            # Nodes with hardly fewer children than rows are not worth another level, as pairs cost more than a matrix.
+            below, other = (
+                t.levels[k].starts if k < min(level, len(t.levels) - 1) else np.arange(len(t.levels[k].centres) + 1)
+                for t, k in ((one, at), (two, bt))
+            )
+            deeper = np.where(n * m > _DENSE, 32, 4) * (below[a + 1] - below[a]) * (other[b + 1] - other[b]) < n * m
+        else:
+            deeper = np.zeros(len(a), dtype=bool)
+        crowded = ~deeper & (n * m > _DENSE)
+        for i, j in zip(a[crowded].tolist(), b[crowded].tolist(), strict=True):
+            for u in range(right.rows[j], right.rows[j + 1], 8 * _ROWS):
+                there = slice(u, min(u + 8 * _ROWS, right.rows[j + 1]))
+                for v in range(left.rows[i], left.rows[i + 1], _ROWS):
+                    here = slice(v, min(v + _ROWS, left.rows[i + 1]))
+                    linked = _matrix(one, two, here, there, own and i == j, threshold)
+                    if linked.any():
+                        yield here, there, linked
+        few = ~deeper & ~crowded
+        for r, s in _children(left.rows, a[few], right.rows, b[few]):
+            if own:
+                r, s = r[r < s], s[r < s]
+            near = np.einsum("ij,ij->i", one.sketch[r], two.sketch[s]) >= threshold - _NARROW
+            r, s = r[near], s[near]
+            linked = _linked(one, two, r, s, threshold)
+            if linked.any():
+                yield r[linked], s[linked], None
+        if not deeper.any():
+            return
+        at, bt = (min(level, len(t.levels) - 1) for t in (one, two))
+        meeting = _deeper(_children(below, a[deeper], other, b[deeper]), _faces(one, at, half, -1), _faces(two, bt, half, 1))
 
 
-def _expand(one: np.ndarray, two: np.ndarray, a: np.ndarray, b: np.ndarray):
-    """Children of the node pairs (a, b) as index arrays, or as ranges where there are many of a pair."""
-    size = (one[a + 1] - one[a]) * (two[b + 1] - two[b])
-    for i, j in zip(a[size > _DENSE].tolist(), b[size > _DENSE].tolist(), strict=True):
-        for lo in range(one[i], one[i + 1], _ROWS):
-            yield slice(lo, min(lo + _ROWS, one[i + 1])), slice(two[j], two[j + 1])
-    few = np.flatnonzero(size <= _DENSE)
-    cuts = np.flatnonzero(np.diff(np.cumsum(size[few]) // _PORTION)) + 1
-    for part in np.split(few, cuts) if len(few) else []:
-        yield _children(one, a[part], two, b[part])
+def _deeper(pairs: Iterator[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray):
+    for p, q in pairs:
+        near = np.einsum("ij,ij->i", left[p], right[q]) >= -_NARROW
+        yield p[near], q[near]
 
 
 def dual_traversal(one: Tree, two: Tree | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows (in leaf order) with cosine >= threshold, in portions; two None: within one, i < j."""
-    eps = float(np.sqrt(2 - 2 * threshold)) + _SLACK
-    own = two is None
-    two = one if own else two
-    a, b = np.array([0]), np.array([0])
-    depth = max(len(one.levels), len(two.levels))
-    for level in range(1, depth):
-        # A tree that has reached its leaves waits there.
-        at, bt = (min(level, len(t.levels) - 1) for t in (one, two))
-        above = [t.levels[x - 1].starts if x == level else np.arange(len(t.levels[x].centres) + 1) for t, x in ((one, at), (two, bt))]
-        left, right = one.levels[at], two.levels[bt]
-        x, y = one.x[left.centres], two.x[right.centres]
-        narrow_x, narrow_y = x.astype(np.float32), y.astype(np.float32)
-        found = []
-        for p, q in _expand(*above, a, b):
-            if isinstance(p, slice):
-                # Single precision sets most aside, with an allowance for it.
-                reach = (left.radii[p] + eps).astype(np.float32)[:, None] + right.radii[q].astype(np.float32)[None, :]
-                np.minimum(reach, 2.0, out=reach)
-                s, t = np.nonzero(narrow_x[p] @ narrow_y[q].T >= (1 - 1e-4) - reach * reach / 2)
-                p, q = s + p.start, t + q.start
-            if own:
-                p, q = p[p <= q], q[p <= q]
-            dots = np.einsum("ij,ij->i", x[p], y[q])
-            near = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dots)) <= left.radii[p] + right.radii[q] + eps
-            found.append((p[near], q[near]))
-        a = np.concatenate([f[0] for f in found]) if found else a[:0]
-        b = np.concatenate([f[1] for f in found]) if found else b[:0]
-    for p, q in _expand(one.levels[-1].starts, two.levels[-1].starts, a, b):
-        if isinstance(p, slice):
-            s, t = np.nonzero(one.x[p].astype(np.float32) @ two.x[q].astype(np.float32).T >= threshold - 1e-4)
-            p, q = s + p.start, t + q.start
-        if own:
-            p, q = p[p < q], q[p < q]
-        linked = np.einsum("ij,ij->i", one.x[p], two.x[q]) >= threshold
-        if linked.any():
-            yield p[linked], q[linked]
+    """Pairs of rows (in leaf order) with cosine >= threshold, in portions; two None: within one, each pair once."""
+    for p, q, linked in _walk(one, two, threshold):
+        if linked is None:
+            yield p, q
+        else:
+            i, j = np.nonzero(linked)
+            yield p.start + i, q.start + j
 
 
 class Forest:
@@ -203,72 +366,346 @@ class Forest:
                 label[:] = label[label]
 
 
-def unit_rows(values: pd.Series) -> np.ndarray:
-    x = np.array(values.tolist(), dtype=np.float64)
-    return x / np.sqrt((x * x).sum(axis=1))[:, None]
-
+class Tally:
+    """Link counts and the forest of rows 0 to n-1."""
 
-def _build(group: pd.DataFrame) -> pd.DataFrame:
-    tree = build_tree(unit_rows(group["embedding"]), LEAF)
-    held = pickle.dumps((tree, group["row"].to_numpy()[tree.order]))
-    return pd.DataFrame({"block": [group["block"].iloc[0]], "tree": [held]})
-
-
-def _compare(threshold: float):
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        held = dict(zip(group["block"].tolist(), group["tree"].tolist(), strict=True))
-        first, second = int(group["first"].iloc[0]), int(group["second"].iloc[0])
-        if first not in held or second not in held:  # a block that got no rows
-            return pd.DataFrame({"a": [], "b": [], "n": []}).astype("int64")
-        one, ids = pickle.loads(held[first])
-        two, other = pickle.loads(held[second]) if second != first else (None, ids[:0])
-        shift = 0 if two is None else len(ids)
-        every = np.concatenate((ids, other))
-        counts, forest = np.zeros(len(every), dtype=np.int64), Forest(len(every))
-        for p, q in dual_traversal(one, two, threshold):
-            counts += np.bincount(p, minlength=len(every)) + np.bincount(q + shift, minlength=len(every))
-            forest.add(p, q + shift)
-        some = np.flatnonzero(counts)
-        joined = np.flatnonzero(forest.label != np.arange(len(every)))
-        return pd.DataFrame(
-            {
-                "a": np.concatenate((every[some], every[joined])),
-                "b": np.concatenate((every[some], every[forest.label[joined]])),
-                "n": np.concatenate((counts[some], np.zeros(len(joined), dtype=np.int64))),
-            }
-        )
+    def __init__(self, n: int):
+        self.counts, self.forest = np.zeros(n, dtype=np.int64), Forest(n)
+        self.pending: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def join(self, p: np.ndarray, q: np.ndarray) -> None:
+        """Into the forest, some time: an addition passes over all labels."""
+        self.pending.append((p, q))
+        self.held += len(p)
+        if self.held > 2**20:
+            self.settle()
+
+    def settle(self) -> None:
+        if self.pending:
+            self.forest.add(*(np.concatenate([x[k] for x in self.pending]) for k in (0, 1)))
+            self.pending, self.held = [], 0
 
-    return compare
+    def add(self, p: np.ndarray, q: np.ndarray) -> None:
+        np.add.at(self.counts, p, 1)
+        np.add.at(self.counts, q, 1)
+        self.join(p, q)
+
+    def add_matrix(self, p: slice, q: slice, linked: np.ndarray) -> None:
+        """Rows p and q by a matrix of links, most of which join what is joined already."""
+        self.counts[p] += linked.sum(axis=1)
+        self.counts[q] += linked.sum(axis=0)
+        self.settle()
+        rows, columns = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+        self.forest.add(p.start + rows, q.start + linked[rows].argmax(axis=1))
+        self.forest.add(p.start + linked[:, columns].argmax(axis=0), q.start + columns)
+        label = self.forest.label
+        i, j = np.nonzero(linked & (label[p][:, None] != label[q][None, :]))
+        self.forest.add(p.start + i, q.start + j)
 
 
 @dataclass(frozen=True)
 class Upper:
-    """The sample's tree: centres per level with their parents; cells are the last level."""
+    """The sample's tree: centres per level with their parents; cells are the last level. And the sketches' basis."""
 
     centres: list[np.ndarray]
     children: list[list[list[int]]]
+    basis: np.ndarray | None
 
-    def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cell of each row and its distance from the cell's centre: the nearest child, level by level."""
+    def route(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cell of each row and its angle to the cell's centre: the nearest child, level by level."""
+        x = unit.astype(np.float32)
         at = np.zeros(len(x), dtype=np.int64)
         for level in range(len(self.centres) - 1):
-            new = np.zeros(len(x), dtype=np.int64)
+            below, centres = self.children[level], self.centres[level + 1].astype(np.float32)
+            new = np.array([c[0] for c in below])[at]
             for node in np.unique(at):
-                rows = np.flatnonzero(at == node)
-                below = np.array(self.children[level][node])
-                new[rows] = below[_distances(x[rows], self.centres[level + 1][below]).argmin(axis=1)]
+                if len(below[node]) > 1:
+                    rows, choice = np.flatnonzero(at == node), np.array(below[node])
+                    for lo in range(0, len(rows), _ROWS):
+                        some = rows[lo : lo + _ROWS]
+                        new[some] = choice[(x[some] @ centres[choice].T).argmax(axis=1)]
             at = new
-        apart = np.sqrt(np.maximum(0.0, ((x - self.centres[-1][at]) ** 2).sum(axis=1)))
-        return at, apart
+        return at, _angles(unit, self.centres[-1][at])
 
 
-def upper_tree(sample: np.ndarray, most: int = CELLS) -> Upper:
+def upper_tree(sample: np.ndarray, most: int = SAMPLE) -> Upper:
     """Levels of the sample's cover tree while they have at most ``most`` nodes."""
-    tree = build_tree(sample, 2.0**-6)
+    tree = build_tree(sample, LEAF)
     kept = [level for level in tree.levels if len(level.centres) <= most] or tree.levels[:1]
-    centres = [tree.x[level.centres] for level in kept]
+    centres = [unit_rows(tree.x[level.centres]) for level in kept]
     children = [[list(range(a, b)) for a, b in zip(level.starts[:-1], level.starts[1:], strict=True)] for level in kept[:-1]]
-    return Upper(centres, children)
+    return Upper(centres, children, sketch_basis(unit_rows(sample)))
+
+
+def _usable(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, rows, vectors) of the usable vectors of a batch. Vectors are scaled by a power of two to a norm
+    between a half and one, which changes no cosine."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = column.flatten().to_numpy(zero_copy_only=False)  # null becomes NaN
+    starts = np.cumsum(lengths) - lengths
+    for d in np.unique(lengths[lengths > 0]).tolist():
+        rows = np.flatnonzero(lengths == d)
+        x = values.reshape(-1, d) if len(rows) * d == len(values) else values[starts[rows][:, None] + np.arange(d)]
+        with np.errstate(all="ignore"):
+            norm = (x.astype(np.float64) ** 2).sum(axis=1)
+            good = np.isfinite(x).all(axis=1) & (norm > 0) & (norm < np.inf)
+        x, rows = x[good], rows[good]
+        if len(rows):
+            yield d, rows, np.ldexp(x, -np.frexp(np.sqrt(norm[good]))[1][:, None])
+
+
+def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many usable vectors of each length there are, and some of them with a random place."""
+    draw = np.random.default_rng(TaskContext.get().partitionId())
+    counts: dict[int, int] = {}
+    kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    held = 0
+    for batch in batches:
+        for d, _, x in _usable(batch.column(0)):
+            counts[d] = counts.get(d, 0) + len(x)
+            if d not in kept and held > OFFERED_BYTES:
+                continue
+            places = draw.random(len(x))
+            if d in kept:
+                held -= kept[d][1].nbytes
+                places, x = np.concatenate((kept[d][0], places)), np.concatenate((kept[d][1], x))
+            least = np.argsort(places)[:OFFERED]
+            kept[d] = places[least], x[least]
+            held += kept[d][1].nbytes
+    schema = pa.schema([("d", pa.int32()), ("n", pa.int64()), ("place", pa.float64()), ("v", pa.binary())])
+    for d, n in counts.items():
+        places, x = kept.get(d, (np.zeros(0), np.zeros((0, d))))
+        columns = [d] * (1 + len(x)), [n] + [0] * len(x), [None, *places.tolist()], [None, *(v.tobytes() for v in x)]
+        yield pa.RecordBatch.from_pydict(dict(zip(schema.names, columns, strict=True)), schema=schema)
+
+
+def _shells(tree: Tree, apart: np.ndarray) -> list[tuple[int, int, float]]:
+    level = tree.levels[min(1, len(tree.levels) - 1)]
+    far = np.maximum.reduceat(apart, level.rows[:-1])
+    ends = np.linspace(0, len(far), max(1, round(len(far) / SHELL)) + 1).astype(int).tolist()
+    return [(a, b, float(far[a:b].max())) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _build(shared, kind: str):
+    """Blocks of a group as trees. A block: its length, cell, tree, shells, rows."""
+
+    def build(group: pa.Table) -> pa.Table:
+        uppers = shared.value
+        blocks, rows, apart = (group.column(c).to_numpy() for c in ("block", "row", "apart"))
+        sizes, cells = group.column("d").to_numpy(), group.column("cell").to_numpy()
+        vectors = group.column("v").combine_chunks()
+        order = np.lexsort((rows, apart, blocks))
+        starts = np.flatnonzero(np.diff(blocks[order], prepend=-1))
+        out = []
+        for members in np.split(order, starts[1:]):
+            d, cell = int(sizes[members[0]]), int(cells[members[0]])
+            x = np.frombuffer(b"".join(vectors.take(pa.array(members)).to_pylist()), dtype=kind).reshape(-1, d)
+            tree = build_tree(x, LEAF, TOP)
+            out.append(pickle.dumps((d, cell, tree, _shells(tree, apart[members][tree.order]), rows[members][tree.order]), protocol=5))
+        number = group.column("group")[0].as_py()
+        return pa.table({"group": [number] * len(out), "block": blocks[order][starts], "tree": out}, schema=_TREES)
+
+    return build
+
+
+_TREES = pa.schema([("group", pa.int32()), ("block", pa.int64()), ("tree", pa.binary())])
+
+
+@dataclass
+class Block:
+    number: int
+    d: int
+    cell: int
+    tree: Tree
+    #: Nodes below the root as ranges, by their distance from the cell's centre where they are single rows, and the
+    #: largest distance of each range's rows.
+    shells: list[tuple[int, int, float]]
+    rows: np.ndarray
+    #: Where its rows start among those of its group.
+    start: int = 0
+
+
+@dataclass(frozen=True)
+class Plan:
+    """What tasks know: upper trees by length with their first cells; of each group by length the centres and
+    reaches of its cells, and its files; the first block that is a core's by cell; pairs of groups."""
+
+    uppers: dict[int, tuple[int, Upper | None]]
+    cells: list[dict[int, tuple[np.ndarray, np.ndarray]]]
+    files: dict[int, list[str]]
+    cores: dict[int, int]
+    pairs: np.ndarray
+    threshold: float
+
+    def centre(self, d: int, cell: int) -> np.ndarray:
+        start, upper = self.uppers[d]
+        return np.zeros(d) if upper is None else upper.centres[-1][cell - start]
+
+    def is_core(self, block: Block) -> bool:
+        return block.cell in self.cores and block.number >= self.cores[block.cell]
+
+
+def _read(plan: Plan, group: int) -> list[Block]:
+    """The blocks of a group."""
+    out = []
+    for uri in plan.files.get(group, []):  # none: the hash gave it no rows
+        store, path = fs.FileSystem.from_uri(uri)
+        with store.open_input_file(path) as file:
+            part = pq.ParquetFile(file)
+            for k in range(part.num_row_groups):
+                table = part.read_row_group(k, columns=["block", "tree"])
+                for number, tree in zip(table.column("block"), table.column("tree"), strict=True):
+                    out.append(Block(number.as_py(), *pickle.loads(tree.as_buffer())))
+    out.sort(key=lambda b: b.number)
+    start = 0
+    for block in out:
+        block.start, start = start, start + len(block.rows)
+        upper = plan.uppers[block.d][1]
+        block.tree.basis = upper.basis if upper else None
+    return out
+
+
+def _within(dots: np.ndarray, reach: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether angles of these cosines are at most both reaches."""
+    fits = dots - np.outer(np.cos(reach), np.cos(other)) + np.outer(np.sin(reach), np.sin(other)) >= -_NARROW
+    fits[reach > np.pi / 2] = True
+    fits[:, other > np.pi / 2] = True
+    return fits
+
+
+def _near_groups(plan: Plan, a: int, b: int) -> bool:
+    """Whether some cell of one group can reach some cell of the other."""
+    half = float(np.arccos(plan.threshold)) / 2 + _SLACK
+    for d in plan.cells[a].keys() & plan.cells[b].keys():
+        (x, reach), (y, other) = plan.cells[a][d], plan.cells[b][d]
+        if _within(x @ y.T, reach + half, other + half).any():
+            return True
+    return False
+
+
+def _facing(plan: Plan, mine: list[Block], others: list[Block]) -> list[np.ndarray]:
+    """For each of my blocks: which nodes below its root can reach the rows of the other blocks' shells (rows)."""
+    half = float(np.arccos(plan.threshold)) / 2 + _SLACK
+    centres = [plan.centre(b.d, b.cell).astype(np.float32) for b in others for _ in b.shells]
+    reaches = np.array([far if plan.uppers[b.d][1] else np.pi for b in others for _, _, far in b.shells]) + half
+    of = np.array([b.d for b in others for _ in b.shells])
+    out = []
+    for block in mine:
+        nodes = block.tree.levels[min(1, len(block.tree.levels) - 1)]
+        fits = np.zeros((len(of), len(nodes.centres)), dtype=bool)
+        same = np.flatnonzero(of == block.d)
+        if len(same):
+            x = block.tree.x if len(nodes.centres) == len(block.tree.x) else block.tree.x[nodes.centres]
+            x = x.astype(np.float32, copy=False)
+            dots = np.stack([centres[k] for k in same]) @ x.T / np.sqrt(np.einsum("ij,ij->i", x, x))
+            fits[same] = _within(dots, reaches[same], nodes.radii + half)
+        out.append(fits)
+    return out
+
+
+def _meetings(plan: Plan, first: list[Block], second: list[Block], own: bool) -> Iterator[tuple]:
+    """Blocks of two groups with the nodes that are to meet, all of them if a block meets itself."""
+    mine = _facing(plan, first, second)
+    theirs = mine if own else _facing(plan, second, first)
+    shells, others = ([(k, *shell) for k, b in enumerate(g) for shell in b.shells] for g in (first, second))
+    if own:
+        yield from ((b, b, None, None) for b in first)
+    for s, (i, a, b, _) in enumerate(shells):
+        one = first[i]
+        for t, (j, c, d, _) in enumerate(others):
+            two = second[j]
+            if one.d != two.d or (own and i >= j) or (one.cell == two.cell and plan.is_core(one) and plan.is_core(two)):
+                continue
+            p = a + np.flatnonzero(mine[i][t, a:b])
+            if len(p):
+                q = c + np.flatnonzero(theirs[j][s, c:d])
+                if len(q):
+                    yield one, two, p, q
+
+
+def _meet(plan: Plan, first: list[Block], second: list[Block] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows a linked with n others, and joins of rows a and b (n is 0), by the blocks of two groups or of one."""
+    own = second is None
+    second = first if own else second
+    ids = [b.rows for b in first] + ([] if own else [b.rows for b in second])
+    every = np.concatenate(ids)
+    shift = 0 if own else sum(len(b.rows) for b in first)
+    tally = Tally(len(every))
+    for one, two, p, q in _meetings(plan, first, second, own):
+        if one is two and plan.is_core(one):
+            continue
+        x, y = one.start, shift + two.start
+        for r, t, linked in _walk(one.tree, None if one is two else two.tree, plan.threshold, p, q):
+            if linked is None:
+                tally.add(x + r, y + t)
+            else:
+                tally.add_matrix(slice(x + r.start, x + r.stop), slice(y + t.start, y + t.stop), linked)
+    tally.settle()
+    counts, label = tally.counts, tally.forest.label
+    some, joined = np.flatnonzero(counts), np.flatnonzero(label != np.arange(len(every)))
+    return (
+        np.concatenate((every[some], every[joined])),
+        np.concatenate((every[some], every[label[joined]])),
+        np.concatenate((counts[some], np.zeros(len(joined), dtype=np.int64))),
+    )
+
+
+def _compare(shared):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan: Plan = shared.value
+        held: tuple[int, list[Block]] | None = None
+        for batch in batches:
+            for k in batch.column(0).to_numpy().tolist():
+                a, b = plan.pairs[k].tolist()
+                if a != b and not _near_groups(plan, a, b):
+                    continue
+                if held is None or held[0] != a:
+                    held = None  # before the next is read
+                    held = a, _read(plan, a)
+                second = None if a == b else _read(plan, b)
+                if not held[1] or second == []:
+                    continue
+                found = _meet(plan, held[1], second)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b", "n"])
+
+    return compare
+
+
+def _router(shared):
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            size, cell, apart = np.zeros(n, dtype=np.int32), np.full(n, -1), np.zeros(n)
+            vectors: list = [None] * n
+            for d, rows, x in _usable(batch.column(2)):
+                if d not in shared.value:
+                    continue
+                start, upper = shared.value[d]
+                size[rows], cell[rows] = d, start
+                if upper is not None:
+                    at, apart[rows] = upper.route(unit_rows(x))
+                    cell[rows] += at
+                for row, vector in zip(rows.tolist(), x, strict=True):
+                    vectors[row] = vector.tobytes()
+            alone = cell < 0
+            columns = [batch.column(0), batch.column(1), *(pa.array(c, mask=alone) for c in (size, cell, apart))]
+            columns.append(pa.array(vectors, pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "row", "d", "cell", "apart", "v"])
+
+    return route
+
+
+def _groups(blocks: list[tuple[int, float]], block: int, width: int) -> list[int]:
+    """The group of each block, in their order; blocks are lengths and rows, expected ones."""
+    most = min(GROUP_ROWS, max(block, -(-int(sum(n for _, n in blocks)) // GROUPS)))
+    out, group, rows, size = [], 0, 0.0, 0.0
+    for d, n in blocks:
+        if rows and (rows + n > most or size + n * d * width > GROUP_BYTES):
+            group, rows, size = group + 1, 0.0, 0.0
+        out.append(group)
+        rows, size = rows + n, size + n * d * width
+    return out
 
 
 def near_duplicates(
@@ -279,78 +716,88 @@ def near_duplicates(
     Vectors that are null, empty, zero, or hold null or non-finite components have no links and are their own
     component. Vectors link with those of their own length only, whatever lengths a table holds. Repeated rows
     link with each other like any others; a null vec_id is possible, a component of null ids has a null id. An
-    empty table gives an empty result.
+    empty table gives an empty result. ``vectors`` is read twice. Tasks read trees by Arrow from the folder in
+    ``spark.checkpoint.dir``.
     """
     spark = vectors.sparkSession
-    typed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    norm = F.aggregate("embedding", F.lit(0.0), lambda total, v: total + v * v)
-    usable = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.coalesce(bad, F.lit(True))
-    typed = typed.withColumn("usable", F.coalesce(usable, F.lit(False)))
-    typed = typed.withColumn("usable", F.col("usable") & (F.when(F.col("usable"), norm).otherwise(0.0) > 0) & (norm < float("inf")))
-    # A row number of its own for each row: ids may repeat or be null.
-    rows = materialize(typed.withColumn("row", F.monotonically_increasing_id()).withColumn("usable", F.coalesce("usable", F.lit(False))))
-    good = rows.filter("usable")
-    length = F.size("embedding")
+    narrow = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind, width = ("<f4", 4) if narrow else ("<f8", 8)
+    embedding = F.col("embedding").cast("array<float>" if narrow else "array<double>").alias("embedding")
+    typed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), embedding)
+    with small_batches(spark):
+        survey = materialize(typed.select("embedding").mapInArrow(lean(_survey), "d int, n long, place double, v binary"))
     # A length of one vector has no pair.
-    sizes = {r.d: r["count"] for r in good.groupBy(length.alias("d")).count().filter("count > 1").collect()}
-    result = rows.select("vec_id", "row")
+    sizes = {r.d: r.n for r in survey.groupBy("d").agg(F.sum("n").alias("n")).filter("n > 1").collect()}
     if not sizes:
-        return result.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    good = good.select("row", "embedding")
-    most = max(sizes, key=lambda d: (sizes[d], -d))
+        vec_id = F.col("vec_id")
+        return typed.select(vec_id, F.lit(0).cast("long").alias("n_links"), vec_id.alias("component_id"), F.lit(True).alias("kept"))
     uppers: dict[int, tuple[int, Upper | None]] = {}
     total = 0
     for d in sorted(sizes):
         upper = None  # one cell, which fits a block
-        if d == most or sizes[d] > block:
-            chosen = good.filter(length == d).orderBy(F.xxhash64("row")).limit(sample).select("embedding").toPandas()  # bounded by ``sample``
-            upper = upper_tree(unit_rows(chosen["embedding"]))
+        if sizes[d] > block:
+            most = max(1, min(sample, max(64, isqrt(sizes[d])), SAMPLE_BYTES // (8 * d)))
+            chosen = survey.filter((F.col("d") == d) & F.col("v").isNotNull()).orderBy("place").limit(most).select("v").toArrow()
+            upper = upper_tree(np.frombuffer(b"".join(chosen.column(0).to_pylist()), dtype=kind).reshape(-1, d), most)
         uppers[d] = total, upper
         total += 1 if upper is None else len(upper.centres[-1])
-    shared = spark.sparkContext.broadcast(uppers)
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for d, part in batch.groupby(batch["embedding"].map(len)):
-                if d not in shared.value:
-                    continue
-                start, upper = shared.value[d]
-                if upper is None:
-                    yield part.assign(cell=start, apart=0.0)
-                else:
-                    cell, apart = upper.route(unit_rows(part["embedding"]))
-                    yield part.assign(cell=start + cell, apart=apart)
-
-    routed = materialize(good.mapInPandas(route, "row long, embedding array<double>, cell long, apart double"))
-    cells = {r.cell: (r.n, r.reach) for r in routed.groupBy("cell").agg(F.count("*").alias("n"), F.max("apart").alias("reach")).collect()}
-    near = []
-    for start, upper in uppers.values():
-        if upper is None:
-            near.append((start, start))
-        else:
-            own = {c: cells[start + c] for c in range(len(upper.centres[-1])) if start + c in cells}
-            near += [(start + i, start + j) for i, j in _near_cells(upper, own, threshold)]
-    blocks = {c: max(1, -(-n // block)) for c, (n, _) in cells.items()}
-    starts = dict(zip(sorted(blocks), np.cumsum([0] + [blocks[c] for c in sorted(blocks)]).tolist(), strict=False))
+    known = spark.sparkContext.broadcast(uppers)
+    # A row number of its own for each row: ids may repeat or be null.
+    numbered = typed.select("vec_id", F.monotonically_increasing_id().alias("row"), "embedding")
+    with small_batches(spark):
+        routed = materialize(numbered.mapInArrow(lean(_router(known)), "vec_id long, row long, d int, cell long, apart double, v binary"))
+    # Two rows as near as this are linked for certain.
+    within = float(np.arccos(threshold)) / 2 - _SLACK
+    core = F.col("apart") <= within
+    reach = F.max(F.when(~core, F.col("apart"))).alias("reach")
+    found_cells = routed.filter("cell IS NOT NULL").groupBy("cell", "d")
+    found_cells = found_cells.agg(F.count("*").alias("n"), F.count_if(core).alias("inner"), reach, F.max("apart").alias("all"))
+    numbers, cores, blocks = [], {}, []
+    for r in sorted(found_cells.collect(), key=lambda r: r.cell):
+        inner = r.inner if r.inner > block else 0
+        plain, extra = -(-(r.n - inner) // block), -(-inner // block)
+        numbers.append((r.cell, len(blocks), plain, len(blocks) + plain, extra, inner))
+        if extra:
+            cores[r.cell] = len(blocks) + plain
+        blocks += [(r.d, (r.n - inner) / max(1, plain), r.cell, r.reach if extra else r.all)] * plain
+        blocks += [(r.d, inner / max(1, extra), r.cell, within)] * extra
+    group_of = _groups([(d, n) for d, n, _, _ in blocks], block, width)
+    n_groups = group_of[-1] + 1
+    members: list[dict[int, dict[int, float]]] = [{} for _ in range(n_groups)]
+    for (d, _, cell, far), g in zip(blocks, group_of, strict=True):
+        own = members[g].setdefault(d, {})
+        own[cell] = max(far, own.get(cell, 0.0))
     # Crowded cells are many blocks, dealt by a hash of the row.
-    cell_rows = spark.createDataFrame([(int(c), int(starts[c]), int(n)) for c, n in blocks.items()], "cell long, start long, n_blocks long")
-    dealt = routed.join(F.broadcast(cell_rows), "cell").select(
-        "row", "embedding", (F.col("start") + F.pmod(F.xxhash64("row"), F.col("n_blocks"))).alias("block")
-    )
-    trees = materialize(dealt.groupBy("block").applyInPandas(_build, "block long, tree binary"))
-    cell_pairs = spark.createDataFrame(
-        [(int(starts[i]), int(blocks[i]), int(starts[j]), int(blocks[j])) for i, j in near], "s long, n long, t long, m long"
-    )
-    each = cell_pairs.select(F.explode(F.sequence(F.col("s"), F.col("s") + F.col("n") - 1)).alias("first"), "t", "m")
-    each = each.select("first", F.explode(F.sequence(F.col("t"), F.col("t") + F.col("m") - 1)).alias("second"))
-    each = each.filter("first <= second")
-    meetings = each.select("first", "second", F.explode(F.array_distinct(F.array("first", "second"))).alias("block"))
-    met = meetings.join(trees, "block")
-    found = met.groupBy("first", "second").applyInPandas(_compare(threshold), "a long, b long, n long")
-    found = materialize(found)
+    cell_rows = spark.createDataFrame(numbers, "cell long, start long, plain long, inner_start long, extra long, inner long")
+    group_rows = spark.createDataFrame(list(enumerate(group_of)), "block long, group int")
+    dealt = routed.filter("cell IS NOT NULL").join(F.broadcast(cell_rows), "cell")
+    inside = core & (F.col("extra") > 0)
+    start, n = (F.when(inside, F.col(a)).otherwise(F.col(b)) for a, b in (("inner_start", "start"), ("extra", "plain")))
+    placed = dealt.withColumn("block", start + F.pmod(F.xxhash64("row"), F.greatest(n, F.lit(1))))
+    placed = placed.join(F.broadcast(group_rows), "block").select("group", "block", "row", "d", "cell", "apart", "v")
+    trees = materialize(placed.groupBy("group").applyInArrow(_build(known, kind), "group int, block long, tree binary"), "group")
+    files: dict[int, list[str]] = {}
+    for uri in trees.inputFiles():
+        files.setdefault(int(re.search(r"/group=(\d+)/", uri)[1]), []).append(re.sub("^s3[an]:", "s3:", uri))
+    lengths = [sorted(m) for m in members]
+    pairs = [(a, b) for a in range(n_groups) for b in range(a, n_groups) if lengths[b][0] <= lengths[a][-1]]
+    plan = Plan(uppers, [], files, cores, np.array(pairs), threshold)
+    for m in members:
+        reaches = {d: np.array([far if uppers[d][1] else np.pi for far in own.values()]) for d, own in m.items()}
+        plan.cells.append({d: (np.stack([plan.centre(d, c) for c in own]).astype(np.float32), reaches[d]) for d, own in m.items()})
+    shared = spark.sparkContext.broadcast(plan)
+    meetings = spark.range(0, len(pairs), 1, min(len(pairs), MEETINGS))
+    found = materialize(meetings.mapInArrow(lean(_compare(shared)), "a long, b long, n long"))
+    if cores:
+        inner = dealt.filter(inside).select("row", "cell", "inner")
+        first = inner.groupBy("cell").agg(F.min("row").alias("first"))
+        inner = inner.join(F.broadcast(first), "cell")
+        counted = inner.select(F.col("row").alias("a"), F.col("row").alias("b"), (F.col("inner") - 1).alias("n"))
+        joined = inner.select(F.col("row").alias("a"), F.col("first").alias("b"), F.lit(0).cast("long").alias("n"))
+        found = found.unionByName(counted).unionByName(joined)
     counts = found.filter("n > 0").groupBy(F.col("a").alias("row")).agg(F.sum("n").alias("n_links"))
     components = connected_components(found.filter("n = 0").select("a", "b"))
+    result = routed.select("vec_id", "row")
     named = result.join(counts, "row", "left").join(components.withColumnRenamed("node", "row"), "row", "left")
     named = materialize(named.withColumn("component", F.coalesce("component", "row")))
     least = materialize(named.filter("n_links IS NOT NULL").groupBy("component").agg(F.min("vec_id").alias("component_id")))
@@ -362,12 +809,3 @@ def near_duplicates(
         component_id.alias("component_id"),
         F.col("vec_id").eqNullSafe(component_id).alias("kept"),
     )
-
-
-def _near_cells(upper: Upper, cells: dict, threshold: float) -> list[tuple[int, int]]:
-    """Pairs of cells, each with itself too, whose bounds allow a link."""
-    eps = float(np.sqrt(2 - 2 * threshold)) + _SLACK
-    ids = sorted(cells)
-    centres, reach = upper.centres[-1][ids], np.array([cells[c][1] for c in ids])
-    near = _distances(centres, centres) <= reach[:, None] + reach[None, :] + eps
-    return [(ids[i], ids[j]) for i, j in zip(*np.nonzero(np.triu(near)), strict=True)]

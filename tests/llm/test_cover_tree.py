@@ -106,3 +106,73 @@ def test_lengths_apart_each_with_its_links(make):
     rows += [(4000 + k, rows[0][1][:5]) for k in range(2)]  # another length, the same first components
     compare(make, rows + odd_rows())
     compare(make, rows, sample=40, block=30)
+
+
+def test_blocks_meet_without_a_shuffle(make, monkeypatch, capsys):
+    """A block meets many others: it is read by the tasks, not dealt out once for each."""
+    plans = []
+
+    def spy(df, *by):
+        if df.columns == ["a", "b", "n"]:
+            capsys.readouterr()
+            df.explain()
+            plans.append(capsys.readouterr().out)
+        return written(df, *by)
+
+    written = c.materialize
+    monkeypatch.setattr(c, "materialize", spy)
+    compare(make, [(k, v.tolist()) for k, v in enumerate(vectors(10, 300))], sample=20, block=30)
+    assert plans and not any("Exchange" in plan for plan in plans)
+
+
+def test_crowd_around_its_cell(make):
+    """A crowd of several blocks, part of it within half of eps of its centre, part of it just outside, and copies."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(260, 12))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    x[60:] = x[7] + rng.normal(size=(200, 12)) * rng.choice([0.0, 0.02, 0.045, 0.07], size=(200, 1))
+    compare(make, [(k, v.tolist()) for k, v in enumerate(x.astype(np.float32))], sample=10, block=25)
+
+
+def test_crowded_matrix_equals_pairs():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=20) + rng.normal(size=(400, 20)) * rng.choice([0.1, 0.25], size=(400, 1), p=[0.7, 0.3])
+    one, two = c.build_tree(x[:240], c.LEAF, c.TOP), c.build_tree(x[240:], c.LEAF, c.TOP)
+    u, v = c.unit_rows(one.x), c.unit_rows(two.x)
+    kinds, tally, plain = set(), c.Tally(400), c.Tally(400)
+    for p, q, linked in c._walk(one, two, 0.95):
+        kinds.add(linked is None)
+        if linked is None:
+            tally.add(p, 240 + q)
+        else:
+            tally.add_matrix(p, slice(240 + q.start, 240 + q.stop), linked)
+    i, j = np.nonzero(u @ v.T >= 0.95)
+    plain.add(i, 240 + j)
+    tally.settle()
+    plain.settle()
+    assert False in kinds and 0 < len(i) < 240 * 160
+    assert tally.counts.tolist() == plain.counts.tolist() and tally.forest.label.tolist() == plain.forest.label.tolist()
+    within = {(int(i), int(j)) for p, q in c.dual_traversal(one, None, 0.95) for i, j in zip(p, q)}
+    assert within == {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.95, 1)))}
+
+
+def test_sketches_and_faces_drop_no_pair():
+    x = vectors(8, 300, 40).astype(np.float64)
+    unit = c.unit_rows(x)
+    sketch = c.sketches(unit, c.sketch_basis(unit, 5))
+    assert sketch.shape == (300, 6) and (sketch @ sketch.T >= unit @ unit.T - 1e-5).all()
+    assert c._set(sketch @ sketch.T >= 0.9).tolist() == np.flatnonzero(sketch @ sketch.T >= 0.9).tolist()
+
+
+def test_doubles_of_any_scale(make):
+    """Vectors of doubles, some many powers of ten longer than others."""
+    x = vectors(9, 90, 5).astype(np.float64) * 10.0 ** np.random.default_rng(9).integers(-60, 60, size=(90, 1))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    table = make(rows, "vec_id long, embedding array<double>")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in c.near_duplicates(table, sample=20, block=30).collect()), key=repr)
+    assert got == brute(rows) and any(r[1] for r in got)
+
+
+def test_groups_hold_whole_blocks():
+    assert c._groups([(4, 25.0)] * 6, 50, 8) == [0, 0, 1, 1, 2, 2]
+    assert c._groups([(2**20, 30.0)] * 2, 30, 8) == [0, 1]
