@@ -100,7 +100,7 @@ class Tree:
     def sketch(self) -> np.ndarray:
         return sketches(unit_rows(self.x), self.basis)
 
-    def narrow(self, rows: slice) -> np.ndarray:
+    def narrow(self, rows: np.ndarray) -> np.ndarray:
         return unit_rows(self.x[rows]).astype(np.float32)
 
 
@@ -192,8 +192,9 @@ def _children(starts: np.ndarray, i: np.ndarray, other: np.ndarray, j: np.ndarra
         yield starts[a][pair] + inside // m[pair], other[b][pair] + inside % m[pair]
 
 
-#: Row pairs below two nodes from which on they are compared as a matrix, index pairs of a portion, rows of a matrix.
-_DENSE, _PORTION, _ROWS = 4096, 50_000, 512
+#: Row pairs below two nodes from which on they are compared as a matrix, index pairs of a portion, rows of a matrix;
+#: one in so many pairs of nodes, and of rows, is few.
+_DENSE, _PORTION, _ROWS, _FEW, _SOME = 4096, 50_000, 512, 32, 100
 
 
 def _faces(tree: Tree, level: int, half: float, side: int) -> np.ndarray:
@@ -220,13 +221,11 @@ def _set(mask: np.ndarray) -> np.ndarray:
 
 
 def _met(left: np.ndarray, right: np.ndarray, p: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of all pairs (p, q), those whose faces allow a link."""
+    """Portions of p with a matrix of those q where faces allow a link."""
     facing = right[q].T
     for lo in range(0, len(p), _ROWS):
-        hits = _set(left[p[lo : lo + _ROWS]] @ facing >= -_NARROW)
-        if len(hits):
-            i, j = np.divmod(hits, len(q))
-            yield p[lo + i], q[j]
+        some = p[lo : lo + _ROWS]
+        yield some, left[some] @ facing >= -_NARROW
 
 
 def _reachable(one: Tree, at: int, two: Tree, bt: int, p: np.ndarray, q: np.ndarray, eps: float) -> np.ndarray:
@@ -249,7 +248,7 @@ def _cosines(one: Tree, two: Tree, p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def _doubt(tree: Tree) -> float:
     """What single precision may be off by."""
-    return (tree.x.shape[1] + 8) * 2.0**-21
+    return (tree.x.shape[1] + 8) * 2.0**-22
 
 
 def _linked(one: Tree, two: Tree, p: np.ndarray, q: np.ndarray, threshold: float) -> np.ndarray:
@@ -260,21 +259,33 @@ def _linked(one: Tree, two: Tree, p: np.ndarray, q: np.ndarray, threshold: float
     return out
 
 
-def _matrix(one: Tree, two: Tree, p: slice, q: slice, own: bool, threshold: float) -> np.ndarray:
-    """Links of rows p with rows q: single precision decides but near the threshold."""
+def _matrix(one: Tree, two: Tree, p: np.ndarray, q: np.ndarray, own: bool, threshold: float) -> np.ndarray:
+    """Links of rows p with rows q, with later ones only if ``own``: single precision decides but near the threshold."""
     dots = one.narrow(p) @ two.narrow(q).T
     linked = dots >= threshold
-    doubt = np.flatnonzero(np.abs(dots - threshold) <= _doubt(one))
+    doubt = _set(np.abs(dots - threshold) <= _doubt(one))
     if len(doubt):
         i, j = np.divmod(doubt, linked.shape[1])
-        linked[i, j] = _linked(one, two, p.start + i, q.start + j, threshold)
+        linked[i, j] = _linked(one, two, p[i], q[j], threshold)
     if own:
-        linked &= np.arange(p.start, p.stop)[:, None] < np.arange(q.start, q.stop)[None, :]
+        linked &= p[:, None] < q[None, :]
     return linked
 
 
+def _nodes(level: Level) -> np.ndarray:
+    """Each row's node."""
+    return np.repeat(np.arange(len(level.centres)), np.diff(level.rows))
+
+
+def _rectangle(left: Level, right: Level, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of nodes a, those of nodes b, and which nodes meet."""
+    meets = np.zeros((len(left.centres), len(right.centres)), dtype=bool)
+    meets[a, b] = True
+    return np.flatnonzero(meets.any(axis=1)[_nodes(left)]), np.flatnonzero(meets.any(axis=0)[_nodes(right)]), meets
+
+
 def _walk(one: Tree, two: Tree | None, threshold: float, p: np.ndarray | None = None, q: np.ndarray | None = None):
-    """Links as (rows, rows, None), or as (range, range, matrix) where they are crowded; p, q: nodes below the roots
+    """Links as (rows, rows, None), or as (rows, rows, matrix) where they are crowded; p, q: nodes below the roots
     that are to meet, all if not given; two None: within one, each link once."""
     eps = float(np.arccos(threshold))
     half = eps / 2 + _SLACK
@@ -284,7 +295,22 @@ def _walk(one: Tree, two: Tree | None, threshold: float, p: np.ndarray | None =
     at, bt = (min(1, len(t.levels) - 1) for t in (one, two))
     p = np.arange(len(one.levels[at].centres)) if p is None else p
     q = np.arange(len(two.levels[bt].centres)) if q is None else q
-    meeting = _met(_faces(one, at, half, -1), _faces(two, bt, half, 1), p, q)
+    met = []
+    for some, mask in _met(_faces(one, at, half, -1), _faces(two, bt, half, 1), p, q):
+        if np.count_nonzero(mask) * _FEW > mask.size > _DENSE:
+            left, right = one.levels[at], two.levels[bt]
+            i, j = (np.flatnonzero(np.diff(x.rows)[nodes] == 1) for x, nodes in ((left, some), (right, q)))
+            if len(i) and len(j):
+                rows, others = left.centres[some[i]], right.centres[q[j]]
+                linked = _matrix(one, two, rows, others, own, threshold)
+                if linked.any():
+                    yield rows, others, linked
+                mask[np.ix_(i, j)] = False
+        hits = _set(mask)
+        if len(hits):
+            i, j = np.divmod(hits, len(q))
+            met.append((some[i], q[j]))
+    meeting = iter(met)
     while True:
         found = []
         for a, b in meeting:
@@ -307,16 +333,30 @@ def _walk(one: Tree, two: Tree | None, threshold: float, p: np.ndarray | None =
             deeper = np.where(n * m > _DENSE, 32, 4) * (below[a + 1] - below[a]) * (other[b + 1] - other[b]) < n * m
         else:
             deeper = np.zeros(len(a), dtype=bool)
+        here, total = np.zeros(0), (n * m)[~deeper].sum()
+        if total > _DENSE:
+            here, there, meets = _rectangle(left, right, a[~deeper], b[~deeper])
+        if len(here) and total * _SOME > len(here) * len(there):
+            # Most rows that are left are to be compared with most: all with all, and what was ruled out is left out.
+            of, others = _nodes(left)[here], _nodes(right)[there]
+            for u in range(0, len(there), 8 * _ROWS):
+                for v in range(0, len(here), _ROWS):
+                    p, q = here[v : v + _ROWS], there[u : u + 8 * _ROWS]
+                    linked = _matrix(one, two, p, q, own, threshold)
+                    linked &= meets[np.ix_(of[v : v + _ROWS], others[u : u + 8 * _ROWS])]
+                    if linked.any():
+                        yield p, q, linked
+            n[~deeper] = 0
         crowded = ~deeper & (n * m > _DENSE)
         for i, j in zip(a[crowded].tolist(), b[crowded].tolist(), strict=True):
             for u in range(right.rows[j], right.rows[j + 1], 8 * _ROWS):
-                there = slice(u, min(u + 8 * _ROWS, right.rows[j + 1]))
+                q = np.arange(u, min(u + 8 * _ROWS, right.rows[j + 1]))
                 for v in range(left.rows[i], left.rows[i + 1], _ROWS):
-                    here = slice(v, min(v + _ROWS, left.rows[i + 1]))
-                    linked = _matrix(one, two, here, there, own and i == j, threshold)
+                    p = np.arange(v, min(v + _ROWS, left.rows[i + 1]))
+                    linked = _matrix(one, two, p, q, own, threshold)
                     if linked.any():
-                        yield here, there, linked
-        few = ~deeper & ~crowded
+                        yield p, q, linked
+        few = ~deeper & ~crowded & (n > 0)
         for r, s in _children(left.rows, a[few], right.rows, b[few]):
             if own:
                 r, s = r[r < s], s[r < s]
@@ -344,7 +384,7 @@ def dual_traversal(one: Tree, two: Tree | None, threshold: float) -> Iterator[tu
             yield p, q
         else:
             i, j = np.nonzero(linked)
-            yield p.start + i, q.start + j
+            yield p[i], q[j]
 
 
 class Forest:
@@ -391,17 +431,18 @@ class Tally:
         np.add.at(self.counts, q, 1)
         self.join(p, q)
 
-    def add_matrix(self, p: slice, q: slice, linked: np.ndarray) -> None:
-        """Rows p and q by a matrix of links, most of which join what is joined already."""
+    def add_matrix(self, p: np.ndarray, q: np.ndarray, linked: np.ndarray) -> None:
+        """Rows p and q, each once, by a matrix of links, most of which join what is joined already."""
         self.counts[p] += linked.sum(axis=1)
         self.counts[q] += linked.sum(axis=0)
         self.settle()
         rows, columns = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
-        self.forest.add(p.start + rows, q.start + linked[rows].argmax(axis=1))
-        self.forest.add(p.start + linked[:, columns].argmax(axis=0), q.start + columns)
+        self.forest.add(p[rows], q[linked[rows].argmax(axis=1)])
+        self.forest.add(p[linked[:, columns].argmax(axis=0)], q[columns])
         label = self.forest.label
-        i, j = np.nonzero(linked & (label[p][:, None] != label[q][None, :]))
-        self.forest.add(p.start + i, q.start + j)
+        if (label[p[rows]] != label[q[columns[0]]]).any() or (label[q[columns]] != label[q[columns[0]]]).any():
+            i, j = np.nonzero(linked & (label[p][:, None] != label[q][None, :]))
+            self.forest.add(p[i], q[j])
 
 
 @dataclass(frozen=True)
@@ -431,7 +472,7 @@ class Upper:
 
 def upper_tree(sample: np.ndarray, most: int = SAMPLE) -> Upper:
     """Levels of the sample's cover tree while they have at most ``most`` nodes."""
-    tree = build_tree(sample, LEAF)
+    tree = build_tree(sample, TOP)  # closer centres would part a crowd whose rows are all linked
     kept = [level for level in tree.levels if len(level.centres) <= most] or tree.levels[:1]
     centres = [unit_rows(tree.x[level.centres]) for level in kept]
     children = [[list(range(a, b)) for a, b in zip(level.starts[:-1], level.starts[1:], strict=True)] for level in kept[:-1]]
@@ -640,7 +681,7 @@ def _meet(plan: Plan, first: list[Block], second: list[Block] | None) -> tuple[n
             if linked is None:
                 tally.add(x + r, y + t)
             else:
-                tally.add_matrix(slice(x + r.start, x + r.stop), slice(y + t.start, y + t.stop), linked)
+                tally.add_matrix(x + r, y + t, linked)
     tally.settle()
     counts, label = tally.counts, tally.forest.label
     some, joined = np.flatnonzero(counts), np.flatnonzero(label != np.arange(len(every)))

@@ -145,7 +145,7 @@ def test_crowded_matrix_equals_pairs():
         if linked is None:
             tally.add(p, 240 + q)
         else:
-            tally.add_matrix(p, slice(240 + q.start, 240 + q.stop), linked)
+            tally.add_matrix(p, 240 + q, linked)
     i, j = np.nonzero(u @ v.T >= 0.95)
     plain.add(i, 240 + j)
     tally.settle()
@@ -156,6 +156,19 @@ def test_crowded_matrix_equals_pairs():
     assert within == {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.95, 1)))}
 
 
+def test_crowd_of_single_rows():
+    """Rows further apart than the radius of nodes, most near the threshold: met as a matrix at once, also within one."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=64)
+    x = x / np.sqrt(x @ x) + rng.normal(size=(240, 64)) * 0.23 / 8
+    one, two = c.build_tree(x[:140], c.LEAF, c.TOP), c.build_tree(x[140:], c.LEAF, c.TOP)
+    assert any(linked is not None for _, _, linked in c._walk(one, two, 0.95))
+    for other, dots in ((two, c.unit_rows(one.x) @ c.unit_rows(two.x).T), (None, np.triu(c.unit_rows(one.x) @ c.unit_rows(one.x).T, 1))):
+        got = [(int(i), int(j)) for p, q in c.dual_traversal(one, other, 0.95) for i, j in zip(p, q)]
+        assert sorted(got) == [(int(i), int(j)) for i, j in zip(*np.nonzero(dots >= 0.95))]
+        assert 1000 < len(got) < dots.size / 1.2
+
+
 def test_sketches_and_faces_drop_no_pair():
     x = vectors(8, 300, 40).astype(np.float64)
     unit = c.unit_rows(x)
