@@ -50,7 +50,7 @@ SAMPLE_BYTES = 32 * 2**20
 OFFERED, OFFERED_BYTES = 1024, 64 * 2**20
 #: Rows of a block, and nodes of it that meet another's as one.
 BLOCK = 4096
-SHELL = 1200
+SHELL = 950
 #: A group of blocks: a task holds two. There are at least so many groups where the rows fill as many blocks.
 GROUP_ROWS, GROUP_BYTES = 2**17, 48 * 2**20
 GROUPS = 12
@@ -93,7 +93,7 @@ class Tree:
     order: np.ndarray
     levels: list[Level]
     basis: np.ndarray | None = None
-    #: What ``_faces`` made.
+    #: What ``_tree_faces`` made.
     faces: dict = field(default_factory=dict, repr=False)
 
     @cached_property
@@ -197,18 +197,22 @@ def _children(starts: np.ndarray, i: np.ndarray, other: np.ndarray, j: np.ndarra
 _DENSE, _PORTION, _ROWS, _FEW, _SOME = 4096, 50_000, 512, 32, 100
 
 
-def _faces(tree: Tree, level: int, half: float, side: int) -> np.ndarray:
+def _faces(sketch: np.ndarray, radii: np.ndarray, half: float, side: int) -> np.ndarray:
     """Nodes as rows: the product of a left (side -1) and a right (1) one is cos(angle) - cos(both reaches), as far
     as sketches tell; a node's reach is its radius and half of eps. Not below zero: the two may hold a pair."""
+    reach = radii + half
+    made = np.column_stack((sketch, side * np.cos(reach), np.sin(reach))).astype(np.float32)
+    wide = reach > np.pi / 2
+    made[wide] = 0.0  # met by any
+    made[wide, -1] = 1.0
+    return made
+
+
+def _tree_faces(tree: Tree, level: int, half: float, side: int) -> np.ndarray:
     made = tree.faces.get((level, half, side))
     if made is None:
         nodes = tree.levels[level]
-        reach = nodes.radii + half
-        made = np.column_stack((tree.sketch[nodes.centres], side * np.cos(reach), np.sin(reach))).astype(np.float32)
-        wide = reach > np.pi / 2
-        made[wide] = 0.0  # met by any
-        made[wide, -1] = 1.0
-        tree.faces[level, half, side] = made
+        made = tree.faces[level, half, side] = _faces(tree.sketch[nodes.centres], nodes.radii, half, side)
     return made
 
 
@@ -284,9 +288,9 @@ def _rectangle(left: Level, right: Level, a: np.ndarray, b: np.ndarray) -> tuple
     return np.flatnonzero(meets.any(axis=1)[_nodes(left)]), np.flatnonzero(meets.any(axis=0)[_nodes(right)]), meets
 
 
-def _walk(one: Tree, two: Tree | None, threshold: float, p: np.ndarray | None = None, q: np.ndarray | None = None):
+def _walk(one: Tree, two: Tree | None, threshold: float, p: np.ndarray | None = None, q: np.ndarray | None = None, met: bool = False):
     """Links as (rows, rows, None), or as (rows, rows, matrix) where they are crowded; p, q: nodes below the roots
-    that are to meet, all if not given; two None: within one, each link once."""
+    that are to meet, all if not given, or pairs of them if they have met; two None: within one, each link once."""
     eps = float(np.arccos(threshold))
     half = eps / 2 + _SLACK
     own = two is None
@@ -295,8 +299,8 @@ def _walk(one: Tree, two: Tree | None, threshold: float, p: np.ndarray | None =
     at, bt = (min(1, len(t.levels) - 1) for t in (one, two))
     p = np.arange(len(one.levels[at].centres)) if p is None else p
     q = np.arange(len(two.levels[bt].centres)) if q is None else q
-    met = []
-    for some, mask in _met(_faces(one, at, half, -1), _faces(two, bt, half, 1), p, q):
+    pairs = [(p, q)] if met else []
+    for some, mask in () if met else _met(_tree_faces(one, at, half, -1), _tree_faces(two, bt, half, 1), p, q):
         if np.count_nonzero(mask) * _FEW > mask.size > _DENSE:
             left, right = one.levels[at], two.levels[bt]
             i, j = (np.flatnonzero(np.diff(x.rows)[nodes] == 1) for x, nodes in ((left, some), (right, q)))
@@ -309,8 +313,8 @@ def _walk(one: Tree, two: Tree | None, threshold: float, p: np.ndarray | None =
         hits = _set(mask)
         if len(hits):
             i, j = np.divmod(hits, len(q))
-            met.append((some[i], q[j]))
-    meeting = iter(met)
+            pairs.append((some[i], q[j]))
+    meeting = iter(pairs)
     while True:
         found = []
         for a, b in meeting:
@@ -368,7 +372,7 @@ def _walk(one: Tree, two: Tree | None, threshold: float, p: np.ndarray | None =
         if not deeper.any():
             return
         at, bt = (min(level, len(t.levels) - 1) for t in (one, two))
-        meeting = _deeper(_children(below, a[deeper], other, b[deeper]), _faces(one, at, half, -1), _faces(two, bt, half, 1))
+        meeting = _deeper(_children(below, a[deeper], other, b[deeper]), _tree_faces(one, at, half, -1), _tree_faces(two, bt, half, 1))
 
 
 def _deeper(pairs: Iterator[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray):
@@ -583,28 +587,54 @@ class Plan:
         start, upper = self.uppers[d]
         return np.zeros(d) if upper is None else upper.centres[-1][cell - start]
 
+    @property
+    def half(self) -> float:
+        return float(np.arccos(self.threshold)) / 2 + _SLACK
+
     def is_core(self, block: Block) -> bool:
         return block.cell in self.cores and block.number >= self.cores[block.cell]
 
 
-def _read(plan: Plan, group: int) -> list[Block]:
-    """The blocks of a group."""
-    out = []
-    for uri in plan.files.get(group, []):  # none: the hash gave it no rows
+class Part:
+    """The blocks of one length of a group, and the nodes below their roots in one row."""
+
+    def __init__(self, blocks: list[Block], half: float):
+        self.blocks, self.half = blocks, half
+        levels = [b.tree.levels[min(1, len(b.tree.levels) - 1)] for b in blocks]
+        #: The first node of each block.
+        self.offsets = np.cumsum([0] + [len(x.centres) for x in levels])
+        self.unit = np.concatenate([b.tree.narrow(x.centres) for b, x in zip(blocks, levels, strict=True)])
+        self.radii = np.concatenate([x.radii for x in levels])
+        #: Block, nodes and reach.
+        self.shells = [(k, lo + a, lo + b, far) for k, lo in enumerate(self.offsets[:-1].tolist()) for a, b, far in blocks[k].shells]
+        self.made: dict[int, np.ndarray] = {}
+
+    def faces(self, side: int) -> np.ndarray:
+        if side not in self.made:
+            levels = [b.tree.levels[min(1, len(b.tree.levels) - 1)] for b in self.blocks]
+            sketch = [sketches(unit_rows(b.tree.x[x.centres]), b.tree.basis) for b, x in zip(self.blocks, levels, strict=True)]
+            self.made[side] = _faces(np.concatenate(sketch), self.radii, self.half, side)
+        return self.made[side]
+
+
+def _read(plan: Plan, group: int) -> list[Part]:
+    """The blocks of a group by length; none if the hash gave it no rows."""
+    found = []
+    for uri in plan.files.get(group, []):
         store, path = fs.FileSystem.from_uri(uri)
         with store.open_input_file(path) as file:
             part = pq.ParquetFile(file)
             for k in range(part.num_row_groups):
                 table = part.read_row_group(k, columns=["block", "tree"])
                 for number, tree in zip(table.column("block"), table.column("tree"), strict=True):
-                    out.append(Block(number.as_py(), *pickle.loads(tree.as_buffer())))
-    out.sort(key=lambda b: b.number)
+                    found.append(Block(number.as_py(), *pickle.loads(tree.as_buffer())))
+    found.sort(key=lambda b: b.number)
     start = 0
-    for block in out:
+    for block in found:
         block.start, start = start, start + len(block.rows)
         upper = plan.uppers[block.d][1]
         block.tree.basis = upper.basis if upper else None
-    return out
+    return [Part([b for b in found if b.d == d], plan.half) for d in sorted({b.d for b in found})]
 
 
 def _within(dots: np.ndarray, reach: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -617,71 +647,86 @@ def _within(dots: np.ndarray, reach: np.ndarray, other: np.ndarray) -> np.ndarra
 
 def _near_groups(plan: Plan, a: int, b: int) -> bool:
     """Whether some cell of one group can reach some cell of the other."""
-    half = float(np.arccos(plan.threshold)) / 2 + _SLACK
     for d in plan.cells[a].keys() & plan.cells[b].keys():
         (x, reach), (y, other) = plan.cells[a][d], plan.cells[b][d]
-        if _within(x @ y.T, reach + half, other + half).any():
+        if _within(x @ y.T, reach + plan.half, other + plan.half).any():
             return True
     return False
 
 
-def _facing(plan: Plan, mine: list[Block], others: list[Block]) -> list[np.ndarray]:
-    """For each of my blocks: which nodes below its root can reach the rows of the other blocks' shells (rows)."""
-    half = float(np.arccos(plan.threshold)) / 2 + _SLACK
-    centres = [plan.centre(b.d, b.cell).astype(np.float32) for b in others for _ in b.shells]
-    reaches = np.array([far if plan.uppers[b.d][1] else np.pi for b in others for _, _, far in b.shells]) + half
-    of = np.array([b.d for b in others for _ in b.shells])
-    out = []
-    for block in mine:
-        nodes = block.tree.levels[min(1, len(block.tree.levels) - 1)]
-        fits = np.zeros((len(of), len(nodes.centres)), dtype=bool)
-        same = np.flatnonzero(of == block.d)
-        if len(same):
-            x = block.tree.x if len(nodes.centres) == len(block.tree.x) else block.tree.x[nodes.centres]
-            x = x.astype(np.float32, copy=False)
-            dots = np.stack([centres[k] for k in same]) @ x.T / np.sqrt(np.einsum("ij,ij->i", x, x))
-            fits[same] = _within(dots, reaches[same], nodes.radii + half)
-        out.append(fits)
+def _facing(plan: Plan, mine: Part, other: Part) -> np.ndarray:
+    """Which of my nodes (columns) can reach the rows of the other's shells (rows)."""
+    owners = [other.blocks[k] for k, *_ in other.shells]
+    centres = np.stack([plan.centre(b.d, b.cell) for b in owners]).astype(np.float32)
+    reach = np.array([far if plan.uppers[b.d][1] else np.pi for b, (_, _, _, far) in zip(owners, other.shells, strict=True)]) + plan.half
+    out = np.empty((len(centres), len(mine.radii)), dtype=bool)
+    for lo, hi in zip(mine.offsets[:-1], mine.offsets[1:], strict=True):
+        out[:, lo:hi] = _within(centres @ mine.unit[lo:hi].T, reach, mine.radii[lo:hi] + plan.half)
     return out
 
 
-def _meetings(plan: Plan, first: list[Block], second: list[Block], own: bool) -> Iterator[tuple]:
-    """Blocks of two groups with the nodes that are to meet, all of them if a block meets itself."""
+def _meetings(plan: Plan, first: Part, second: Part) -> Iterator[tuple]:
+    """Blocks of two parts, or of one, with the nodes that are to meet, and whether as pairs that have met; all nodes
+    (None) if a block meets itself."""
+    own = first is second
+    if own:
+        yield from ((b, b, None, None, False) for b in first.blocks if not plan.is_core(b))
     mine = _facing(plan, first, second)
     theirs = mine if own else _facing(plan, second, first)
-    shells, others = ([(k, *shell) for k, b in enumerate(g) for shell in b.shells] for g in (first, second))
-    if own:
-        yield from ((b, b, None, None) for b in first)
-    for s, (i, a, b, _) in enumerate(shells):
-        one = first[i]
-        for t, (j, c, d, _) in enumerate(others):
-            two = second[j]
-            if one.d != two.d or (own and i >= j) or (one.cell == two.cell and plan.is_core(one) and plan.is_core(two)):
+    left, right = first.faces(-1), second.faces(1)
+    starts, ends = (np.array([shell[k] for shell in second.shells]) for k in (1, 2))
+    apart = float(np.arccos(plan.threshold))
+    for s, (i, lo, hi, _) in enumerate(first.shells):
+        one, found = first.blocks[i], []
+        # What of this shell reaches each of the other shells, and what of those reaches this one.
+        t_of, p = np.divmod(np.flatnonzero(mine[:, lo:hi]), hi - lo)
+        p += lo
+        q = np.flatnonzero(theirs[s])
+        p_ends = np.searchsorted(t_of, np.arange(len(starts) + 1)).tolist()
+        q_starts, q_ends = np.searchsorted(q, starts).tolist(), np.searchsorted(q, ends).tolist()
+        faces, facing = left[p], right[q]
+        for t, (j, _, _, _) in enumerate(second.shells):
+            here, there = slice(p_ends[t], p_ends[t + 1]), slice(q_starts[t], q_ends[t])
+            if here.start == here.stop or there.start == there.stop or (own and i >= j):
                 continue
-            p = a + np.flatnonzero(mine[i][t, a:b])
-            if len(p):
-                q = c + np.flatnonzero(theirs[j][s, c:d])
-                if len(q):
-                    yield one, two, p, q
-
-
-def _meet(plan: Plan, first: list[Block], second: list[Block] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            two = second.blocks[j]
+            if one.cell == two.cell and plan.is_core(one) and plan.is_core(two):
+                continue
+            mask = faces[here] @ facing[there].T >= -_NARROW
+            some = np.count_nonzero(mask)
+            if some * _FEW > mask.size > _DENSE:
+                yield one, two, p[here] - first.offsets[i], q[there] - second.offsets[j], False
+            elif some:
+                a, b = np.divmod(_set(mask), mask.shape[1])
+                found.append((p[here][a], q[there][b]))
+        if found:
+            a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+            near = np.empty(len(a), dtype=bool)
+            for u in range(0, len(a), _PORTION):
+                x, y = a[u : u + _PORTION], b[u : u + _PORTION]
+                reach = np.cos(np.minimum(np.pi, first.radii[x] + second.radii[y] + apart))
+                near[u : u + _PORTION] = np.einsum("ij,ij->i", first.unit[x], second.unit[y]) >= reach - 2 * _doubt(one.tree)
+            a, b = a[near], b[near]
+            to = np.searchsorted(second.offsets, b, side="right") - 1
+            for j in np.unique(to).tolist():
+                yield one, second.blocks[j], a[to == j] - first.offsets[i], b[to == j] - second.offsets[j], True
+
+
+def _meet(plan: Plan, first: list[Part], second: list[Part]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows a linked with n others, and joins of rows a and b (n is 0), by the blocks of two groups or of one."""
-    own = second is None
-    second = first if own else second
-    ids = [b.rows for b in first] + ([] if own else [b.rows for b in second])
+    own = first is second
+    ids = [b.rows for part in ([*first] if own else [*first, *second]) for b in part.blocks]
     every = np.concatenate(ids)
-    shift = 0 if own else sum(len(b.rows) for b in first)
+    shift = 0 if own else sum(len(b.rows) for part in first for b in part.blocks)
     tally = Tally(len(every))
-    for one, two, p, q in _meetings(plan, first, second, own):
-        if one is two and plan.is_core(one):
-            continue
-        x, y = one.start, shift + two.start
-        for r, t, linked in _walk(one.tree, None if one is two else two.tree, plan.threshold, p, q):
-            if linked is None:
-                tally.add(x + r, y + t)
-            else:
-                tally.add_matrix(x + r, y + t, linked)
+    for part, other in ((x, y) for x in first for y in second if x.blocks[0].d == y.blocks[0].d):
+        for one, two, p, q, met in _meetings(plan, part, other):
+            x, y = one.start, shift + two.start
+            for r, t, linked in _walk(one.tree, None if one is two else two.tree, plan.threshold, p, q, met):
+                if linked is None:
+                    tally.add(x + r, y + t)
+                else:
+                    tally.add_matrix(x + r, y + t, linked)
     tally.settle()
     counts, label = tally.counts, tally.forest.label
     some, joined = np.flatnonzero(counts), np.flatnonzero(label != np.arange(len(every)))
@@ -695,7 +740,7 @@ def _meet(plan: Plan, first: list[Block], second: list[Block] | None) -> tuple[n
 def _compare(shared):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan: Plan = shared.value
-        held: tuple[int, list[Block]] | None = None
+        held: tuple[int, list[Part]] | None = None
         for batch in batches:
             for k in batch.column(0).to_numpy().tolist():
                 a, b = plan.pairs[k].tolist()
@@ -704,8 +749,8 @@ def _compare(shared):
                 if held is None or held[0] != a:
                     held = None  # before the next is read
                     held = a, _read(plan, a)
-                second = None if a == b else _read(plan, b)
-                if not held[1] or second == []:
+                second = held[1] if a == b else _read(plan, b)
+                if not held[1] or not second:
                     continue
                 found = _meet(plan, held[1], second)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b", "n"])
