@@ -52,7 +52,7 @@ OFFERED, OFFERED_BYTES = 1024, 64 * 2**20
 BLOCK = 4096
 SHELL = 950
 #: A group of blocks: a task holds two. There are at least so many groups where the rows fill as many blocks.
-GROUP_ROWS, GROUP_BYTES = 2**17, 48 * 2**20
+GROUP_ROWS, GROUP_BYTES = 2**16, 32 * 2**20
 GROUPS = 12
 #: Tasks that compare groups, at most.
 MEETINGS = 2048
